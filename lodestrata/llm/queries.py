@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.components import groups_by_shared_keys
 from lodestrata.llm.identifiers import identifiers
+from lodestrata.llm.leakage import leaked_items
 from lodestrata.llm.survivorship import survivors
 from lodestrata.session import table
 
@@ -22,4 +23,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(table(spark, sf_dir, "findings"), table(spark, sf_dir, "analyzers"))
 
 
-QUERIES = {"p1_found": (p1_found, None), "p4_found": (p4_found, None)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) of documents that hold an evaluation passage or a third of it."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p1_found": (p1_found, None), "p4_found": (p4_found, None), "p7_found": (p7_found, None)}
