@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.components import groups_by_shared_keys
 from lodestrata.llm.identifiers import identifiers
 from lodestrata.llm.leakage import leaked_items
+from lodestrata.llm.pii import find_pii
 from lodestrata.llm.survivorship import survivors
 from lodestrata.session import table
 
@@ -28,4 +29,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": (p1_found, None), "p4_found": (p4_found, None), "p7_found": (p7_found, None)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, pii_kind, start_pos, n_chars) of names, mail addresses, phone and identity numbers and street addresses."""
+    return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {"p1_found": (p1_found, None), "p4_found": (p4_found, None), "p7_found": (p7_found, None), "p8_found": (p8_found, None)}
