@@ -9,6 +9,7 @@ from lodestrata.llm.components import groups_by_shared_keys
 from lodestrata.llm.identifiers import identifiers
 from lodestrata.llm.leakage import leaked_items
 from lodestrata.llm.pii import find_pii
+from lodestrata.llm.secrets import find_secrets
 from lodestrata.llm.survivorship import survivors
 from lodestrata.session import table
 
@@ -24,6 +25,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors(table(spark, sf_dir, "findings"), table(spark, sf_dir, "analyzers"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(finding_id, start_pos, n_chars) of each literal secret in a code snippet."""
+    return find_secrets(table(spark, sf_dir, "raw_findings"), "finding_id", "code").select("finding_id", "start_pos", "n_chars")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id) of documents that hold an evaluation passage or a third of it."""
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -34,4 +40,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"p1_found": (p1_found, None), "p4_found": (p4_found, None), "p7_found": (p7_found, None), "p8_found": (p8_found, None)}
+QUERIES = {"p1_found": (p1_found, None), "p4_found": (p4_found, None), "p5_found": (p5_found, None), "p7_found": (p7_found, None), "p8_found": (p8_found, None)}
