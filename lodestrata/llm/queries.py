@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from lodestrata.llm.components import groups_by_shared_keys
 from lodestrata.llm.identifiers import identifiers
 from lodestrata.llm.leakage import leaked_items
+from lodestrata.llm.packing import pack
 from lodestrata.llm.pii import find_pii
 from lodestrata.llm.secrets import find_secrets
 from lodestrata.llm.survivorship import survivors
+from lodestrata.llm.tokens import token_count
 from lodestrata.session import table
 
+CAPACITY = 2048
+
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(group_id, id) of advisories that share an identifier, directly or through further rows."""
@@ -30,6 +34,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "raw_findings"), "finding_id", "code").select("finding_id", "start_pos", "n_chars")
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, piece_no, n_tokens, container_id): every non-blank text, in tokens, in a container of 2,048."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"[^\s\p{Z}]")).select("doc_id", token_count(F.col("text")).alias("n_tokens"))
+    return pack(docs, "doc_id", "n_tokens", CAPACITY).withColumnRenamed("piece_size", "n_tokens")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id) of documents that hold an evaluation passage or a third of it."""
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -40,4 +50,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"p1_found": (p1_found, None), "p4_found": (p4_found, None), "p5_found": (p5_found, None), "p7_found": (p7_found, None), "p8_found": (p8_found, None)}
+QUERIES = {"p1_found": (p1_found, None), "p4_found": (p4_found, None), "p5_found": (p5_found, None), "p6_containers": (p6_containers, None), "p7_found": (p7_found, None), "p8_found": (p8_found, None)}
