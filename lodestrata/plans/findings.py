@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import findings as fx
 from lodestrata.functions.text import is_test_path, language, last_two_steps, normalize_path, normalize_snippet, redact, short_hash, slug
 from lodestrata.operators import findings as op
+from lodestrata.operators.ranking import global_rank
 from lodestrata.session import table
 
 QUERIES: dict = {}
@@ -255,11 +256,18 @@ def _(spark, d):
 _REACH = "CASE WHEN len(coalesce(taint_path,[]))>1 THEN 'high' WHEN len(coalesce(taint_path,[]))=1 THEN 'low' ELSE 'unknown' END"
 
 
-@query("o126_risk_score", f"WITH {BASE}, k AS (SELECT *, {WEIGHT} AS w, CASE finding_type WHEN 'sca' THEN 'sca' WHEN 'secret' THEN 'secret' ELSE 'sast' END AS t, {_REACH} AS reach FROM f WHERE severity='critical' AND line_start=12), s AS (SELECT least(coalesce(sum(CASE WHEN t='sca' THEN CAST(floor(CAST(w AS DOUBLE)*(CASE reach WHEN 'high' THEN 1.0::DOUBLE WHEN 'low' THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END)*0.3::DOUBLE) AS BIGINT) ELSE 0 END),0),50)::BIGINT AS vulnerability_points, least(coalesce(sum(CASE WHEN t='sast' THEN CAST(floor(CAST(w AS DOUBLE)*0.15::DOUBLE) AS BIGINT) ELSE 0 END),0),25)::BIGINT AS sast_points, least(coalesce(sum(CASE WHEN t='secret' THEN 15 ELSE 0 END),0),20)::BIGINT AS secret_points, least(coalesce(sum(CASE WHEN t='sca' AND reach='high' THEN 3 ELSE 0 END),0),10)::BIGINT AS reachability_bonus FROM k) SELECT *, least(vulnerability_points+sast_points+secret_points+reachability_bonus,100)::BIGINT AS score, CASE WHEN score>=80 THEN 'critical' WHEN score>=60 THEN 'high' WHEN score>=40 THEN 'medium' WHEN score>=20 THEN 'low' ELSE 'minimal' END AS level FROM s")
+_POINTS = f"""k AS (SELECT *, {WEIGHT} AS w, CASE finding_type WHEN 'sca' THEN 'sca' WHEN 'secret' THEN 'secret' ELSE 'sast' END AS t, {_REACH} AS reach FROM f),
+ s AS (SELECT file_path, least(sum(CASE WHEN t='sca' THEN CAST(floor(CAST(w AS DOUBLE)*(CASE reach WHEN 'high' THEN 1.0::DOUBLE WHEN 'low' THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END)*0.3::DOUBLE) AS BIGINT) ELSE 0 END),50)::BIGINT AS vulnerability_points,
+ least(sum(CASE WHEN t='sast' THEN CAST(floor(CAST(w AS DOUBLE)*0.15::DOUBLE) AS BIGINT) ELSE 0 END),25)::BIGINT AS sast_points, least(sum(CASE WHEN t='secret' THEN 15 ELSE 0 END),20)::BIGINT AS secret_points,
+ least(sum(CASE WHEN t='sca' AND reach='high' THEN 3 ELSE 0 END),10)::BIGINT AS reachability_bonus FROM k GROUP BY 1)"""
+
+
+@query("o126_risk_score", f"WITH {BASE}, {_POINTS} SELECT *, least(vulnerability_points+sast_points+secret_points+reachability_bonus,100)::BIGINT AS score, CASE WHEN score>=80 THEN 'critical' WHEN score>=60 THEN 'high' WHEN score>=40 THEN 'medium' WHEN score>=20 THEN 'low' ELSE 'minimal' END AS level FROM s")
 def _(spark, d):
-    f = _f(spark, d).where("severity = 'critical' and line_start = 12").withColumn("finding_type", F.when(F.col("finding_type").isin("sca", "secret"), F.col("finding_type")).otherwise("sast"))
+    """By file; `risk_points` without keys gives one row for the whole table."""
+    f = _f(spark, d).withColumn("finding_type", F.when(F.col("finding_type").isin("sca", "secret"), F.col("finding_type")).otherwise("sast"))
     n = F.size(F.coalesce("taint_path", F.array().cast("array<string>")))
-    return op.risk_points(f, F.when(n > 1, "high").when(n == 1, "low").otherwise("unknown"))
+    return op.risk_points(f, F.when(n > 1, "high").when(n == 1, "low").otherwise("unknown"), "file_path")
 
 
 @query("o129_owasp_summary", _with("SELECT owasp_category, count(*) AS n, count(*) FILTER (severity='critical') AS critical, count(*) FILTER (severity='high') AS high, count(*) FILTER (severity='medium') AS medium, count(*) FILTER (severity='low') AS low FROM f WHERE owasp_category<>'' GROUP BY 1"))
@@ -268,9 +276,9 @@ def _(spark, d):
     return _f(spark, d).where("owasp_category <> ''").groupBy("owasp_category").agg(F.count(F.lit(1)).alias("n"), n("critical"), n("high"), n("medium"), n("low"))
 
 
-@query("o132_rule_files", _with("SELECT rule_id, count(DISTINCT file_path) AS n_files, list_sort(list(DISTINCT substr(file_path,1,3)))[1:20] AS heads FROM f GROUP BY 1"))
+@query("o132_rule_files", _with("SELECT rule_id, count(DISTINCT file_path) AS n_files, list_sort(list(DISTINCT substr(file_path,1,3))) AS heads FROM f GROUP BY 1"))
 def _(spark, d):
-    return _f(spark, d).groupBy("rule_id").agg(F.countDistinct("file_path").alias("n_files"), F.slice(F.sort_array(F.collect_set(F.substring("file_path", 1, 3))), 1, 20).alias("heads"))
+    return _f(spark, d).groupBy("rule_id").agg(F.countDistinct("file_path").alias("n_files"), F.sort_array(F.collect_set(F.substring("file_path", 1, 3))).alias("heads"))
 
 
 @query("o133_coverage", _with("SELECT maturity, enforcement, count(DISTINCT rule_id) AS rules, count(*) AS n FROM f GROUP BY CUBE(maturity, enforcement)"))
@@ -295,8 +303,8 @@ def _(spark, d):
 @query("o140_proximity_dedup")
 def _(spark, d):
     f = _f(spark, d)
-    order = [(-F.coalesce(F.col("line_start"), F.lit(0)) * 0 + F.lit(0)).alias("z"), F.col("file_path"), F.col("line_start"), F.col("id")]
-    return op.proximity_dedup(f, order[1:], priority={"treesitter-ast": 3, "taint-ssa": 3, "taint-patterns": 3, "gosast-embedded": 2, "secrets-embedded": 2, "patterns-embedded": 2})
+    order = [F.col("file_path"), F.col("line_start"), F.col("id")]
+    return op.proximity_dedup(f, order, priority={"treesitter-ast": 3, "taint-ssa": 3, "taint-patterns": 3, "gosast-embedded": 2, "secrets-embedded": 2, "patterns-embedded": 2})
 
 
 _RULE = "CASE WHEN regexp_replace(rule_id,'^TS-','')<>'' THEN regexp_replace(rule_id,'^TS-','') ELSE title END"
@@ -318,14 +326,10 @@ def _(spark, d):
 
 
 # -- sorts and top-k
-@query("o148_sorted", _with(f"SELECT id, row_number() OVER (ORDER BY {ORDER} DESC, {CONFIDENCE} DESC, file_path, id) AS place FROM f QUALIFY place<=1000"))
+@query("o148_sorted", _with(f"SELECT id, row_number() OVER (ORDER BY {ORDER} DESC, {CONFIDENCE} DESC, file_path, id) AS place FROM f"))
 def _(spark, d):
-    # a limited sort keeps the first rows of each partition; numbering then sees these alone
-    top = op.sort_findings(_f(spark, d), "id").limit(1000)
-    from pyspark.sql import Window as W
-
-    w = W.orderBy(fx.severity_order(F.col("severity")).desc(), fx.confidence_order(F.col("confidence")).desc(), "file_path", "id")
-    return top.select("id", F.row_number().over(w).cast("bigint").alias("place"))
+    f = _f(spark, d).select("id", "severity", "confidence", "file_path")
+    return global_rank(f, [fx.severity_order(F.col("severity")).desc(), fx.confidence_order(F.col("confidence")).desc(), F.col("file_path"), F.col("id")]).select("id", "place")
 
 
 @query("o149_top10", _with(f"SELECT id, severity FROM f ORDER BY {ORDER} DESC, len(coalesce(taint_path,[])) DESC, id LIMIT 10"))
