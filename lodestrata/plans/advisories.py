@@ -140,11 +140,11 @@ def _(spark, d):
     return table(spark, d, "affected_packages").where("fixed_version <> ''").select("id", semver_key(F.col("fixed_version")).alias("version_key"))
 
 
-@query("o070_range_expression", f"SELECT id, CASE WHEN affected_range LIKE '<=%' THEN {_dotted('introduced_version')} <= {_dotted(chr(116)+'rim(substr(affected_range,3))')} END AS inside FROM affected_packages WHERE affected_range LIKE '<= %' AND introduced_version<>'' AND ecosystem NOT LIKE 'Alpine%' AND ecosystem NOT LIKE 'Debian%' AND regexp_full_match(introduced_version,'[0-9.]+') AND regexp_full_match(trim(substr(affected_range,3)),'[0-9.]+')")
+@query("o070_range_expression")
 def _(spark, d):
-    a = table(spark, d, "affected_packages").where(r"affected_range like '<= %' and introduced_version <> '' and not ecosystem like 'Alpine%' and not ecosystem like 'Debian%'")
-    plain = F.col("introduced_version").rlike("^[0-9.]+$") & F.trim(F.substring("affected_range", 3, 100)).rlike("^[0-9.]+$")
-    return a.where(plain).select("id", version_in_range(F.col("ecosystem"), F.col("introduced_version"), F.col("affected_range")).alias("inside"))
+    """Whether the introduced version lies in the range expression, in the ecosystem's own order."""
+    a = table(spark, d, "affected_packages")
+    return a.select("id", version_in_range(F.col("ecosystem"), F.col("introduced_version"), F.col("affected_range")).alias("inside"))
 
 
 _SEVERITY = "CASE WHEN cvss_score>=9 THEN 'critical' WHEN cvss_score>=7 THEN 'high' WHEN cvss_score>=4 THEN 'medium' WHEN cvss_score>0 THEN 'low' ELSE CASE lower(trim(coalesce(severity,''))) WHEN 'moderate' THEN 'medium' WHEN 'important' THEN 'high' WHEN 'critical' THEN 'critical' WHEN 'high' THEN 'high' WHEN 'medium' THEN 'medium' WHEN 'low' THEN 'low' ELSE 'unknown' END END"
