@@ -2,7 +2,9 @@
 
 Method: minimum labels are propagated across the edges and pointer jumping shortens the label
 chains; each round is checkpointed and the rounds end when no label changes. Edges between equal
-labels fall away and the others are carried on between labels, so later rounds are smaller.
+labels fall away and the others are carried on between labels. Of two neighbours at most one keeps
+its label in a round, so the labels with edges at least halve: the rounds grow as the logarithm of
+the rows, and so do the jumps within a round.
 
 Defined results: null ends of an edge are ignored, repeated edges and loops count once, an empty
 table gives an empty result. The label of a group is its smallest member.
@@ -38,11 +40,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         # the smallest neighbour of each label that still has an edge
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a"))
-        parent = both.groupBy("node").agg(F.min("next").alias("_n")).select("node", F.least("node", "_n").alias("up"))
-        parent = checkpoint(parent)
-        # pointer jumping
-        jumped = parent.select("node", "up").join(parent.select(F.col("node").alias("up"), F.col("up").alias("_up2")), "up", "left")
-        parent = checkpoint(jumped.select("node", F.coalesce("_up2", "up").alias("label")))
+        parent = checkpoint(both.groupBy("node").agg(F.min("next").alias("_n")).select("node", F.least("node", "_n").alias("up")))
+        # pointer jumping until every node points at the root of its tree: pointers halve the way each time
+        while True:
+            above = parent.where("node <> up").select(F.col("node").alias("up"), F.col("up").alias("_up2"))
+            jumped = checkpoint(skew_safe_lookup(parent, above, "up").select("node", "up", F.coalesce("_up2", "up").alias("next")))
+            parent = jumped.select("node", F.col("next").alias("up"))
+            if jumped.where("next <> up").isEmpty():
+                break
+        parent = parent.withColumnRenamed("up", "label")
         moved = parent.where("node <> label").withColumnRenamed("node", "_old").withColumnRenamed("label", "_new")
         step = lambda df, c, m=moved: skew_safe_lookup(df.withColumnRenamed(c, "_old"), m, "_old").withColumn(c, F.coalesce("_new", "_old")).drop("_old", "_new")
         labels = checkpoint(step(labels, "label"))
