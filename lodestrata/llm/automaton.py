@@ -105,7 +105,10 @@ class _Nfa:
 
 @dataclass
 class Automaton:
-    """table[state, class] is the next state, 0 the dead one and 1 the first; accepts[state] is a bit for each rule."""
+    """table[state, class] is the next state, 0 the dead one; accepts[state] is a bit for each rule.
+
+    State 1 begins all rules and state 2 those that may begin inside a run of name characters.
+    """
 
     names: list[str]
     patterns: list[str]
@@ -118,14 +121,20 @@ class Automaton:
         """Classes of characters given as code points."""
         return self.classes[np.minimum(text, OTHER)]
 
-    def longest(self, codes: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each rule (index into starts, end of the longest match) where it matches, and which starts were alive at the end of the array."""
-        n = len(codes)
+    def longest(self, codes: np.ndarray, starts: np.ndarray, inner: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """For each rule (index into starts, end of the longest match) where it matches; and the starts that were alive at the end of their text or of the array.
+
+        inner: which starts begin in state 2.
+        """
+        n, stop = len(codes), self.classes[129]
         ends = np.zeros((len(self.names), len(starts)), np.int64)
         lane, at, state = np.arange(len(starts)), starts.copy(), np.ones(len(starts), np.int64)
+        if inner is not None:
+            state[inner] = 2
         unfinished = []
         while len(lane):
-            open_ = at < n
+            open_ = codes[np.minimum(at, n - 1)] != stop
+            open_ &= at < n
             if not open_.all():
                 unfinished.append(lane[~open_])
                 lane, at, state = lane[open_], at[open_], state[open_]
@@ -146,14 +155,18 @@ class Automaton:
         return out, np.concatenate(unfinished) if unfinished else np.zeros(0, np.int64)
 
 
-def compile_rules(rules: dict[str, str], most_repeats: int = 4, most_states: int = 60_000) -> Automaton:
-    """Counts above most_repeats are loosened in the automaton ({30,40} becomes {4,}); the caller's grammar checks them on each match."""
+def compile_rules(rules: dict[str, str], anchored: frozenset[str] = frozenset(), most_repeats: int = 4, most_states: int = 60_000) -> Automaton:
+    """anchored: rules that begin at the first character of a run of name characters only.
+
+    Counts above most_repeats are loosened in the automaton ({30,40} becomes {4,}); the caller's grammar checks them on each match."""
     nfa = _Nfa(most_repeats)
-    start = nfa.state()
+    start, inner = nfa.state(), nfa.state()
     goal: dict[int, int] = {}
-    for r, pattern in enumerate(rules.values()):
+    for r, (name, pattern) in enumerate(rules.items()):
         first = nfa.state()
         nfa.jumps[start].append(first)
+        if name not in anchored:
+            nfa.jumps[inner].append(first)
         tree = parse(pattern)
         goal[nfa.add(tree, first, False)] = 1 << r
     sets = {chars for steps in nfa.steps for chars, _ in steps}
@@ -178,8 +191,9 @@ def compile_rules(rules: dict[str, str], most_repeats: int = 4, most_states: int
                     stack.append(to)
         return frozenset(s for s in seen if nfa.steps[s] or s in goal)
 
-    begin = close(frozenset([start]))
-    number, queue, rows = {frozenset(): 0, begin: 1}, [begin], {0: [0] * (end_class + 1)}
+    # a mark keeps the two first states apart even where they hold the same rules
+    begin, within = close(frozenset([start])) | {-1}, close(frozenset([inner])) | {-2}
+    number, queue, rows = {frozenset(): 0, begin: 1, within: 2}, [begin, within], {0: [0] * (end_class + 1)}
     by_class = [[([k for k, c in enumerate(members) if c in chars], to) for chars, to in steps] for steps in nfa.steps]
     closed: dict[frozenset, frozenset] = {}
     while queue:
@@ -187,7 +201,7 @@ def compile_rules(rules: dict[str, str], most_repeats: int = 4, most_states: int
         row = [0] * (end_class + 1)
         reach: dict[int, set[int]] = {}
         for s in here:
-            for ks, to in by_class[s]:
+            for ks, to in by_class[s] if s >= 0 else ():
                 for k in ks:
                     reach.setdefault(k, set()).add(to)
         for k, states in reach.items():

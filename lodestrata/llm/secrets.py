@@ -67,6 +67,8 @@ RULES = {
     "token_mail": rf"(?P<v>(?:key-[a-z0-9]{{32}}|SG\.[\w-]{{16,}}\.[\w-]{{16,}}|sk-[A-Za-z0-9]{{32,}}))",
     "token_signed": r"(?P<v>eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})",
 }
+#: Rules that begin with a name: they start where a run of name characters does.
+_NAMED = frozenset(n for n in RULES if n.startswith("assign") or n == "remark")
 _STRENGTH = {name: i for i, name in enumerate(RULES)}
 _COMPILED = {name: re.compile(p) for name, p in RULES.items()}
 
@@ -133,7 +135,7 @@ def _acceptable(rule: str, text: str, whole: tuple[int, int], a: int, b: int) ->
 @lru_cache(maxsize=1)
 def automaton() -> Automaton:
     """The automaton of all rules, made once a process."""
-    return compile_rules(RULES)
+    return compile_rules(RULES, _NAMED)
 
 
 def _tidy(rule: str, text: str, a: int, b: int) -> tuple[int, int]:
@@ -160,12 +162,12 @@ def _matches(machine: Automaton, texts: list[str], pieces: list[tuple[int, int]]
     classes[begins[1:] - 1] = machine.classes[129]
     low = np.minimum(codes, 128)
     inside = (low == 128) | (low == 95) | (low == 46) | (low == 45) | ((low >= 48) & (low <= 57)) | ((low >= 65) & (low <= 90)) | ((low >= 97) & (low <= 122))
-    opens = machine.first[low]
-    # within a run of name characters matches start at its first character, after its dashes and dots, or where letters follow others
-    fresh = np.ones(len(low), bool)
-    fresh[1:] = ~inside[:-1] | ((low[:-1] == 45) | (low[:-1] == 46)) & (low[1:] != 45) | (low[1:] == 45) & (low[:-1] != 45)
-    starts = np.flatnonzero(opens & fresh)
-    results, unfinished = machine.longest(classes, starts)
+    # matches start where a run of name characters does; within one after dashes and dots, or at dashes
+    fresh, dashes = np.ones(len(low), bool), np.zeros(len(low), bool)
+    fresh[1:] = ~inside[:-1] | ~inside[1:]
+    dashes[1:] = ~fresh[1:] & (((low[:-1] == 45) | (low[:-1] == 46)) & (low[1:] != 45) | (low[1:] == 45) & (low[:-1] != 45))
+    starts = np.flatnonzero(machine.first[low] & (fresh | dashes))
+    results, unfinished = machine.longest(classes, starts, dashes[starts])
     which = np.searchsorted(begins, starts, side="right") - 1
     out: dict[int, set[tuple[int, int, str]]] = {}
     for r, (lanes, ends) in enumerate(results):
@@ -174,9 +176,15 @@ def _matches(machine: Automaton, texts: list[str], pieces: list[tuple[int, int]]
             i, at = pieces[p]
             a, b = int(starts[lane] - begins[p]) + at, int(end - begins[p]) + at
             out.setdefault(i, set()).add((a, b, machine.names[r]))
-            if b == at + CHUNK and b < len(texts[i]):  # it may go on beyond the chunk
-                if m := _COMPILED[machine.names[r]].match(texts[i], a):
-                    out[i].add((a, m.end(), machine.names[r]))
+    for lane in unfinished.tolist():  # what goes on beyond its chunk is matched in the whole text
+        i, at = pieces[int(which[lane])]
+        a = int(starts[lane] - begins[which[lane]]) + at
+        if at + CHUNK < len(texts[i]):
+            for name, pattern in _COMPILED.items():
+                if m := pattern.match(texts[i], a):
+                    found = out.setdefault(i, set())
+                    found -= {x for x in found if x[0] == a and x[2] == name}
+                    found.add((a, m.end(), name))
     return out
 
 
