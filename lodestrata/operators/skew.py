@@ -14,9 +14,11 @@ def skew_safe_lookup(rows: DataFrame, mapping: DataFrame, key: str, hot_share: f
     go through an ordinary shuffle join. Null keys find nothing and are kept.
     An empty input gives an empty result. Columns other than ``key`` must not clash.
     """
-    counts = rows.groupBy(key).count().where(F.col("count") >= min_hot)
     total = rows.count()
-    hot = [r[0] for r in counts.where(F.col("count") >= hot_share * total).select(key).where(F.col(key).isNotNull()).collect()] if total >= min_hot else []
+    hot = []
+    if total >= min_hot:
+        counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+        hot = [r[0] for r in counts.where(F.col("count") >= max(min_hot, hot_share * total)).select(key).collect()]
     if not hot:
         return rows.join(mapping, key, "left")
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
