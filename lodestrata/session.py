@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,3 +40,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """A broadcast hint for df if it has at most max_rows rows, else df as it is (the join then shuffles)."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+@contextmanager
+def without_constraints(spark: SparkSession) -> Iterator[None]:
+    """Turns off constraint propagation for iterative work: a checkpoint keeps the constraints of its plan, and each round would derive more from them."""
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
