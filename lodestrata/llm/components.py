@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators.skew import skew_safe_lookup
-from lodestrata.session import checkpoint
+from lodestrata.session import checkpoint, without_constraints
 
 
 def star_edges(members: DataFrame, node: str, key: str) -> DataFrame:
@@ -32,6 +32,11 @@ def star_edges(members: DataFrame, node: str, key: str) -> DataFrame:
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """(node, label) of every node of an edge that is no loop."""
+    with without_constraints(edges.sparkSession):
+        return _components(edges, a, b, max_rounds)
+
+
+def _components(edges: DataFrame, a: str, b: str, max_rounds: int) -> DataFrame:
     low, high = F.least(a, b), F.greatest(a, b)
     edges = checkpoint(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(low.alias("a"), high.alias("b")).where("a < b").distinct())
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node"))
@@ -61,6 +66,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
 def groups_by_shared_keys(rows: DataFrame, node: str, keys: Column) -> DataFrame:
     """(group_id, node) of the rows that share a key of the array ``keys``, directly or through further rows, in groups of two or more."""
-    members = rows.select(F.col(node), F.explode(keys).alias("_key")).distinct()
+    # read three times below: kept once instead of extracting the keys again
+    members = checkpoint(rows.select(F.col(node), F.explode(keys).alias("_key")).distinct())
     found = connected_components(star_edges(members, node, "_key"))
     return found.select(F.col("label").alias("group_id"), F.col("node").alias(node))
