@@ -4,8 +4,8 @@ Every node of a record gets the list of its ordinals from the root (its Dewey la
 label is the label without its last ordinal, and nodes that share a schema path form one table.
 Labels need nothing but the record itself, so the operator runs without any shuffle.
 
-Defined results: null bodies, bodies that are no valid JSON (NaN and Infinity included) and records
-without the wanted keys give no rows. Keys match in any letter case; of keys that differ in case
+Defined results: null bodies, bodies that are no valid JSON (NaN, Infinity and nesting beyond the
+parser's depth included) and records without the wanted keys give no rows. Keys match in any letter case; of keys that differ in case
 alone the last non-null one counts. Where the schema has a list, a bare value stands for a list of
 one and a text that holds a JSON list or object stands for that. Nulls keep their ordinals but give
 no rows. Numbers come out as their text.
@@ -113,7 +113,8 @@ def dewey_nodes(record: dict, lists: frozenset[str], wanted: frozenset[str], pre
         elif path in wanted and node is not None:
             text = ("true" if node else "false") if isinstance(node, bool) else str(node)
             if text:
-                yield path, list(label), text
+                # an escaped half of a surrogate pair is no character
+                yield path, list(label), text if text.isascii() else text.encode("utf-8", "replace").decode()
 
 
 def shred(rows: DataFrame, key: str, body: str, leaves: tuple[str, ...] = ADVISORY_LEAVES, lists: frozenset[str] = ADVISORY_LISTS) -> DataFrame:

@@ -9,7 +9,7 @@ from lodestrata.operators.nested import advisory_leaves, shred
 from lodestrata.operators.timestamps import normalise_timestamps
 from lodestrata.session import table
 
-CANONICAL = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"
+CANONICAL = r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z\z"
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

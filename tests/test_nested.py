@@ -25,6 +25,7 @@ def test_bad_and_empty(spark):
 
 def test_bare_values_and_numbers(spark):
     assert leaves(spark, '{"affected": {"versions": 1.50}}') == [(0, 0, "version", -1, 0, "1.50")]
+    assert leaves(spark, '{"affected": {"versions": ["\\ud800", "\\u00e9"]}}') == [(0, 0, "version", -1, 0, "?"), (0, 0, "version", -1, 1, "é")]
     assert leaves(spark, '{"affected": {"versions": "1.2"}}') == [(0, 0, "version", -1, 0, "1.2")]
     assert leaves(spark, json.dumps({"affected": json.dumps([{"ranges": json.dumps([{"events": json.dumps({"last_affected": "3"})}])}])})) == [(0, 0, "last_affected", 0, 0, "3")]
 
