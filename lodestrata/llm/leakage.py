@@ -212,9 +212,22 @@ class LeakSearch:
         self.item = np.repeat(np.arange(len(keep)), self.sizes - window + 1)
         self.place = np.concatenate([np.arange(len(r)) for r in rows]) if rows else np.zeros(0, np.int64)
         self.machine = WuManber(np.concatenate(rows) if rows else np.zeros((0, window), np.uint64))
+        # a chain lies within so many characters, markup and line breaks included
+        self.extent = 1000 + 8 * max([len(p) for p in passages], default=0)
 
     def leaks(self, texts: list[str]) -> Iterator[tuple[int, object]]:
-        """(index of the text, item id) of each leak."""
+        """(index of the text, item id) of each leak; very long texts are searched in pieces that overlap by more than any chain."""
+        long = [i for i, t in enumerate(texts) if len(t) > 4 * CHUNK_CHARS]
+        if not long:
+            yield from self._leaks(texts)
+            return
+        for i, text in enumerate(texts):
+            step = max(CHUNK_CHARS, self.extent)
+            pieces = [text[a : a + step + self.extent] for a in range(0, max(1, len(text)), step)] if i in long else [text]
+            for item in dict.fromkeys(item for p in pieces for _, item in self._leaks([p])):
+                yield i, item
+
+    def _leaks(self, texts: list[str]) -> Iterator[tuple[int, object]]:
         words, which = word_stream(texts)
         k, pattern = self.machine.search(words)
         if not len(k):

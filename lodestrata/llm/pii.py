@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.crf import Crf
 from lodestrata.llm.pii_examples import FRENCH_TITLES, GIVEN, KINDS, TITLES, labelled_rows
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS, CONTEXT = 1 << 20, 1000
 
 _AT = r"(?:\s?@\s?|&#64;|&commat;|\s?[(\[{<]\s?at\s?[)\]}>]\s?|\s+at\s+)"
 _DOT = r"(?:\.|\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\s+dot\s+)"
@@ -112,6 +112,32 @@ def entities(model: Crf, texts: list[str]) -> Iterator[tuple[int, str, int, int]
                 yield i, kind, ends[0], ends[1] - ends[0]
 
 
+def _pieces(text: str) -> Iterator[tuple[int, int, int]]:
+    """(place, first, last) of the pieces of a very long text: a piece is read from place on and keeps what begins in first to last."""
+    n, first = len(text), 0
+    while first < n:
+        last = min(n, first + CHUNK_CHARS)
+        if last < n:  # not inside a run of characters, where one can be avoided
+            last = max(text.rfind("\n", first + CHUNK_CHARS // 2, last), text.rfind(" ", first + CHUNK_CHARS // 2, last)) + 1 or last
+        yield max(0, first - CONTEXT), first, last
+        first = last
+
+
+def all_entities(model: Crf, texts: list[str]) -> Iterator[tuple[int, str, int, int]]:
+    """`entities` in chunks of bounded size; very long texts in pieces that overlap by CONTEXT characters on either side."""
+    for a, b in _chunks(texts):
+        if b - a > 1 or len(texts[a]) <= 2 * CHUNK_CHARS:
+            for i, kind, start, n in entities(model, texts[a:b]):
+                yield a + i, kind, start, n
+            continue
+        done = 0
+        for place, first, last in _pieces(texts[a]):
+            for _, kind, start, n in entities(model, [texts[a][place : last + CONTEXT]]):
+                if first <= place + start < last and place + start >= done:
+                    done = place + start + n
+                    yield a, kind, place + start, n
+
+
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     first, total = 0, 0
     for i, t in enumerate(texts):
@@ -131,7 +157,7 @@ def find_pii(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids, texts = batch[doc_id].tolist(), batch[text].tolist()
-            rows = [(ids[a + i], k, s, n) for a, b in _chunks(texts) for i, k, s, n in entities(shared.value, texts[a:b])]
+            rows = [(ids[i], k, s, n) for i, k, s, n in all_entities(shared.value, texts)]
             yield pd.DataFrame(rows, columns=[doc_id, "pii_kind", "start_pos", "n_chars"])
 
     return documents.select(doc_id, text).where(F.length(F.trim(text)) > 0).mapInPandas(run, f"`{doc_id}` {kind}, pii_kind string, start_pos int, n_chars int")
@@ -142,7 +168,7 @@ def redacted(model: Crf, text: str | None) -> str | None:
     if not text:
         return text
     out, done = [], 0
-    for _, kind, start, n in entities(model, [text]):
+    for _, kind, start, n in all_entities(model, [text]):
         out += [text[done:start], f"[{kind.upper()}]"]
         done = start + n
     return "".join(out) + text[done:]

@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.automaton import Automaton, compile_rules
 
-CHUNK, OVERLAP = 1 << 16, 1 << 13
+CHUNK, OVERLAP, MOST_CHARS = 1 << 16, 1 << 13, 1 << 21
 
 #: Endings of names that hold a secret.
 _NAMES = (
@@ -147,10 +148,25 @@ def _tidy(rule: str, text: str, a: int, b: int) -> tuple[int, int]:
 
 def scan(machine: Automaton, texts: list[str]) -> Iterator[tuple[int, int, int, str]]:
     """(index of the text, start, length, rule) of each secret, in order."""
-    # overlapping chunks of each text; a match is kept by the chunk in whose first part it begins
-    pieces = [(i, at) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - OVERLAP if len(t) > CHUNK else 1), CHUNK - OVERLAP)]
-    for first in range(0, len(pieces), 4096):
-        yield from _scan_pieces(machine, texts, pieces[first : first + 4096])
+    # overlapping chunks of each text, a bounded number of characters at a time; the spans of one text are settled together
+    held, total = [], 0
+    for i, t in enumerate(texts):
+        mine = [(i, at) for at in range(0, max(1, len(t) - OVERLAP if len(t) > CHUNK else 1), CHUNK - OVERLAP)]
+        if held and total + len(t) > MOST_CHARS:
+            yield from _settle(texts, _matches(machine, texts, held))
+            held, total = [], 0
+        if len(t) > MOST_CHARS:
+            found: dict[int, set[tuple[int, int, str]]] = {}
+            step = max(1, MOST_CHARS // CHUNK)
+            for first in range(0, len(mine), step):
+                for k, v in _matches(machine, texts, mine[first : first + step]).items():
+                    found.setdefault(k, set()).update(v)
+            yield from _settle(texts, found)
+            continue
+        held += mine
+        total += len(t)
+    if held:
+        yield from _settle(texts, _matches(machine, texts, held))
 
 
 def _matches(machine: Automaton, texts: list[str], pieces: list[tuple[int, int]]) -> dict[int, set[tuple[int, int, str]]]:
@@ -188,18 +204,22 @@ def _matches(machine: Automaton, texts: list[str], pieces: list[tuple[int, int]]
     return out
 
 
-def _scan_pieces(machine: Automaton, texts: list[str], pieces: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, str]]:
-    for i, found in sorted(_matches(machine, texts, pieces).items()):
+def _settle(texts: list[str], matches: dict[int, set[tuple[int, int, str]]]) -> Iterator[tuple[int, int, int, str]]:
+    """The secrets among the matches of each text."""
+    for i, found in sorted(matches.items()):
         text = texts[i]
         spans: set[tuple[int, int, str]] = set()
-        closing = sorted(x for x in found if x[2] == "armour_end")
+        closing: dict[str, list[tuple[int, int]]] = {}
+        for a, b, rule in sorted(found):
+            if rule == "armour_end":
+                closing.setdefault(text[a + 9 : b], []).append((a, b))
         done = -1
         for a, b, rule in sorted(x for x in found if x[2] == "armour_begin"):
-            label = text[a + 11 : b]
-            end = next((y for x, y, _ in closing if x >= b and text[x + 9 : y] == label), None)
-            if end is not None and a >= done:
-                spans.add((a, end, "armour_begin"))
-                done = end
+            ends = closing.get(text[a + 11 : b], [])
+            k = bisect_left(ends, (b, b))
+            if k < len(ends) and a >= done:
+                done = ends[k][1]
+                spans.add((a, done, "armour_begin"))
         for a, b, rule in found:
             if rule.startswith("armour"):
                 continue
@@ -209,11 +229,12 @@ def _scan_pieces(machine: Automaton, texts: list[str], pieces: list[tuple[int, i
             x, y = _tidy(rule, text, *m.span("v"))
             if _acceptable(rule, text, m.span(), x, y):
                 spans.add((x, y, rule))
-        kept: list[tuple[int, int, str]] = []
+        kept: list[tuple[int, int, str]] = []  # in order and apart, so only the neighbours can overlap
         for a, b, rule in sorted(spans, key=lambda s: (_STRENGTH[s[2]], s[0], -s[1])):
-            if not any(a < y and b > x for x, y, _ in kept):
-                kept.append((a, b, rule))
-        for a, b, rule in sorted(kept):
+            k = bisect_left(kept, (a, b, rule))
+            if (k == 0 or kept[k - 1][1] <= a) and (k == len(kept) or kept[k][0] >= b):
+                kept.insert(k, (a, b, rule))
+        for a, b, rule in kept:
             yield i, a, b - a, rule
 
 

@@ -35,6 +35,14 @@ def test_whole_part_and_changed():
     assert leaks(items, texts) == [(0, 0), (1, 1), (2, 3), (4, 5), (5, 6), (6, 7), (12, 8), (13, 0), (13, 9)]
 
 
+def test_very_long_text():
+    _, items = setup()
+    filler = "unrelated text \n" * 300_000
+    step = k.CHUNK_CHARS
+    texts = [filler[: step - 200] + items[2] + filler, "x", filler[: 3 * step - 17] + items[4] + filler]
+    assert leaks(items, texts) == [(0, 2), (2, 4)]
+
+
 def test_machine_against_brute_force():
     rng = np.random.default_rng(3)
     words = rng.integers(1, 12, 5000).astype(np.uint64)

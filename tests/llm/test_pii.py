@@ -56,6 +56,15 @@ def test_order_overlap_and_batches(model):
         assert all(x[1] + x[2] <= y[1] for x, y in zip(alone, alone[1:], strict=False))
 
 
+def test_very_long_text(model):
+    one = "Reported by Henrik Brasketti.\n"
+    filler = "the job is idle now\n" * 60_000
+    text = filler[: pii.CHUNK_CHARS - 15] + "\n" + one + filler + one + filler
+    got = [(k, a, n) for _, k, a, n in pii.all_entities(model, ["short", text])]
+    first = pii.CHUNK_CHARS - 14
+    assert got == [("name", first + 12, 16), ("name", first + len(one) + len(filler) + 12, 16)]
+
+
 def test_viterbi_is_the_best_path(model):
     import itertools
 
