@@ -103,3 +103,21 @@ OWASP_OF_CWE = {
     "CWE-639": "A01", "CWE-327": "A02", "CWE-326": "A02", "CWE-328": "A02", "CWE-330": "A02", "CWE-295": "A02", "CWE-319": "A02", "CWE-611": "A05", "CWE-16": "A05", "CWE-489": "A05", "CWE-732": "A05",
     "CWE-1104": "A06", "CWE-287": "A07", "CWE-798": "A07", "CWE-384": "A07", "CWE-502": "A08", "CWE-829": "A08", "CWE-532": "A09", "CWE-778": "A09", "CWE-918": "A10",
 }
+
+
+def change_points(lines: Column, files: Column) -> Column:
+    """Points of a change by its lines, with a bonus for many files, at most 15."""
+    base = F.when(lines > 1000, 15).when(lines > 500, 12).when(lines > 200, 8).when(lines > 50, 5).when(lines > 10, 3).when(lines > 0, 1).otherwise(0)
+    bonus = F.when(files > 20, 5).when(files > 10, 3).when(files > 5, 1).otherwise(0)
+    return F.least(base + bonus, F.lit(15))
+
+
+def sensitivity_points(auth: Column, pipeline: Column, dependencies: Column) -> Column:
+    """Points of touched areas (booleans), at most 15."""
+    return F.least(F.when(auth, 8).otherwise(0) + F.when(pipeline, 5).otherwise(0) + F.when(dependencies, 4).otherwise(0), F.lit(15))
+
+
+def in_scope(scope: Column, cwe: Column, category: Column) -> Column:
+    """Whether a scoped source, sink or sanitizer applies: no scope fits all, else an equal weakness or category in any letter case."""
+    s = F.upper(F.trim(text(scope)))
+    return (s == "") | (s == F.upper(text(cwe))) | (s == F.upper(text(category)))

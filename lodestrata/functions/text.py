@@ -146,3 +146,17 @@ def is_lockfile(path: Column) -> Column:
 def is_example_file(path: Column) -> Column:
     base = basename(path)
     return (base.startswith(".env.") & base.contains("example")) | base.rlike(r"\.(example|sample|template|dist)$")
+
+
+#: Packages that are imported under other names (fixed values).
+IMPORT_NAMES = {
+    "pyyaml": ("yaml",), "pillow": ("PIL",), "beautifulsoup4": ("bs4",), "scikit-learn": ("sklearn",), "python-dateutil": ("dateutil",), "opencv-python": ("cv2",), "protobuf": ("google",), "pyjwt": ("jwt",),
+    "python-dotenv": ("dotenv",), "attrs": ("attr",), "msgpack-python": ("msgpack",), "mysqlclient": ("MySQLdb",),
+}
+
+
+def import_candidates(package: Column) -> Column:
+    """Names under which a package may be imported: itself, lower case, with underscores, and known other names."""
+    low = F.lower(package)
+    known = F.create_map(*[x for k, v in IMPORT_NAMES.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))])
+    return F.array_distinct(F.concat(F.array(package, low, F.regexp_replace(low, "-", "_")), F.coalesce(F.try_element_at(known, low), F.array().cast("array<string>"))))

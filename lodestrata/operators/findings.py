@@ -194,3 +194,17 @@ def risk_points(findings: DataFrame, reachability: Column, *by: str) -> DataFram
 
 def sort_findings(findings: DataFrame, *tie: str) -> DataFrame:
     return findings.orderBy(fx.severity_order(F.col("severity")).desc(), fx.confidence_order(F.col("confidence")).desc(), "file_path", *tie)
+
+
+def without_safe_functions(findings: DataFrame, boundaries: DataFrame, lines: DataFrame, safe: dict[str, str], path: str = "file_path") -> DataFrame:
+    """Drops a taint finding when a line of its function matches the safe pattern of its rule.
+
+    Boundaries (path, line_no, name) give each line and finding its function by an as-of lookup, so the
+    interval join becomes an equality join on path, function and rule. Findings outside of functions stay.
+    """
+    marked = lines.select(F.monotonically_increasing_id().alias("id"), F.col("path").alias("file_path"), F.col("line_no").alias("line_start"), "line")
+    rules = F.filter(F.array(*[F.when(F.col("line").rlike(p), F.lit(r)) for r, p in safe.items()]), lambda x: x.isNotNull())
+    hits = marked.withColumn("rule_id", F.explode(rules))
+    hits = enclosing_function(hits.withColumn("id", F.concat_ws(":", F.col("id").cast("string"), "rule_id")), boundaries).where("function is not null")
+    f = enclosing_function(findings, boundaries)
+    return f.join(hits.select("file_path", "function", "rule_id").distinct(), ["file_path", "function", "rule_id"], "left_anti").drop("function")

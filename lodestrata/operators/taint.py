@@ -153,3 +153,27 @@ def taint_findings(files: DataFrame, rules: tuple[TaintRule, ...] = RULES, max_d
         frontier = step.where("not tainted").select("path", F.col("caller").alias("function"), F.col("up").alias("param"), "sink_line", "rule_id").distinct().join(seen, ["path", "function", "param", "sink_line", "rule_id"], "left_anti")
         seen = seen.unionByName(frontier)
     return out.distinct()
+
+
+def python_nodes(files: DataFrame) -> DataFrame:
+    """(path, node, parent, kind, name, line): the syntax tree of each Python file as rows, numbered in document order; broken files give none."""
+
+    def walk(path: str, text: str) -> Iterator[tuple]:
+        try:
+            stack = [(ast.parse(text or ""), -1)]
+        except (SyntaxError, ValueError, RecursionError):
+            return
+        number = 0
+        while stack:
+            node, parent = stack.pop()
+            yield path, number, parent, type(node).__name__, _dotted(node) or getattr(node, "name", None) or "", getattr(node, "lineno", 0)
+            stack += [(c, number) for c in reversed(list(ast.iter_child_nodes(node)))]
+            number += 1
+
+    schema = "path string, node int, parent int, kind string, name string, line int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([r for p, t in zip(b["path"], b["content"], strict=True) for r in walk(p, t)], columns=["path", "node", "parent", "kind", "name", "line"])
+
+    return files.select("path", "content").mapInPandas(run, schema)

@@ -388,3 +388,18 @@ def _(spark, d):
 @query("o055_redact", r"""SELECT finding_id, regexp_replace(code, '([''"][a-zA-Z0-9+/=_\-])[a-zA-Z0-9+/=_\-]{18,}([a-zA-Z0-9+/=_\-][''"])', '\1[REDACTED]\2', 'g') AS evidence FROM raw_findings WHERE code IS NOT NULL""")
 def _(spark, d):
     return table(spark, d, "raw_findings").where("code is not null").select("finding_id", redact(F.col("code")).alias("evidence"))
+
+
+_REPO = "regexp_extract(replace(file_path,chr(92),'/'),'([^/]*[0-9]{7})/',1)"
+
+
+@query("o127_change_points", _with(f"SELECT repo, least(CASE WHEN n>1000 THEN 15 WHEN n>500 THEN 12 WHEN n>200 THEN 8 WHEN n>50 THEN 5 WHEN n>10 THEN 3 WHEN n>0 THEN 1 ELSE 0 END + CASE WHEN files>20 THEN 5 WHEN files>10 THEN 3 WHEN files>5 THEN 1 ELSE 0 END, 15)::INTEGER AS points FROM (SELECT {_REPO} AS repo, sum(greatest(line_end-line_start+1,0)) AS n, count(DISTINCT file_path) AS files FROM f GROUP BY 1)"))
+def _(spark, d):
+    repo = F.regexp_extract(F.regexp_replace("file_path", r"\\", "/"), "([^/]*[0-9]{7})/", 1)
+    g = _f(spark, d).groupBy(repo.alias("repo")).agg(F.sum(F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0))).alias("n"), F.countDistinct("file_path").alias("files"))
+    return g.select("repo", fx.change_points(F.col("n"), F.col("files")).alias("points"))
+
+
+@query("o043_text_table", _with(f"SELECT severity, count(*) AS n, min(id) AS first_id FROM f GROUP BY 1"))
+def _(spark, d):
+    return _f(spark, d).groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))

@@ -127,3 +127,22 @@ def _(spark, d):
 def _(spark, d):
     files = table(spark, d, "raw_findings").where("code is not null and file_path like '%.py'").select(F.concat_ws(":", "file_path", F.col("finding_id").cast("string")).alias("path"), F.col("code").alias("content"))
     return taint.taint_findings(files)
+
+
+@query("o098_python_nodes")
+def _(spark, d):
+    files = table(spark, d, "raw_findings").where("code is not null").select(F.col("finding_id").cast("string").alias("path"), F.col("code").alias("content"))
+    return taint.python_nodes(files).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("o102_call_graph")
+def _(spark, d):
+    files = table(spark, d, "raw_findings").where("code is not null").select(F.col("finding_id").cast("string").alias("path"), F.col("code").alias("content"))
+    return taint.call_graph(files)
+
+
+@query("o169_fixes", r"WITH l0 AS (SELECT finding_id, string_split_regex(code, '\r?\n') AS parts FROM raw_findings WHERE code IS NOT NULL), l AS (SELECT finding_id, unnest(parts) AS line FROM l0) SELECT finding_id, count(*) AS n FROM l WHERE regexp_matches(line,'retries:\s*\d+') GROUP BY 1")
+def _(spark, d):
+    l = lines(table(spark, d, "raw_findings").where("code is not null"), "finding_id", "code").withColumn("rule_id", F.lit("RETRIES"))
+    fixed = rop.proposed_fixes(l, fixes=(("RETRIES", r"retries:\s*\d+", "retries: 0"),))
+    return fixed.where(F.col("line").rlike(r"retries:\s*\d+")).groupBy("finding_id").agg(F.count(F.lit(1)).alias("n"))

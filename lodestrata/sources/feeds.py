@@ -86,3 +86,31 @@ def files(spark, folder: str, glob: str = "*", max_bytes: int = 2 << 20) -> Data
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
     keep = is_text_file(F.col("path")) & ~is_third_party(F.col("path")) & (F.col("length") <= max_bytes)
     return f.where(keep).select("path", F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
+
+
+def suite_summaries(spark, folder: str) -> DataFrame:
+    """(suite, ...): one summary.json of each result folder, keyed by the folder's name."""
+    return spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "summary.json").json(folder).withColumn("suite", F.element_at(F.split(F.input_file_name(), "/"), -2))
+
+
+def git_changed(spark, repository: str, since: str = "HEAD~1", max_bytes: int = 2 << 20) -> DataFrame:
+    """(path): files that a local repository changed since a reference and that are still there, text by name and not too large."""
+    import os
+    import subprocess
+
+    from lodestrata.functions.text import BINARY_EXTENSIONS
+
+    out = subprocess.run(["git", "-C", repository, "diff", "--name-only", "--diff-filter=d", "-z", since], capture_output=True, check=True, text=True).stdout
+    names = [n for n in out.split("\0") if n and not n.lower().endswith(BINARY_EXTENSIONS)]
+    keep = [(n,) for n in names if os.path.isfile(os.path.join(repository, n)) and os.path.getsize(os.path.join(repository, n)) <= max_bytes]
+    return spark.createDataFrame(keep, "path string")
+
+
+def inside(root: str, path: str) -> str:
+    """The absolute path, an error if it leaves root."""
+    import os
+
+    full = os.path.realpath(os.path.join(root, path))
+    if os.path.commonpath([os.path.realpath(root), full]) != os.path.realpath(root):
+        raise ValueError("the path leaves its root")
+    return full
