@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,12 +45,22 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 
 
 @contextmanager
-def without_constraints(spark: SparkSession) -> Iterator[None]:
-    """Turns off constraint propagation for iterative work: a checkpoint keeps the constraints of its plan, and each round would derive more from them."""
-    key = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that writes a frame to the shared checkpoint folder and reads it back; the tables are deleted at the end.
+
+    For iterative work: unlike a checkpoint, a table that is read back carries no constraints and no
+    output partitioning of the plan that made it, which would grow from round to round.
+    """
+    folder = f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    number = itertools.count()
+
+    def keep(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(number)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     try:
-        yield
+        yield keep
     finally:
-        spark.conf.set(key, before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
