@@ -1,7 +1,8 @@
 """Consolidating pairwise matches into groups.
 
 Method: minimum labels are propagated across the edges and pointer jumping shortens the label
-chains; each round is checkpointed and the rounds end when no label changes. Edges between equal
+chains; each round is checkpointed (as a table in the shared checkpoint folder) and the rounds end
+when no label changes. Edges between equal
 labels fall away and the others are carried on between labels. Of two neighbours at most one keeps
 its label in a round, so the labels with edges at least halve: the rounds grow as the logarithm of
 the rows, and so do the jumps within a round.
@@ -12,11 +13,13 @@ table gives an empty result. The label of a group is its smallest member.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators.skew import skew_safe_lookup
-from lodestrata.session import checkpoint, without_constraints
+from lodestrata.session import checkpoint, scratch
 
 
 def star_edges(members: DataFrame, node: str, key: str) -> DataFrame:
@@ -32,33 +35,33 @@ def star_edges(members: DataFrame, node: str, key: str) -> DataFrame:
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """(node, label) of every node of an edge that is no loop."""
-    with without_constraints(edges.sparkSession):
-        return _components(edges, a, b, max_rounds)
+    with scratch(edges.sparkSession) as keep:
+        return checkpoint(_components(edges, a, b, max_rounds, keep))
 
 
-def _components(edges: DataFrame, a: str, b: str, max_rounds: int) -> DataFrame:
+def _components(edges: DataFrame, a: str, b: str, max_rounds: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     low, high = F.least(a, b), F.greatest(a, b)
-    edges = checkpoint(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(low.alias("a"), high.alias("b")).where("a < b").distinct())
+    edges = keep(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(low.alias("a"), high.alias("b")).where("a < b").distinct())
     labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node"))
     if edges.isEmpty():
         return labels
     for _ in range(max_rounds):
         # the smallest neighbour of each label that still has an edge
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a"))
-        parent = checkpoint(both.groupBy("node").agg(F.min("next").alias("_n")).select("node", F.least("node", "_n").alias("up")))
+        parent = keep(both.groupBy("node").agg(F.min("next").alias("_n")).select("node", F.least("node", "_n").alias("up")))
         # pointer jumping until every node points at the root of its tree: pointers halve the way each time
         while True:
             above = parent.where("node <> up").select(F.col("node").alias("up"), F.col("up").alias("_up2"))
-            jumped = checkpoint(skew_safe_lookup(parent, above, "up").select("node", "up", F.coalesce("_up2", "up").alias("next")))
+            jumped = keep(skew_safe_lookup(parent, above, "up").select("node", "up", F.coalesce("_up2", "up").alias("next")))
             parent = jumped.select("node", F.col("next").alias("up"))
             if jumped.where("next <> up").isEmpty():
                 break
         parent = parent.withColumnRenamed("up", "label")
         moved = parent.where("node <> label").withColumnRenamed("node", "_old").withColumnRenamed("label", "_new")
         step = lambda df, c, m=moved: skew_safe_lookup(df.withColumnRenamed(c, "_old"), m, "_old").withColumn(c, F.coalesce("_new", "_old")).drop("_old", "_new")
-        labels = checkpoint(step(labels, "label"))
+        labels = keep(step(labels, "label"))
         edges = step(step(edges, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = checkpoint(edges)
+        edges = keep(edges)
         if edges.isEmpty():
             return labels.select("node", "label")
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
