@@ -97,6 +97,14 @@ def _encoded(v: str) -> bool:
     return len(plain) >= 6 and all(32 <= c < 127 for c in plain)
 
 
+_CAMEL = re.compile(r"_*[A-Za-z]?[a-z]*(?:_?[A-Z][a-z]+)*_*")
+
+
+def _scrambled(v: str) -> bool:
+    """Whether v changes between small and capital letters often and isn't made of capitalised words."""
+    return len(v) >= 10 and not _CAMEL.fullmatch(v) and len(re.findall(r"[a-z][A-Z]|[A-Z][a-z]", v)) + len(re.findall(r"(?<=[a-z])[A-Z](?=[a-z])", v)) >= 4
+
+
 def _acceptable(rule: str, text: str, whole: tuple[int, int], a: int, b: int) -> bool:
     v = text[a:b]
     if len(v) < 4 or _STAND_IN.fullmatch(v) or _REFERENCE.fullmatch(v) or _DIGEST.fullmatch(v) or "-----BEGIN" in v:
@@ -107,7 +115,7 @@ def _acceptable(rule: str, text: str, whole: tuple[int, int], a: int, b: int) ->
         except (ValueError, binascii.Error):
             return False
     if rule == "bearer":
-        return bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v))
+        return bool(re.search(r"\d", v)) and bool(re.search(r"[A-Za-z]", v)) or _scrambled(v)
     if rule in ("assign_bare", "environment", "remark", "client_option", "password_option", "netrc"):
         after = text[b : b + 1]
         if after and not after.isspace() and after not in ";,\"'`)}]&<":
@@ -117,7 +125,7 @@ def _acceptable(rule: str, text: str, whole: tuple[int, int], a: int, b: int) ->
             return False
         sep = text[whole[0] : a]
         tight = sep[-1] == "=" and not sep[-2:-1].isspace() and sep[-2:] not in (":=", "+=")
-        strong = bool(re.search(r"\d", v)) or bool(re.search(r"[^\w.]", v)) or _encoded(v)
+        strong = bool(re.search(r"\d", v)) or bool(re.search(r"[^\w.]", v)) or _encoded(v) or _scrambled(v)
         if not tight and not strong:
             return False
         if not tight and _PATH_OF_NAMES.fullmatch(v) and "." in v:
@@ -126,7 +134,7 @@ def _acceptable(rule: str, text: str, whole: tuple[int, int], a: int, b: int) ->
             return False
         return len(v) >= 6 and not re.fullmatch(r"[\d.]+", v)
     if rule == "remark":
-        mixed = bool(re.search(r"\d", v)) or bool(re.search(r"[a-z]", v) and re.search(r"[A-Z]", v) and re.search(r"[!#$%&*@^~]", v))
+        mixed = bool(re.search(r"\d", v)) or bool(re.search(r"[a-z]", v) and re.search(r"[A-Z]", v) and re.search(r"[!#$%&*@^~]", v)) or _scrambled(v)
         return mixed and bool(re.search(r"[A-Za-z]", v)) and len(v) >= 8 and not v.startswith(("/", "./", "--"))
     if rule in ("assign_double", "assign_single", "assign_back", "markup_pair"):
         return " " not in v.strip() or bool(re.search(r"\d", v)) and len(v.split()) <= 8
