@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.findings import text
 from lodestrata.functions.versions import dotted_key, version_affected
+from lodestrata.session import bounded_broadcast
 
 VENDOR_FEEDS = ("alpine-secdb", "debian-security", "ubuntu-oval")
 
@@ -28,7 +29,7 @@ def lookup(packages: DataFrame, affected: DataFrame, vulnerabilities: DataFrame,
     found = by_name.unionByName(by_source)
     v = vulnerabilities.select(F.col("id").alias("vulnerability_id"), "vuln_id", "source_id", "severity", "cvss_score")
     s = sources.select(F.col("id").alias("source_id"), "source_name")
-    return found.join(v, "vulnerability_id").join(F.broadcast(s) if s.limit(10_001).count() <= 10_000 else s, "source_id")
+    return found.join(v, "vulnerability_id").join(bounded_broadcast(s), "source_id")
 
 
 def match_confidence(source: Column, distro: Column) -> Column:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestrata.functions import findings as fx
 from lodestrata.functions.text import is_test_path, last_two_steps, normalize_path
@@ -143,30 +142,32 @@ def proximity_dedup(findings: DataFrame, order: list[Column], window: int = 5, p
 
     In the given order a row joins the nearest key line within the window (the smaller offset wins,
     later lines before earlier) or opens its own; the survivor of a key line has the higher
-    confidence, then the analyzer of higher priority, then comes first. The fold is `aggregate` over
-    the lines of a group; runs of rows of one line are folded before.
+    confidence, then the analyzer of higher priority, then comes first.
+
+    Key lines never vanish, so one can open only with the first row of its line. The ordered fold
+    therefore runs over the distinct lines of a file and rule, never over its rows, and a row then
+    picks among the at most two key lines near it that had opened by its turn.
     """
     prio = F.lit(0)
     for k, v in (priority or {}).items():
         prio = F.when(F.col("analyzer") == k, v).otherwise(prio)
-    f = findings.withColumns({"_r": rule_key(F.col("rule_id"), F.col("title")), "_f": last_two_steps(F.col("file_path")), "_c": fx.confidence_order(F.col("confidence")), "_p": prio})
-    ordered = W.partitionBy("_f", "_r").orderBy(*order)
-    # consecutive rows of one line take the same key line, so a run of them is one step of the fold
-    opens = F.coalesce((F.col("line_start") != F.lag("line_start").over(ordered)).cast("int"), F.lit(1))
-    numbered = f.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(ordered.rowsBetween(W.unboundedPreceding, 0)))
-    runs = numbered.where("_opens = 1").groupBy("_f", "_r").agg(F.sort_array(F.collect_list(F.struct("_run", F.col("line_start").alias("line")))).alias("_steps"))
-    step_type = T.StructType([T.StructField("run", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("key", T.IntegerType())])
-
-    def merge(done: Column, step: Column) -> Column:
-        near = F.filter(done, lambda d: (d["key"] == d["line"]) & (F.abs(d["key"] - step["line"]) <= window))
-        offsets = F.array_sort(F.transform(near, lambda d: F.struct(F.abs(d["key"] - step["line"]).alias("o"), (d["key"] < step["line"]).cast("int").alias("back"), d["key"].alias("key"))))
-        key = F.coalesce(F.try_element_at(offsets, F.lit(1))["key"], step["line"]).cast("int")
-        return F.concat(done, F.array(F.struct(step["_run"].alias("run"), step["line"].cast("int").alias("line"), key.alias("key"))))
-
-    keys = runs.select("_f", "_r", F.explode(F.aggregate("_steps", F.array().cast(T.ArrayType(step_type)), merge)).alias("_k")).select("_f", "_r", F.col("_k.run").alias("_run"), F.col("_k.key").alias("_key"))
-    joined = numbered.join(keys, ["_f", "_r", "_run"])
+    f = findings.withColumn("line_start", F.coalesce("line_start", F.lit(0)))  # a missing line counts as 0
+    f = f.withColumns({"_r": rule_key(F.col("rule_id"), F.col("title")), "_f": last_two_steps(F.col("file_path")), "_c": fx.confidence_order(F.col("confidence")), "_p": prio, "_o": F.struct(*order)})
+    firsts = f.groupBy("_f", "_r", "line_start").agg(F.min("_o").alias("first"))
+    steps = firsts.groupBy("_f", "_r").agg(F.sort_array(F.collect_list(F.struct("first", F.col("line_start").alias("line")))).alias("_steps"))
+    kind = steps.schema["_steps"].dataType
+
+    def fold(keys: Column, step: Column) -> Column:
+        return F.when(F.exists(keys, lambda k: F.abs(k["line"] - step["line"]) <= window), keys).otherwise(F.concat(keys, F.array(step)))
+
+    keyed = steps.withColumn("_keys", F.aggregate("_steps", F.array().cast(kind), fold))
+    near = keyed.select("_f", "_r", F.explode(F.transform("_steps", lambda s: F.struct(s["line"].alias("line_start"), F.filter("_keys", lambda k: F.abs(k["line"] - s["line"]) <= window).alias("near")))).alias("_l"))
+    near = near.select("_f", "_r", "_l.line_start", "_l.near")
+    offset = lambda k: F.struct(F.abs(k["line"] - F.col("line_start")).alias("o"), (k["line"] < F.col("line_start")).alias("back"), k["line"].alias("line"))
+    key = F.array_min(F.transform(F.filter("near", lambda k: k["first"] <= F.col("_o")), offset))["line"]
+    joined = f.join(near, ["_f", "_r", "line_start"]).withColumn("_key", key).select("id", "_f", "_r", "_key", "_c", "_p", "_o")
     # the earliest of the best reports stays: later ones must be strictly better
-    best = joined.groupBy("_f", "_r", "_key").agg(F.min(F.struct((-F.col("_c")).alias("c"), (-F.col("_p")).alias("p"), F.struct(*order).alias("o"), F.col("id"))).alias("_b"))
+    best = joined.groupBy("_f", "_r", "_key").agg(F.min(F.struct((-F.col("_c")).alias("c"), (-F.col("_p")).alias("p"), F.col("_o").alias("o"), F.col("id"))).alias("_b"))
     return joined.join(best.select("_f", "_r", "_key", F.col("_b.id").alias("kept_id")), ["_f", "_r", "_key"]).select("id", "kept_id")
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.zones import ZoneTable, zone_table
+from lodestrata.session import bounded_broadcast
 
 MONTHS = {
     name: number
@@ -275,5 +276,5 @@ def normalise_timestamps(rows: DataFrame, feeds: DataFrame, key: str, feed_key:
     tables = {n: t for n in names if (t := zone_table(n)) is not None}
     stacked = rows.select(F.col(key), F.col(feed_key).alias("_feed"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("_v"))
     stacked = stacked.select(key, "_feed", "_v.field_name", "_v.text").where(F.col("text").isNotNull())
-    joined = stacked.join(F.broadcast(dim) if dim.limit(10_001).count() <= 10_000 else dim, "_feed", "left")
+    joined = stacked.join(bounded_broadcast(dim), "_feed", "left")
     return joined.select(key, "field_name", "text", utc_micros(F.col("text"), F.col("_zone"), F.col("_order"), tables).alias("utc_us"))

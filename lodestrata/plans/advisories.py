@@ -10,7 +10,7 @@ from lodestrata.operators import advisories as op
 from lodestrata.operators import findings as fop
 from lodestrata.operators.nested import shred
 from lodestrata.operators.ranking import global_rank
-from lodestrata.session import table
+from lodestrata.session import bounded_broadcast, table
 
 QUERIES: dict = {}
 
@@ -112,7 +112,7 @@ def _(spark, d):
 @query("o131_licence_policy", f"WITH l AS ({_LICENCE}) SELECT v.id, category, category IN ('copyleft','proprietary') AS violation FROM vulnerabilities v JOIN l ON l.id=v.source_id")
 def _(spark, d):
     l = table(spark, d, "vulnerability_sources").select(F.col("id").alias("source_id"), op.licence_category(F.col("license")).alias("category"))
-    return table(spark, d, "vulnerabilities").join(F.broadcast(l), "source_id").select("id", "category", F.col("category").isin("copyleft", "proprietary").alias("violation"))  # l: one row a feed, a fixed dimension
+    return table(spark, d, "vulnerabilities").join(bounded_broadcast(l), "source_id").select("id", "category", F.col("category").isin("copyleft", "proprietary").alias("violation"))
 
 
 @query("o113_licence_enrichment", "SELECT a.id, coalesce(nullif(nullif(trim(s.license),''),'-'),'none') AS license FROM affected_packages a JOIN vulnerabilities v ON v.id=a.vulnerability_id JOIN vulnerability_sources s ON s.id=v.source_id")
@@ -120,7 +120,7 @@ def _(spark, d):
     v = table(spark, d, "vulnerabilities").select(F.col("id").alias("vulnerability_id"), "source_id")
     s = table(spark, d, "vulnerability_sources").select(F.col("id").alias("source_id"), "license")
     clean = F.coalesce(F.nullif(F.nullif(F.trim("license"), F.lit("")), F.lit("-")), F.lit("none"))
-    return table(spark, d, "affected_packages").join(v, "vulnerability_id").join(F.broadcast(s), "source_id").select("id", clean.alias("license"))
+    return table(spark, d, "affected_packages").join(v, "vulnerability_id").join(bounded_broadcast(s), "source_id").select("id", clean.alias("license"))
 
 
 @query("o068_version_order")
@@ -198,7 +198,7 @@ def _(spark, d):
 @query("o138_db_stats", "SELECT s.source_name, count(*) AS n, count(*) FILTER (cvss_score IS NULL) AS unscored FROM vulnerabilities v JOIN vulnerability_sources s ON s.id=v.source_id GROUP BY 1")
 def _(spark, d):
     n = table(spark, d, "vulnerabilities").groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("cvss_score").isNull()).alias("unscored"))
-    return n.join(F.broadcast(table(spark, d, "vulnerability_sources").select(F.col("id").alias("source_id"), "source_name")), "source_id").select("source_name", "n", "unscored")
+    return n.join(bounded_broadcast(table(spark, d, "vulnerability_sources").select(F.col("id").alias("source_id"), "source_name")), "source_id").select("source_name", "n", "unscored")
 
 
 @query("o139_location_merge", "SELECT vulnerability_id, package_name, max(confidence) AS confidence, list_sort(list(DISTINCT coalesce(architecture,''))) AS places FROM affected_packages GROUP BY 1,2")

@@ -95,8 +95,8 @@ def _(spark, d):
 @query("o161_ttl_cache", "SELECT event_type, count(*) AS n FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOURS GROUP BY 1")
 def _(spark, d):
     e = table(spark, d, "events")
-    latest = e.agg(F.max("ts").alias("_now"))
-    return st.live_entries(e.crossJoin(F.broadcast(latest)), F.col("_now"), 24, "ts").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))  # one row beside each: a scalar, not a cross join
+    latest = e.agg(F.max("ts")).first()[0]
+    return st.live_entries(e, F.lit(latest), 24, "ts").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("windowed_events", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1,2")

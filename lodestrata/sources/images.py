@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrata.session import bounded_broadcast
+
 
 def overlay(entries: DataFrame) -> DataFrame:
     """The visible file system of ordered layers: entries (layer_idx, tar_ordinal, path, ...) with is_deleted.
@@ -37,7 +39,7 @@ def layer_blame(packages: DataFrame, layers: DataFrame) -> DataFrame:
     w = W.orderBy("layer_idx").rowsBetween(W.unboundedPreceding, 0)
     base_like = F.col("created_by").rlike(r"(?i)ADD file:|/bin/sh -c #\(nop\)|CMD|ENV PATH")
     marked = layers.withColumn("is_base", F.bool_and(base_like).over(w)).select(F.col("layer_digest"), "layer_idx", "created_by", "is_base")
-    return packages.join(F.broadcast(marked) if marked.limit(10_001).count() <= 10_000 else marked, "layer_digest", "left")
+    return packages.join(bounded_broadcast(marked), "layer_digest", "left")
 
 
 def os_release(content: Column) -> Column:
