@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import checkpoint, scratch
 
 @dataclass(frozen=True)
 class TaintRule:
@@ -143,16 +144,20 @@ def taint_findings(files: DataFrame, rules: tuple[TaintRule, ...] = RULES, max_d
     Backwards from each sink that a parameter reaches, one join over the file's call edges a level;
     seen (function, parameter, sink) triples aren't walked again.
     """
-    hits, calls = sink_hits(files, rules), call_edges(files, rules)
-    out = hits.where("direct").select("path", "function", "line", "rule_id", F.lit("medium").alias("confidence"))
-    frontier = hits.where("not direct").select("path", "function", "param", F.col("line").alias("sink_line"), "rule_id").distinct()
-    seen = frontier
-    for _ in range(max_depth):
-        step = frontier.join(calls.select("path", F.col("callee").alias("function"), F.col("arg").alias("param"), "caller", F.col("param").alias("up"), "tainted"), ["path", "function", "param"])
-        out = out.unionByName(step.where("tainted").select("path", "function", F.col("sink_line").alias("line"), F.concat("rule_id", F.lit("-IP")).alias("rule_id"), F.lit("high").alias("confidence")))
-        frontier = step.where("not tainted").select("path", F.col("caller").alias("function"), F.col("up").alias("param"), "sink_line", "rule_id").distinct().join(seen, ["path", "function", "param", "sink_line", "rule_id"], "left_anti")
-        seen = seen.unionByName(frontier)
-    return out.distinct()
+    with scratch(files.sparkSession) as keep:
+        hits, calls = keep(sink_hits(files, rules)), keep(call_edges(files, rules))
+        out = hits.where("direct").select("path", "function", "line", "rule_id", F.lit("medium").alias("confidence"))
+        frontier = seen = hits.where("not direct").select("path", "function", "param", F.col("line").alias("sink_line"), "rule_id").distinct()
+        for _ in range(max_depth):
+            step = frontier.join(calls.select("path", F.col("callee").alias("function"), F.col("arg").alias("param"), "caller", F.col("param").alias("up"), "tainted"), ["path", "function", "param"])
+            step = keep(step)
+            out = out.unionByName(step.where("tainted").select("path", "function", F.col("sink_line").alias("line"), F.concat("rule_id", F.lit("-IP")).alias("rule_id"), F.lit("high").alias("confidence")))
+            up = step.where("not tainted").select("path", F.col("caller").alias("function"), F.col("up").alias("param"), "sink_line", "rule_id").distinct()
+            frontier = keep(up.join(seen, ["path", "function", "param", "sink_line", "rule_id"], "left_anti"))
+            if frontier.isEmpty():
+                break
+            seen = seen.unionByName(frontier)
+        return checkpoint(out.distinct())
 
 
 def python_nodes(files: DataFrame) -> DataFrame:
@@ -177,3 +182,24 @@ def python_nodes(files: DataFrame) -> DataFrame:
             yield pd.DataFrame([r for p, t in zip(b["path"], b["content"], strict=True) for r in walk(p, t)], columns=["path", "node", "parent", "kind", "name", "line"])
 
     return files.select("path", "content").mapInPandas(run, schema)
+
+
+def backward_reach(edges: DataFrame, sinks: DataFrame, sources: DataFrame, sanitizers: DataFrame, max_depth: int = 50) -> DataFrame:
+    """(sink, source, depth): sources (node) from which a sink (node) is reached over edges (node, next), at the least depth.
+
+    A backward closure over a data-flow edge table, one frontier join a level; sanitizer nodes cut
+    the walk, and a node that a sink has seen isn't walked again, so cycles end.
+    """
+    spark = edges.sparkSession
+    back = edges.select(F.col("next").alias("node"), F.col("node").alias("before")).where("node is not null and before is not null").distinct()
+    clean = sanitizers.select(F.col("node").alias("before")).distinct()
+    with scratch(spark) as keep:
+        seen = keep(sinks.select(F.col("node").alias("sink"), "node", F.lit(0).alias("depth")).where("node is not null").distinct())
+        frontier = seen
+        for depth in range(1, max_depth + 1):
+            step = frontier.select("sink", "node").join(back, "node").join(clean, "before", "left_anti").select("sink", F.col("before").alias("node")).distinct()
+            frontier = keep(step.join(seen.select("sink", "node"), ["sink", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+            if frontier.isEmpty():
+                break
+            seen = seen.unionByName(frontier)
+        return checkpoint(seen.join(sources.select("node").distinct(), "node", "left_semi").select("sink", F.col("node").alias("source"), "depth"))

@@ -71,6 +71,17 @@ def apk_packages(rows: DataFrame, key: str, content: str) -> DataFrame:
     return r.select(key, _value("P").alias("name"), _value("V").alias("version"), _value("A").alias("architecture"), _value("o").alias("source_package")).where("name <> ''")
 
 
+def language_packages(files: DataFrame) -> DataFrame:
+    """(path, ecosystem, name, version) of installed language packages in a table (path, content): node modules, Python metadata, jar properties."""
+    path, text = F.col("path"), F.col("content")
+    field = lambda p: F.trim(F.regexp_extract(text, p, 1))
+    npm, python, jar = path.rlike(r"(^|/)node_modules/(@[^/]+/)?[^/]+/package\.json$"), path.rlike(r"\.(dist-info/METADATA|egg-info/PKG-INFO)$"), path.rlike(r"META-INF/maven/.*/pom\.properties$")
+    name = F.when(npm, F.get_json_object(text, "$.name")).when(python, field(r"(?m)^Name:[ \t]*(.*)$")).when(jar, F.concat_ws(":", field(r"(?m)^groupId=(.*)$"), field(r"(?m)^artifactId=(.*)$")))
+    version = F.when(npm, F.get_json_object(text, "$.version")).when(python, field(r"(?m)^Version:[ \t]*(.*)$")).when(jar, field(r"(?m)^version=(.*)$"))
+    kind = F.when(npm, "npm").when(python, "pypi").when(jar, "maven")
+    return files.select("path", kind.alias("ecosystem"), name.alias("name"), version.alias("version")).where("ecosystem is not null and name <> ''")
+
+
 def catalog(frames: list[DataFrame]) -> DataFrame:
     """Union of package frames; missing columns are null."""
     out = frames[0]

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import basename
+from lodestrata.session import checkpoint, scratch
 
 SCHEMA = "manifest_path string, name string, version string, ecosystem string, is_direct boolean, is_dev boolean, license string"
 Dep = tuple[str, str, bool, bool, str]  # name, version, direct, dev, licence
@@ -308,12 +309,12 @@ def transitive(direct: DataFrame, poms: DataFrame, max_depth: int = 5) -> DataFr
     walked again (which also breaks cycles), and the first version met wins.
     """
     edges = poms.where("coalesce(scope, 'compile') not in ('test', 'provided') and not coalesce(optional, false)").select("name", "version", "dep_name", "dep_version")
-    seen = direct.select("name", "version").dropDuplicates(["name"]).withColumn("depth", F.lit(0))
-    frontier = seen
-    for depth in range(1, max_depth + 1):
-        step = frontier.select("name", "version").join(edges, ["name", "version"]).groupBy(F.col("dep_name").alias("name")).agg(F.min("dep_version").alias("version"))
-        frontier = step.join(seen.select("name"), "name", "left_anti").withColumn("depth", F.lit(depth))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+    with scratch(direct.sparkSession) as keep:
+        seen = frontier = keep(direct.select("name", "version").dropDuplicates(["name"]).withColumn("depth", F.lit(0)))
+        for depth in range(1, max_depth + 1):
+            step = frontier.select("name", "version").join(edges, ["name", "version"]).groupBy(F.col("dep_name").alias("name")).agg(F.min("dep_version").alias("version"))
+            frontier = keep(step.join(seen.select("name"), "name", "left_anti").withColumn("depth", F.lit(depth)))
+            if frontier.isEmpty():
+                break
+            seen = seen.unionByName(frontier)
+        return checkpoint(seen)

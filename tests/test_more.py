@@ -55,3 +55,19 @@ def test_folders(spark, tmp_path):
     assert feeds.inside(str(tmp_path), "r/a").endswith("r/a")
     with pytest.raises(ValueError):
         feeds.inside(str(tmp_path), "../x")
+
+
+def test_backward_reach_cycles_and_cuts(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5), (5, 3), (None, 3), (6, 4)], "node long, next long")
+    n = lambda *x: spark.createDataFrame([(i,) for i in x], "node long")
+    got = taint.backward_reach(e, n(3), n(1, 4, 6), n(5))
+    assert rows(got, "sink", "source", "depth") == [(3, 1, 2)]
+    assert rows(taint.backward_reach(e, n(3), n(1, 4, 6), n(99)), "source", "depth") == [(1, 2), (4, 2), (6, 3)]
+    assert taint.backward_reach(e, n(3).limit(0), n(1), n(5)).count() == 0
+
+
+def test_language_packages(spark):
+    from lodestrata.sources import images
+
+    f = spark.createDataFrame([("a/node_modules/@s/x/package.json", '{"name":"@s/x","version":"1"}'), ("p/y-2.dist-info/METADATA", "Metadata-Version: 2\nName: y\nVersion: 2\n"), ("z.jar/META-INF/maven/g/a/pom.properties", "version=3\ngroupId=g\nartifactId=a\n"), ("a/package.json", '{"name":"top"}')], "path string, content string")
+    assert rows(images.language_packages(f), "ecosystem", "name", "version") == [("maven", "g:a", "3"), ("npm", "@s/x", "1"), ("pypi", "y", "2")]
