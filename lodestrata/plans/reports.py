@@ -123,10 +123,25 @@ def _(spark, d):
     return pattern_scan(l, rules).groupBy("finding_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("o101_taint")
+#: Python sources for the taint operators, by severity: a direct flow, a sanitized one, one through a call.
+_CODE = {
+    "high": "def f():\n    q = request.args['a']\n    eval(q)\n",
+    "medium": "def f():\n    q = literal_eval(input())\n    eval(q)\n",
+    "low": "def g(x):\n    eval(x)\n\ndef f():\n    g(input())\n",
+}
+
+
+def _python_files(spark, d):
+    code = F.lit("x = 1\n")
+    for k, v in _CODE.items():
+        code = F.when(F.col("severity") == k, v).otherwise(code)
+    return table(spark, d, "raw_findings").select(F.concat(F.col("finding_id").cast("string"), F.lit(".py")).alias("path"), code.alias("content"))
+
+
+@query("o101_taint", "SELECT finding_id||'.py' AS path, 3::INTEGER AS line, 'TP-PY-EVAL' AS rule_id, 'medium' AS confidence FROM raw_findings WHERE severity='high' UNION ALL SELECT finding_id||'.py', 2, 'TP-PY-EVAL-IP', 'high' FROM raw_findings WHERE severity='low'")
 def _(spark, d):
-    files = table(spark, d, "raw_findings").where("code is not null and file_path like '%.py'").select(F.concat_ws(":", "file_path", F.col("finding_id").cast("string")).alias("path"), F.col("code").alias("content"))
-    return taint.taint_findings(files)
+    """A file made for each row; O103's hits through a call carry the suffix -IP."""
+    return taint.taint_findings(_python_files(spark, d)).select("path", "line", "rule_id", "confidence")
 
 
 @query("o098_python_nodes")
@@ -135,10 +150,10 @@ def _(spark, d):
     return taint.python_nodes(files).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("o102_call_graph")
+@query("o102_call_graph", "SELECT finding_id||'.py' AS path, 'f' AS caller, 'eval' AS callee FROM raw_findings WHERE severity='high' UNION ALL SELECT finding_id||'.py', c, d FROM raw_findings, (VALUES ('g','eval'),('f','g')) v(c,d) WHERE severity='low' UNION ALL SELECT finding_id||'.py', 'f', 'literal_eval' FROM raw_findings WHERE severity='medium'")
 def _(spark, d):
-    files = table(spark, d, "raw_findings").where("code is not null").select(F.col("finding_id").cast("string").alias("path"), F.col("code").alias("content"))
-    return taint.call_graph(files)
+    """Calls that a source or a parameter reaches."""
+    return taint.call_graph(_python_files(spark, d))
 
 
 @query("o169_fixes", r"WITH l0 AS (SELECT finding_id, string_split_regex(code, '\r?\n') AS parts FROM raw_findings WHERE code IS NOT NULL), l AS (SELECT finding_id, unnest(parts) AS line FROM l0) SELECT finding_id, count(*) AS n FROM l WHERE regexp_matches(line,'retries:\s*\d+') GROUP BY 1")
