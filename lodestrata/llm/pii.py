@@ -163,15 +163,19 @@ def find_pii(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     return documents.select(doc_id, text).where(F.length(F.trim(text)) > 0).mapInPandas(run, f"`{doc_id}` {kind}, pii_kind string, start_pos int, n_chars int")
 
 
-def redacted(model: Crf, text: str | None) -> str | None:
-    """A text with typed placeholders such as [EMAIL]."""
-    if not text:
-        return text
-    out, done = [], 0
-    for _, kind, start, n in all_entities(model, [text]):
-        out += [text[done:start], f"[{kind.upper()}]"]
-        done = start + n
-    return "".join(out) + text[done:]
+def redacted(model: Crf, texts: list[str | None]) -> list[str | None]:
+    """The texts with typed placeholders such as [EMAIL]; null stays null."""
+    spans: dict[int, list[tuple[str, int, int]]] = {}
+    for i, kind, start, n in all_entities(model, [t or "" for t in texts]):
+        spans.setdefault(i, []).append((kind, start, n))
+    out = list(texts)
+    for i, found in spans.items():
+        parts, done = [], 0
+        for kind, start, n in found:
+            parts += [texts[i][done:start], f"[{kind.upper()}]"]
+            done = start + n
+        out[i] = "".join(parts) + texts[i][done:]
+    return out
 
 
 def redact_pii(text: Column, model: Crf | None = None) -> Column:
@@ -181,6 +185,6 @@ def redact_pii(text: Column, model: Crf | None = None) -> Column:
     @F.pandas_udf("string")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: redacted(trained, t), na_action="ignore")
+            yield pd.Series(redacted(trained, [None if t is None else t for t in batch]), dtype=object)
 
     return apply(text)

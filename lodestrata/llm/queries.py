@@ -9,8 +9,8 @@ from lodestrata.llm.components import groups_by_shared_keys
 from lodestrata.llm.identifiers import identifiers
 from lodestrata.llm.leakage import leaked_items
 from lodestrata.llm.packing import pack
-from lodestrata.llm.pii import find_pii
-from lodestrata.llm.secrets import find_secrets
+from lodestrata.llm.pii import find_pii, redact_pii
+from lodestrata.llm.secrets import find_secrets, mask_secrets
 from lodestrata.llm.survivorship import survivors
 from lodestrata.llm.tokens import token_count
 from lodestrata.session import table
@@ -34,6 +34,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "raw_findings"), "finding_id", "code").select("finding_id", "start_pos", "n_chars")
 
 
+def p5_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(finding_id, code): the snippets with their secrets masked."""
+    return table(spark, sf_dir, "raw_findings").select("finding_id", mask_secrets(F.col("code")).alias("code"))
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, piece_no, n_tokens, container_id): every non-blank text, in tokens, in a container of 2,048."""
     docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"[^\s\p{Z}]")).select("doc_id", token_count(F.col("text")).alias("n_tokens"))
@@ -50,4 +55,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"p1_found": (p1_found, None), "p4_found": (p4_found, None), "p5_found": (p5_found, None), "p6_containers": (p6_containers, None), "p7_found": (p7_found, None), "p8_found": (p8_found, None)}
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): the texts with typed placeholders."""
+    return table(spark, sf_dir, "documents").select("doc_id", redact_pii(F.col("text")).alias("text"))
+
+
+#: None has SQL: clean-up of spellings, closures, grammars, tokenizers and models are tested against brute force, round trips and held-out rows.
+QUERIES = {f.__name__: (f, None) for f in (p1_found, p4_found, p5_found, p5_masked, p6_containers, p7_found, p8_found, p8_redacted)}

@@ -262,25 +262,33 @@ def find_secrets(rows: DataFrame, key: str, code: str) -> DataFrame:
     return rows.select(key, code).where(F.col(code).isNotNull() & (F.col(code) != "")).mapInPandas(run, f"`{key}` {kind}, start_pos int, n_chars int, rule string")
 
 
-def mask(text: str | None, machine: Automaton | None = None, placeholder: str = "REDACTED") -> str | None:
-    """A text whose secrets are replaced by the placeholder; everything around them stays."""
-    if not text:
-        return text
-    out, done = [], 0
-    for _, a, n, _ in sorted(scan(machine or automaton(), [text])):
-        if a >= done:
-            out += [text[done:a], placeholder]
+def masked(machine: Automaton, texts: list[str | None], placeholder: str = "REDACTED") -> list[str | None]:
+    """The texts with their secrets replaced by the placeholder; everything around them stays and null stays null."""
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for i, a, n, _ in scan(machine, [t or "" for t in texts]):
+        spans.setdefault(i, []).append((a, n))
+    out = list(texts)
+    for i, found in spans.items():
+        parts, done = [], 0
+        for a, n in sorted(found):
+            parts += [texts[i][done:a], placeholder]
             done = a + n
-    return "".join(out) + text[done:]
+        out[i] = "".join(parts) + texts[i][done:]
+    return out
+
+
+def mask(text: str | None, machine: Automaton | None = None, placeholder: str = "REDACTED") -> str | None:
+    """`masked` for one text."""
+    return masked(machine or automaton(), [text], placeholder)[0]
 
 
 def mask_secrets(code: Column, placeholder: str = "REDACTED") -> Column:
-    """`mask` as a Column; null stays null."""
+    """`masked` as a Column; null stays null."""
     machine = automaton()
 
     @F.pandas_udf("string")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: mask(t, machine, placeholder), na_action="ignore")
+            yield pd.Series(masked(machine, [None if t is None else t for t in batch], placeholder), dtype=object)
 
     return apply(code)
