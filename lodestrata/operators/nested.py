@@ -4,7 +4,7 @@ Every node of a record gets the list of its ordinals from the root (its Dewey la
 label is the label without its last ordinal, and nodes that share a schema path form one table.
 Labels need nothing but the record itself, so the operator runs without any shuffle.
 
-Defined results: null bodies, bodies that are no valid JSON (NaN, Infinity and nesting beyond the
+Defined results: rows without a key, null bodies, bodies that are no valid JSON (NaN, Infinity and nesting beyond the
 parser's depth included) and records without the wanted keys give no rows. Keys match in any letter case; of keys that differ in case
 alone the last non-null one counts. Where the schema has a list, a bare value stands for a list of
 one and a text that holds a JSON list or object stands for that. Nulls keep their ordinals but give
@@ -142,7 +142,7 @@ def shred(rows: DataFrame, key: str, body: str, leaves: tuple[str, ...] = ADVISO
             yield pd.DataFrame(out, columns=[key, "path", "dewey", "text"])
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(key, body).where(F.col(body).isNotNull()).mapInPandas(run, f"`{key}` {kind}, path string, dewey array<int>, text string")
+    return rows.select(key, body).where(F.col(key).isNotNull() & F.col(body).isNotNull()).mapInPandas(run, f"`{key}` {kind}, path string, dewey array<int>, text string")
 
 
 def parent_label(dewey: Column) -> Column:

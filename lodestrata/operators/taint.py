@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,6 +29,12 @@ RULES = (
     TaintRule("TP-PY-CMD", (("os.system", -1), ("subprocess.run", 0), ("popen", 0)), ("request.args", "request.form", "input", "sys.argv"), ("shlex.quote",)),
     TaintRule("TP-PY-EVAL", (("eval", 0), ("exec", 0)), ("request.args", "request.form", "input"), ("literal_eval",)),
 )
+def extended(rules: tuple[TaintRule, ...], rule_id: str | None = None, sources: tuple[str, ...] = (), sinks: tuple[tuple[str, int], ...] = (), sanitizers: tuple[str, ...] = ()) -> tuple[TaintRule, ...]:
+    """The rules with further sources, sinks and sanitizers, of one rule or of all; what is there already isn't added again."""
+    add = lambda old, new: (*old, *(x for x in dict.fromkeys(new) if x not in old))
+    return tuple(replace(r, sources=add(r.sources, sources), sinks=add(r.sinks, sinks), sanitizers=add(r.sanitizers, sanitizers)) if rule_id in (None, r.rule_id) else r for r in rules)
+
+
 SCHEMA = "path string, function string, line int, rule_id string, sink string, direct boolean, param int"
 CALLS = "path string, caller string, callee string, line int, arg int, param int, tainted boolean"
 

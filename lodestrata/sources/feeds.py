@@ -40,6 +40,15 @@ def nvd(rows: DataFrame, body: str = "body") -> DataFrame:
     return e.where((part != "h") & ~product.isin("", "*", "-")).select(F.col("id").alias("vuln_id"), "cvss_score", vendor.alias("vendor"), product.alias("package_name"), F.col("m.versionStartIncluding").alias("introduced_version"), F.col("m.versionEndExcluding").alias("fixed_version"))
 
 
+def ubuntu(rows: DataFrame, body: str = "body") -> DataFrame:
+    """Fixes of an OVAL document: vulnerability definitions, the id from the title, distinct (package, version) from the criteria's comments, at any depth. All packages of an id stay."""
+    definitions = F.explode(F.regexp_extract_all(body, F.lit(r'(?s)<definition\b[^>]*class="vulnerability".*?</definition>'), F.lit(0)))
+    d = rows.select(definitions.alias("d")).select(F.regexp_extract("d", r"<title>[^<]*?(CVE-[0-9]{4}-[0-9]+)", 1).alias("vuln_id"), F.explode(F.array_distinct(F.regexp_extract_all("d", F.lit(r'<criterion\b[^>]*comment="([^"]*)"'), F.lit(1)))).alias("comment"))
+    package = F.regexp_extract("comment", r"^(?:\(.*?\)\s*)?([a-z0-9][a-z0-9+.-]*)\s+(?:package in|was|source package)", 1)
+    version = F.regexp_extract("comment", r"(?:note:\s*'?|fixed\)?\s*\(?(?:note:\s*)?'?|version\s+'?)([0-9][^'\s)]*)", 1)
+    return d.where("vuln_id <> ''").select("vuln_id", package.alias("package_name"), version.alias("fixed_version")).where("package_name <> '' and fixed_version <> ''").distinct()
+
+
 def write_mirror(affected: DataFrame, folder: str) -> None:
     """The local mirror: partitioned by ecosystem and sorted by package, so a lookup prunes partitions and row groups."""
     affected.repartition("ecosystem").sortWithinPartitions("package_name").write.mode("overwrite").partitionBy("ecosystem").parquet(folder)

@@ -71,3 +71,20 @@ def test_language_packages(spark):
 
     f = spark.createDataFrame([("a/node_modules/@s/x/package.json", '{"name":"@s/x","version":"1"}'), ("p/y-2.dist-info/METADATA", "Metadata-Version: 2\nName: y\nVersion: 2\n"), ("z.jar/META-INF/maven/g/a/pom.properties", "version=3\ngroupId=g\nartifactId=a\n"), ("a/package.json", '{"name":"top"}')], "path string, content string")
     assert rows(images.language_packages(f), "ecosystem", "name", "version") == [("maven", "g:a", "3"), ("npm", "@s/x", "1"), ("pypi", "y", "2")]
+
+
+def test_extended_taint_rules(spark):
+    more = taint.extended(taint.RULES, "TP-PY-EVAL", sources=("environ",), sanitizers=("clean",))
+    assert more[0] == taint.RULES[0] and more[2].sources[-1] == "environ" and taint.extended(more, "TP-PY-EVAL", sources=("environ",)) == more
+    df = spark.createDataFrame([("a.py", "def f():\n    q = environ['x']\n    eval(q)\n    q = clean(q)\n    eval(q)\n")], "path string, content string")
+    assert rows(taint.taint_findings(df, more), "line") == [(3,)] and taint.taint_findings(df).count() == 0
+
+
+def test_ubuntu_feed(spark):
+    from lodestrata.sources import feeds
+
+    xml = """<oval><definition id="1" class="vulnerability"><metadata><title>CVE-2020-1 on Ubuntu - low.</title></metadata>
+    <criteria><criterion comment="(jammy) p1 package in jammy was vulnerable but has been fixed (note: '1.2-1')."/><criteria><criterion comment="p2 package in jammy is related; fixed (note: '3')"/><criterion comment="p1 package in jammy was vulnerable but has been fixed (note: '1.2-1')."/></criteria></criteria></definition>
+    <definition id="2" class="inventory"><title>CVE-2020-2</title><criterion comment="p9 package in jammy fixed (note: '9')"/></definition></oval>"""
+    df = spark.createDataFrame([(xml,)], "body string")
+    assert rows(feeds.ubuntu(df), "vuln_id", "package_name", "fixed_version") == [("CVE-2020-1", "p1", "1.2-1"), ("CVE-2020-1", "p2", "3")]

@@ -35,3 +35,8 @@ def test_labels_truncate_to_parents(spark):
     got = shred(df, "record_id", "body").select("dewey", parent_label(F.col("dewey")).alias("p")).collect()
     assert len(got) == 2 and all(r.p == r.dewey[:-1] for r in got) and len({tuple(r.p) for r in got}) == 1
     assert shred(df.limit(0), "record_id", "body").count() == 0
+
+
+def test_missing_keys(spark):
+    df = spark.createDataFrame([(None, '{"affected": [{"versions": ["1"]}]}'), (2**60 + 1, '{"affected": [{"versions": ["1"]}]}')], "record_id long, body string")
+    assert [r.record_id for r in shred(df, "record_id", "body").collect()] == [2**60 + 1]
