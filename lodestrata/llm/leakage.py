@@ -10,7 +10,7 @@ chain spans at least ``share`` of the item's words (and ``least_words``) with fe
 Words are runs of letters and digits in lower case; punctuation, spacing, line breaks, markup and
 invisible characters don't count. Sentences that many items share are no part of an item.
 
-Defined results: null and blank texts and items give nothing; items shorter than ``least_words``
+Defined results: null and blank texts and items and rows without an id give nothing; items shorter than ``least_words``
 can't leak; a repeated document or item counts for itself; empty tables give an empty result.
 Whole texts are read. The items are a stated query set: they are gathered in blocks of
 ``block_items`` items and each block is searched in all rows.
@@ -273,7 +273,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
                 out = [(ids[a + i], item) for a, b in chunks(texts) for i, item in search.leaks(texts[a:b])]
                 yield pd.DataFrame(out, columns=[doc_id, item_id]).drop_duplicates()
 
-        return documents.select(doc_id, text).where(F.col(text).isNotNull()).mapInPandas(run, schema)
+        return documents.select(doc_id, text).where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).mapInPandas(run, schema)
 
     found, ids, passages = [], [], []
     for row in items.select(item_id, passage).where(F.col(passage).isNotNull() & F.col(item_id).isNotNull()).toLocalIterator():

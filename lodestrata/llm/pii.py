@@ -5,7 +5,7 @@ driver from a small labelled table (``pii_examples``, of fixed size) and decoded
 batches. An exact check settles the ends of each decoded span and drops what its kind can't be; it
 finds nothing by itself.
 
-Defined results: null, empty and blank texts give nothing; repeated rows give their spans again
+Defined results: null, empty and blank texts and rows without an id give nothing; repeated rows give their spans again
 (`find_pii` keeps rows distinct by id); positions count characters from 0 and never overlap; whole
 texts of any length are read; an empty table gives an empty result; extra columns don't matter.
 """
@@ -160,7 +160,7 @@ def find_pii(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", m
             rows = [(ids[i], k, s, n) for i, k, s, n in all_entities(shared.value, texts)]
             yield pd.DataFrame(rows, columns=[doc_id, "pii_kind", "start_pos", "n_chars"])
 
-    return documents.select(doc_id, text).where(F.length(F.trim(text)) > 0).mapInPandas(run, f"`{doc_id}` {kind}, pii_kind string, start_pos int, n_chars int")
+    return documents.select(doc_id, text).where(F.col(doc_id).isNotNull() & (F.length(F.trim(text)) > 0)).mapInPandas(run, f"`{doc_id}` {kind}, pii_kind string, start_pos int, n_chars int")
 
 
 def redacted(model: Crf, texts: list[str | None]) -> list[str | None]:

@@ -6,7 +6,7 @@ split by the grammar of its rule into context and value, the absolute spans of t
 deduplicated, and `mask` splices placeholders over them. An exact check then drops stand-ins,
 references to values that are held elsewhere and values too plain to be a secret.
 
-Defined results: null and empty codes give nothing; repeated rows give their spans again; positions
+Defined results: null and empty codes and rows without a key give nothing; repeated rows give their spans again; positions
 count characters from 0; of overlapping spans the one of the stronger rule stays (key armour, links,
 assignments, token formats); an opening armour line without its closing line gives nothing; texts of
 any length are read whole; an empty table gives an empty result; extra columns don't matter.
@@ -259,7 +259,7 @@ def find_secrets(rows: DataFrame, key: str, code: str) -> DataFrame:
                 out = [(ids[first + i], a, n, rule) for i, a, n, rule in scan(machine.value, part)]
                 yield pd.DataFrame(out, columns=[key, "start_pos", "n_chars", "rule"])
 
-    return rows.select(key, code).where(F.col(code).isNotNull() & (F.col(code) != "")).mapInPandas(run, f"`{key}` {kind}, start_pos int, n_chars int, rule string")
+    return rows.select(key, code).where(F.col(key).isNotNull() & F.col(code).isNotNull() & (F.col(code) != "")).mapInPandas(run, f"`{key}` {kind}, start_pos int, n_chars int, rule string")
 
 
 def masked(machine: Automaton, texts: list[str | None], placeholder: str = "REDACTED") -> list[str | None]:

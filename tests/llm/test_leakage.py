@@ -62,7 +62,7 @@ def test_word_stream():
 
 def test_frame(spark):
     _, items = setup()
-    docs = spark.createDataFrame([(1, items[0], "x"), (2, items[0], "x"), (3, None, "x"), (4, "  ", "x"), (5, "y" * 300_000 + " " + items[4], "x")], "doc_id long, text string, passage string")
+    docs = spark.createDataFrame([(1, items[0], "x"), (2, items[0], "x"), (3, None, "x"), (None, items[0], "x"), (4, "  ", "x"), (5, "y" * 300_000 + " " + items[4], "x")], "doc_id long, text string, passage string")
     ev = spark.createDataFrame([(n, p, "t") for n, p in enumerate(items)] + [(98, None, "t"), (99, "too short", "t")], "item_id long, passage string, text string")
     assert rows(k.leaked_items(docs, ev), "doc_id", "item_id") == [(1, 0), (2, 0), (5, 4)]
     assert rows(k.leaked_items(docs, ev, block_items=5), "doc_id", "item_id") == [(1, 0), (2, 0), (5, 4)]

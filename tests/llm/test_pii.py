@@ -90,7 +90,7 @@ def test_frame_and_redaction(spark, model):
     from pyspark.sql import functions as F
 
     text = "Reported by Henrik Brasketti."
-    df = spark.createDataFrame([(1, text, 0), (1, text, 0), (2, None, 0), (3, "", 0), (4, "x " * 200_000 + text, 0)], "doc_id long, text string, start_pos int")
+    df = spark.createDataFrame([(1, text, 0), (1, text, 0), (None, text, 0), (2, None, 0), (3, "", 0), (4, "x " * 200_000 + text, 0)], "doc_id long, text string, start_pos int")
     assert rows(pii.find_pii(df), "doc_id", "pii_kind", "start_pos", "n_chars") == [(1, "name", 12, 16), (1, "name", 12, 16), (4, "name", 400_012, 16)]
     assert pii.find_pii(df.limit(0)).count() == 0
     assert [r.t for r in df.where("doc_id < 4").select(pii.redact_pii(F.col("text")).alias("t")).collect()] == ["Reported by [NAME].", "Reported by [NAME].", None, ""]
