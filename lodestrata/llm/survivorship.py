@@ -25,8 +25,8 @@ def filled(value: Column) -> Column:
 
 
 def repository_path(path: Column) -> Column:
-    """The path from the repository directory on (its name ends in seven digits), with forward slashes and without empty, ``.`` and ``..`` steps; null if there is none."""
-    slashes = F.regexp_replace(F.regexp_replace(F.trim(path), r"\\", "/"), r"/(?:\.?/)+", "/")
+    """The path from the repository directory on (its name ends in seven digits), in lower case, with forward slashes and without empty, ``.`` and ``..`` steps; null if there is none."""
+    slashes = F.regexp_replace(F.regexp_replace(F.lower(F.trim(path)), r"\\", "/"), r"/(?:\.?/)+", "/")
     folded = slashes
     for _ in range(4):
         folded = F.when(folded.contains("/../"), F.regexp_replace(folded, r"[^/]+/\.\./", "")).otherwise(folded)
