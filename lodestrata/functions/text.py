@@ -148,15 +148,29 @@ def is_example_file(path: Column) -> Column:
     return (base.startswith(".env.") & base.contains("example")) | base.rlike(r"\.(example|sample|template|dist)$")
 
 
-#: Packages that are imported under other names (fixed values).
+#: Packages that are imported under other names (fixed values); reachability leaves out the second table.
 IMPORT_NAMES = {
-    "pyyaml": ("yaml",), "pillow": ("PIL",), "beautifulsoup4": ("bs4",), "scikit-learn": ("sklearn",), "python-dateutil": ("dateutil",), "opencv-python": ("cv2",), "protobuf": ("google",), "pyjwt": ("jwt",),
-    "python-dotenv": ("dotenv",), "attrs": ("attr",), "msgpack-python": ("msgpack",), "mysqlclient": ("MySQLdb",),
+    "pyyaml": ("yaml",), "pillow": ("PIL",), "beautifulsoup4": ("bs4",), "scikit-learn": ("sklearn",), "python-dateutil": ("dateutil",), "opencv-python": ("cv2",), "pyjwt": ("jwt",),
+    "python-dotenv": ("dotenv",), "psycopg2-binary": ("psycopg2",), "python-jose": ("jose",),
 }
+MORE_IMPORT_NAMES = {"protobuf": ("google",), "attrs": ("attr",), "msgpack-python": ("msgpack",), "mysqlclient": ("MySQLdb",)}
+#: Packages with these prefixes are imported under a common name (fixed values).
+IMPORT_PREFIXES = {"google-cloud-": ("google", "google.cloud"), "azure-": ("azure",)}
+
+
+def _other_names(low: Column, names: dict[str, tuple[str, ...]]) -> list[Column]:
+    none = F.array().cast("array<string>")
+    known = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))])
+    return [*[F.when(low.startswith(k), F.array(*[F.lit(n) for n in v])).otherwise(none) for k, v in IMPORT_PREFIXES.items()], F.coalesce(F.try_element_at(known, low), none)]
+
+
+def import_names(package: Column) -> Column:
+    """Names under which reachability looks for a package: itself, lower case, the common name of its prefix, and known other names."""
+    low = F.lower(F.trim(package))
+    return F.array_distinct(F.concat(F.array(package, low), *_other_names(low, IMPORT_NAMES)))
 
 
 def import_candidates(package: Column) -> Column:
-    """Names under which a package may be imported: itself, lower case, with underscores, and known other names."""
-    low = F.lower(package)
-    known = F.create_map(*[x for k, v in IMPORT_NAMES.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))])
-    return F.array_distinct(F.concat(F.array(package, low, F.regexp_replace(low, "-", "_")), F.coalesce(F.try_element_at(known, low), F.array().cast("array<string>"))))
+    """Names under which a package may be imported: those of import_names, with underscores, and some more known names."""
+    low = F.lower(F.trim(package))
+    return F.array_distinct(F.concat(F.array(package, low, F.regexp_replace(low, "-", "_")), *_other_names(low, IMPORT_NAMES | MORE_IMPORT_NAMES)))

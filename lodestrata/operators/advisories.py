@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions.findings import text
+from lodestrata.functions.text import import_names
 from lodestrata.functions.versions import dotted_key, version_affected
 from lodestrata.session import bounded_broadcast
 
@@ -72,10 +73,11 @@ def severity_of(score: Column, label: Column) -> Column:
     return F.when(score >= 9, "critical").when(score >= 7, "high").when(score >= 4, "medium").when(score > 0, "low").otherwise(named)
 
 
-def reachability(findings: DataFrame, imports: DataFrame, name: str = "package_name") -> DataFrame:
-    """Adds reach_tier: 1 imported by this name, 2 in another letter case, 3 by a path below or above it, 4 by its name without scope, 5 not at all.
+def reachability(findings: DataFrame, imports: DataFrame, name: str = "package_name", dependencies: DataFrame | None = None) -> DataFrame:
+    """Adds reach_tier: 1 imported by this name, 2 in another letter case or under another known name, 3 by a path below or above it, 4 by its name without scope, 6 not imported but a direct one of dependencies (name, is_direct), 5 none of these.
 
-    The path tier joins on exploded path prefixes, so every tier is an equality join.
+    The tiers are tried in this order, 6 before 5. The path tier joins on exploded path prefixes and
+    the second on exploded names, so every tier is an equality join.
     """
     i = imports.select(F.col("package").alias("_i")).where("_i is not null").distinct()
 
@@ -85,12 +87,15 @@ def reachability(findings: DataFrame, imports: DataFrame, name: str = "package_n
 
     f = findings.select(F.col(name).alias("_n")).where("_n is not null").distinct()
     exact = f.join(i, f["_n"] == i["_i"], "left_semi").select("_n", F.lit(1).alias("t"))
-    lower = f.withColumn("_l", F.lower("_n")).join(i.select(F.lower("_i").alias("_l")).distinct(), "_l", "left_semi").select("_n", F.lit(2).alias("t"))
+    other = f.select("_n", F.explode(import_names(F.col("_n"))).alias("_l")).withColumn("_l", F.lower("_l")).join(i.select(F.lower("_i").alias("_l")).distinct(), "_l", "left_semi").select("_n", F.lit(2).alias("t"))
     below = f.select("_n", F.explode(prefixes(F.col("_n"))).alias("_i")).join(i, "_i", "left_semi").select("_n", F.lit(3).alias("t"))
     above = f.join(i.select(F.explode(prefixes(F.col("_i"))).alias("_n")).distinct(), "_n", "left_semi").select("_n", F.lit(3).alias("t"))
     bare = lambda c: F.element_at(F.split(c, "/"), -1)
     scoped = f.withColumn("_b", bare(F.col("_n"))).join(i.select(bare(F.col("_i")).alias("_b")).distinct(), "_b", "left_semi").select("_n", F.lit(4).alias("t"))
-    tiers = exact.union(lower).union(below).union(above).union(scoped).groupBy("_n").agg(F.min("t").alias("_t"))
+    found = exact.union(other).union(below).union(above).union(scoped)
+    if dependencies is not None:
+        found = found.union(f.join(dependencies.where("is_direct").select(F.col("name").alias("_n")).distinct(), "_n", "left_semi").select("_n", F.lit(6).alias("t")))
+    tiers = found.groupBy("_n").agg(F.min("t").alias("_t"))
     return findings.join(tiers, findings[name] == tiers["_n"], "left").withColumn("reach_tier", F.coalesce("_t", F.lit(5))).drop("_n", "_t")
 
 

@@ -177,6 +177,22 @@ def _(spark, d):
     return op.reachability(a, a.where("confidence = 100").select(F.col("package_name").alias("package"))).groupBy("reach_tier").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Packages that are imported under other names, by id % 40, with the name they are imported by (fixed values).
+_RENAMED = (("PyYAML", "yaml"), ("Pillow", "pil"), ("scikit-learn", "sklearn"), ("google-cloud-storage", "google"), ("azure-core", "azure"), ("psycopg2-binary", "psycopg2"), ("python-jose", "never"))
+_RENAMED_SQL = ", ".join(f"({k},'{n}','{i}')" for k, (n, i) in enumerate(_RENAMED))
+
+
+@query("o112_reachability_cascade", f"WITH r(k, name, package) AS (VALUES {_RENAMED_SQL}), aliases(low, package) AS (VALUES ('pyyaml','yaml'), ('pillow','pil'), ('beautifulsoup4','bs4'), ('scikit-learn','sklearn'), ('python-dateutil','dateutil'), ('opencv-python','cv2'), ('pyjwt','jwt'), ('python-dotenv','dotenv'), ('psycopg2-binary','psycopg2'), ('python-jose','jose')), f AS (SELECT coalesce(r.name, a.package_name) AS name, coalesce(r.package, a.package_name) AS package, confidence=100 AS imported, a.id%3=0 AS is_direct FROM affected_packages a LEFT JOIN r ON r.k=a.id%40 WHERE package_name IS NOT NULL), imp AS (SELECT DISTINCT package FROM f WHERE imported), n AS (SELECT DISTINCT name, lower(trim(name)) AS low FROM f), t AS (SELECT name, CASE WHEN name IN (SELECT package FROM imp) THEN 1 WHEN low IN (SELECT lower(package) FROM imp) OR low IN (SELECT low FROM aliases JOIN imp ON lower(imp.package)=aliases.package) OR starts_with(low,'google-cloud-') AND EXISTS (SELECT 1 FROM imp WHERE lower(package) IN ('google','google.cloud')) OR starts_with(low,'azure-') AND EXISTS (SELECT 1 FROM imp WHERE lower(package)='azure') THEN 2 WHEN EXISTS (SELECT 1 FROM imp WHERE starts_with(name, package||'/') OR starts_with(package, name||'/')) THEN 3 WHEN string_split(name,'/')[-1] IN (SELECT string_split(package,'/')[-1] FROM imp) THEN 4 WHEN name IN (SELECT name FROM f WHERE is_direct) THEN 6 ELSE 5 END AS reach_tier FROM n) SELECT name, reach_tier FROM t")
+def _(spark, d):
+    """The whole cascade: some packages are imported under other names, and every third row is a direct dependency."""
+    a, k = table(spark, d, "affected_packages").where("package_name is not null"), F.col("id") % 40
+    name = package = F.col("package_name")
+    for i, (n, p) in enumerate(_RENAMED):
+        name, package = F.when(k == i, n).otherwise(name), F.when(k == i, p).otherwise(package)
+    f = a.select(name.alias("name"), package.alias("package"), (F.col("confidence") == 100).alias("imported"), (F.col("id") % 3 == 0).alias("is_direct"))
+    return op.reachability(f.select("name").distinct(), f.where("imported").select("package"), "name", f.select("name", "is_direct")).select("name", "reach_tier")
+
+
 @query("o128_package_groups", f"WITH s AS (SELECT a.ecosystem, a.package_name, v.vuln_id, a.id, CASE {_SEVERITY} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS r, a.fixed_version FROM affected_packages a JOIN vulnerabilities v ON v.id=a.vulnerability_id) SELECT ecosystem, package_name, max(r) AS worst, count(DISTINCT vuln_id) AS advisories, arg_min(vuln_id, id) AS first_advisory, CASE WHEN count(DISTINCT coalesce(fixed_version,''))=1 THEN min(coalesce(fixed_version,'')) ELSE '' END AS fixed FROM s GROUP BY 1,2")
 def _(spark, d):
     v = table(spark, d, "vulnerabilities").select(F.col("id").alias("vulnerability_id"), "vuln_id", fx.severity_rank(op.severity_of(F.col("cvss_score"), F.col("severity"))).alias("r"))

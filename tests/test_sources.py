@@ -123,3 +123,12 @@ def test_advisory_expressions(spark):
     f = spark.createDataFrame([(x,) for x in ("a/b", "A/b", "a/b/c", "q", "z/b", None)], "package_name string")
     got = reachability(f, spark.createDataFrame([("a/b",)], "package string"))
     assert rows(got, "package_name", "reach_tier") == sorted([("a/b", 1), ("A/b", 2), ("a/b/c", 3), ("z/b", 4), ("q", 5), (None, 5)], key=repr)
+
+
+def test_reachability_by_other_names_and_dependencies(spark):
+    f = spark.createDataFrame([(x,) for x in ("PyYAML", "pillow", "scikit-learn", "google-cloud-storage", "azure-core", "psycopg2-binary", "python-jose", "direct", "indirect", "my-pkg", "yaml")], "package_name string")
+    imports = spark.createDataFrame([(x,) for x in ("yaml", "PIL", "sklearn", "google", "azure", "psycopg2", "jose", "my_pkg")], "package string")
+    deps = spark.createDataFrame([("direct", True), ("indirect", False), ("pillow", True), ("direct", True)], "name string, is_direct boolean")
+    got = {r.package_name: r.reach_tier for r in reachability(f, imports, dependencies=deps).collect()}
+    assert got == dict.fromkeys(("PyYAML", "pillow", "scikit-learn", "google-cloud-storage", "azure-core", "psycopg2-binary", "python-jose"), 2) | {"direct": 6, "indirect": 5, "my-pkg": 5, "yaml": 1}
+    assert reachability(f, imports).where("reach_tier = 5").count() == 3
