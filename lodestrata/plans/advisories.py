@@ -11,6 +11,7 @@ from lodestrata.operators import findings as fop
 from lodestrata.operators.nested import shred
 from lodestrata.operators.ranking import global_rank
 from lodestrata.session import bounded_broadcast, table
+from lodestrata.sinks import reports
 
 QUERIES: dict = {}
 
@@ -276,6 +277,24 @@ def _(spark, d):
     return global_rank(g, [F.desc("n"), F.desc("worst"), F.col("package_name")]).select("package_name", "place")
 
 
+def _tree(spark, d):
+    return table(spark, d, "affected_packages").where("package_name is not null").select(F.lower(F.split("ecosystem", ":")[0]).alias("ecosystem"), "package_name")
+
+
+_EDGES = "t AS (SELECT DISTINCT lower(split_part(ecosystem,':',1)) AS ecosystem, package_name FROM affected_packages WHERE package_name IS NOT NULL), e AS (SELECT DISTINCT 1::INTEGER AS depth, 'root' AS parent, ecosystem AS child FROM t UNION ALL SELECT 2, ecosystem, package_name FROM t)"
+
+
 @query("o039_dependency_tree", "SELECT lower(split_part(ecosystem,':',1)) AS ecosystem, count(DISTINCT package_name) AS packages, min(package_name) AS first_package FROM affected_packages WHERE package_name IS NOT NULL GROUP BY 1")
 def _(spark, d):
-    return table(spark, d, "affected_packages").where("package_name is not null").groupBy(F.lower(F.split("ecosystem", ":")[0]).alias("ecosystem")).agg(F.countDistinct("package_name").alias("packages"), F.min("package_name").alias("first_package"))
+    edges = reports.dependency_edges(_tree(spark, d)).where("depth = 2")
+    return edges.groupBy(F.col("parent").alias("ecosystem")).agg(F.count("child").alias("packages"), F.min("child").alias("first_package"))
+
+
+@query("o039_dependency_edges", f"WITH {_EDGES} SELECT depth, parent, child FROM e")
+def _(spark, d):
+    return reports.dependency_edges(_tree(spark, d))
+
+
+@query("o039_dependency_dot", f"WITH {_EDGES}, q AS (SELECT row_number() OVER (ORDER BY depth, parent NULLS FIRST, child NULLS FIRST)-1 AS k, '  \"'||replace(replace(coalesce(parent,''),'\\','\\\\'),'\"','\\\"')||'\" -> \"'||replace(replace(coalesce(child,''),'\\','\\\\'),'\"','\\\"')||'\";'||chr(10) AS line FROM e) SELECT k//5000 AS document_no, 'digraph deps {{'||chr(10)||string_agg(line,'' ORDER BY k)||'}}'||chr(10) AS document FROM q GROUP BY 1")
+def _(spark, d):
+    return reports.dependency_dot_documents(_tree(spark, d))

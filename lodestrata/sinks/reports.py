@@ -41,11 +41,11 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.select("id", rule.alias("rule"), F.to_json(result).alias("result"))
 
 
-def documents(rows: DataFrame, item: str, order: list[Column], envelope: tuple[str, str], per_document: int = 5000) -> DataFrame:
-    """(document_no, document): JSON items of a column joined in order between the two halves of an envelope, at most per_document a document."""
+def documents(rows: DataFrame, item: str, order: list[Column], envelope: tuple[str, str], per_document: int = 5000, separator: str = ",") -> DataFrame:
+    """(document_no, document): items of a column joined in order between the two halves of an envelope, at most per_document a document."""
     placed = global_rank(rows.select(item, *[o.alias(f"_o{i}") for i, o in enumerate(order)]), [F.col(f"_o{i}") for i in range(len(order))])
     chunk = placed.withColumn("document_no", F.floor((F.col("place") - 1) / per_document))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", item))), lambda x: x[item]), ",")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", item))), lambda x: x[item]), separator)
     return chunk.groupBy("document_no").agg(F.concat(F.lit(envelope[0]), joined, F.lit(envelope[1])).alias("document"))
 
 
@@ -108,14 +108,28 @@ def markdown_summary(findings: DataFrame) -> str:
     return "| severity | findings |\n|-|-|\n" + "".join(f"| {s or '-'} | {n[s]} |\n" for s in sorted(n, key=lambda s: (-fx.SEVERITY_ORDER.get(s or "", 0), s or "")))
 
 
-def dependency_dot(tree: DataFrame, max_edges: int = 5000) -> str:
-    """A DOT graph root -> ecosystem -> package of a table (ecosystem, package_name); more than max_edges is an error, as no drawing could show it."""
-    edges = tree.select("ecosystem", "package_name").distinct().orderBy("ecosystem", "package_name").limit(max_edges + 1).collect()
-    if len(edges) > max_edges:
-        raise ValueError(f"more than {max_edges} edges")
-    esc = lambda s: (s or "").replace('"', '\\"')
-    tops = "".join(f'  "root" -> "{esc(e)}";\n' for e in sorted({r.ecosystem or "" for r in edges}))
-    return "digraph deps {\n" + tops + "".join(f'  "{esc(r.ecosystem)}" -> "{esc(r.package_name)}";\n' for r in edges) + "}\n"
+def dependency_edges(tree: DataFrame) -> DataFrame:
+    """(depth, parent, child): the distinct edges root -> ecosystem (depth 1) and ecosystem -> package (2) of a table (ecosystem, package_name)."""
+    top = tree.select(F.lit(1).alias("depth"), F.lit("root").alias("parent"), F.col("ecosystem").alias("child")).distinct()
+    return top.unionByName(tree.select(F.lit(2).alias("depth"), F.col("ecosystem").alias("parent"), F.col("package_name").alias("child")).distinct())
+
+
+def _dot_lines(tree: DataFrame) -> DataFrame:
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(fx.text(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return dependency_edges(tree).withColumn("line", F.concat(F.lit("  "), quoted("parent"), F.lit(" -> "), quoted("child"), F.lit(";\n")))
+
+
+_DOT = ("digraph deps {\n", "}\n")
+
+
+def dependency_dot_documents(tree: DataFrame, per_document: int = 5000) -> DataFrame:
+    """(document_no, document): DOT graphs of at most per_document edges; every edge of dependency_edges is in one."""
+    return documents(_dot_lines(tree), "line", [F.col("depth"), F.col("parent"), F.col("child")], _DOT, per_document, "")
+
+
+def dependency_dot(tree: DataFrame) -> str:
+    """One DOT graph root -> ecosystem -> package of a table (ecosystem, package_name), with every edge; the text is made on the driver, which dependency_dot_documents avoids."""
+    return _DOT[0] + "".join(r.line for r in _dot_lines(tree).orderBy("depth", "parent", "child").select("line").toLocalIterator()) + _DOT[1]
 
 
 def text_table(df: DataFrame, limit: int = 20) -> str:

@@ -131,3 +131,14 @@ def test_streams(spark, tmp_path):
     assert rows(state.sessions(table, "ts", "path").where("path = 'a.py'"), "n") == [(1,), (1,), (2,)]
     cache = spark.createDataFrame([("k", None, "2020-01-01 10:00:00"), ("old", "v", "2019-12-30 10:00:00")], "k string, v string, at string").withColumn("cached_at", F.to_timestamp("at"))
     assert rows(state.live_entries(cache, F.to_timestamp(F.lit("2020-01-02 09:00:00"))), "k") == [("k",)]
+
+
+def test_dependency_graph_has_every_edge(spark):
+    t = spark.range(6001).select(F.lit("npm").alias("ecosystem"), F.format_string("p%05d", F.col("id")).alias("package_name"))
+    t = t.union(t).union(spark.createDataFrame([("go", 'a"b\\c')], t.schema))
+    edges = reports.dependency_edges(t)
+    assert edges.count() == 6004 and rows(edges.where("depth = 1 or parent = 'go'"), "parent", "child") == [("go", 'a"b\\c'), ("root", "go"), ("root", "npm")]
+    whole = reports.dependency_dot(t).splitlines()
+    assert len(whole) == 6006 and whole[1:4] == ['  "root" -> "go";', '  "root" -> "npm";', '  "go" -> "a\\"b\\\\c";'] and whole[-2] == '  "npm" -> "p06000";'
+    parts = [r.document.splitlines() for r in reports.dependency_dot_documents(t).orderBy("document_no").collect()]
+    assert [len(p) for p in parts] == [5002, 1006] and [x for p in parts for x in p[1:-1]] == whole[1:-1]
