@@ -7,6 +7,8 @@ file, and the propagation across functions is a join a level over the call edges
 from __future__ import annotations
 
 import ast
+import functools
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -190,22 +192,33 @@ def python_nodes(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, schema)
 
 
-def backward_reach(edges: DataFrame, sinks: DataFrame, sources: DataFrame, sanitizers: DataFrame, max_depth: int = 50) -> DataFrame:
+def backward_reach(edges: DataFrame, sinks: DataFrame, sources: DataFrame, sanitizers: DataFrame) -> DataFrame:
     """(sink, source, depth): sources (node) from which a sink (node) is reached over edges (node, next), at the least depth.
 
-    A backward closure over a data-flow edge table, one frontier join a level; sanitizer nodes cut
-    the walk, and a node that a sink has seen isn't walked again, so cycles end.
+    A backward closure over a data-flow edge table, one frontier join a level until a level finds
+    nothing new; sanitizer nodes cut the walk, and a node that a sink has seen isn't walked again, so
+    cycles end. Sixteen tables of levels are merged into one at a time, so plans stay small at any depth.
     """
     spark = edges.sparkSession
     back = edges.select(F.col("next").alias("node"), F.col("node").alias("before")).where("node is not null and before is not null").distinct()
     clean = sanitizers.select(F.col("node").alias("before")).distinct()
     with scratch(spark) as keep:
-        seen = keep(sinks.select(F.col("node").alias("sink"), "node", F.lit(0).alias("depth")).where("node is not null").distinct())
-        frontier = seen
-        for depth in range(1, max_depth + 1):
+        back, clean = keep(back), keep(clean)
+        seen = frontier = keep(sinks.select(F.col("node").alias("sink"), "node", F.lit(0).alias("depth")).where("node is not null").distinct())
+        merged: list[list[DataFrame]] = [[seen]]
+        for depth in itertools.count(1):
             step = frontier.select("sink", "node").join(back, "node").join(clean, "before", "left_anti").select("sink", F.col("before").alias("node")).distinct()
             frontier = keep(step.join(seen.select("sink", "node"), ["sink", "node"], "left_anti").withColumn("depth", F.lit(depth)))
             if frontier.isEmpty():
                 break
-            seen = seen.unionByName(frontier)
+            new = frontier
+            for own in merged:
+                own.append(new)
+                if len(own) < 16:
+                    break
+                new = keep(functools.reduce(DataFrame.unionByName, own))
+                own.clear()
+            else:
+                merged.append([new])
+            seen = functools.reduce(DataFrame.unionByName, [x for own in merged for x in own])
         return checkpoint(seen.join(sources.select("node").distinct(), "node", "left_semi").select("sink", F.col("node").alias("source"), "depth"))

@@ -88,3 +88,9 @@ def test_ubuntu_feed(spark):
     <definition id="2" class="inventory"><title>CVE-2020-2</title><criterion comment="p9 package in jammy fixed (note: '9')"/></definition></oval>"""
     df = spark.createDataFrame([(xml,)], "body string")
     assert rows(feeds.ubuntu(df), "vuln_id", "package_name", "fixed_version") == [("CVE-2020-1", "p1", "1.2-1"), ("CVE-2020-1", "p2", "3")]
+
+
+def test_backward_reach_of_long_chains(spark):
+    e = spark.range(52).coalesce(1).select(F.col("id").alias("node"), (F.col("id") + 1).alias("next"))
+    n = lambda *x: spark.createDataFrame([(i,) for i in x], "node long")
+    assert rows(taint.backward_reach(e, n(52), n(0, 1, 2, 36), n(-1)), "source", "depth") == [(0, 52), (1, 51), (2, 50), (36, 16)]
