@@ -1,10 +1,13 @@
 """A linear-chain conditional random field over word-shape features, in numpy.
 
 Texts are split into tokens (runs of letters, runs of digits, single other characters) and every
-token gets a word type and a shape; emissions are sums of rows of weight tables at the types around
-the token and at hashed shape windows. Training maximises the conditional likelihood by forward-
-backward in padded batches; decoding is Viterbi over padded batches of stretches. A stretch covers
-every token that some label other than O could win, with a margin on either side; elsewhere O wins.
+token gets a word type and a shape. The shape of a word tells whether a public vocabulary writes it
+in small letters, with a capital only, or not at all, so that names no training row holds still look
+like names. Emissions are sums of rows of weight tables at the types around the token and at hashed
+windows. Training maximises the conditional likelihood by forward-backward in padded batches, with
+a share of the word types hidden in each epoch; decoding is Viterbi over padded batches of
+stretches. A token is left out of the stretches only where no run of tokens around it can gain over
+O, transitions included, so the decoded path is the best one.
 """
 
 from __future__ import annotations
@@ -21,9 +24,10 @@ PAD = 4  # blank tokens before and after each text
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xBF58476D1CE4E5B9)
 
-# shapes of tokens
-LOWER, LOWER_NEW, TITLE, TITLE_NEW, GIVEN, INITIAL, UPPER, MIXED, DIGIT0 = 1, 2, 3, 4, 5, 6, 7, 8, 9  # digits of length n: 8 + min(n, 11)
+# shapes of tokens: a word is in the vocabulary, there with a capital only (PROPER), or not there (RARE)
+LOWER, LOWER_RARE, TITLE, TITLE_PROPER, TITLE_RARE, INITIAL, UPPER, UPPER_RARE, MIXED, DIGIT0 = 1, 2, 3, 4, 5, 6, 7, 8, 9, 10  # digits of length n: 9 + min(n, 11)
 PUNCT0, SHAPES = 21, 21 + 27
+EXTRA = 3  # windows that hold a word's end or a word beside a shape
 _PUNCT = {c: i for i, c in enumerate(".,-/()@+:;'\"#<>&[]{}_=%*\n")}  # others share the last shape
 
 
@@ -70,12 +74,27 @@ class Tokens:
     end: np.ndarray
     shape: np.ndarray  # with glue to the previous token in bit 6
     word: np.ndarray  # 64-bit value of the folded text
+    tail: np.ndarray  # the same of its last three characters
     text: np.ndarray  # index of the text
     offsets: np.ndarray  # place of each text in the joined texts
 
 
-def tokenize(texts: list[str], gazetteer: np.ndarray) -> Tokens:
-    """gazetteer: sorted word values whose title-case tokens get the shape GIVEN."""
+def _held(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values a sorted table holds."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def word_values(words: list[str]) -> np.ndarray:
+    """The sorted values of words that are single tokens."""
+    nothing = np.zeros(0, np.uint64)
+    t = tokenize(words, (nothing, nothing))
+    return np.unique(t.word[(t.text >= 0)])
+
+
+def tokenize(texts: list[str], lexicon: tuple[np.ndarray, np.ndarray]) -> Tokens:
+    """lexicon: sorted values of the words a public vocabulary writes in small letters, and of those it writes with a capital only."""
     kind_of, fold, upper_of, punct = _classes()
     joined = "\n".join(texts) + "\n"
     codes = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 65536)
@@ -98,6 +117,9 @@ def tokenize(texts: list[str], gazetteer: np.ndarray) -> Tokens:
         before = np.where(start > 0, sums[start - 1], np.uint64(0))
         word = (sums[end - 1] - before) * down[start]
         word ^= word >> np.uint64(31)
+        cut = np.maximum(end - 3, start)
+        tail = (sums[end - 1] - np.where(cut > 0, sums[cut - 1], np.uint64(0))) * down[cut]
+        tail ^= tail >> np.uint64(29)
     caps = np.concatenate([[0], np.cumsum(upper_of[codes], dtype=np.int64)])
     size, ups, first = end - start, caps[end] - caps[start], upper_of[codes[start]]
     k = kind[start]
@@ -106,10 +128,10 @@ def tokenize(texts: list[str], gazetteer: np.ndarray) -> Tokens:
         np.where(ups == 0, LOWER, np.where(ups == size, np.where(size == 1, INITIAL, UPPER), np.where((ups == 1) & (first == 1), TITLE, MIXED))),
         np.where(k == 2, DIGIT0 - 1 + np.minimum(size, 11), punct[codes[start]]),
     ).astype(np.int16)
-    titles = np.flatnonzero(shape == TITLE)
-    if len(gazetteer):
-        at = np.minimum(np.searchsorted(gazetteer, word[titles]), len(gazetteer) - 1)
-        shape[titles[gazetteer[at] == word[titles]]] = GIVEN
+    letters = np.flatnonzero((shape == LOWER) | (shape == TITLE) | (shape == UPPER))
+    new = letters[~_held(word[letters], lexicon[0])]
+    proper = _held(word[new], lexicon[1])
+    shape[new] = np.select([shape[new] == LOWER, shape[new] == UPPER, proper], [LOWER_RARE, UPPER_RARE, TITLE_PROPER], TITLE_RARE)
     glue = np.zeros(len(start), np.int16)
     glue[1:] = end[:-1] == start[1:]
     text = np.searchsorted(offsets, start, side="right") - 1
@@ -117,7 +139,7 @@ def tokenize(texts: list[str], gazetteer: np.ndarray) -> Tokens:
     at = np.repeat(np.searchsorted(text, np.arange(len(texts)), side="right"), PAD)
     blank = lambda a, v: np.insert(a, at, v)
     head = lambda a, v: np.concatenate([np.full(PAD, v, a.dtype), blank(a, v)])
-    out = Tokens(head(start, 0), head(end, 0), head((shape | (glue << 6)).astype(np.int16), 0), head(word, 0), np.empty(0), offsets)
+    out = Tokens(head(start, 0), head(end, 0), head((shape | (glue << 6)).astype(np.int16), 0), head(word, 0), head(tail, 0), np.empty(0), offsets)
     out.text = np.concatenate([np.full(PAD, -1), np.insert(text, at, -1)])
     return out
 
@@ -127,28 +149,32 @@ class Crf:
     """A trained model; everything in it is an array, so it travels to the workers as it is."""
 
     labels: list[str]  # "O", "B-kind", "I-kind", ...
-    gazetteer: np.ndarray
+    lexicon: tuple[np.ndarray, np.ndarray]
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted word values of the vocabulary
     types: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, 0), np.float32))  # offset, type, label
     windows: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, 0), np.float32))  # window, hash, label
     moves: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
 
     # -- features
-    def features(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """(type of each token, hashes of the shape windows of each token); both hold blank tokens too."""
+    def features(self, t: Tokens, hide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(type of each token, hashes of the windows of each token); both hold blank tokens too. hide: words that count by their shape alone."""
         shape = t.shape & 63
         if len(self.words):
             at = np.minimum(self._slot(t.word), len(self.words) - 1)
             known = (self.words[at] == t.word) & (shape <= MIXED) & (shape > 0)
+            if hide is not None:
+                known &= ~hide
         else:
             at, known = np.zeros(len(shape), np.int64), np.zeros(len(shape), bool)
-        shape = np.where(~known & ((shape == LOWER) | (shape == TITLE)), shape + 1, shape)
-        kinds = np.where(known & (shape != GIVEN), SHAPES + at, shape).astype(np.int32)
+        kinds = np.where(known, SHAPES + at, shape).astype(np.int32)
         s = (shape + (t.shape & 64)).astype(np.uint32)
         pad = np.zeros(len(s) + 4, np.uint32)
         pad[2:-2] = s
         a, b, c, d, e = (pad[i : len(s) + i] for i in range(5))
         mask = np.uint32((1 << WINDOW_BITS) - 1)
+        beside = np.zeros(len(s) + 2, np.uint32)
+        beside[1:-1] = kinds
+        ends = np.where(shape <= MIXED, t.tail, np.uint64(0)).astype(np.uint32)
 
         def squeeze(x: np.ndarray) -> np.ndarray:
             x = x * np.uint32(0x9E3779B1)
@@ -161,6 +187,9 @@ class Crf:
                 squeeze(c * np.uint32(16384) + d * np.uint32(128) + e),
                 squeeze((a * np.uint32(16384) + b * np.uint32(128) + c) * np.uint32(0x85EBCA6B) + d * np.uint32(128) + e),
                 (c & mask).astype(np.int32),
+                squeeze(ends * np.uint32(128) + c),
+                squeeze(beside[:-2] * np.uint32(128) + c),
+                squeeze(beside[2:] * np.uint32(128) + c + np.uint32(0x5BD1E995)),
             ])
 
     def _slot(self, word: np.ndarray) -> np.ndarray:
@@ -174,20 +203,12 @@ class Crf:
             out += self.windows[i][hashes[i][at]]
         return out
 
-    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
-        """The most by which any label can beat O, for each offset and type, and for each window and hash."""
-        best = lambda w: (w[..., 1:].max(-1) - w[..., 0]).astype(np.float32)
-        return best(self.types), best(self.windows)
-
     # -- training
     @staticmethod
-    def train(rows: list[tuple[str, list[tuple[int, int, str]]]], labels: list[str], gazetteer: list[str], hidden_kinds: tuple[str, ...] = ("name",), epochs: int = 8, least_count: int = 3, rate: float = 0.12, l2: float = 2e-6, seed: int = 1) -> Crf:
-        """rows: (text, [(start, end, kind)]). Words seen within hidden_kinds get no place in the vocabulary by those sightings."""
-        values = tokenize([g for g in gazetteer], np.zeros(0, np.uint64))
-        given = np.unique(values.word[values.word != 0])
-        given = given[given != np.uint64(0)]
-        model = Crf(labels, given)
-        t = tokenize([r[0] for r in rows], model.gazetteer)
+    def train(rows: list[tuple[str, list[tuple[int, int, str]]]], labels: list[str], lexicon: tuple[np.ndarray, np.ndarray], hidden_kinds: tuple[str, ...] = ("name", "email", "identity_number"), epochs: int = 8, least_count: int = 3, rate: float = 0.12, l2: float = 2e-6, hide: float = 0.3, seed: int = 1) -> Crf:
+        """rows: (text, [(start, end, kind)]). Words seen within hidden_kinds get no place among the model's words by those sightings. hide: share of the words that count by their shape alone, drawn anew each epoch."""
+        model = Crf(labels, lexicon)
+        t = tokenize([r[0] for r in rows], model.lexicon)
         index = {name: i for i, name in enumerate(labels)}
         gold = np.zeros(len(t.start), np.int64)
         hidden = np.zeros(len(t.start), bool)
@@ -203,9 +224,8 @@ class Crf:
         model.words = seen[count >= least_count]
         size, n = len(labels), SHAPES + len(model.words)
         model.types = np.zeros((len(OFFSETS), n, size), np.float32)
-        model.windows = np.zeros((5, 1 << WINDOW_BITS, size), np.float32)
+        model.windows = np.zeros((5 + EXTRA, 1 << WINDOW_BITS, size), np.float32)
         model.moves = np.zeros((size, size), np.float32)
-        kinds, hashes = model.features(t)
         firsts = np.searchsorted(t.text[real], np.arange(len(rows)))
         lasts = np.searchsorted(t.text[real], np.arange(len(rows)), side="right")
         squares = [np.full_like(x, 1e-3) for x in (model.types, model.windows, model.moves)]
@@ -213,9 +233,9 @@ class Crf:
         lengths = lasts - firsts
         usable = np.flatnonzero(lengths > 0)
         for epoch in range(epochs):
+            kinds, hashes = model.features(t, rng.random(len(t.word)) < hide)
             order = usable[np.lexsort((rng.random(len(usable)), (lengths[usable] + rng.integers(0, 12, len(usable))) // 8))]
             batches = [order[i : i + 48] for i in range(0, len(order), 48)]
-            rng.shuffle(batches := list(batches)) if False else None
             for j in rng.permutation(len(batches)):
                 batch = batches[j]
                 width = int(lengths[batch].max())
@@ -274,37 +294,34 @@ class Crf:
         weights[which] += (rate * total / np.sqrt(squares[which])).astype(np.float32)
 
     # -- decoding
-    def decode(self, t: Tokens, margin: int = 6, slack: float = 0.0) -> np.ndarray:
+    def decode(self, t: Tokens) -> np.ndarray:
         """The label of each token (0 for blanks)."""
         kinds, hashes = self.features(t)
-        by_type, by_window = self._bounds
         n = len(kinds)
-        gain = np.zeros(n, np.float32)
-        lo, hi = PAD, n - PAD
-        if hi <= lo:
-            return np.zeros(n, np.int8)
-        inner = gain[lo:hi]
-        for i, o in enumerate(OFFSETS):
-            inner += by_type[i][kinds[lo + o : hi + o]]
-        for i in range(len(self.windows)):
-            inner += by_window[i][hashes[i][lo:hi]]
-        real = t.text >= 0
-        hot = (gain > slack) & real
         out = np.zeros(n, np.int8)
-        if not hot.any():
+        if n <= 2 * PAD:
             return out
-        # stretches: hot tokens and a margin around them, within one text
-        near = np.zeros(n + 1, np.int32)
-        at = np.flatnonzero(hot)
-        np.add.at(near, np.maximum(at - margin, 0), 1)
-        np.add.at(near, np.minimum(at + margin + 1, n), -1)
-        inside = (np.cumsum(near[:-1]) > 0) & real
+        every = np.arange(PAD, n - PAD)
+        emissions = self.emissions(kinds, hashes, every)
+        # the most that any label gains over O at a token, the move to it included
+        m = self.moves - self.moves[0, 0]
+        real = t.text >= 0
+        gain = np.full(n, -1e6)
+        best = (emissions[:, 1:] + m[:, 1:].max(0)).max(1) - emissions[:, 0]
+        gain[PAD:-PAD] = np.where(real[PAD:-PAD], best, -1e6)
+        # the best run of tokens that holds each one must gain, with the move back to O
+        total = np.cumsum(gain)
+        before = np.minimum.accumulate(np.concatenate([[0.0], total[:-1]]))
+        behind = np.maximum.accumulate(total[::-1])[::-1]
+        inside = (behind - before + float(m[1:, 0].max()) > -1e-3) & real
         places = np.flatnonzero(inside)
+        if not len(places):
+            return out
         opens = np.ones(len(places), bool)
         opens[1:] = np.diff(places) > 1
         first = np.flatnonzero(opens)
         size = np.diff(np.append(first, len(places)))
-        emissions = self.emissions(kinds, hashes, places)
+        emissions = emissions[places - PAD]
         labels = np.zeros(len(places), np.int8)
         order = np.argsort(size, kind="stable")
         done = 0
@@ -338,15 +355,9 @@ class Crf:
             if i:
                 y[inside] = back[i, inside, y[inside]]
 
-    @property
-    def _bounds(self):
-        if getattr(self, "_cached", None) is None:
-            self._cached = self.bounds()
-        return self._cached
-
     def spans(self, texts: list[str]) -> list[tuple[int, int, int, str]]:
         """(index of the text, start, end, kind) of each decoded entity, in order."""
-        t = tokenize(texts, self.gazetteer)
+        t = tokenize(texts, self.lexicon)
         y = self.decode(t)
         at = np.flatnonzero(y)
         out = []

@@ -12,32 +12,49 @@ texts of any length are read; an empty table gives an empty result; extra column
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.crf import Crf
-from lodestrata.llm.pii_examples import FRENCH_TITLES, GIVEN, KINDS, TITLES, labelled_rows
+from lodestrata.llm.crf import Crf, word_values
+from lodestrata.llm.pii_examples import FRENCH_TITLES, KINDS, TITLES, labelled_rows
+from lodestrata.llm.tokens import DEFAULT_VOCABULARY, encoding
 
 CHUNK_CHARS, CONTEXT = 1 << 20, 1000
 
 _AT = r"(?:\s?@\s?|&#64;|&commat;|\s?[(\[{<]\s?at\s?[)\]}>]\s?|\s+at\s+)"
 _DOT = r"(?:\.|\s?[(\[{<]\s?dot\s?[)\]}>]\s?|\s+dot\s+)"
 _EMAIL = re.compile(rf"[\w.+%'-]*[\w+]{_AT}[\w-]+(?:{_DOT}[\w-]+)+", re.I)
-_LEFT = {"phone": r"[+(\d]", "identity_number": r"[\w]"}
+_LOCAL = re.compile(r"[\w.+%'-]+")
+_AT_BEFORE = re.compile(rf"{_AT}$", re.I)
+_PHONE_REST = re.compile(r"\d*(?:[./-]\d+)*")
+_NUMBER_REST = re.compile(r"\w*(?:[./-]\w*\d\w*)*")
 _TITLE = re.compile(rf"(?:{'|'.join(re.escape(t) for t in sorted({*TITLES, *FRENCH_TITLES} - {'M.'}, key=len, reverse=True))})\s+")
 _LOGIN_AFTER = re.compile(r":[\w.~-]*/|/[\w.~-]+/")
 
 
+#: Public vocabularies that tell common words from names; the files lie beside the default one.
+VOCABULARIES = (DEFAULT_VOCABULARY, os.path.join(os.path.dirname(DEFAULT_VOCABULARY), "byte_bpe_multi_50k.tiktoken"))
+
+
+def lexicon(paths: tuple[str, ...] = VOCABULARIES) -> tuple[np.ndarray, np.ndarray]:
+    """Word values of what the vocabularies write in small letters, and of what they write with a capital only."""
+    words = {w.decode("utf-8", "ignore")[1:] for p in paths for w in encoding(p).token_byte_values() if w[:1] == b" "}
+    lower = {w for w in words if w.isalpha() and w.islower()}
+    return word_values(sorted(lower)), word_values(sorted({w.lower() for w in words if w.istitle() and w.isalpha()} - lower))
+
+
 @lru_cache(maxsize=2)
-def default_model(repeats: int = 40, epochs: int = 6) -> Crf:
+def default_model(repeats: int = 40, epochs: int = 6, vocabularies: tuple[str, ...] = VOCABULARIES) -> Crf:
     """The tagger trained from the labelled table, once a process."""
     labels = ["O"] + [f"{h}-{k}" for k in KINDS for h in "BI"]
-    return Crf.train(labelled_rows(repeats), labels, GIVEN, epochs=epochs)
+    return Crf.train(labelled_rows(repeats), labels, lexicon(vocabularies), epochs=epochs)
 
 
 def _trim(text: str, a: int, b: int, cut: str) -> tuple[int, int]:
@@ -48,39 +65,59 @@ def _trim(text: str, a: int, b: int, cut: str) -> tuple[int, int]:
     return a, b
 
 
-def settle(text: str, a: int, b: int, kind: str, reach: int = 80) -> tuple[int, int] | None:
+def _mail(text: str, a: int, b: int) -> tuple[int, int] | None:
+    """The mail address that a decoded span touches."""
+    while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "_.+%'-"):
+        a -= 1
+    if not _EMAIL.match(text, a) and (m := _AT_BEFORE.search(text, max(0, a - 16), a)):  # the span began after the at sign
+        a = m.start()
+        while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "_.+%'-"):
+            a -= 1
+    for m in _LOCAL.finditer(text, a, b):
+        if found := _EMAIL.match(text, m.start()):
+            return found.span()
+    return None
+
+
+def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     """The exact ends of a decoded span, None if it can't be of its kind."""
     if kind == "email":
-        low = max(0, a - reach)
-        for m in _EMAIL.finditer(text, low, min(len(text), b + reach)):
-            if m.start() < b and m.end() > a:
-                x, y = m.span()
-                while x < y and text[x] in ".'-%":
-                    x += 1
-                if text[max(0, x - 2) : x] == "//" or _LOGIN_AFTER.match(text, y):
-                    return None
-                return x, y
-        return None
+        found = _mail(text, a, b)
+        if found is None:
+            return None
+        x, y = found
+        while x < y and text[x] in ".'-%":
+            x += 1
+        return None if text[max(0, x - 2) : x] == "//" or _LOGIN_AFTER.match(text, y) else (x, y)
     if kind == "name":
-        a, b = _trim(text, a, b, ",;:\"'()[]{}<>-*_#@/")
+        a, b = _trim(text, a, b, ",;:\"'()[]{}<>-*_#@/|")
+        while a < b and (text[a] == "." or text[a].isspace()):
+            a += 1
         if m := _TITLE.match(text, a, b):
             a = m.end()
-        if b > a and text[b - 1] == "." and not re.search(r"(?:^|[\s,])[^\W\d_]\.$", text[a:b]):
+        if b > a and text[b - 1] == "." and not re.search(r"(?:^|[\s,.])[^\W\d_]\.$", text[a:b]):
             b -= 1
         words = re.findall(r"[^\W\d_]{2,}", text[a:b])
         return (a, b) if words and any(w[0].isupper() for w in words) and not re.search(r"\d", text[a:b]) else None
     if kind == "street_address":
         a, b = _trim(text, a, b, ",;:.\"'()[]{}<>|")
-        if m := re.search(r"(?<![\w.])\d+[a-z]?,?\s*$", text[max(0, a - 8) : a]):
-            a = max(0, a - 8) + m.start() if text[a : a + 1].isalpha() and not re.search(r"\d", text[a : min(b, a + 12)]) else a
+        if text[a : a + 1].isalpha() and not re.search(r"\d", text[a : min(b, a + 12)]):  # a house number before the street belongs to it
+            i = a
+            while i > 0 and (text[i - 1].isspace() or text[i - 1] == ","):
+                i -= 1
+            i -= i > 1 and text[i - 1].isalpha() and text[i - 2].isdigit()
+            j = i
+            while j > 0 and text[j - 1].isdigit():
+                j -= 1
+            a = j if j < i < a and not (j > 0 and (text[j - 1].isalnum() or text[j - 1] == ".")) else a
         return (a, b) if re.search(r"\d", text[a:b]) and len(re.findall(r"[^\W\d_]{2,}", text[a:b])) >= 2 else None
     a, b = _trim(text, a, b, ",;:\"'[]{}<>|.")
     if kind == "phone":
-        while a > 0 and (text[a - 1].isdigit() or text[a - 1] == "+"):
+        while a > 0 and (text[a - 1].isdigit() or text[a - 1] == "+" or (a > 1 and text[a - 1] in ".-/" and text[a - 2].isdigit() and text[a : a + 1].isdigit())):
             a -= 1
         if a > 0 and text[a - 1] == "(" and ")" in text[a:b]:
             a -= 1
-        b += len(re.match(r"\d*(?:[./-]\d+)*", text[b : b + 40])[0])
+        b = _PHONE_REST.match(text, b).end()
         while text[a:b].startswith("(") and text.count("(", a, b) > text.count(")", a, b):
             a += 1
         if b > a and text[b - 1] == ")" and "(" not in text[a:b]:
@@ -90,8 +127,8 @@ def settle(text: str, a: int, b: int, kind: str, reach: int = 80) -> tuple[int,
     a, b = _trim(text, a, b, "()-/")
     while a > 0 and (text[a - 1].isalnum() and text[a - 1].isascii()):
         a -= 1
-    b += len(re.match(r"\w*(?:[./-]\w*\d\w*)*", text[b : b + 40])[0])
-    return (a, b) if sum(c.isdigit() for c in text[a:b]) >= 5 else None
+    b = _NUMBER_REST.match(text, b).end()
+    return (a, b) if sum(c.isdigit() for c in text[a:b]) >= 4 else None
 
 
 def entities(model: Crf, texts: list[str]) -> Iterator[tuple[int, str, int, int]]:

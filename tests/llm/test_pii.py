@@ -1,12 +1,15 @@
+import os
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from conftest import rows
+from held_out_pii import held_out
 from lodestrata.llm import pii
-from lodestrata.llm.crf import tokenize
-from lodestrata.llm.pii_examples import KINDS, labelled_rows
+from lodestrata.llm.crf import Crf, tokenize
+from lodestrata.llm.pii_examples import _GIVEN, _KNOWN_GIVEN, _LAST, _PLAIN_GIVEN, _PLAIN_LAST, CARRIERS, KINDS, NEGATIVES, _Filler, labelled_rows
 
 
 @pytest.fixture(scope="module")
@@ -14,8 +17,7 @@ def model():
     return pii.default_model()
 
 
-def test_held_out_accuracy(model):
-    held = labelled_rows(5, 3, seed=4711)
+def score(model, held):
     hit, wrong, missed = Counter(), Counter(), Counter()
     got = {}
     for i, kind, a, n in pii.entities(model, [t for t, _ in held]):
@@ -26,9 +28,56 @@ def test_held_out_accuracy(model):
             (hit if s in want else wrong)[s[2]] += 1
         for s in want - have:
             missed[s[2]] += 1
-    for kind in KINDS:
-        assert hit[kind] / (hit[kind] + wrong[kind]) > 0.93, (kind, hit[kind], wrong[kind])
-        assert hit[kind] / (hit[kind] + missed[kind]) > 0.93, (kind, hit[kind], missed[kind])
+    return {k: (hit[k] / max(1, hit[k] + missed[k]), hit[k] / max(1, hit[k] + wrong[k])) for k in KINDS}
+
+
+def test_held_out_accuracy(model):
+    """Exact recall and precision of each kind on sentences, names and places that training never saw."""
+    got = score(model, held_out())
+    print({k: tuple(round(x, 3) for x in v) for k, v in got.items()})
+    for kind, (recall, precision) in got.items():
+        assert recall >= 0.9 and precision >= 0.9, (kind, recall, precision)
+
+
+def test_held_out_carriers(model):
+    """The same over generated rows whose carriers are in no training row: every fourth carrier is left out of training and read, among fillings of the plain sentences with another seed."""
+    part = lambda lines, held: [x for i, x in enumerate(lines) if (i % 4 == 0) == held]
+    rest = Crf.train(labelled_rows(40, 60, 7, part(CARRIERS, False)), model.labels, model.lexicon, epochs=6)
+    got = score(rest, labelled_rows(6, 20, 99, part(CARRIERS, True)))
+    print({k: tuple(round(x, 3) for x in v) for k, v in got.items()})
+    for kind, (recall, precision) in got.items():
+        assert recall >= 0.8 and precision >= 0.8, (kind, recall, precision)
+
+
+def test_held_out_shares_nothing_with_training():
+    plain = " ".join(CARRIERS + NEGATIVES).lower()
+    known = set(re.findall(r"[^\W\d_]+", " ".join([*_GIVEN, *_KNOWN_GIVEN, *_PLAIN_GIVEN, *_LAST, *_PLAIN_LAST])))
+    for text, spans in held_out():
+        rest, done = [], 0
+        for a, b, kind in spans:
+            rest.append(text[done:a])
+            done = b
+            if kind == "name":
+                assert not set(re.findall(r"[^\W\d_]{2,}", text[a:b])) & known, text[a:b]
+        for part in (*rest, text[done:]):
+            assert len(part.strip()) < 14 or part.strip().lower() not in plain, part
+
+
+def test_training_shares_no_sentence_with_the_test_tables():
+    """No stretch of 14 characters or more between slots, and no given name, occurs in the documents."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    import pandas as pd
+
+    texts = [t for t in pd.read_parquet(path).text if t]
+    low, words = "\n".join(texts).lower(), set(re.findall(r"[^\W\d_]+", "\n".join(texts)))
+    filler = _Filler(3)
+    for line in CARRIERS + NEGATIVES:
+        for _ in range(5):
+            for part in re.split(r"\{\w+\}|\\n|\\t", filler.expand(line)):
+                assert len(part.strip()) < 14 or part.strip().lower() not in low, part
+    assert not words & set(_GIVEN + _KNOWN_GIVEN)
 
 
 def found(model, text):
@@ -37,10 +86,10 @@ def found(model, text):
 
 def test_exact_spans(model):
     for text, want in [
-        ("Reported by Henrik Brasketti.", [("name", "Henrik Brasketti")]), ("Dr Samuel Merthandrel confirmed it by phone ((212) 555-0155).", [("name", "Samuel Merthandrel"), ("phone", "(212) 555-0155")]),
-        ("Please write to grace.d @ oss-people.example before the embargo ends.", [("email", "grace.d @ oss-people.example")]), ("Call +44 (0)1632 960 843 if the pager stays silent.", [("phone", "+44 (0)1632 960 843")]),
-        ("The sample row held NINO: QQ302873B in clear text.", [("identity_number", "QQ302873B")]), ("Owner moved to 122 Orchard Drive, Apt 3,\nVillebrune, 94899; update the contact sheet.", [("street_address", "122 Orchard Drive, Apt 3,\nVillebrune, 94899")]),
-        ("Clone with git@mirror.example:user/buffer.git and build tag 5.12.13.", []), ("The Pewter Mesh page lists Silver Street as the theme name, release 8.23.3.", []), ("The probe answered from 10.20.63.33 on port 857 after 684 ms.", []), ("", []), (" \n", []),
+        ("The patch was written by Nadine Ostrowick.", [("name", "Nadine Ostrowick")]), ("Dr Nadine Ostrowick called about it ((212) 555-0155).", [("name", "Nadine Ostrowick"), ("phone", "(212) 555-0155")]),
+        ("Mail to lars.k @ fjordnet.example first.", [("email", "lars.k @ fjordnet.example")]), ("Ring +44 (0)1632 960 843 if the link is down.", [("phone", "+44 (0)1632 960 843")]),
+        ("The dump leaks NINO: QQ302873B of a user.", [("identity_number", "QQ302873B")]), ("They relocated to 122 Linden Drive, Apt 3,\nKettlebrune, 94899; change the records.", [("street_address", "122 Linden Drive, Apt 3,\nKettlebrune, 94899")]),
+        ("Fetch git@mirror.example:user/buffer.git at 5.12.13.", []), ("The Velvet Switch docs show Silver Street as the theme, see 8.23.3.", []), ("The reply from 10.20.63.33 on port 857 took 684 ms.", []), ("", []), (" \n", []),
     ]:
         assert found(model, text) == want, text
 
@@ -57,12 +106,12 @@ def test_order_overlap_and_batches(model):
 
 
 def test_very_long_text(model):
-    one = "Reported by Henrik Brasketti.\n"
+    one = "Written by Nadine Ostrowick.\n"
     filler = "the job is idle now\n" * 60_000
     text = filler[: pii.CHUNK_CHARS - 15] + "\n" + one + filler + one + filler
     got = [(k, a, n) for _, k, a, n in pii.all_entities(model, ["short", text])]
     first = pii.CHUNK_CHARS - 14
-    assert got == [("name", first + 12, 16), ("name", first + len(one) + len(filler) + 12, 16)]
+    assert got == [("name", first + 11, 16), ("name", first + len(one) + len(filler) + 11, 16)]
 
 
 def test_viterbi_is_the_best_path(model):
@@ -80,7 +129,7 @@ def test_viterbi_is_the_best_path(model):
 
 def test_tokens_cover_the_text():
     texts = ["Ab1-é​x\n", "", "ßx 12"]
-    t = tokenize(texts, np.zeros(0, np.uint64))
+    t = tokenize(texts, (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
     real = t.text >= 0
     got = [texts[i][s - t.offsets[i] : e - t.offsets[i]] for i, s, e in zip(t.text[real], t.start[real], t.end[real], strict=True)]
     assert [g for g in got if g.strip()] == ["Ab", "1", "-", "é​x", "ßx", "12"]
@@ -89,8 +138,8 @@ def test_tokens_cover_the_text():
 def test_frame_and_redaction(spark, model):
     from pyspark.sql import functions as F
 
-    text = "Reported by Henrik Brasketti."
+    text = "Written by Nadine Ostrowick."
     df = spark.createDataFrame([(1, text, 0), (1, text, 0), (None, text, 0), (2, None, 0), (3, "", 0), (4, "x " * 200_000 + text, 0)], "doc_id long, text string, start_pos int")
-    assert rows(pii.find_pii(df), "doc_id", "pii_kind", "start_pos", "n_chars") == [(1, "name", 12, 16), (1, "name", 12, 16), (4, "name", 400_012, 16)]
+    assert rows(pii.find_pii(df), "doc_id", "pii_kind", "start_pos", "n_chars") == [(1, "name", 11, 16), (1, "name", 11, 16), (4, "name", 400_011, 16)]
     assert pii.find_pii(df.limit(0)).count() == 0
-    assert [r.t for r in df.where("doc_id < 4").select(pii.redact_pii(F.col("text")).alias("t")).collect()] == ["Reported by [NAME].", "Reported by [NAME].", None, ""]
+    assert [r.t for r in df.where("doc_id < 4").select(pii.redact_pii(F.col("text")).alias("t")).collect()] == ["Written by [NAME].", "Written by [NAME].", None, ""]
