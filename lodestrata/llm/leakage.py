@@ -7,20 +7,24 @@ confirms an occurrence. All lanes of a batch of texts move on together in numpy.
 occurrences of an item in a document are then chained in order: a document leaks an item if a
 chain spans at least ``share`` of the item's words (and ``least_words``) with few changed words.
 
-Words are runs of letters and digits in lower case; punctuation, spacing, line breaks, markup and
-invisible characters don't count. Sentences that many items share are no part of an item.
+Words are runs of letters and digits in lower case without accents; punctuation, spacing, line
+breaks, markup and invisible characters don't count. Words are compared by 64-bit values of all
+their characters, so that two different words count as the same once in some 10^19 comparisons.
+Sentences that at least ``common`` of all items share (and ``least_common`` items) are no part of an
+item; they are counted over all items before these are cut into blocks, so that the answer doesn't
+depend on the blocks.
 
 Defined results: null and blank texts and items and rows without an id give nothing; items shorter than ``least_words``
 can't leak; a repeated document or item counts for itself; empty tables give an empty result.
 Whole texts are read. The items are a stated query set: they are gathered in blocks of
-``block_items`` items and each block is searched in all rows.
+``block_items`` items, and all blocks are searched in one scan of the documents. The driver and each
+worker hold one block at a time.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,24 +33,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_GONE = re.compile("[­̀-ͯ​-‏⁠﻿]")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+_GONE = re.compile("[\u00ad\u0300-\u036f\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
+_TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9:-]*(?:[\s/][^<>]*)?>")
 _ESCAPED = re.compile(r"\\[nrt](?![a-z]*:)")
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 CHUNK_CHARS = 1 << 20
 
 
+def _folded(c: str) -> str:
+    """A character in lower case, without accents and in its plain form; several characters for ligatures."""
+    plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
+    whole = unicodedata.normalize("NFKC", c).lower()
+    return plain if len(plain) == 1 or len(whole) > 1 else whole
+
+
 @lru_cache(maxsize=1)
-def _char_values() -> np.ndarray:
-    """A fixed random value of each character of the basic plane in lower case; 0 for what isn't part of a word."""
+def _char_values() -> tuple[np.ndarray, re.Pattern]:
+    """A fixed random value of each character of the basic plane as folded, 0 for what isn't part of a word; and a pattern of the characters that fold to several or lie beyond that plane."""
     rnd = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 65536, dtype=np.uint64) | np.uint64(1)
-    out = np.zeros(65537, np.uint64)
+    out, many = np.zeros(65537, np.uint64), []
     for code in range(65536):
-        c = unicodedata.normalize("NFKC", chr(code)).lower() if not 0xD800 <= code < 0xE000 else ""
+        c = _folded(chr(code)) if not 0xD800 <= code < 0xE000 else ""
         if len(c) == 1 and c.isalnum():
             out[code] = rnd[min(ord(c), 65535)]
-    return out
+        elif len(c) > 1 and any(x.isalnum() for x in c):
+            many.append(chr(code))
+    return out, re.compile("[" + "".join(map(re.escape, many)) + "\U00010000-\U0010ffff]")
 
 
 @lru_cache(maxsize=4)
@@ -65,15 +78,23 @@ def plain(text: str) -> str:
         text = _ESCAPED.sub("  ", text)
     if "<" in text:
         text = _TAG.sub(" ", text)
-    return text if text.isascii() else _GONE.sub("", text)
+    if text.isascii():
+        return text
+    return _char_values()[1].sub(lambda m: _folded(m[0]), _GONE.sub("", text))
+
+
+Streams = tuple[np.ndarray, np.ndarray]
 
 
-def word_stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_stream(texts: list[str]) -> Streams:
     """(64-bit values of the words of all texts, index of each word's text), with a word of value 0 after each text."""
     texts = [plain(t) for t in texts]
     joined = "\n".join(texts) + "\n"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    values = _char_values()[np.minimum(codes, 65536)]
+    values = _char_values()[0][np.minimum(codes, 65536)]
+    for code in np.unique(codes[codes > 65535]).tolist():  # letters that are written beyond the basic plane alone
+        if chr(code).isalnum():
+            values[codes == code] = np.uint64((code * _BASE) & (2**63 - 1) | 1)
     inside = values != 0
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
@@ -155,15 +176,33 @@ class WuManber:
         return first, self.ids[row]
 
 
-def item_words(passages: list[str], common: float = 0.05, least_common: int = 4) -> list[np.ndarray]:
-    """The words of each passage without the sentences that at least common of the items (and least_common) share."""
-    parts = [[s for s in re.split(r"(?<=[.?!])\s+", p.strip()) if s] for p in passages]
-    key = lambda s: " ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", s).lower()))
-    seen = Counter(k for ps in parts for k in {key(s) for s in ps})
-    bound = max(least_common, common * len(passages))
-    texts = [" ".join(s for s in ps if seen[key(s)] < bound) for ps in parts]
+def _sentences(passage: str) -> list[tuple[str, str]]:
+    """(key, sentence) of each sentence; keys don't tell case, spacing and punctuation apart."""
+    return [(" ".join(re.findall(r"\w+", unicodedata.normalize("NFKC", s).lower())), s) for s in re.split(r"(?<=[.?!])\s+", passage.strip()) if s]
+
+
+def shared_sentences(items: DataFrame, passage: str, common: float = 0.05, least_common: int = 4) -> frozenset[str]:
+    """Keys of the sentences that at least common of the items (and least_common) hold.
+
+    They are counted by Spark over all items; no more than 1 / common times the sentences of an
+    item can be left, however many items there are.
+    """
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"key": [k for p in batch[passage] for k in {k for k, _ in _sentences(p)}]}, dtype=object)
+
+    every = items.where(F.col(passage).isNotNull()).select(passage)
+    bound = max(least_common, common * every.count())
+    return frozenset(r[0] for r in every.mapInPandas(keys, "key string").groupBy("key").count().where(F.col("count") >= bound).select("key").toLocalIterator())
+
+
+def item_words(passages: list[str], shared: frozenset[str] = frozenset()) -> list[np.ndarray]:
+    """The words of each passage without the shared sentences."""
+    texts = [" ".join(s for k, s in _sentences(p) if k not in shared) for p in passages]
     words, which = word_stream(texts) if texts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return [words[(which == i) & (words != 0)] for i in range(len(passages))]
+    at = np.searchsorted(which, np.arange(len(texts) + 1))
+    return [(w := words[at[i] : at[i + 1]])[w != 0] for i in range(len(texts))]
 
 
 def _spans(k: np.ndarray, p: np.ndarray, m: int, reach: int, drift: int) -> list[tuple[int, int]]:
@@ -202,9 +241,9 @@ def _spans(k: np.ndarray, p: np.ndarray, m: int, reach: int, drift: int) -> list
 class LeakSearch:
     """The search for one block of items, made on the driver and sent to the workers."""
 
-    def __init__(self, ids: list, passages: list[str], window: int = 4, share: float = 1 / 3, least_words: int = 10, matched: float = 0.5, reach: int = 16, drift: int = 8):
+    def __init__(self, ids: list, passages: list[str], shared: frozenset[str] = frozenset(), window: int = 4, share: float = 1 / 3, least_words: int = 10, matched: float = 0.5, reach: int = 16, drift: int = 8):
         self.window, self.share, self.least, self.matched, self.reach, self.drift = window, share, least_words, matched, reach, drift
-        words = item_words(passages)
+        words = item_words(passages, shared)
         keep = [i for i, w in enumerate(words) if len(w) >= max(least_words, window)]
         self.ids = [ids[i] for i in keep]
         self.sizes = np.array([len(words[i]) for i in keep], np.int64)
@@ -215,20 +254,20 @@ class LeakSearch:
         # a chain lies within so many characters, markup and line breaks included
         self.extent = 1000 + 8 * max([len(p) for p in passages], default=0)
 
-    def leaks(self, texts: list[str]) -> Iterator[tuple[int, object]]:
+    def leaks(self, texts: list[str], streams: Streams | None = None) -> Iterator[tuple[int, object]]:
         """(index of the text, item id) of each leak; very long texts are searched in pieces that overlap by more than any chain."""
         long = [i for i, t in enumerate(texts) if len(t) > 4 * CHUNK_CHARS]
         if not long:
-            yield from self._leaks(texts)
+            yield from self._leaks(streams or word_stream(texts))
             return
         for i, text in enumerate(texts):
             step = max(CHUNK_CHARS, self.extent)
             pieces = [text[a : a + step + self.extent] for a in range(0, max(1, len(text)), step)] if i in long else [text]
-            for item in dict.fromkeys(item for p in pieces for _, item in self._leaks([p])):
+            for item in dict.fromkeys(item for p in pieces for _, item in self._leaks(word_stream([p]))):
                 yield i, item
 
-    def _leaks(self, texts: list[str]) -> Iterator[tuple[int, object]]:
-        words, which = word_stream(texts)
+    def _leaks(self, streams: Streams) -> Iterator[tuple[int, object]]:
+        words, which = streams
         k, pattern = self.machine.search(words)
         if not len(k):
             return
@@ -261,30 +300,50 @@ def chunks(texts: list[str], chars: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield first, len(texts)
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", block_items: int = 20_000, **options) -> DataFrame:
-    """(doc_id, item_id) of every document that holds an item's passage or a long enough stretch of it."""
+def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", block_items: int = 20_000, pass_chars: int = 16 << 20, **options) -> DataFrame:
+    """(doc_id, item_id) of every document that holds an item's passage or a long enough stretch of it.
+
+    Each block is searched in about pass_chars characters of text before the next one is loaded.
+    """
     kinds = {c: k for c, k in [*documents.dtypes, *items.dtypes]}
     schema = f"`{doc_id}` {kinds[doc_id]}, `{item_id}` {kinds[item_id]}"
-
-    def block(search: LeakSearch) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                ids, texts = batch[doc_id].tolist(), batch[text].tolist()
-                out = [(ids[a + i], item) for a, b in chunks(texts) for i, item in search.leaks(texts[a:b])]
-                yield pd.DataFrame(out, columns=[doc_id, item_id]).drop_duplicates()
-
-        return documents.select(doc_id, text).where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).mapInPandas(run, schema)
-
-    found, ids, passages = [], [], []
-    for row in items.select(item_id, passage).where(F.col(passage).isNotNull() & F.col(item_id).isNotNull()).toLocalIterator():
+    sc = documents.sparkSession.sparkContext
+    items = items.select(item_id, passage).where(F.col(passage).isNotNull() & F.col(item_id).isNotNull())
+    shared = shared_sentences(items, passage)
+    blocks, ids, passages = [], [], []
+    for row in items.toLocalIterator():
         ids.append(row[0])
         passages.append(row[1])
         if len(ids) == block_items:
-            found.append(block(LeakSearch(ids, passages, **options)))
+            blocks.append(sc.broadcast(LeakSearch(ids, passages, shared, **options)))
             ids, passages = [], []
-    if ids or not found:
-        found.append(block(LeakSearch(ids, passages, **options)))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    if ids or not blocks:
+        blocks.append(sc.broadcast(LeakSearch(ids, passages, shared, **options)))
+
+    def search(doc_ids: list, texts: list[str]) -> pd.DataFrame:
+        parts = [(a, texts[a:b]) for a, b in chunks(texts)]
+        # one block: its words are made chunk by chunk; several: made once and kept for all of them
+        streams = [None] * len(parts) if len(blocks) == 1 else [word_stream(p) if len(p) > 1 or len(p[0]) <= 4 * CHUNK_CHARS else None for _, p in parts]
+        out = []
+        for block in blocks:
+            machine = block.value
+            out += [(doc_ids[a + i], item) for (a, p), s in zip(parts, streams, strict=True) for i, item in machine.leaks(p, s)]
+            if len(blocks) > 1:
+                del machine
+                block.__dict__.pop("_value", None)  # a worker holds one block at a time
+        return pd.DataFrame(list(dict.fromkeys(out)), columns=[doc_id, item_id]) if out else pd.DataFrame({doc_id: [], item_id: []}, dtype=object)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held_ids, held, size = [], [], 0
+        for batch in batches:
+            for i, t in zip(batch[doc_id].tolist(), batch[text].tolist(), strict=True):
+                held_ids.append(i)
+                held.append(t)
+                size += len(t)
+                if size >= pass_chars:
+                    yield search(held_ids, held)
+                    held_ids, held, size = [], [], 0
+        if held:
+            yield search(held_ids, held)
+
+    return documents.select(doc_id, text).where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).mapInPandas(run, schema)

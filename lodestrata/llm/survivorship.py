@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import normalize_path
+
 #: Texts that stand for a missing value, in lower case.
 STAND_INS = ("", "-", "--", "?", "n/a", "na", "none", "null", "nil", "unknown", "tbd", "n.a.", "not available")
 
@@ -26,10 +28,8 @@ def filled(value: Column) -> Column:
 
 def repository_path(path: Column) -> Column:
     """The path from the repository directory on (its name ends in seven digits), in lower case, with forward slashes and without empty, ``.`` and ``..`` steps; null if there is none."""
-    slashes = F.regexp_replace(F.regexp_replace(F.lower(F.trim(path)), r"\\", "/"), r"/(?:\.?/)+", "/")
-    folded = slashes
-    for _ in range(4):
-        folded = F.when(folded.contains("/../"), F.regexp_replace(folded, r"[^/]+/\.\./", "")).otherwise(folded)
+    slashes = F.regexp_replace(F.lower(F.trim(path)), r"\\", "/")
+    folded = F.when(slashes.rlike(r"(?:^|/)\.{0,2}(?:/|$)"), normalize_path(slashes)).otherwise(slashes)
     out = F.regexp_extract(folded, r"(?:^|/)([^/]*(?<![0-9])[0-9]{7}/.*)$", 1)
     return F.when(out != "", out)
 

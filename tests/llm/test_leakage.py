@@ -12,13 +12,16 @@ def passage(rng, n=60):
     return " ".join(rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(n)).capitalize() + "."
 
 
+ASKED = "please answer with one letter only"
+
+
 def setup(seed=2, n=12):
     rng = random.Random(seed)
     return rng, [passage(rng) + " Please answer with one letter only." for _ in range(n)]
 
 
 def leaks(items, texts):
-    s = k.LeakSearch(list(range(len(items))), items)
+    s = k.LeakSearch(list(range(len(items))), items, frozenset([ASKED]))
     return sorted(set(s.leaks(texts)))
 
 
@@ -65,5 +68,24 @@ def test_frame(spark):
     docs = spark.createDataFrame([(1, items[0], "x"), (2, items[0], "x"), (3, None, "x"), (None, items[0], "x"), (4, "  ", "x"), (5, "y" * 300_000 + " " + items[4], "x")], "doc_id long, text string, passage string")
     ev = spark.createDataFrame([(n, p, "t") for n, p in enumerate(items)] + [(98, None, "t"), (99, "too short", "t")], "item_id long, passage string, text string")
     assert rows(k.leaked_items(docs, ev), "doc_id", "item_id") == [(1, 0), (2, 0), (5, 4)]
-    assert rows(k.leaked_items(docs, ev, block_items=5), "doc_id", "item_id") == [(1, 0), (2, 0), (5, 4)]
+    for size in (1, 3, 5):
+        assert rows(k.leaked_items(docs, ev, block_items=size), "doc_id", "item_id") == [(1, 0), (2, 0), (5, 4)]
+    assert rows(k.leaked_items(docs, ev, block_items=5, pass_chars=10), "doc_id", "item_id") == [(1, 0), (2, 0), (5, 4)]
     assert k.leaked_items(docs, ev.limit(0)).count() == 0 and k.leaked_items(docs.limit(0), ev).count() == 0
+
+
+def test_shared_sentence_in_any_blocks(spark):
+    """A sentence that all items share is no leak, however the items are cut into blocks."""
+    rng = random.Random(8)
+    asked = "Read the following text with care and then answer the question below with one letter only, without any further words."
+    ev = spark.createDataFrame([(n, passage(rng) + " " + asked) for n in range(12)], "item_id long, passage string")
+    docs = spark.createDataFrame([(1, "Intro. " + asked + " Outro."), (2, ev.where("item_id = 7").first().passage)], "doc_id long, text string")
+    for size in (3, 20_000):
+        assert rows(k.leaked_items(docs, ev, block_items=size), "doc_id", "item_id") == [(2, 7)]
+    assert k.leaked_items(docs, ev, block_items=3)._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+
+
+def test_words_beyond_the_basic_plane():
+    same = lambda a, b: k.word_stream([a])[0].tolist() == k.word_stream([b])[0].tolist()
+    assert same("\U0001d400mber ﬁle café", "amber file cafe\u0301") and same("x\U00020000y", "X\U00020000Y") and not same("x\U00020000y", "x y") and not same("x\U00020000y", "x\U00020001y")
+    assert same("a \U0001f600 b", "a b") and same("one <img alt='" + "z" * 500 + "'> two", "one two") and same("가나", "가나") and not same("가나", "가다")

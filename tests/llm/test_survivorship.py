@@ -56,3 +56,11 @@ def test_expressions(spark):
     df = spark.createDataFrame([("/srv/ws/x-0000012/a/./b/../c.py", "Ts-Qx-1-ip", "Ext-Lintel/3.3", " HI", "N/A"), ("x-00000123/a", None, None, None, None)], "p string, r string, a string, c string, v string")
     r = df.select(repository_path(F.col("p")).alias("p"), normalised_rule(F.col("r")).alias("r"), analyzer_key(F.col("a")).alias("a"), confidence_rank(F.col("c")).alias("c"), filled(F.col("v")).alias("v")).collect()
     assert tuple(r[0]) == ("x-0000012/a/c.py", "QX-1", "extlintel", 3, False) and tuple(r[1]) == (None, None, None, 0, False)
+
+
+def test_paths_fold_at_any_depth(spark):
+    for path, want in [
+        ("repo1234567/a/b/c/../../../src/f.py", "repo1234567/src/f.py"), ("repo1234567/a/../b/../../repo1234567/x/./y//F.py", "repo1234567/x/y/f.py"), ("/srv/x/../repo1234567/" + "d/" * 9 + "../" * 9 + "f.py", "repo1234567/f.py"),
+        ("C:\\w\\repo1234567\\a\\..\\f.py", "repo1234567/f.py"), ("a/b.py", None), (None, None), ("", None), ("repo1234567/..", None),
+    ]:
+        assert spark.createDataFrame([(path,)], "p string").select(repository_path(F.col("p"))).first()[0] == want, path
