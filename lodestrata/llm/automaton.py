@@ -59,9 +59,8 @@ class _Nfa:
                 at = self.add(arg[3], at, (fold or bool(arg[1] & re.I)) and not arg[2] & re.I)
             elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
                 low, high, inner = arg
-                if high is C.MAXREPEAT or high > self.most:
-                    high = C.MAXREPEAT
-                low = min(low, self.most)
+                if low > self.most or high is not C.MAXREPEAT and high > self.most:
+                    raise ValueError(f"counts above {self.most} are not supported")
                 for _ in range(low):
                     at = self.add(inner, at, fold)
                 if high is C.MAXREPEAT:
@@ -107,7 +106,9 @@ class _Nfa:
 class Automaton:
     """table[state, class] is the next state, 0 the dead one; accepts[state] is a bit for each rule.
 
-    State 1 begins all rules and state 2 those that may begin inside a run of name characters.
+    State 1 begins the rules, state 2 those that may begin inside a run of name characters, and state
+    3 the rules kept apart: they share no states with the others, so the counts of these rules don't
+    multiply with the others' states.
     """
 
     names: list[str]
@@ -115,22 +116,20 @@ class Automaton:
     classes: np.ndarray  # of each of the 129 characters; the last class ends a text
     table: np.ndarray
     accepts: np.ndarray
-    first: np.ndarray  # characters with which a match can begin
+    first: np.ndarray  # characters with which a match can begin, for states 1 and 3
 
     def codes(self, text: np.ndarray) -> np.ndarray:
         """Classes of characters given as code points."""
         return self.classes[np.minimum(text, OTHER)]
 
-    def longest(self, codes: np.ndarray, starts: np.ndarray, inner: np.ndarray | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    def longest(self, codes: np.ndarray, starts: np.ndarray, state: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
         """For each rule (index into starts, end of the longest match) where it matches; and the starts that were alive at the end of their text or of the array.
 
-        inner: which starts begin in state 2.
+        state: the state in which each start begins.
         """
         n, stop = len(codes), self.classes[129]
         ends = np.zeros((len(self.names), len(starts)), np.int64)
-        lane, at, state = np.arange(len(starts)), starts.copy(), np.ones(len(starts), np.int64)
-        if inner is not None:
-            state[inner] = 2
+        lane, at = np.arange(len(starts)), starts.copy()
         unfinished = []
         while len(lane):
             open_ = codes[np.minimum(at, n - 1)] != stop
@@ -155,17 +154,18 @@ class Automaton:
         return out, np.concatenate(unfinished) if unfinished else np.zeros(0, np.int64)
 
 
-def compile_rules(rules: dict[str, str], anchored: frozenset[str] = frozenset(), most_repeats: int = 4, most_states: int = 60_000) -> Automaton:
+def compile_rules(rules: dict[str, str], anchored: frozenset[str] = frozenset(), apart: frozenset[str] = frozenset(), most_repeats: int = 64, most_states: int = 200_000) -> Automaton:
     """anchored: rules that begin at the first character of a run of name characters only.
+    apart: rules that begin in state 3.
 
-    Counts above most_repeats are loosened in the automaton ({30,40} becomes {4,}); the caller's grammar checks them on each match."""
+    Counts up to most_repeats are exact; rules with higher ones are refused."""
     nfa = _Nfa(most_repeats)
-    start, inner = nfa.state(), nfa.state()
+    start, inner, alone = nfa.state(), nfa.state(), nfa.state()
     goal: dict[int, int] = {}
     for r, (name, pattern) in enumerate(rules.items()):
         first = nfa.state()
-        nfa.jumps[start].append(first)
-        if name not in anchored:
+        nfa.jumps[alone if name in apart else start].append(first)
+        if name not in anchored | apart:
             nfa.jumps[inner].append(first)
         tree = parse(pattern)
         goal[nfa.add(tree, first, False)] = 1 << r
@@ -191,36 +191,42 @@ def compile_rules(rules: dict[str, str], anchored: frozenset[str] = frozenset(),
                     stack.append(to)
         return frozenset(s for s in seen if nfa.steps[s] or s in goal)
 
-    # a mark keeps the two first states apart even where they hold the same rules
-    begin, within = close(frozenset([start])) | {-1}, close(frozenset([inner])) | {-2}
-    number, queue, rows = {frozenset(): 0, begin: 1, within: 2}, [begin, within], {0: [0] * (end_class + 1)}
-    by_class = [[([k for k, c in enumerate(members) if c in chars], to) for chars, to in steps] for steps in nfa.steps]
+    # a mark keeps the first states apart even where they hold the same rules
+    begin = [close(frozenset([x])) | {-1 - k} for k, x in enumerate((start, inner, alone))]
+    number, queue, rows = {frozenset(): 0, **{b: k + 1 for k, b in enumerate(begin)}}, list(begin), {0: [0] * (end_class + 1)}
+    # the character sets that hold each class, as bits: classes with the same open sets share their next state
+    bit = {chars: 1 << i for i, chars in enumerate(ordered)}
+    holds = [sum(1 << i for i, chars in enumerate(ordered) if c in chars) for c in members]
+    steps_of = [[(bit[chars], to) for chars, to in steps] for steps in nfa.steps]
     closed: dict[frozenset, frozenset] = {}
     while queue:
         here = queue.pop()
-        row = [0] * (end_class + 1)
         reach: dict[int, set[int]] = {}
         for s in here:
-            for ks, to in by_class[s] if s >= 0 else ():
-                for k in ks:
-                    reach.setdefault(k, set()).add(to)
-        for k, states in reach.items():
-            to = frozenset(states)
-            if to not in closed:
-                closed[to] = close(to)
-            to = closed[to]
-            if to not in number:
-                number[to] = len(number)
-                if len(number) > most_states:
-                    raise ValueError("the automaton is too large")
-                queue.append(to)
-            row[k] = number[to]
-        rows[number[here]] = row
+            for mark, to in steps_of[s] if s >= 0 else ():
+                reach.setdefault(mark, set()).add(to)
+        live, known = sum(reach), {0: 0}
+        row = []
+        for held in holds:
+            key = held & live
+            if key not in known:
+                to = frozenset().union(*[states for mark, states in reach.items() if mark & key])
+                if to not in closed:
+                    closed[to] = close(to)
+                to = closed[to]
+                if to not in number:
+                    number[to] = len(number)
+                    if len(number) > most_states:
+                        raise ValueError("the automaton is too large")
+                    queue.append(to)
+                known[key] = number[to]
+            row.append(known[key])
+        rows[number[here]] = [*row, 0]
     table = np.array([rows[i] for i in range(len(number))], np.int32)
     accepts = np.zeros(len(number), np.int64)
     for states, i in number.items():
         for s in states:
             accepts[i] |= goal.get(s, 0)
     classes[129] = end_class
-    first = np.array([table[1, classes[c]] > 0 for c in range(129)])
+    first = np.array([[table[x, classes[c]] > 0 for c in range(129)] for x in (1, 3)])
     return Automaton(list(rules), list(rules.values()), classes, table, accepts, first)

@@ -1,10 +1,11 @@
 """Credentials embedded in source code.
 
 Method: token formats, key armour and connection-string and assignment grammars are combined into
-one deterministic automaton (``automaton``). Texts are scanned in overlapping chunks; each match is
-split by the grammar of its rule into context and value, the absolute spans of the values are
-deduplicated, and `mask` splices placeholders over them. An exact check then drops stand-ins,
-references to values that are held elsewhere and values too plain to be a secret.
+one deterministic automaton (``automaton``), which decides with exact counts where a rule matches.
+Texts are scanned in overlapping chunks, and what goes on beyond its chunk is followed by the same
+automaton; each match is split by the grammar of its rule into context and value, the absolute spans
+of the values are deduplicated, and `mask` splices placeholders over them. An exact check then drops
+stand-ins, references to values that are held elsewhere and values too plain to be a secret.
 
 Defined results: null and empty codes and rows without a key give nothing; repeated rows give their spans again; positions
 count characters from 0; of overlapping spans the one of the stronger rule stays (key armour, links,
@@ -32,7 +33,7 @@ CHUNK, OVERLAP, MOST_CHARS = 1 << 16, 1 << 13, 1 << 21
 
 #: Endings of names that hold a secret.
 _NAMES = (
-    r"pass(?:word|wd|wort|phrase|code)?|kennwort|p(?:s?wd|w)|secret|token|auth|credentials?|contrase[nñ]a|senha|mot_?de_?passe"
+    r"pass(?:word|wd|wort|[-_]?phrase|code)?|kennwort|p(?:s?wd|w)|secret|token|auth|credentials?|contrase[nñ]a|senha|mot_?de_?passe"
     r"|(?:api|access|secret|private|signing|hmac|encryption|master|auth|account|deploy|shared(?:access)?|ssh|session|service|client)[-_]?key"
 )
 _NAME = rf"[\w.-]*(?:(?i:{_NAMES})|[a-z_]Pin|_pin|_PIN|PIN|pin)"
@@ -66,25 +67,55 @@ RULES = {
     "token_prefixed": r"(?P<v>(?:glpat-|npm_|hf_|dop_v1_|pypi-|shpat_|lin_api_|hbk_|sk_live_|sk_test_|rk_live_|pk_live_|whsec_)[\w-]{16,})",
     "token_chat": r"(?P<v>xox[abeoprs]-[A-Za-z0-9-]{10,})",
     "token_mail": rf"(?P<v>(?:key-[a-z0-9]{{32}}|SG\.[\w-]{{16,}}\.[\w-]{{16,}}|sk-[A-Za-z0-9]{{32,}}))",
+    "token_model": r"(?P<v>sk-(?:proj|ant|svcacct|admin)-[\w-]{20,})",
+    "token_session": r"(?P<v>ya29\.[\w-]{20,})",
+    "token_phone": r"(?P<v>SK[0-9a-f]{32})",
+    "token_shop": r"(?P<v>sq0(?:atp|csp|idp)-[\w-]{22,})",
+    "token_bot": r"(?P<v>[0-9]{6,12}:AA[\w-]{33})",
+    "token_list": r"(?P<v>[0-9a-f]{32}-us[0-9]{1,2})",
     "token_signed": r"(?P<v>eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})",
 }
 #: Rules that begin with a name: they start where a run of name characters does.
 _NAMED = frozenset(n for n in RULES if n.startswith("assign") or n == "remark")
+#: Tokens of one length: nothing may go on after them.
+_FIXED = frozenset({"token_access_id", "token_phone", "token_bot", "token_list"})
 _STRENGTH = {name: i for i, name in enumerate(RULES)}
 _COMPILED = {name: re.compile(p) for name, p in RULES.items()}
 
+#: Whole values that stand for another.
 _STAND_IN = re.compile(
-    r"(?:change[-_ ]?(?:me|this|it).*|replace[-_ ]?(?:me|this|with).*|(?:put|insert|enter|add|set|use)[-_ ].*(?:here|value)?|your[-_ ]?.*|my[-_ ]?(?:password|secret|token|key)|.*place[-_ ]?holder.*"
-    r"|(?:an?[-_ ])?examples?(?:[-_ ].*)?|dummy.*|sample.*|fake.*|mock.*|todo.*|fixme.*|tbd|redacted|masked|hidden|removed|none|null|nil|undefined|unset|empty|true|false|yes|no|n/a|default|string|str|text|value"
-    r"|pass(?:word|wd)?|secret|token|(?:api[-_]?)?key|test(?:ing)?|foo(?:bar)?|bar|baz|abc|required|optional|\W+|x+|(.)\1*|.*x{6,}.*|.*\*{3,}.*|.*\.{3,}|.*…)",
+    r"(?:change[-_ ]?(?:me|this|it)|replace[-_ ]?(?:me|this)|my[-_ ]?(?:password|secret|token|key)|place[-_ ]?holder|examples?|dummy|sample|fake|mock|todo|tbd|fixme|redacted|masked|hidden|removed|none|null|nil|undefined|unset|empty|true|false"
+    r"|yes|no|n/a|default|string|str|text|value|pass(?:word|wd)?|secret|token|(?:api[-_]?)?key|test(?:ing)?|foo(?:bar)?|bar|baz|abc|required|optional|\W+|x+|(.)\1*|.*x{6,}.*|.*\*{3,}.*|.*\.{3,}|.*…)",
     re.I | re.S,
 )
+#: Words that begin a stand-in if plain words follow.
+_STAND_IN_HEAD = re.compile(r"(?:change[-_ ]?(?:me|this|it)|replace[-_ ]?(?:me|this|with)|your|(?:an?[-_ ])?examples?|.{0,20}?place[-_ ]?holder|dummy|sample|fake|mock|todo|fixme)", re.I | re.S)
+_ASK = re.compile(r"(?:put|insert|enter|add|set|use)[-_ ](?:[A-Za-z]+[-_ .])*(?:here|value|key|token|password|secret|in|from|your|me|the|via|env|vault|this|it|manager|instead)(?:[-_ .][A-Za-z]+)*", re.I)
+_PLAIN_REST = re.compile(r"(?:[-_ .:/][-_ .:/A-Za-z]*|[A-Z][-_ .:/A-Za-z]*)?[-_ ]?\d{0,4}")
+#: Small words that make several words a label or a remark and no pass phrase.
+_SMALL_WORDS = frozenset("a an and are at be been by can cannot do does enter expired field for forgot from get has have here if in incorrect invalid is it its length long match minimum missing more must new no not of on or please required reset set short should than that the this to too try type use valid was which will with wrong you your".split())
+
+
+def stand_in(v: str) -> bool:
+    """Whether a value stands for another: one of the known ones, or one of the heads with nothing but plain words behind it."""
+    if _STAND_IN.fullmatch(v) or _ASK.fullmatch(v):
+        return True
+    head = _STAND_IN_HEAD.match(v)
+    return bool(head and _PLAIN_REST.fullmatch(v, head.end()) and not (v[head.end() - 1].isupper() and v[head.end() : head.end() + 1].isupper()))
+
+
+def _phrase(words: list[str]) -> bool:
+    """Whether several words are a pass phrase: plain words in small letters, none of them a small word."""
+    return len(words) >= 3 and all(w.isalpha() and w.islower() and len(w) >= 3 for w in words) and not _SMALL_WORDS & set(words)
+
+
 _REFERENCE = re.compile(
     r"(?:\$[A-Za-z_]\w*|%[A-Za-z_]\w*%|.*\$\{.*|.*\{\{.*|.*\$\(.*|.*%\(\w+\)s.*|.*<[\w -]+>.*|\{[\w.]*\}|%s|(?:vault|env|ssm|sops|file|secret|secrets|secretsmanager|keyvault|kms|op|bw|gcp|arn|ref|!\w+)[:/].*|(?:/run|/etc|/var|\./|~/).*"
     r"|(?:os|process|env|config|settings|self|this|request|params|System|Deno|vault|secrets|cfg|ctx|args|options|props|data|app|conf|context)[.\[(].*|https?://[^@]*)",
     re.S,
 )
 _PATH_OF_NAMES = re.compile(r"[A-Za-z_]\w*(?:(?:\.|::|->)[A-Za-z_]\w*)*")
+_INSIDE = np.array([chr(c).isalnum() or chr(c) in "_.-" or c == 128 for c in range(129)])
 _DIGEST = re.compile(r"(?:sha\d+[:-]|md5[:-]|h1:).*", re.I)
 
 
@@ -107,7 +138,7 @@ def _scrambled(v: str) -> bool:
 
 def _acceptable(rule: str, text: str, whole: tuple[int, int], a: int, b: int) -> bool:
     v = text[a:b]
-    if len(v) < 4 or _STAND_IN.fullmatch(v) or _REFERENCE.fullmatch(v) or _DIGEST.fullmatch(v) or "-----BEGIN" in v:
+    if len(v) < 4 or stand_in(v) or _REFERENCE.fullmatch(v) or _DIGEST.fullmatch(v) or "-----BEGIN" in v:
         return False
     if rule == "basic":
         try:
@@ -137,14 +168,15 @@ def _acceptable(rule: str, text: str, whole: tuple[int, int], a: int, b: int) ->
         mixed = bool(re.search(r"\d", v)) or bool(re.search(r"[a-z]", v) and re.search(r"[A-Z]", v) and re.search(r"[!#$%&*@^~]", v)) or _scrambled(v)
         return mixed and bool(re.search(r"[A-Za-z]", v)) and len(v) >= 8 and not v.startswith(("/", "./", "--"))
     if rule in ("assign_double", "assign_single", "assign_back", "markup_pair"):
-        return " " not in v.strip() or bool(re.search(r"\d", v)) and len(v.split()) <= 8
-    return True
+        words = v.split()
+        return len(words) == 1 or bool(re.search(r"\d", v)) and not _SMALL_WORDS & {w.lower() for w in words} or _phrase(words)
+    return not (rule in _FIXED and text[b : b + 1].isalnum())
 
 
 @lru_cache(maxsize=1)
 def automaton() -> Automaton:
     """The automaton of all rules, made once a process."""
-    return compile_rules(RULES, _NAMED)
+    return compile_rules(RULES, _NAMED, frozenset(n for n in RULES if n.startswith("token")))
 
 
 def _tidy(rule: str, text: str, a: int, b: int) -> tuple[int, int]:
@@ -185,33 +217,56 @@ def _matches(machine: Automaton, texts: list[str], pieces: list[tuple[int, int]]
     begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     classes[begins[1:] - 1] = machine.classes[129]
     low = np.minimum(codes, 128)
-    inside = (low == 128) | (low == 95) | (low == 46) | (low == 45) | ((low >= 48) & (low <= 57)) | ((low >= 65) & (low <= 90)) | ((low >= 97) & (low <= 122))
+    inside = _INSIDE[low]
     # matches start where a run of name characters does; within one after dashes and dots, or at dashes
     fresh, dashes = np.ones(len(low), bool), np.zeros(len(low), bool)
     fresh[1:] = ~inside[:-1] | ~inside[1:]
+    for p, (i, at) in enumerate(pieces):  # a chunk may begin inside a run
+        if at and sizes[p] and inside[begins[p]] and _INSIDE[min(ord(texts[i][at - 1]), 128)]:
+            fresh[begins[p]] = False
     dashes[1:] = ~fresh[1:] & (((low[:-1] == 45) | (low[:-1] == 46)) & (low[1:] != 45) | (low[1:] == 45) & (low[:-1] != 45))
-    starts = np.flatnonzero(machine.first[low] & (fresh | dashes))
-    results, unfinished = machine.longest(classes, starts, dashes[starts])
+    place = fresh | dashes
+    starts, alone = np.flatnonzero(machine.first[0][low] & place), np.flatnonzero(machine.first[1][low] & place)
+    state = np.concatenate([np.where(dashes[starts], 2, 1), np.full(len(alone), 3)])
+    starts = np.concatenate([starts, alone])
+    results, unfinished = machine.longest(classes, starts, state)
     which = np.searchsorted(begins, starts, side="right") - 1
+    beyond: dict[int, list[tuple[int, int]]] = {}
+    open_ = set()
+    for lane in unfinished.tolist():
+        i, at = pieces[int(which[lane])]
+        if at + CHUNK < len(texts[i]):
+            open_.add(lane)
+            a = int(starts[lane] - begins[which[lane]]) + at
+            if a < at + CHUNK - OVERLAP:  # else the next chunk begins before it
+                beyond.setdefault(i, []).append((a, int(state[lane])))
     out: dict[int, set[tuple[int, int, str]]] = {}
     for r, (lanes, ends) in enumerate(results):
         for lane, end in zip(lanes.tolist(), ends.tolist(), strict=True):
-            p = int(which[lane])
-            i, at = pieces[p]
-            a, b = int(starts[lane] - begins[p]) + at, int(end - begins[p]) + at
-            out.setdefault(i, set()).add((a, b, machine.names[r]))
-    for lane in unfinished.tolist():  # what goes on beyond its chunk is matched in the whole text
-        i, at = pieces[int(which[lane])]
-        a = int(starts[lane] - begins[which[lane]]) + at
-        if at + CHUNK < len(texts[i]):
-            for name, pattern in _COMPILED.items():
-                if m := pattern.match(texts[i], a):
-                    found = out.setdefault(i, set())
-                    found -= {x for x in found if x[0] == a and x[2] == name}
-                    found.add((a, m.end(), name))
+            if lane not in open_:
+                p = int(which[lane])
+                i, at = pieces[p]
+                out.setdefault(i, set()).add((int(starts[lane] - begins[p]) + at, int(end - begins[p]) + at, machine.names[r]))
+    for i, lanes in beyond.items():
+        out.setdefault(i, set()).update(_follow(machine, texts[i], lanes))
     return out
 
 
+def _follow(machine: Automaton, text: str, lanes: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """Matches that begin at the given places and go on beyond their chunk, by the automaton in growing windows of the text."""
+    size = 4 * CHUNK
+    while lanes:
+        first = min(a for a, _ in lanes)
+        near = [x for x in lanes if x[0] < first + size // 2]
+        codes = machine.codes(np.frombuffer(text[first : first + size].encode("utf-32-le", "surrogatepass"), np.uint32))
+        results, open_ = machine.longest(codes, np.array([a - first for a, _ in near]), np.array([x for _, x in near]))
+        again = set(open_.tolist()) if first + size < len(text) else set()
+        for r, (which, ends) in enumerate(results):
+            yield from ((near[k][0], int(e) + first, machine.names[r]) for k, e in zip(which.tolist(), ends.tolist(), strict=True) if k not in again)
+        lanes = [near[k] for k in sorted(again)] + [x for x in lanes if x[0] >= first + size // 2]
+        size *= 4 if again else 1
+
+
 def _settle(texts: list[str], matches: dict[int, set[tuple[int, int, str]]]) -> Iterator[tuple[int, int, int, str]]:
     """The secrets among the matches of each text."""
     for i, found in sorted(matches.items()):
