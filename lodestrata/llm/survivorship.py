@@ -28,8 +28,8 @@ def filled(value: Column) -> Column:
 
 def repository_path(path: Column) -> Column:
     """The path from the repository directory on (its name ends in seven digits), in lower case, with forward slashes and without empty, ``.`` and ``..`` steps; null if there is none."""
-    slashes = F.regexp_replace(F.lower(F.trim(path)), r"\\", "/")
-    folded = F.when(slashes.rlike(r"(?:^|/)\.{0,2}(?:/|$)"), normalize_path(slashes)).otherwise(slashes)
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.trim(path)), r"\\", "/"), r"/(?:\.?/)+", "/")
+    folded = F.when(plain.rlike(r"/\.{1,2}(?:/|$)"), normalize_path(plain)).otherwise(plain)
     out = F.regexp_extract(folded, r"(?:^|/)([^/]*(?<![0-9])[0-9]{7}/.*)$", 1)
     return F.when(out != "", out)
 
