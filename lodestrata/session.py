@@ -10,7 +10,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -63,19 +63,23 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+def scratch(spark: SparkSession) -> Iterator[Callable]:
     """Gives a function that writes a frame to the shared checkpoint folder and reads it back; the tables are deleted at the end.
 
+    With metrics (name=aggregate) it gives (frame, {name: value}): they are observed while the frame is written, without another job.
+
     For iterative work: unlike a checkpoint, a table that is read back carries no constraints and no
     output partitioning of the plan that made it, which would grow from round to round.
     """
     folder = f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
     number = itertools.count()
 
-    def keep(df: DataFrame) -> DataFrame:
+    def keep(df: DataFrame, **metrics: Column) -> DataFrame | tuple[DataFrame, dict]:
         path = f"{folder}/{next(number)}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        seen = Observation()
+        (df.observe(seen, *[v.alias(k) for k, v in metrics.items()]) if metrics else df).write.parquet(path)
+        kept = spark.read.schema(df.schema).parquet(path)
+        return (kept, seen.get) if metrics else kept
 
     try:
         yield keep
