@@ -2,10 +2,13 @@
 
 Method: minimum labels are propagated across the edges and pointer jumping shortens the label
 chains; each round is checkpointed (as a table in the shared checkpoint folder) and the rounds end
-when no label changes. Edges between equal
-labels fall away and the others are carried on between labels. Of two neighbours at most one keeps
-its label in a round, so the labels with edges at least halve: the rounds grow as the logarithm of
-the rows, and so do the jumps within a round.
+when no label changes. Edges between equal labels fall away and the others are carried on between
+labels. Of two neighbours at most one keeps its label in a round, so the labels with edges at least
+halve: the rounds grow as the logarithm of the rows, and their sizes fall so fast that all of them
+together are of the size of the first. At the end the rounds' labels are put together, last to first.
+
+What ends a loop and what tells hot keys apart (rows, changes, degrees) is observed while a table is
+written, so no table is computed twice and no job only counts.
 
 Defined results: null ends of an edge are ignored, repeated edges and loops count once, an empty
 table gives an empty result. The label of a group is its smallest member.
@@ -18,19 +21,31 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.operators.skew import skew_safe_lookup
+from lodestrata.operators.skew import hot_keys, skew_safe_lookup
 from lodestrata.session import checkpoint, scratch
 
+HOT_SHARE, MIN_HOT = 0.01, 50_000
+
+
+def _rows() -> Column:
+    return F.count(F.lit(1))
+
 
-def star_edges(members: DataFrame, node: str, key: str) -> DataFrame:
+def star_edges(members: DataFrame, node: str, key: str, keep: Callable, rows: int) -> DataFrame:
     """(a, b) with a < b: each member of a key linked to the key's smallest member.
 
     A key of n members gives n - 1 edges, never all pairs; the minimum is pre-aggregated before
     the shuffle, and a hot key's members find it through a broadcast of hot keys.
     """
-    links = members.select(F.col(node).alias("b"), F.col(key).alias("_k")).where(F.col("b").isNotNull() & F.col("_k").isNotNull())
-    least = links.groupBy("_k").agg(F.min("b").alias("a"), F.max("b").alias("_last")).where("a < _last").select("_k", "a")
-    return skew_safe_lookup(links, least, "_k").where("a < b").select("a", "b").distinct()
+    links = members.select(F.col(node).alias("b"), F.col(key).alias("_k"))
+    least = keep(links.groupBy("_k").agg(F.min("b").alias("a"), _rows().alias("_n")).where("_n > 1"))
+    hot = _hot(least.select("_k", "_n"), rows)
+    return skew_safe_lookup(links, least.select("_k", "a"), "_k", hot=hot).where("a < b").select("a", "b").distinct()
+
+
+def _hot(counts: DataFrame, rows: int) -> list[tuple]:
+    """Keys of a (key, number of rows) table that own a large share of the rows: at most 1 / HOT_SHARE."""
+    return [(r[0],) for r in counts.where(F.col(counts.columns[1]) >= max(MIN_HOT, HOT_SHARE * rows)).collect()] if rows >= MIN_HOT else []
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
@@ -39,37 +54,57 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         return checkpoint(_components(edges, a, b, max_rounds, keep))
 
 
-def _components(edges: DataFrame, a: str, b: str, max_rounds: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _flat(parent: DataFrame, hot: list[tuple], keep: Callable) -> tuple[DataFrame, list[tuple]]:
+    """(node, up) with every node pointing at the root of its tree, and the hot ones of up: pointers reach three times as far with each stored table."""
+    while True:
+        above = parent.where("node <> up").select(F.col("node").alias("up"), F.col("up").alias("_up2"))
+        once = skew_safe_lookup(parent, above, "up", hot=hot).select("node", "up", F.coalesce("_up2", "up").alias("_mid"))
+        more = above.select(F.col("up").alias("_mid"), F.col("_up2").alias("_up3"))
+        jumped = skew_safe_lookup(once, more, "_mid", hot=hot).select("node", F.col("_mid"), F.coalesce("_up3", "_mid").alias("up"))
+        jumped, seen = keep(jumped, rows=_rows(), open=F.count_if(F.col("_mid") != F.col("up")))
+        parent = jumped.select("node", "up")
+        hot = hot_keys(parent, ["up"], HOT_SHARE, MIN_HOT, seen["rows"])
+        if not seen["open"]:
+            return parent, hot
+
+
+def _components(edges: DataFrame, a: str, b: str, max_rounds: int, keep: Callable) -> DataFrame:
     low, high = F.least(a, b), F.greatest(a, b)
-    edges = keep(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(low.alias("a"), high.alias("b")).where("a < b").distinct())
-    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node"))
-    if edges.isEmpty():
-        return labels
+    edges, seen = keep(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(low.alias("a"), high.alias("b")).where("a < b").distinct(), rows=_rows())
+    rounds: list[tuple[DataFrame, list[tuple]]] = []
     for _ in range(max_rounds):
+        if not seen["rows"]:
+            break
         # the smallest neighbour of each label that still has an edge
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a"))
-        parent = keep(both.groupBy("node").agg(F.min("next").alias("_n")).select("node", F.least("node", "_n").alias("up")))
-        # pointer jumping until every node points at the root of its tree: pointers halve the way each time
-        while True:
-            above = parent.where("node <> up").select(F.col("node").alias("up"), F.col("up").alias("_up2"))
-            jumped = keep(skew_safe_lookup(parent, above, "up").select("node", "up", F.coalesce("_up2", "up").alias("next")))
-            parent = jumped.select("node", F.col("next").alias("up"))
-            if jumped.where("next <> up").isEmpty():
-                break
-        parent = parent.withColumnRenamed("up", "label")
-        moved = parent.where("node <> label").withColumnRenamed("node", "_old").withColumnRenamed("label", "_new")
-        step = lambda df, c, m=moved: skew_safe_lookup(df.withColumnRenamed(c, "_old"), m, "_old").withColumn(c, F.coalesce("_new", "_old")).drop("_old", "_new")
-        labels = keep(step(labels, "label"))
-        edges = step(step(edges, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = keep(edges)
-        if edges.isEmpty():
-            return labels.select("node", "label")
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+        parent, hot = both.groupBy("node").agg(F.min("next").alias("_n"), _rows().alias("_degree")).select("node", F.least("node", "_n").alias("up"), "_degree"), []
+        if seen["rows"] >= MIN_HOT:
+            parent = keep(parent)
+            hot = _hot(parent.select("node", "_degree"), seen["rows"])
+        flat, heavy = _flat(parent.select("node", "up"), hot, keep)
+        rounds.append((flat, heavy))
+        moved = flat.where("node <> up").select(F.col("node").alias("_old"), F.col("up").alias("_new"))
+        step = lambda df, c, m=moved, h=hot: skew_safe_lookup(df.withColumnRenamed(c, "_old"), m, "_old", hot=h).withColumn(c, F.coalesce("_new", "_old")).drop("_old", "_new")
+        once = step(edges, "a")
+        if hot:  # stored: with hot keys each step is a union, whose parts would read the step before twice
+            once = keep(once)
+        edges, seen = keep(step(once, "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows=_rows())
+    else:
+        raise RuntimeError(f"labels still change after {max_rounds} rounds")
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = rounds.pop()[0].withColumnRenamed("up", "label")
+    while rounds:
+        before, hot = rounds.pop()
+        last = labels.where("node <> label").select(F.col("node").alias("up"), F.col("label").alias("_last"))
+        labels = skew_safe_lookup(before, keep(last) if hot else last, "up", hot=hot).select("node", F.coalesce("_last", "up").alias("label"))
+    return labels
 
 
 def groups_by_shared_keys(rows: DataFrame, node: str, keys: Column) -> DataFrame:
     """(group_id, node) of the rows that share a key of the array ``keys``, directly or through further rows, in groups of two or more."""
-    # read three times below: kept once instead of extracting the keys again
-    members = checkpoint(rows.select(F.col(node), F.explode(keys).alias("_key")).distinct())
-    found = connected_components(star_edges(members, node, "_key"))
+    with scratch(rows.sparkSession) as keep:
+        exploded = rows.where(F.col(node).isNotNull()).select(F.col(node), F.explode(keys).alias("_key")).where("_key is not null").distinct()
+        members, seen = keep(exploded, rows=_rows())
+        found = checkpoint(_components(star_edges(members, node, "_key", keep, seen["rows"]), "a", "b", 200, keep))
     return found.select(F.col("label").alias("group_id"), F.col("node").alias(node))

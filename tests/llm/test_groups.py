@@ -3,8 +3,10 @@ import random
 from pyspark.sql import functions as F
 
 from conftest import rows
+from lodestrata.llm import components
 from lodestrata.llm.components import connected_components, groups_by_shared_keys, star_edges
 from lodestrata.llm.identifiers import identifiers
+from lodestrata.session import scratch
 
 
 def union_find(edges):
@@ -45,8 +47,19 @@ def test_components_empty(spark):
 
 def test_star_edges_are_no_pairs(spark):
     m = spark.createDataFrame([(n, "k") for n in range(50)] + [(None, "k"), (7, None), (99, "alone")], "id long, key string")
-    e = star_edges(m, "id", "key")
-    assert e.count() == 49 and {r.a for r in e.collect()} == {0}
+    with scratch(spark) as keep:
+        e = star_edges(m.dropna(), "id", "key", keep, 52)
+        assert e.count() == 49 and {r.a for r in e.collect()} == {0}
+
+
+def test_hot_keys_take_the_same_way(spark, monkeypatch):
+    """With a threshold that makes many nodes hot, the labels are the same."""
+    monkeypatch.setattr(components, "MIN_HOT", 5)
+    rng = random.Random(4)
+    edges = [(1, n) for n in range(2, 300)] + [(n, n + 1) for n in range(400, 440)] + [(rng.randrange(500, 700), rng.randrange(500, 700)) for _ in range(150)] + [(440, 300), (299, 700)]
+    assert rows(connected_components(frame(spark, edges)), "node", "label") == sorted(union_find(edges), key=repr)
+    df = spark.createDataFrame([(n, ["a", f"k{n % 7}"] if n % 2 else [f"x{n}"]) for n in range(200)], "id long, keys array<string>")
+    assert rows(groups_by_shared_keys(df, "id", F.col("keys")), "group_id", "id") == sorted(((1, n) for n in range(1, 200, 2)), key=repr)
 
 
 def test_identifiers(spark):
