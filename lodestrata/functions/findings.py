@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import normalize_path, normalize_snippet, short_hash
@@ -44,6 +44,12 @@ def issue_group_id(rule="rule_id", path="file_path", title="title", taint="taint
     return short_hash(F.concat_ws("|", F.regexp_replace(text(rule), "-IP$", ""), normalize_path(text(path)), F.nullif(function_name(F.col(title)), F.lit("")), F.try_element_at(F.col(taint), F.lit(1))))
 
 
+def fill_fingerprints(findings: DataFrame) -> DataFrame:
+    """Sets semantic_fingerprint, location_fingerprint, dedup_fingerprint and issue_group_id where they are missing or empty."""
+    made = {"semantic_fingerprint": semantic_fingerprint(), "location_fingerprint": location_fingerprint(), "dedup_fingerprint": dedup_fingerprint(), "issue_group_id": issue_group_id()}
+    return findings.withColumns({k: F.coalesce(F.nullif(F.col(k), F.lit("")), v) if k in findings.columns else v for k, v in made.items()})
+
+
 def _labelled(value: Column, table: dict, default) -> Column:
     out = F.lit(default)
     for k, v in reversed(table.items()):

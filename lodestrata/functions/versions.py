@@ -1,230 +1,207 @@
-"""Package version orders of seven ecosystems, range expressions and their Columns.
+"""Package version orders of seven ecosystems as native sort keys, and range expressions over them.
 
-`compare(ecosystem, a, b)` is the exact order; `version_compare` is the same as a Column in Arrow
-batches with cached parsing. Semantic versions and dotted numbers also have native sort keys.
+`version_key` turns a version into an array of texts whose element-by-element order is the order of
+the versions: of Debian policy, of the package tools of Alpine, of PEP 440, of Maven's version order
+specification and of Semantic Versioning. Numbers are written with their count of digits first, so
+they have no largest value, and versions may have any number of parts. Everything is a Column of
+built-in functions; no Python runs on a row.
+
+Defined results: a null version gives a null key and null comparisons; the empty version is the
+smallest of its ecosystem; an unknown or missing ecosystem is read as Semantic Versioning.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from functools import lru_cache
-from itertools import zip_longest
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_DIGITS = 9  # digits of a count of digits
+
+
+def _number(digits: Column) -> Column:
+    """A run of digits as a text that sorts by value: the count of digits without leading zeros, then these."""
+    bare = F.regexp_replace(digits, "^0+", "")
+    return F.concat(F.lpad(F.length(bare).cast("string"), _DIGITS, "0"), bare)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _texts(*parts: Column | str) -> Column:
+    return F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _epoch(v: Column, mark: str) -> tuple[Column, Column]:
+    """(epoch, rest) of a version with an epoch in front of a mark."""
+    return F.regexp_extract(v, rf"^([0-9]+){mark}", 1), F.regexp_replace(v, rf"^[0-9]+{mark}", "")
+
 
-def _int(s: str) -> int:
-    """The number, 0 where the text is none."""
-    return int(s) if re.fullmatch(r"[+-]?[0-9]+", s) else 0
+# -- Debian policy: non-digits and digits in turn; ~ before the end, the end before letters, letters before the rest
+def _debian_part(s: Column) -> Column:
+    chunks = F.filter(F.regexp_extract_all(s, F.lit("[^0-9]*[0-9]*"), F.lit(0)), lambda c: c != "")
+    text = lambda c: F.concat(F.translate(F.regexp_extract(c, "^([^0-9]*)", 1), "~+-.:", "\u0001{|}~"), F.lit("\u0002"))
+    return F.concat(F.flatten(F.transform(chunks, lambda c: F.array(text(c), _number(F.regexp_extract(c, "([0-9]*)$", 1))))), _texts("\u0002", "0" * _DIGITS))
 
 
-def _sign(a, b) -> int:
-    return (a > b) - (a < b)
+def debian_key(version: Column) -> Column:
+    epoch, rest = _epoch(version, ":")
+    revision = F.regexp_extract(rest, r"-([^-]*)$", 1)
+    return F.concat(F.array(_number(epoch)), _debian_part(F.regexp_replace(rest, r"-[^-]*$", "")), _debian_part(F.when(revision == "", "0").otherwise(revision)))
 
 
-def _first(pairs) -> int:
-    return next((c for c in pairs if c), 0)
+# -- Alpine: numbers, a letter, suffixes and a revision
+_ALPINE_SUFFIXES = {"alpha": "1", "beta": "2", "pre": "3", "rc": "4", "": "5", "cvs": "6", "svn": "7", "git": "8", "hg": "9", "p": "a"}
 
 
-# -- semantic versions -----------------------------------------------------------------------------
-@lru_cache(maxsize=65536)
-def _semver(v: str):
-    v = v[1:] if v[:1] in ("v", "V") else v
-    core, _, pre = v.split("+", 1)[0].partition("-")
-    dash = "-" in v.split("+", 1)[0]
-    numbers = [_int(x) for x in core.split(".", 2)] + [0, 0, 0]
-    return numbers[:3], pre.split(".") if dash else []
+def alpine_key(version: Column) -> Column:
+    epoch, rest = _epoch(version, ":")
+    numbers = F.split(F.regexp_extract(rest, r"^([0-9]+(?:\.[0-9]+)*)", 1), r"\.")
+    # after the first, a number with leading zeros is a fraction and sorts before all others
+    fraction = lambda x: F.concat(F.lit("4"), F.lpad((F.lit(10**_DIGITS - 1) - F.length(F.regexp_extract(x, "^(0+)", 1))).cast("string"), _DIGITS, "0"), _number(x))
+    part = lambda x, i: F.when((i > 0) & x.rlike("^0[0-9]"), fraction(x)).otherwise(F.concat(F.lit("5"), _number(x)))
+    suffixes = F.regexp_extract_all(rest, F.lit("_[a-z]+[0-9]*"), F.lit(0))
+    ranks = F.create_map(*[F.lit(x) for pair in _ALPINE_SUFFIXES.items() for x in pair])
+    rank = lambda s: F.coalesce(F.try_element_at(ranks, F.regexp_extract(s, "_([a-z]+)", 1)), F.concat(F.lit("b"), s))
+    revision = F.regexp_extract(rest, "-r([0-9]+)$", 1)
+    return F.concat(
+        F.array(_number(epoch)), F.transform(numbers, part), F.array(F.lit("1"), F.regexp_extract(rest, r"^[0-9.]*([a-z]?)(?:[_~-]|$)", 1)),
+        F.flatten(F.transform(suffixes, lambda s: F.array(rank(s), _number(F.regexp_extract(s, "([0-9]*)$", 1))))), F.array(F.lit("5"), F.when(revision == "", "").otherwise(F.concat(F.lit("1"), _number(revision)))),
+    )
 
 
-def _semver_compare(a: str, b: str) -> int:
-    (na, pa), (nb, pb) = _semver(a), _semver(b)
-    if na != nb:
-        return _sign(na, nb)
-    if not pa or not pb:
-        return _sign(not pa, not pb)
-    for x, y in zip_longest(pa, pb, fillvalue=""):
-        dx, dy = bool(re.fullmatch(r"[+-]?\d+", x)), bool(re.fullmatch(r"[+-]?\d+", y))
-        c = _sign(int(x), int(y)) if dx and dy else -1 if dx else 1 if dy else _sign(x, y)
-        if c:
-            return c
-    return _sign(len(pa), len(pb))
+# -- PEP 440
+_PEP = (
+    r"^v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?([0-9]*))?"
+    r"(-[0-9]+|[-_.]?(?:post|rev|r)[-_.]?[0-9]*)?([-_.]?dev[-_.]?[0-9]*)?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?$"
+)
 
 
-# -- Debian ----------------------------------------------------------------------------------------
-def _debian_char(c: str) -> int:
-    return -1 if c == "~" else ord(c) if c.isascii() and c.isalpha() else ord(c) + 256
+def pep440_key(version: Column) -> Column:
+    """A text that is no version of PEP 440 sorts before all that are, by itself."""
 
+    def key(v: Column) -> Column:
+        group = lambda i: F.regexp_extract(v, _PEP, i)
+        stage, post, dev, local = group(3), group(5), group(6), group(7)
+        release = F.split(F.regexp_replace(group(2), r"(?:\.0+)+$", ""), r"\.")
+        pre = F.when(stage.isin("a", "alpha"), "1").when(stage.isin("b", "beta"), "2").when(stage != "", "3").when((dev != "") & (post == ""), "0").otherwise("4")
+        tail = lambda s: _number(F.regexp_extract(s, "([0-9]*)$", 1))
+        piece = lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("2"), _number(x))).otherwise(F.concat(F.lit("1"), x))
+        whole = F.concat(
+            F.array(F.lit("1"), _number(group(1))), F.transform(release, lambda x: F.concat(F.lit("1"), _number(x))),
+            F.array(F.lit("0"), pre, _number(group(4)), F.when(post == "", "0").otherwise(F.concat(F.lit("1"), tail(post))), F.when(dev == "", "1").otherwise(F.concat(F.lit("0"), tail(dev)))),
+            F.when(local == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(local, "[-_.]"), piece)), _texts("0"),
+        )
+        return F.when(v.rlike(_PEP), whole).otherwise(F.array(F.lit("0"), v))
 
-@lru_cache(maxsize=65536)
-def _debian(v: str):
-    epoch, colon, rest = v.partition(":")
-    epoch, rest = (_int(epoch), rest) if colon else (0, v)
-    upstream, dash, revision = rest.rpartition("-")
-    if not dash:
-        upstream, revision = rest, ""
-    chunks = lambda s: [([_debian_char(c) for c in x], _int(y or "0")) for x, y in re.findall(r"([^0-9]*)([0-9]*)", s) if x or y]
-    return epoch, chunks(upstream), chunks(revision)
+    return _let(F.lower(F.trim(version)), key)
 
 
-def _debian_chunks(a, b) -> int:
-    for (xa, na), (xb, nb) in zip_longest(a, b, fillvalue=([], 0)):
-        c = _first(_sign(p, q) for p, q in zip_longest(xa, xb, fillvalue=0)) or _sign(na, nb)
-        if c:
-            return c
-    return 0
+# -- Maven: numbers and qualifiers behind dots, dashes or changes between digits and letters; what says nothing is cut off at the end and before dashes and qualifiers
+_MAVEN = {"alpha": "1", "beta": "2", "milestone": "3", "rc": "4", "cr": "4", "snapshot": "5", "": "6", "sp": "7"}
+_MAVEN_NOTHING = r"(?:[.-](?:0+|final|ga|release)(?![0-9a-z]))+(?=-|$|\.[a-z])"
 
 
-def _debian_compare(a: str, b: str) -> int:
-    va, vb = _debian(a), _debian(b)
-    return _sign(va[0], vb[0]) or _debian_chunks(va[1], vb[1]) or _debian_chunks(va[2], vb[2])
+def maven_key(version: Column) -> Column:
+    low = F.regexp_replace(F.lower(version), "_", "-")
+    for short, long in (("a", "alpha"), ("b", "beta"), ("m", "milestone")):
+        low = F.regexp_replace(low, rf"(?<![a-z]){short}(?=[0-9])", f"{long}-")
+    split = F.regexp_replace(F.regexp_replace(low, "(?<=[0-9])(?=[a-z])|(?<=[a-z])(?=[0-9])", "-"), r"(?<=[.-])(?=[.-])|^(?=[.-])", "0")
+    tokens = F.regexp_extract_all(F.regexp_replace(F.concat(F.lit("."), split), _MAVEN_NOTHING, ""), F.lit(r"[.-][^.-]+"), F.lit(0))
+    ranks = F.create_map(*[F.lit(x) for pair in _MAVEN.items() for x in pair])
 
+    def token(t: Column) -> Column:
+        word = F.substring(t, 2, F.lit(1 << 30))
+        number = F.concat(F.when(t.startswith("-"), "9").otherwise("a"), _number(word))
+        return F.when(word.rlike("^[0-9]+$"), number).otherwise(F.coalesce(F.try_element_at(ranks, word), F.concat(F.lit("8"), word)))
 
-# -- Alpine ----------------------------------------------------------------------------------------
-_ALPINE = {"p": 6, "": 5, "rc": 4, "beta": 3, "alpha": 2, "pre": 1}
+    return F.concat(F.transform(tokens, token), _texts("6"))
 
 
-@lru_cache(maxsize=65536)
-def _alpine(v: str):
-    epoch, colon, rest = v.partition(":")
-    epoch, v = (_int(epoch), rest) if colon else (0, v)
-    word, number = "", 0
-    head, mark, tail = v.rpartition("_")
-    if mark:
-        m = re.fullmatch(r"(.*?)(\d*)", tail)
-        if m[1] in _ALPINE:
-            word, number, v = m[1], _int(m[2] or "0"), head
-    parts = [(1, int(x), "") if re.fullmatch(r"[+-]?\d+", x) else (0, 0, x) for x in v.replace("-", ".").split(".") if x]
-    return epoch, parts, _ALPINE[word], number
-
-
-def _alpine_compare(a: str, b: str) -> int:
-    va, vb = _alpine(a), _alpine(b)
-    return _sign(va[0], vb[0]) or _first(_sign(x, y) for x, y in zip_longest(va[1], vb[1], fillvalue=(0, 0, ""))) or _sign(va[2], vb[2]) or _sign(va[3], vb[3])
-
+# -- Semantic Versioning, with any number of parts and absent ones as zero
+def semver_key(version: Column) -> Column:
+    v = F.regexp_replace(F.regexp_replace(version, "^[vV]", ""), r"\+.*$", "")
+    core = F.split(F.regexp_replace(F.regexp_replace(v, "-.*$", ""), r"(?:\.0*)+$", ""), r"\.")
+    field = lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("1"), _number(x))).otherwise(F.concat(F.lit("2"), x))
+    pre = F.when(v.contains("-"), F.concat(F.transform(F.split(F.regexp_replace(v, "^[^-]*-", ""), r"\."), field), _texts("0"))).otherwise(_texts("3"))
+    return F.concat(F.transform(core, lambda x: F.concat(F.lit("1"), _number(F.regexp_extract(x, "^([0-9]*)", 1)))), _texts("0"), pre)
+
 
-# -- Python ----------------------------------------------------------------------------------------
-_PYTHON = re.compile(r"(?:(\d+)!)?(\d+(?:\.\d+)*)(?:(a|b|rc|c)(\d*))?(?:\.post(\d+))?(?:\.dev(\d+))?")
+def _kind(ecosystem: Column) -> Column:
+    """The ecosystem without a release suffix such as in Alpine:v3.19."""
+    return F.coalesce(F.lower(F.trim(F.regexp_replace(ecosystem, ":.*$", ""))), F.lit(""))
 
 
-@lru_cache(maxsize=65536)
-def _python(v: str):
-    v = re.sub(r"[-_]", ".", v.strip().lower()).replace("alpha", "a").replace("beta", "b").replace("preview", "rc")
-    v = v.replace(".rc", "rc").replace(".b", "b").replace(".a", "a")
-    m = _PYTHON.fullmatch(v)
-    if not m:
-        release, stage, post, epoch = [_int(x) for x in v.split(".")], 1000, 0, 0
-    else:
-        epoch, release = _int(m[1] or "0"), [int(x) for x in m[2].split(".")]
-        base = {"a": 100, "b": 200, "rc": 300, "c": 300}
-        stage = -10 + int(m[6]) if m[6] else base[m[3]] + _int(m[4] or "0") if m[3] else 1000
-        post = int(m[5]) + 1 if m[5] else 0
-    while release and release[-1] == 0:
-        release.pop()
-    return epoch, release, stage, post
-
-
-# -- Maven -----------------------------------------------------------------------------------------
-_MAVEN = {"alpha": 1, "a": 1, "beta": 2, "b": 2, "milestone": 3, "m": 3, "rc": 4, "cr": 4, "snapshot": 5, "": 9, "ga": 9, "final": 9, "sp": 10}
-
-
-@lru_cache(maxsize=65536)
-def _maven(v: str):
-    return [(1, int(x), "") if x.isdigit() else (0, _MAVEN.get(x, 11), x) for x in re.findall(r"[0-9]+|[^0-9.\-]+", v.lower())]
-
-
-def _maven_compare(a: str, b: str) -> int:
-    for x, y in zip_longest(_maven(a), _maven(b)):
-        if x is None or y is None:
-            item, turn = (y, -1) if x is None else (x, 1)
-            c = turn * (_sign(item[1], 0) if item[0] else _sign(item[1], 9))
-        else:
-            c = _sign(x, y)
-        if c:
-            return c
-    return 0
-
-
-# -- registry --------------------------------------------------------------------------------------
-_ORDERS = {"alpine": _alpine_compare, "apk": _alpine_compare, "debian": _debian_compare, "ubuntu": _debian_compare, "dpkg": _debian_compare, "pypi": lambda a, b: _sign(_python(a), _python(b)), "python": lambda a, b: _sign(_python(a), _python(b)), "maven": _maven_compare}
-
-
-def compare(ecosystem: str, a: str, b: str) -> int:
-    """-1, 0 or 1 in the ecosystem's order; semantic versions where there is no other. A release suffix after a colon (Alpine:v3.19) doesn't count."""
-    return _ORDERS.get((ecosystem or "").split(":")[0].strip().lower(), _semver_compare)(a, b)
-
-
-def in_range(ecosystem: str, version: str, expression: str) -> bool:
-    """Comma-joined operator clauses or one interval; empty always holds, a clause without version never."""
-    if not expression:
-        return True
-    if expression[0] in "[(":
-        if len(expression) < 2:
-            return False
-        low_mark, high_mark, inner = expression[0], expression[-1], expression[1:-1]
-        low, comma, high = (x.strip() for x in inner.partition(","))
-        if not comma:
-            low_mark, high_mark, high = "[", "]", low
-        if low and compare(ecosystem, version, low) < (0 if low_mark == "[" else 1):
-            return False
-        return not (high and compare(ecosystem, version, high) > (0 if high_mark == "]" else -1))
-    for clause in filter(None, (c.strip() for c in expression.split(","))):
-        m = re.match(r"(<=|>=|!=|<|>|==|=)?\s*(.*)", clause, re.S)
-        op, bound = m[1] or "=", m[2].strip()
-        if not bound:
-            return False
-        c = compare(ecosystem, version, bound)
-        if not {"<": c < 0, "<=": c <= 0, ">": c > 0, ">=": c >= 0, "=": c == 0, "==": c == 0, "!=": c != 0}[op]:
-            return False
-    return True
-
-
-def affected(ecosystem: str, version: str, status: str, introduced: str, fixed: str, expression: str) -> bool:
-    """Fixed bound, else range, else introduced bound, else true; a status of not-affected is false."""
-    if status == "not-affected":
-        return False
-    if fixed and fixed != "0":
-        return compare(ecosystem, version, fixed) < 0
-    if expression:
-        return in_range(ecosystem, version, expression)
-    if introduced and introduced != "0":
-        return compare(ecosystem, version, introduced) >= 0
-    return True
-
-
-def _column(function, kind: str, *columns: Column) -> Column:
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for batch in batches:
-            filled = [c.fillna("") for c in batch]
-            yield pd.Series([function(*row) for row in zip(*filled, strict=True)], dtype="int32" if kind == "int" else "bool")
-
-    return run(*columns)
+def version_key(ecosystem: Column, version: Column) -> Column:
+    kind = _kind(ecosystem)
+    return (
+        F.when(version.isNull(), F.lit(None))
+        .when(kind.isin("debian", "ubuntu", "deb", "dpkg"), debian_key(version))
+        .when(kind.isin("alpine", "apk"), alpine_key(version))
+        .when(kind.isin("pypi", "python"), pep440_key(version))
+        .when(kind == "maven", maven_key(version))
+        .otherwise(semver_key(version))
+    )
 
 
 def version_compare(ecosystem: Column, a: Column, b: Column) -> Column:
-    return _column(compare, "int", ecosystem, a, b)
+    """-1, 0 or 1; null if one of the versions is null."""
+    order = lambda pair: F.when(pair["a"] < pair["b"], -1).when(pair["a"] > pair["b"], 1).when(pair["a"].isNotNull() & pair["b"].isNotNull(), 0)
+    return _let(F.struct(version_key(ecosystem, a).alias("a"), version_key(ecosystem, b).alias("b")), order)
+
+
+def version_in_range(ecosystem: Column, version: Column, expression: Column, key: Column | None = None) -> Column:
+    """Comma-joined operator clauses, or one interval in brackets; an empty or missing expression always holds, a clause without version never.
+
+    key: the version's key, where it is at hand.
+    """
+    mine = version_key(ecosystem, version) if key is None else key
+    text = F.coalesce(F.trim(expression), F.lit(""))
+
+    def clause(k: Column):
+        def holds(c: Column) -> Column:
+            op, bound = F.regexp_extract(c, "^(<=|>=|!=|<|>|==|=)?", 1), F.trim(F.regexp_replace(c, "^(<=|>=|!=|<|>|==|=)", ""))
+            test = lambda b: F.when(op == "<", k < b).when(op == "<=", k <= b).when(op == ">", k > b).when(op == ">=", k >= b).when(op == "!=", k != b).otherwise(k == b)
+            return F.when(bound == "", False).otherwise(_let(version_key(ecosystem, bound), test))
 
+        return holds
 
-def version_in_range(ecosystem: Column, version: Column, expression: Column) -> Column:
-    return _column(in_range, "boolean", ecosystem, version, expression)
+    def interval(k: Column) -> Column:
+        inner = F.regexp_replace(text, r"^.|.$", "")
+        single = ~inner.contains(",")
+        low, high = F.trim(F.regexp_extract(inner, "^([^,]*)", 1)), F.when(single, F.trim(inner)).otherwise(F.trim(F.regexp_replace(inner, "^[^,]*,", "")))
+        above = _let(version_key(ecosystem, low), lambda b: F.when(single | text.startswith("["), k >= b).otherwise(k > b))
+        below = _let(version_key(ecosystem, high), lambda b: F.when(single | text.endswith("]"), k <= b).otherwise(k < b))
+        return ((low == "") | above) & ((high == "") | below)
+
+    def inside(k: Column) -> Column:
+        clauses = F.filter(F.transform(F.split(text, ","), lambda c: F.trim(c)), lambda c: c != "")
+        return F.when(text == "", True).when(k.isNull(), F.lit(None)).when(text.rlike(r"^[\[(]"), (F.length(text) > 1) & interval(k)).otherwise(F.forall(clauses, clause(k)))
+
+    return _let(mine, inside)
 
 
 def version_affected(ecosystem: Column, version: Column, status: Column, introduced: Column, fixed: Column, expression: Column) -> Column:
-    return _column(affected, "boolean", ecosystem, version, status, introduced, fixed, expression)
+    """Fixed bound, else range, else introduced bound, else true; a status of not-affected is false and a missing version null."""
+    given = lambda c: F.coalesce((c != "") & (c != "0"), F.lit(False))
 
+    def decide(k: Column) -> Column:
+        return (
+            F.when(F.coalesce(status == "not-affected", F.lit(False)), False)
+            .when(k.isNull(), F.lit(None))
+            .when(given(fixed), k < version_key(ecosystem, fixed))
+            .when(F.coalesce(expression != "", F.lit(False)), version_in_range(ecosystem, version, expression, k))
+            .when(given(introduced), k >= version_key(ecosystem, introduced))
+            .otherwise(True)
+        )
 
-def dotted_key(version: Column, width: int = 6, strip_v: bool = True) -> Column:
-    """Numeric prefixes of the dot-separated parts as array<bigint>, padded with zeros; arrays compare part by part."""
-    v = F.regexp_replace(version, "^[vV]", "") if strip_v else version
-    numbers = F.transform(F.split(v, r"\."), lambda x: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(x, r"^([0-9]{1,18})", 1), F.lit("")), F.lit("9" * 18)).cast("bigint"), F.lit(0).cast("bigint")))
-    return F.slice(F.concat(numbers, F.array_repeat(F.lit(0).cast("bigint"), width)), 1, width)
+    return _let(version_key(ecosystem, version), decide)
 
 
-def semver_key(version: Column) -> Column:
-    """(major, minor, patch, release flag) of a semantic version as array<bigint>; pre-releases sort before their release."""
-    v = F.split(F.regexp_replace(version, "^[vV]", ""), r"\+")[0]
-    core = F.regexp_extract(v, r"^([^-]*)", 1)
-    return F.concat(dotted_key(core, 3, strip_v=False), F.array(F.when(v.contains("-"), F.lit(0)).otherwise(F.lit(1)).cast("bigint")))
+def dotted_key(version: Column, strip_v: bool = True) -> Column:
+    """The numbers that begin the dot-separated parts, as texts that sort by value, without zeros at the end; keys compare part by part."""
+    v = F.regexp_replace(version, "^[vV]", "") if strip_v else version
+    numbers = F.transform(F.split(v, r"\."), lambda x: _number(F.regexp_extract(x, "^([0-9]*)", 1)))
+    last = lambda a: F.array_max(F.transform(a, lambda x, i: F.when(x != "0" * _DIGITS, i + 1).otherwise(0)))
+    return F.when(version.isNotNull(), _let(numbers, lambda a: F.slice(a, F.lit(1), last(a))))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions.findings import text
 from lodestrata.functions.text import import_names
 from lodestrata.functions.versions import dotted_key, version_affected
+from lodestrata.operators.skew import skew_safe_join
 from lodestrata.session import bounded_broadcast
 
 VENDOR_FEEDS = ("alpine-secdb", "debian-security", "ubuntu-oval")
@@ -18,15 +18,16 @@ def lookup(packages: DataFrame, affected: DataFrame, vulnerabilities: DataFrame,
     """Equality lookup of packages (ecosystem, package_name, version, distro) in the advisories, in two tiers.
 
     Tier 1 joins on the name, tier 2 on a source package that differs from the name; a distribution
-    of the advisory must be empty or that of the package. Hash joins on (ecosystem, name); sources is
-    a dimension.
+    of the advisory must be empty or that of the package. Joins on (ecosystem, name) from the side of
+    the advisories, whose hot packages are split; sources is a dimension.
     """
     a = affected.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("distro_name", "source_package", "status", "introduced_version", "fixed_version", "affected_range")})
     a = a.select("vulnerability_id", "ecosystem", F.col("package_name").alias("_name"), "source_package", "distro_name", "status", "introduced_version", "fixed_version", "affected_range")
     p = packages.select("ecosystem", "package_name", "version", F.coalesce("distro", F.lit("")).alias("distro"))
     distro_ok = (F.col("distro_name") == "") | (F.col("distro_name") == F.col("distro"))
-    by_name = p.join(a.withColumnRenamed("_name", "package_name"), ["ecosystem", "package_name"]).where(distro_ok).withColumn("tier", F.lit(1))
-    by_source = p.join(a.where("source_package <> '' and source_package <> _name").drop("_name").withColumn("package_name", F.col("source_package")), ["ecosystem", "package_name"]).where(distro_ok).withColumn("tier", F.lit(2))
+    by_name = skew_safe_join(a.withColumnRenamed("_name", "package_name"), p, ["ecosystem", "package_name"]).where(distro_ok).withColumn("tier", F.lit(1))
+    sourced = a.where("source_package <> '' and source_package <> _name").drop("_name").withColumn("package_name", F.col("source_package"))
+    by_source = skew_safe_join(sourced, p, ["ecosystem", "package_name"]).where(distro_ok).withColumn("tier", F.lit(2))
     found = by_name.unionByName(by_source)
     v = vulnerabilities.select(F.col("id").alias("vulnerability_id"), "vuln_id", "source_id", "severity", "cvss_score")
     s = sources.select(F.col("id").alias("source_id"), "source_name")
@@ -38,7 +39,7 @@ def match_confidence(source: Column, distro: Column) -> Column:
 
 
 def affected_by_dotted(version: Column, status: Column, introduced: Column, fixed: Column) -> Column:
-    """Native variant for dotted numbers: fixed bound, else introduced bound, else true."""
+    """The variant for dotted numbers: fixed bound, else introduced bound, else true."""
     key = dotted_key(version)
     return (
         F.when(status == "not-affected", False)
@@ -54,9 +55,9 @@ def affected_exact(matches: DataFrame) -> DataFrame:
 
 
 def best_matches(matches: DataFrame, order: list[Column]) -> DataFrame:
-    """One row for each (vuln_id, package_name): the highest confidence, then the given order."""
-    w = W.partitionBy("vuln_id", "package_name").orderBy(F.col("confidence").desc(), *order)
-    return matches.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """One row for each (vuln_id, package_name): the highest confidence, then the given ascending order."""
+    first = F.min_by(F.struct(*matches.columns), F.struct((-F.col("confidence")).alias("_c"), *order))
+    return matches.groupBy(F.col("vuln_id").alias("_v"), F.col("package_name").alias("_p")).agg(first.alias("_row")).select("_row.*")
 
 
 def preferred_id(vuln_id: Column, aliases: Column) -> Column:
@@ -126,26 +127,28 @@ def normalise_licence_text(body: Column) -> Column:
 
 
 def event_pairs(events: Column) -> Column:
-    """Folds an ordered event list into (introduced, fixed) pairs: a fixed event closes the open introduction; an open one at the end stays unbounded."""
-    kind = "array<struct<introduced:string,fixed:string>>"
+    """Folds an ordered event list into (introduced, fixed, last_affected) ranges: a fixed or last_affected event closes the open introduction; an open one at the end stays unbounded. A closing event without an opening one closes a range from the start on."""
+    kind = "array<struct<introduced:string,fixed:string,last_affected:string>>"
     start = F.struct(F.lit(None).cast("string").alias("open"), F.array().cast(kind).alias("done"))
+    made = lambda a, f, l: F.array(F.struct(a.cast("string").alias("introduced"), f.cast("string").alias("fixed"), l.cast("string").alias("last_affected")))
+    none = F.lit(None)
 
     def step(state: Column, e: Column) -> Column:
-        opened = e["introduced"].isNotNull()
-        closes = e["fixed"].isNotNull() & state["open"].isNotNull()
-        pair = lambda f: F.array(F.struct(state["open"].alias("introduced"), f.cast("string").alias("fixed")))
-        done = F.when(closes, F.concat(state["done"], pair(e["fixed"]))).when(opened & state["open"].isNotNull(), F.concat(state["done"], pair(F.lit(None)))).otherwise(state["done"])
-        return F.struct(F.when(opened, e["introduced"]).when(closes, F.lit(None)).otherwise(state["open"]).alias("open"), done.alias("done"))
-
-    def finish(state: Column) -> Column:
-        return F.when(state["open"].isNotNull(), F.concat(state["done"], F.array(F.struct(state["open"].alias("introduced"), F.lit(None).cast("string").alias("fixed"))))).otherwise(state["done"])
+        opened, closes = e["introduced"].isNotNull(), e["fixed"].isNotNull() | e["last_affected"].isNotNull()
+        before = F.when(opened & state["open"].isNotNull(), F.concat(state["done"], made(state["open"], none, none))).otherwise(state["done"])
+        begin = F.when(opened, e["introduced"]).otherwise(F.coalesce(state["open"], F.lit("0")))
+        done = F.when(closes, F.concat(before, made(begin, e["fixed"], F.when(e["fixed"].isNull(), e["last_affected"])))).otherwise(before)
+        return F.struct(F.when(closes, none).when(opened, e["introduced"]).otherwise(state["open"]).alias("open"), done.alias("done"))
 
+    finish = lambda state: F.when(state["open"].isNotNull(), F.concat(state["done"], made(state["open"], none, none))).otherwise(state["done"])
     return F.aggregate(events, start, step, finish)
 
 
-def latest_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Upsert: the latest row of each key."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+def latest_wins(rows: DataFrame, keys: list[str], order: list[Column], first: bool = False) -> DataFrame:
+    """Upsert: the last row of each key in the ascending order, or the first; by partial aggregation."""
+    pick = F.min_by if first else F.max_by
+    groups = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    return groups.agg(pick(F.struct(*rows.columns), F.struct(*order)).alias("_row")).select("_row.*")
 
 
 def package_url(kind: Column, namespace: Column, name: Column, version: Column) -> Column:

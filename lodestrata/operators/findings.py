@@ -1,11 +1,18 @@
 """Filters, joins, reductions and rankings over findings.
 
 Findings are rows of F3-like columns; `base` makes missing text empty so that the expressions
-need no null handling. Every operator works on keys and pre-aggregates; none gathers a group.
+need no null handling. Every operator works on keys and pre-aggregates. The ordered folds
+(`proximity_dedup`, `issue_groups`) run over the distinct lines of a file and rule, cut into
+islands at gaps that nothing reaches across; islands are spread over the tasks and streamed
+through in order, so none is gathered.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,12 +118,18 @@ def baseline_compare(current: DataFrame, baseline: DataFrame, fingerprint: str)
     return marked.unionByName(baseline.join(new, fingerprint, "left_anti").withColumn("state", F.lit("resolved")), allowMissingColumns=True)
 
 
-def placed_in_hunks(findings: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Adds in_diff (any file hit) and in_hunk (new_start <= line < new_start + count); hunks: path, new_start, new_count."""
+def placed_in_hunks(findings: DataFrame, hunks: DataFrame, bucket: int = 64) -> DataFrame:
+    """Adds in_diff (any file hit) and in_hunk (new_start <= line < new_start + count); hunks: path, new_start, new_count.
+
+    Hunks are cut into the buckets of lines they touch and joined on (file, bucket) with the distinct
+    lines of the findings, so that a file with many of both isn't one task.
+    """
     files = hunks.select(F.col("path").alias("file_path")).distinct().withColumn("in_diff", F.lit(True))
-    inside = F.expr("line_start >= new_start and line_start < new_start + new_count")
-    hit = findings.join(hunks.withColumnRenamed("path", "file_path"), "file_path").where(inside).select("id").distinct().withColumn("in_hunk", F.lit(True))
-    return findings.join(files, "file_path", "left").join(hit, "id", "left").fillna(False, ["in_diff", "in_hunk"])
+    first, last = F.col("new_start"), F.col("new_start") + F.col("new_count") - 1
+    cut = hunks.where("new_count > 0").select(F.col("path").alias("file_path"), first.alias("_a"), last.alias("_b"), F.explode(F.sequence(F.floor(first / bucket), F.floor(last / bucket))).alias("_k"))
+    lines = findings.where("line_start is not null").select("file_path", "line_start", F.floor(F.col("line_start") / bucket).alias("_k")).distinct()
+    hit = lines.join(cut, ["file_path", "_k"]).where("line_start between _a and _b").select("file_path", "line_start").distinct().withColumn("in_hunk", F.lit(True))
+    return findings.join(files, "file_path", "left").join(hit, ["file_path", "line_start"], "left").fillna(False, ["in_diff", "in_hunk"])
 
 
 def enclosing_function(findings: DataFrame, boundaries: DataFrame) -> DataFrame:
@@ -130,11 +143,38 @@ def enclosing_function(findings: DataFrame, boundaries: DataFrame) -> DataFrame:
 
 # -- reductions ------------------------------------------------------------------------------------
 def semantic_dedup(findings: DataFrame, order: list[Column]) -> DataFrame:
-    """The first row of each (rule, file, trimmed evidence); rows without evidence all stay."""
+    """The first row of each (rule, file, trimmed evidence) in the ascending order; rows without evidence all stay."""
     f = findings.withColumns({"_r": rule_key(F.col("rule_id"), F.col("title")), "_f": last_two_steps(F.col("file_path")), "_e": F.trim("evidence")})
-    first = F.row_number().over(W.partitionBy("_r", "_f", "_e").orderBy(*order))
-    # rows without evidence aren't shuffled by it
-    return f.where("_e <> ''").withColumn("_n", first).where("_n = 1").drop("_n").unionByName(f.where("_e = ''")).drop("_r", "_f", "_e")
+    names = findings.columns
+    # partial aggregation instead of a sort of each group; rows without evidence aren't shuffled by it
+    first = f.where("_e <> ''").groupBy("_r", "_f", "_e").agg(F.min_by(F.struct(*names), F.struct(*order)).alias("_row")).select("_row.*")
+    return first.unionByName(f.where("_e = ''").select(*names))
+
+
+def _islands(lines: DataFrame, keys: list[str], line: str, reach: int) -> DataFrame:
+    """Adds _island: lines of a key that no chain of steps of at most reach lines links are in different ones."""
+    w = W.partitionBy(*keys).orderBy(line)
+    opens = F.coalesce((F.col(line) - F.lag(line).over(w) > reach).cast("int"), F.lit(0))
+    return lines.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_opens")
+
+
+def _streamed(rows: DataFrame, keys: list[str], order: list[str], fold, schema: str) -> DataFrame:
+    """Runs fold(iterator of tuples of one island) over the islands of rows, each in order; tasks hold whole islands and stream them."""
+    names = rows.columns
+    at = [names.index(k) for k in keys]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = object(), None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                key = tuple(row[i] for i in at)
+                if key != current:
+                    current, state = key, fold()
+                out.append(state(row))
+            yield pd.DataFrame(out, columns=[c.split()[0].strip("`") for c in schema.split(", ")])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def proximity_dedup(findings: DataFrame, order: list[Column], window: int = 5, priority: dict[str, int] | None = None) -> DataFrame:
@@ -145,37 +185,84 @@ def proximity_dedup(findings: DataFrame, order: list[Column], window: int = 5, p
     confidence, then the analyzer of higher priority, then comes first.
 
     Key lines never vanish, so one can open only with the first row of its line. The ordered fold
-    therefore runs over the distinct lines of a file and rule, never over its rows, and a row then
-    picks among the at most two key lines near it that had opened by its turn.
+    therefore runs over the distinct lines of an island, never over its rows, and a row then picks
+    among the at most one key line on either side that had opened by its turn: key lines lie more
+    than a window apart.
     """
     prio = F.lit(0)
     for k, v in (priority or {}).items():
         prio = F.when(F.col("analyzer") == k, v).otherwise(prio)
     f = findings.withColumn("line_start", F.coalesce("line_start", F.lit(0)))  # a missing line counts as 0
     f = f.withColumns({"_r": rule_key(F.col("rule_id"), F.col("title")), "_f": last_two_steps(F.col("file_path")), "_c": fx.confidence_order(F.col("confidence")), "_p": prio, "_o": F.struct(*order)})
-    firsts = f.groupBy("_f", "_r", "line_start").agg(F.min("_o").alias("first"))
-    steps = firsts.groupBy("_f", "_r").agg(F.sort_array(F.collect_list(F.struct("first", F.col("line_start").alias("line")))).alias("_steps"))
-    kind = steps.schema["_steps"].dataType
-
-    def fold(keys: Column, step: Column) -> Column:
-        return F.when(F.exists(keys, lambda k: F.abs(k["line"] - step["line"]) <= window), keys).otherwise(F.concat(keys, F.array(step)))
-
-    keyed = steps.withColumn("_keys", F.aggregate("_steps", F.array().cast(kind), fold))
-    near = keyed.select("_f", "_r", F.explode(F.transform("_steps", lambda s: F.struct(s["line"].alias("line_start"), F.filter("_keys", lambda k: F.abs(k["line"] - s["line"]) <= window).alias("near")))).alias("_l"))
-    near = near.select("_f", "_r", "_l.line_start", "_l.near")
-    offset = lambda k: F.struct(F.abs(k["line"] - F.col("line_start")).alias("o"), (k["line"] < F.col("line_start")).alias("back"), k["line"].alias("line"))
-    key = F.array_min(F.transform(F.filter("near", lambda k: k["first"] <= F.col("_o")), offset))["line"]
-    joined = f.join(near, ["_f", "_r", "line_start"]).withColumn("_key", key).select("id", "_f", "_r", "_key", "_c", "_p", "_o")
+    firsts = f.groupBy("_f", "_r", "line_start").agg(F.min("_o").alias("_first"))
+    lines = _islands(firsts, ["_f", "_r"], "line_start", window)
+    # the fold needs no more than the order of the lines
+    turn = F.row_number().over(W.partitionBy("_f", "_r", "_island").orderBy("_first"))
+    turns = lines.withColumn("_turn", turn).select("_f", "_r", "_island", "_turn", "line_start")
+
+    def fold():
+        keys: set[int] = set()
+
+        def step(row):
+            line = row[4]
+            is_key = not any(line + d in keys for d in range(-window, window + 1))
+            if is_key:
+                keys.add(line)
+            return row[0], row[1], line, is_key
+
+        return step
+
+    opened = _streamed(turns, ["_f", "_r", "_island"], ["_turn"], fold, "_f string, _r string, line_start int, _is_key boolean")
+    lines = lines.join(opened, ["_f", "_r", "line_start"])
+    near = W.partitionBy("_f", "_r", "_island").orderBy("line_start")
+    key = F.when(F.col("_is_key"), F.struct(F.col("line_start").alias("line"), F.col("_first").alias("first")))
+    lines = lines.withColumns({"_below": F.max(key).over(near.rangeBetween(-window, 0)), "_above": F.max(key).over(near.rangeBetween(1, window))}).select("_f", "_r", "line_start", "_below", "_above")
+    down = F.when(F.col("_below.first") <= F.col("_o"), F.col("line_start") - F.col("_below.line"))
+    up = F.when(F.col("_above.first") <= F.col("_o"), F.col("_above.line") - F.col("line_start"))
+    chosen = F.when(down.isNull() | (up <= down), F.col("_above.line")).otherwise(F.col("_below.line"))
+    joined = f.join(lines, ["_f", "_r", "line_start"]).withColumn("_key", chosen).select("id", "_f", "_r", "_key", "_c", "_p", "_o")
     # the earliest of the best reports stays: later ones must be strictly better
     best = joined.groupBy("_f", "_r", "_key").agg(F.min(F.struct((-F.col("_c")).alias("c"), (-F.col("_p")).alias("p"), F.col("_o").alias("o"), F.col("id"))).alias("_b"))
     return joined.join(best.select("_f", "_r", "_key", F.col("_b.id").alias("kept_id")), ["_f", "_r", "_key"]).select("id", "kept_id")
 
 
-def issue_groups(findings: DataFrame) -> DataFrame:
-    """By rule without -IP, path and function name of the title: group id, primary (smallest line, then id), count and related places."""
-    f = findings.withColumns({"_r": F.regexp_replace("rule_id", "-IP$", ""), "_f": normalize_path(F.col("file_path")), "_fn": fx.function_name(F.col("title"))}).where("_fn <> ''")
-    groups = f.groupBy("_r", "_f", "_fn").agg(F.count(F.lit(1)).alias("occurrence_count"), F.min(F.struct("line_start", "id")).alias("_p"), F.max("line_start").alias("last_line"))
-    return groups.select("_r", "_f", "_fn", "occurrence_count", F.col("_p.id").alias("primary_id"), F.col("_p.line_start").alias("line_start"), "last_line").withColumnsRenamed({"_r": "rule_id", "_f": "file_path", "_fn": "function_name"})
+def issue_groups(findings: DataFrame, boundaries: DataFrame | None = None, window: int = 10) -> DataFrame:
+    """(id, issue_group_id, occurrence_count, primary_id, location): every finding and its group.
+
+    A group holds the findings of one rule without -IP, path and function: the function named in the
+    title, else the one of boundaries (path, line_no, name) that encloses the line. A finding without
+    a function joins the group of the first finding of its rule and path, in the order of line and id,
+    that lies at most window lines before it, else it opens one. The primary has the smallest line,
+    then id; the other rows of a group are its related locations.
+    """
+    f = findings.withColumns({"_r": F.regexp_replace("rule_id", "-IP$", ""), "_f": normalize_path(F.col("file_path")), "_l": F.coalesce("line_start", F.lit(0)), "_fn": F.nullif(fx.function_name(F.col("title")), F.lit(""))})
+    if boundaries is not None:
+        f = enclosing_function(f, boundaries).withColumn("_fn", F.coalesce("_fn", "function")).drop("function")
+    # the first row of each line decides which group later lines meet there
+    lines = f.groupBy("_r", "_f", "_l").agg(F.min(F.struct("id", "_fn")).alias("_first"), F.count_if(F.col("_fn").isNull()).alias("_loose"))
+    lines = _islands(lines, ["_r", "_f"], "_l", window).select("_r", "_f", "_island", "_l", F.col("_first._fn").alias("_fn"))
+
+    def fold():
+        held: deque = deque()  # (line, function of its first row, group of its rows without function)
+
+        def step(row):
+            line, name = row[3], row[4]
+            while held and held[0][0] < line - window:
+                held.popleft()
+            group = (held[0][1] or held[0][2]) if held else (name or f"#{line}")
+            held.append((line, name, group))
+            return row[0], row[1], line, group
+
+        return step
+
+    groups = _streamed(lines, ["_r", "_f", "_island"], ["_l"], fold, "_r string, _f string, _l int, _near string")
+    named = f.where("_fn is not null").withColumn("_g", F.col("_fn"))
+    loose = f.where("_fn is null").join(groups, ["_r", "_f", "_l"]).withColumn("_g", F.col("_near")).drop("_near")
+    every = named.unionByName(loose).withColumn("_own", fx.issue_group_id()).select("id", "_r", "_f", "_g", "_l", "_own", F.concat(F.col("file_path"), F.lit(":"), F.col("_l").cast("string")).alias("location"))
+    best = every.groupBy("_r", "_f", "_g").agg(F.count(F.lit(1)).alias("occurrence_count"), F.min(F.struct("_l", "id", "_own")).alias("_p"))
+    group_id = F.when(F.col("_p._l") > 0, F.concat("_p._own", F.lit("-L"), F.col("_p._l").cast("string"))).otherwise(F.col("_p._own"))
+    best = best.select("_r", "_f", "_g", group_id.alias("issue_group_id"), "occurrence_count", F.col("_p.id").alias("primary_id"))
+    return every.join(best, ["_r", "_f", "_g"]).select("id", "issue_group_id", "occurrence_count", "primary_id", "location")
 
 
 # -- aggregates ------------------------------------------------------------------------------------

@@ -71,6 +71,25 @@ FIXES = (
     ("LS-PY-EVAL", r"\beval\(", "ast.literal_eval("),
     ("LS-PY-SHELL", r"shell\s*=\s*True", "shell=False"),
     ("LS-PY-PICKLE", r"\bpickle\.(loads?)\(", "json.$1("),
+    ("LS-PY-YAML", r"\byaml\.load\(", "yaml.safe_load("),
+    ("LS-PY-HASH", r"\bhashlib\.(?:md5|sha1)\(", "hashlib.sha256("),
+    ("LS-PY-VERIFY", r"verify\s*=\s*False", "verify=True"),
+    ("LS-PY-DEBUG", r"debug\s*=\s*True", "debug=False"),
+    ("LS-PY-TEMPFILE", r"\btempfile\.mktemp\(", "tempfile.mkstemp("),
+    ("LS-PY-CONTEXT", r"\bssl\._create_unverified_context\(", "ssl.create_default_context("),
+    ("LS-GO-VERIFY", r"InsecureSkipVerify:\s*true", "InsecureSkipVerify: false"),
+    ("LS-GO-HASH", r"\b(?:md5|sha1)\.New\(\)", "sha256.New()"),
+    ("LS-JS-HTML", r"\.innerHTML\s*=(?!=)", ".textContent ="),
+    ("LS-JS-TLS", r"rejectUnauthorized:\s*false", "rejectUnauthorized: true"),
+    ("LS-JS-COOKIE", r"httpOnly:\s*false", "httpOnly: true"),
+    ("LS-JAVA-HASH", r'MessageDigest\.getInstance\("(?:MD5|SHA-?1)"\)', 'MessageDigest.getInstance("SHA-256")'),
+    ("LS-JAVA-RANDOM", r"\bnew Random\(\)", "new SecureRandom()"),
+    ("LS-RB-YAML", r"\bYAML\.load\(", "YAML.safe_load("),
+    ("LS-PHP-HASH", r"\bmd5\(", "hash('sha256', "),
+    ("LS-ANY-LOG", r"\blog\.debug\(", "log.trace("),
+    ("LS-ANY-TRIM", r"\.trim\(\)", ".strip()"),
+    ("LS-ANY-HTTP", r"\bhttp://", "https://"),
+    ("LS-DOCKER-USER", r"^USER root\s*$", "USER app"),
 )
 
 

