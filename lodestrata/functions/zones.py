@@ -9,12 +9,15 @@ from zoneinfo import TZPATH, ZoneInfo
 
 import numpy as np
 
-FIRST_YEAR, LAST_YEAR = 1900, 2101
+FIRST_YEAR, LAST_YEAR = 1800, 2501
+#: From 2038 on a zone's rules are periodic, and the calendar repeats every 400 years to the weekday.
+PERIOD = 146_097 * 86_400
+PERIODIC_FROM = int((datetime(LAST_YEAR - 402, 1, 1) - datetime(1970, 1, 1)).total_seconds())
 
 
 @dataclass(frozen=True)
 class ZoneTable:
-    """Offsets of one zone: ``offsets[i]`` holds from wall second ``starts[i - 1]`` on.
+    """Offsets of one zone: ``offsets[i]`` holds from wall second ``starts[i - 1]`` on; times beyond the table are read in its last 400 years.
 
     A wall time that occurs twice falls before the boundary (its first occurrence) and one that
     is skipped keeps the old offset, which moves it forward by the length of the gap.
@@ -27,7 +30,8 @@ class ZoneTable:
     abbreviations: dict[str, int]
 
     def to_utc(self, wall_seconds: np.ndarray) -> np.ndarray:
-        return wall_seconds - self.offsets[np.searchsorted(self.starts, wall_seconds, side="right")]
+        later = np.maximum(0, -((PERIODIC_FROM + PERIOD - 1 - wall_seconds) // PERIOD)) if len(wall_seconds) else wall_seconds
+        return wall_seconds - self.offsets[np.searchsorted(self.starts, wall_seconds - later * PERIOD, side="right")]
 
 
 def tzdata_version() -> str:

@@ -4,8 +4,8 @@ Every node of a record gets the list of its ordinals from the root (its Dewey la
 label is the label without its last ordinal, and nodes that share a schema path form one table.
 Labels need nothing but the record itself, so the operator runs without any shuffle.
 
-Defined results: rows without a key, null bodies, bodies that are no valid JSON (NaN, Infinity and nesting beyond the
-parser's depth included) and records without the wanted keys give no rows. Keys match in any letter case; of keys that differ in case
+Defined results: rows without a key, null bodies, bodies that are no valid JSON (NaN and Infinity included) and records
+without the wanted keys give no rows; nesting may be of any depth. Keys match in any letter case; of keys that differ in case
 alone the last non-null one counts. Where the schema has a list, a bare value stands for a list of
 one and a text that holds a JSON list or object stands for that. Nulls keep their ordinals but give
 no rows. Numbers come out as their text.
@@ -14,8 +14,9 @@ no rows. Numbers come out as their text.
 from __future__ import annotations
 
 import json
-import sys
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,14 +43,75 @@ def parse_json(text: str | None):
     try:
         return json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_no_constant)
     except RecursionError:
-        limit = sys.getrecursionlimit()
-        sys.setrecursionlimit(100_000)
-        try:
-            return json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_no_constant)
-        except RecursionError as e:
-            raise ValueError("too deep") from e
-        finally:
-            sys.setrecursionlimit(limit)
+        return _parse_deep(text)
+
+
+_BLANK = re.compile(r"[ \t\n\r]*")
+_NUMBER = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?")
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _parse_deep(text: str):
+    """parse_json for any depth: open lists and objects lie on a stack of their own."""
+    skip = lambda i: _BLANK.match(text, i).end()
+    root: list = []
+    stack, at, n = [(root, None)], skip(0), len(text)
+    while True:
+        holder, key = stack[-1]
+        c = text[at : at + 1]
+        opened = None
+        if c == '"':
+            value, at = scanstring(text, at + 1, True)
+        elif c and c in "[{":
+            value = opened = [] if c == "[" else {}
+            at += 1
+        elif word := next((w for w in _WORDS if text.startswith(w, at)), None):
+            value, at = _WORDS[word], at + len(word)
+        elif m := _NUMBER.match(text, at):
+            value, at = _Number(m[0]), m.end()
+        else:
+            raise ValueError(f"no value at {at}")
+        if isinstance(holder, list):
+            holder.append(value)
+        else:
+            holder[key] = value
+        if opened is not None:
+            at = skip(at)
+            if text[at : at + 1] != ("]" if isinstance(opened, list) else "}"):
+                stack.append((opened, None))
+                at = _key(text, stack, at, skip)
+                continue
+            at += 1
+        while True:  # close what ends here
+            at = skip(at)
+            holder, _ = stack[-1]
+            if len(stack) == 1:
+                if at != n:
+                    raise ValueError(f"more than one value at {at}")
+                return root[0]
+            c = text[at : at + 1]
+            at += 1
+            if c == ",":
+                at = _key(text, stack, skip(at), skip)
+                break
+            if c != ("]" if isinstance(holder, list) else "}"):
+                raise ValueError(f"not closed at {at}")
+            stack.pop()
+
+
+def _key(text: str, stack: list, at: int, skip) -> int:
+    """Reads the key of the next value if the innermost holder is an object; the place of the value."""
+    holder, _ = stack[-1]
+    if isinstance(holder, list):
+        return at
+    if text[at : at + 1] != '"':
+        raise ValueError(f"no key at {at}")
+    key, at = scanstring(text, at + 1, True)
+    at = skip(at)
+    if text[at : at + 1] != ":":
+        raise ValueError(f"no colon at {at}")
+    stack[-1] = (holder, key)
+    return skip(at + 1)
 
 
 def _fields(node: dict) -> dict:
@@ -90,8 +152,8 @@ def _decoded(value):
     return value
 
 
-def dewey_nodes(record: dict, lists: frozenset[str], wanted: frozenset[str], prefixes: frozenset[str]) -> Iterator[tuple[str, list[int], str]]:
-    """(schema path, Dewey label, text) of the scalar nodes at wanted paths; a label has an ordinal for each key and each element."""
+def dewey_nodes(record: dict, lists: frozenset[str], wanted: frozenset[str], prefixes: frozenset[str], parents: frozenset[str] = frozenset()) -> Iterator[tuple[str, list[int], str | None]]:
+    """(schema path, Dewey label, text) of the scalar nodes at wanted paths, and of the objects at parents (text null); a label has an ordinal for each key and each element."""
     stack = [("", (), record)]
     while stack:
         path, label, node = stack.pop()
@@ -106,6 +168,8 @@ def dewey_nodes(record: dict, lists: frozenset[str], wanted: frozenset[str], pre
         if path.endswith("[]") and path not in wanted:
             node = _decoded(node)
         if isinstance(node, dict):
+            if path in parents:
+                yield path, list(label), None
             for i, (k, v) in enumerate((node if node is record else _fields(node)).items()):
                 inner = f"{path}.{k}" if path else k
                 if v is not None and inner in prefixes:
@@ -117,14 +181,14 @@ def dewey_nodes(record: dict, lists: frozenset[str], wanted: frozenset[str], pre
                 yield path, list(label), text if text.isascii() else text.encode("utf-8", "replace").decode()
 
 
-def shred(rows: DataFrame, key: str, body: str, leaves: tuple[str, ...] = ADVISORY_LEAVES, lists: frozenset[str] = ADVISORY_LISTS) -> DataFrame:
-    """(key, path, dewey array<int>, text): the scalar nodes of each record at the given schema paths.
+def shred(rows: DataFrame, key: str, body: str, leaves: tuple[str, ...] = ADVISORY_LEAVES, lists: frozenset[str] = ADVISORY_LISTS, parents: tuple[str, ...] = ()) -> DataFrame:
+    """(key, path, dewey array<int>, text): the scalar nodes of each record at the given schema paths, and its objects at parents with a null text.
 
     Each path's rows are one flat table; `parent_label` and `element_ordinals` give the links.
     Only key and body are read; extra columns don't matter. Repeated keys give their rows again.
     """
-    wanted = frozenset(leaves)
-    prefixes = frozenset(p[:i] for p in leaves for i in range(1, len(p) + 1))
+    wanted, above = frozenset(leaves), frozenset(parents)
+    prefixes = frozenset(p[:i] for p in (*leaves, *parents) for i in range(1, len(p) + 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -135,7 +199,7 @@ def shred(rows: DataFrame, key: str, body: str, leaves: tuple[str, ...] = ADVISO
                 except ValueError:
                     continue
                 if record is not None:
-                    out += [(k, *x) for x in dewey_nodes(record, lists, wanted, prefixes)]
+                    out += [(k, *x) for x in dewey_nodes(record, lists, wanted, prefixes, above)]
                 if len(out) > 50_000:
                     yield pd.DataFrame(out, columns=[key, "path", "dewey", "text"])
                     out = []
@@ -150,6 +214,18 @@ def parent_label(dewey: Column) -> Column:
     return F.when(F.size(dewey) > 1, F.slice(dewey, F.lit(1), F.size(dewey) - 1))
 
 
+ADVISORY_PARENTS = ("affected[]", "affected[].ranges[]")
+
+
+def advisory_parents(nodes: DataFrame, key: str) -> DataFrame:
+    """(key, affected_no, range_no) of each affected entry (range_no null) and each range, with or without leaves.
+
+    Labels read [affected key, affected_no] or [affected key, affected_no, ranges key, range_no].
+    """
+    at = lambda i: F.try_element_at("dewey", F.lit(i))
+    return nodes.where(F.col("path").isin(*ADVISORY_PARENTS)).select(key, at(2).alias("affected_no"), at(4).alias("range_no"))
+
+
 def advisory_leaves(nodes: DataFrame, key: str) -> DataFrame:
     """(key, affected_no, leaf_kind, range_no, leaf_no, leaf) from shredded advisory records.
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from zoneinfo import available_timezones
 
 import numpy as np
 import pandas as pd
@@ -264,15 +265,15 @@ def utc_micros(value: Column, zone: Column, order: Column, tables: dict[str, Zon
     return convert(value, zone, order)
 
 
-def normalise_timestamps(rows: DataFrame, feeds: DataFrame, key: str, feed_key: str, fields: list[str], max_zones: int = 1000) -> DataFrame:
+def normalise_timestamps(rows: DataFrame, feeds: DataFrame, key: str, feed_key: str, fields: list[str]) -> DataFrame:
     """(key, field_name, text, utc_us) of each non-null text in fields.
 
-    feeds: id, time_zone, date_order, a dimension; at most max_zones of its zones are made into
-    tables on the driver, further ones are looked up by the workers. Rows without a feed are kept
-    (UTC, YMD). Extra columns are ignored.
+    feeds: id, time_zone, date_order. Each zone that it names and the zone database knows is made
+    into a table on the driver; there are some 600 in the database, whatever feeds holds. Rows
+    without a feed are kept (UTC, YMD). Extra columns are ignored.
     """
     dim = feeds.select(F.col("id").alias("_feed"), F.col("time_zone").alias("_zone"), F.col("date_order").alias("_order")).dropDuplicates(["_feed"])
-    names = [r[0] for r in dim.select("_zone").where("_zone is not null").distinct().orderBy("_zone").limit(max_zones).collect()]
+    names = [r[0] for r in dim.select("_zone").where(F.col("_zone").isin(*sorted(available_timezones()))).distinct().collect()]
     tables = {n: t for n in names if (t := zone_table(n)) is not None}
     stacked = rows.select(F.col(key), F.col(feed_key).alias("_feed"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("_v"))
     stacked = stacked.select(key, "_feed", "_v.field_name", "_v.text").where(F.col("text").isNotNull())

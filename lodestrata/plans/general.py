@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators.nested import advisory_leaves, shred
+from lodestrata.operators.nested import ADVISORY_PARENTS, advisory_leaves, advisory_parents, shred
 from lodestrata.operators.timestamps import normalise_timestamps
 from lodestrata.session import table
 
@@ -24,4 +24,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return advisory_leaves(shred(table(spark, sf_dir, "osv_records"), "record_id", "body"), "record_id")
 
 
-QUERIES = {"p2_found": (p2_found, None), "p3_found": (p3_found, None)}
+def p3_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, affected_no) of every affected entry, also of those without any bound or version."""
+    nodes = shred(table(spark, sf_dir, "osv_records"), "record_id", "body", (), parents=ADVISORY_PARENTS[:1])
+    return advisory_parents(nodes, "record_id").select("record_id", "affected_no")
+
+
+def p3_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_id, affected_no, range_no) of every range, also of those without events."""
+    nodes = shred(table(spark, sf_dir, "osv_records"), "record_id", "body", (), parents=ADVISORY_PARENTS[1:])
+    return advisory_parents(nodes, "record_id")
+
+
+QUERIES = {f.__name__: (f, None) for f in (p2_found, p3_found, p3_affected, p3_ranges)}

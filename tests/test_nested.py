@@ -1,8 +1,9 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators.nested import advisory_leaves, parent_label, shred
+from lodestrata.operators.nested import ADVISORY_PARENTS, _parse_deep, advisory_leaves, advisory_parents, parent_label, parse_json, shred
 
 
 def leaves(spark, *bodies):
@@ -40,3 +41,34 @@ def test_labels_truncate_to_parents(spark):
 def test_missing_keys(spark):
     df = spark.createDataFrame([(None, '{"affected": [{"versions": ["1"]}]}'), (2**60 + 1, '{"affected": [{"versions": ["1"]}]}')], "record_id long, body string")
     assert [r.record_id for r in shred(df, "record_id", "body").collect()] == [2**60 + 1]
+
+
+def test_any_depth(spark):
+    record = '{"affected": [{"versions": ["1", {"x": "' + "y" * 10 + '"}], "deep": ' + "[" * 60_000 + "]" * 60_000 + "}]}"
+    assert leaves(spark, record) == [(0, 0, "version", -1, 0, "1")]
+    assert leaves(spark, '{"a": ' * 30_000 + record + "}" * 30_000) == [(0, 0, "version", -1, 0, "1")]
+
+
+def test_deep_parser_agrees():
+    rng = random.Random(2)
+
+    def value(depth):
+        kind = rng.randrange(7 if depth else 5)
+        return [None, True, rng.choice([0, -1.5, 2e30, 12]), 'é"\\\n', rng.choice(["", "x"])][kind] if kind < 5 else [value(depth - 1) for _ in range(rng.randrange(4))] if kind == 5 else {f"k{i}": value(depth - 1) for i in range(rng.randrange(4))}
+
+    texts = [json.dumps(value(5), ensure_ascii=bool(rng.randrange(2)), indent=rng.choice([None, 1])) for _ in range(300)]
+    bad = ["", "[", "[1,]", '{"a" 1}', '{"a":}', "[1 2]", "1 2", "{,}", '{"a":1,}', "]", "tru", "01", '"x', "[1}", "NaN", "-", '{1:2}', "[] x", "1.", "+1"]
+    for t in texts + bad:
+        outcome = []
+        for parse in (parse_json, _parse_deep):
+            try:
+                outcome.append(parse(t))
+            except ValueError:
+                outcome.append("bad")
+        assert outcome[0] == outcome[1] and (outcome[0] == "bad") == (t in bad), t
+
+
+def test_parents_without_leaves(spark):
+    df = spark.createDataFrame([(1, '{"affected": [{"package": {}}, null, {"ranges": [{"events": []}, null, {"type": "X"}]}, "x"]}'), (2, "{"), (3, None)], "record_id long, body string")
+    got = advisory_parents(shred(df, "record_id", "body", (), parents=ADVISORY_PARENTS), "record_id").collect()
+    assert sorted(((r.affected_no, r.range_no) for r in got), key=repr) == [(0, None), (2, 0), (2, 2), (2, None)]

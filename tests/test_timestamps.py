@@ -64,3 +64,27 @@ def test_frame_edges(spark):
     got = normalise_timestamps(rows_, feeds, "id", "source_id", ["a", "b"]).collect()
     assert sorted((r.id, r.field_name, r.utc_us) for r in got if r.utc_us is not None) == [(1, "a", us(2019, 12, 31, 15)), (1, "a", us(2019, 12, 31, 15)), (2, "b", us(2020, 1, 1))]
     assert normalise_timestamps(rows_.limit(0), feeds.limit(0), "id", "source_id", ["a"]).count() == 0
+
+
+def test_any_year():
+    import datetime as dt
+    from zoneinfo import ZoneInfo
+
+    import numpy as np
+
+    for zone in ("Europe/Berlin", "America/New_York", "Australia/Sydney", "Asia/Kathmandu", "Africa/Casablanca"):
+        t = zone_table(zone)
+        for year in (1805, 1890, 1950, 2037, 2098, 2099, 2110, 2499, 2500, 2999, 9998):
+            for month in (1, 7):
+                wall = dt.datetime(year, month, 15, 12, tzinfo=dt.timezone.utc)
+                want = dt.datetime(year, month, 15, 12, tzinfo=ZoneInfo(zone)).utcoffset().total_seconds()
+                got = wall.timestamp() - t.to_utc(np.array([int(wall.timestamp())]))[0]
+                assert got == want, (zone, year, month)
+
+
+def test_more_feeds_than_zones(spark):
+    """Names of no zone, however many, take nothing from the zones that exist."""
+    feeds = spark.createDataFrame([(n, f"No/Zone{n:05}", "YMD") for n in range(1500)] + [(5000, "Europe/Berlin", "DMY")], "id long, time_zone string, date_order string")
+    rows_ = spark.createDataFrame([(1, 5000, "2110-07-01 12:00 CEST"), (2, 5000, "01.07.2110 12:00"), (3, 7, "2110-07-01 12:00")], "id long, source_id long, t string")
+    got = {r.id: r.utc_us for r in normalise_timestamps(rows_, feeds, "id", "source_id", ["t"]).collect()}
+    assert got[1] == got[2] == got[3] - 2 * 3600 * 1_000_000
