@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.findings import text
-from lodestrata.functions.text import import_names
+from lodestrata.functions.text import bigrams, import_names
 from lodestrata.functions.versions import dotted_key, version_affected
 from lodestrata.operators.skew import skew_safe_join
 from lodestrata.session import bounded_broadcast
@@ -126,6 +126,20 @@ def normalise_licence_text(body: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(kept, r"[^\p{L}\p{Nd}\s]", ""), r"\s+", " "))
 
 
+def best_licence(body: Column, known: dict[str, str], threshold: float = 0.8) -> Column:
+    """The known licence (name: text) whose character bigrams are nearest to the text's by Dice, null below the threshold; of equal ones the last name."""
+    # the known texts' bigrams are made once, not in every row
+    made = SparkSession.active().range(1).select(*[bigrams(normalise_licence_text(F.lit(t))) for t in known.values()]).first()
+    theirs = [(name, F.lit(list(b)), len(b)) for name, b in zip(known, made, strict=True)]
+
+    def nearest(mine: Column) -> Column:
+        score = lambda b, n: F.round(2.0 * F.size(F.array_intersect(mine, b)) / (F.size(mine) + n), 9)
+        return F.array_max(F.array(*[F.struct(score(b, n).alias("score"), F.lit(name).alias("name")) for name, b, n in theirs]))
+
+    best = F.transform(F.array(bigrams(normalise_licence_text(body))), nearest)[0]
+    return F.when(best["score"] >= threshold, best["name"])
+
+
 def event_pairs(events: Column) -> Column:
     """Folds an ordered event list into (introduced, fixed, last_affected) ranges: a fixed or last_affected event closes the open introduction; an open one at the end stays unbounded. A closing event without an opening one closes a range from the start on."""
     kind = "array<struct<introduced:string,fixed:string,last_affected:string>>"

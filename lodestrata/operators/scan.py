@@ -19,7 +19,7 @@ from lodestrata.functions.text import has_secret_keyword, is_assignment, is_comm
 
 @dataclass(frozen=True)
 class Rule:
-    """A line rule. languages: empty for all."""
+    """A line rule. languages and globs (over paths): empty for all. suppress: a name in SUPPRESSIONS."""
 
     rule_id: str
     pattern: str
@@ -32,6 +32,8 @@ class Rule:
     safe: tuple[str, ...] = ()
     sanitizers: tuple[str, ...] = ()
     cwe: str = ""
+    globs: tuple[str, ...] = ()
+    suppress: str = ""
 
 
 #: Secret formats: name, pattern, severity, confidence (fixed values).
@@ -74,7 +76,9 @@ SECRET_FORMATS = (
 )
 #: Parts of a match that mark an example value, and labels of input fields (fixed values).
 EXAMPLE_MARKS = ("example", "placeholder", "your-", "xxx", "yyy", "zzz", "test-key", "dummy", "sample", "changeme", "todo")
-LABEL_TERMS = ("password", "passwort", "mot de passe", "at least", "confirm", "current", "new ", "forgot", "nouveau", "caracteres", "caractères", "characters", "zeichen")
+LABEL_TERMS = ("password", "passwort", "mot de passe", "كلمة المرور", "كلمة مرور", "at least", "confirm", "current", "new ", "forgot", "nouveau", "caracteres", "caractères", "characters", "zeichen", "أحرف")
+#: What a line must hold for any of the secret formats to match: tested once before all of them.
+SECRET_HINT = r"(?i)akia|aws|aiza|ya29|service_account|accountkey|gh[porsu]_|github_pat|glpat|xox|slack|_live_|sk[0-9a-f]{32}|sq0|heroku|key|-us[0-9]|:aa|-----begin|://|eyj|secret|passw|pwd|token"
 
 
 def secret_rules() -> list[Rule]:
@@ -98,9 +102,13 @@ def _hit_of(r: Rule):
 def secret_scan(lines: DataFrame, rules: list[Rule] | None = None, line: str = "line") -> DataFrame:
     """lines with (rule_id, severity, confidence, match): one row for each match of each rule.
 
-    Comment lines are tested for armour rules alone, once a rule.
+    Comment lines are tested for armour rules alone, once a rule; lines that define a detection rule
+    themselves give nothing.
     """
     comment = is_comment(F.col(line))
+    lines = lines.where(~(F.col(line).contains("regexp.MustCompile(") & F.col(line).contains("Pattern:")))
+    if rules is None:
+        lines = lines.where(F.col(line).rlike(SECRET_HINT))
     parts = []
     for r in rules or secret_rules():
         found = F.filter(F.regexp_extract_all(F.col(line), F.lit(r.pattern), F.lit(0)), lambda m: ~false_positive(m))
@@ -116,32 +124,84 @@ def entropy_scan(lines: DataFrame, threshold: float = 4.5, line: str = "line") -
     return found.withColumn("entropy", shannon_entropy(F.col("value"))).where(F.col("entropy") >= threshold)
 
 
+QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`(?:[^`\\]|\\.)*`"""
+
+
 def unquoted(line: Column) -> Column:
     """The line without its quoted spans."""
-    return F.regexp_replace(line, r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`(?:[^`\\]|\\.)*`""", "")
+    return F.regexp_replace(line, QUOTED, "")
+
+
+def quote_mask(line: Column) -> Column:
+    """The line with every character of a quoted span, the quotes included, as a null character: offsets stay."""
+    spans = F.regexp_extract_all(line, F.lit(f"(?:{QUOTED})|[^'\"`]+|."), F.lit(0))
+    return F.array_join(F.transform(spans, lambda x: F.when((F.length(x) > 1) & x.rlike("^['\"`]"), F.repeat(F.lit("\u0000"), F.length(x))).otherwise(x)), "")
+
+
+def matches_outside_quotes(line: Column, pattern: str) -> Column:
+    """Whether a match of the pattern begins outside quotes; it may go on into them.
+
+    A mark is set where a match can begin, and must be left when the quoted spans are taken out.
+    """
+    marked = F.regexp_replace(line, f"(?={pattern})", "\u0001")
+    return F.when(~line.rlike(pattern), False).when(~line.rlike("['\"`]"), True).otherwise(unquoted(marked).contains("\u0001"))
+
+
+def _value(line: Column) -> Column:
+    """The first quoted value of a line."""
+    return F.regexp_extract(line, r"""=\s*[rbuf]?['"]([^'"]*)['"]""", 1)
 
 
-def pattern_scan(lines: DataFrame, rules: list[Rule], language: str = "language", line: str = "line") -> DataFrame:
+def _key_name(value: Column) -> Column:
+    return value.rlike(r"^[a-z_\- ]+$")
+
+
+#: Predicates over a line on which a rule matched: true where the match is none (constants are fixed values).
+SUPPRESSIONS = {
+    "static-command": lambda l: ~l.contains("+") & ~l.contains("${") & l.rlike(r"""(?i)\bexec\s*\(\s*['"][^'"]+['"]\s*\)"""),
+    "library-markup": lambda l: l.rlike(r"Calendar\._TT|cal\.convertNumbers|cal\.date|Calendar\._DN|cal\.minYear|cal\.maxYear") | (l.contains("jQuery") & l.contains("innerHTML")),
+    "password-default": lambda l: l.rlike(r"(?i)setPassword\s*\(") | l.rlike(r"""(?i)this\.\w+\s*=\s*\w+\s*[;{][^"']*$""") | l.rlike(r"""(?i)\bpassword\s*=\s*[^"'\s][^;]*;""") | l.rlike(r"""\bpassword\s*=\s*["'](?:|xxx|changeme|placeholder|todo|YOUR_PASSWORD|[a-z_\- ]+)["']\s*;"""),
+    "key-name": lambda l: _value(l).contains("%(") | _key_name(_value(l)),
+    "safe-loader": lambda l: l.rlike("SafeLoader|safe_load"),
+    "insecure-off": lambda l: l.rlike(r"insecure ?= ?False"),
+    "package-file": lambda l: l.rlike(r"__init__\.py|__pycache__|conftest\.py"),
+    "label": lambda l: _label_value(F.lower(F.trim(F.regexp_extract(l, r"""(?i)(?:password|passwd|pwd|secret|api_key|apikey)\s*[:=]\s*['"]([^'"]*)['"]""", 1))), l.rlike(r"""(?i)(?:password|passwd|pwd|secret|api_key|apikey)\s*[:=]\s*['"][^'"]*['"]""")),
+    "no-query": lambda l: (F.lower(l).contains("import") & F.lower(l).contains(" from")) | ~F.lower(l).rlike(r"query|execute|sql|statement|sequelize|knex|prisma|db\."),
+    "escaped": lambda l: l.rlike(r"mysqli_real_escape_string|htmlspecialchars|htmlentities|intval|addslashes|filter_var|escapeshellarg|escapeshellcmd|strip_tags|->quote\("),
+}
+
+
+def _label_value(value: Column, found: Column) -> Column:
+    return found & ((F.regexp_replace(value, "[•* ]", "") == "") | value.rlike("|".join(re.escape(t) for t in LABEL_TERMS)))
+
+
+def pattern_scan(lines: DataFrame, rules: list[Rule], language: str = "language", line: str = "line", path: str = "file_path", inside: str = "inside") -> DataFrame:
     """lines with (rule_id, severity, confidence): one row for each line and rule.
 
-    The language must be one of the rule's, comment lines are out, an assignment is needed where the
-    rule says so, safe patterns and sanitizers cancel it, and a match must begin outside quotes.
+    The language must be one of the rule's and the path match one of its globs; comment lines and,
+    where the lines have such a column, lines inside a multi-line string are out; an assignment is
+    needed where the rule says so; safe patterns, sanitizers and the rule's suppression cancel it; and
+    a match must begin outside quotes.
     """
-    text, bare = F.col(line), F.col("_bare")
+    text = F.col(line)
     tests = []
     for r in rules:
-        ok = text.rlike(r.pattern)
+        ok = matches_outside_quotes(text, r.pattern) if r.skip_quotes else text.rlike(r.pattern)
+        if r.globs:
+            ok = F.col(path).rlike("|".join(f"(?:{glob_pattern(g)})" for g in r.globs)) & ok
         if r.languages:
             ok = F.col(language).isin(*r.languages) & ok
         if r.requires_assignment:
             ok = ok & is_assignment(text)
-        if r.skip_quotes:
-            ok = ok & bare.rlike(r.pattern)
         for cancel in (*r.safe, *r.sanitizers):
             ok = ok & ~text.rlike(cancel)
+        if r.suppress:
+            ok = ok & ~SUPPRESSIONS[r.suppress](text)
         tests.append(F.when(ok, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"))))
-    rows = lines.where(~is_comment(text)).withColumn("_bare", unquoted(text))
-    return rows.withColumn("_m", F.explode(F.filter(F.array(*tests), lambda m: m.isNotNull()))).select("*", "_m.*").drop("_m", "_bare")
+    rows = lines.where(~is_comment(text))
+    if inside in lines.columns:
+        rows = rows.where(~F.col(inside))
+    return rows.withColumn("_m", F.explode(F.filter(F.array(*tests), lambda m: m.isNotNull()))).select("*", "_m.*").drop("_m")
 
 
 #: A small rule table over lines; `pattern_scan` takes any.
@@ -195,7 +255,7 @@ def imports(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def framework_detection(files: DataFrame, signals: DataFrame, min_signals: int = 1) -> DataFrame:
-    """(framework, matched, confidence): signals (framework, kind file|contains, value) found in files (path, content)."""
+    """(framework, matched, confidence): signals (framework, kind file|glob|contains, value) found in files (path, content)."""
     total = signals.groupBy("framework").agg(F.count(F.lit(1)).alias("_total"))
     by_name = files.select(F.element_at(F.split("path", "/"), -1).alias("value")).distinct().join(signals.where("kind = 'file'"), "value").select("framework", "value")
     wanted = [r.value for r in signals.where("kind = 'contains'").select("value").distinct().limit(2001).collect()]  # a rule dimension
@@ -203,6 +263,12 @@ def framework_detection(files: DataFrame, signals: DataFrame, min_signals: int =
         raise ValueError("at most 2,000 content signals")
     tests = F.filter(F.array(*[F.when(F.col("content").contains(w), F.lit(w)) for w in wanted]), lambda x: x.isNotNull()) if wanted else F.array().cast("array<string>")
     by_text = files.select(F.explode(tests).alias("value")).distinct().join(signals.where("kind = 'contains'"), "value").select("framework", "value")
+    globs = [r.value for r in signals.where("kind = 'glob'").select("value").distinct().limit(2001).collect()]  # as above
+    if len(globs) > 2000:
+        raise ValueError("at most 2,000 glob signals")
+    if globs:
+        placed = F.filter(F.array(*[F.when(F.col("path").rlike(glob_pattern(g)), F.lit(g)) for g in globs]), lambda x: x.isNotNull())
+        by_name = by_name.union(files.select(F.explode(placed).alias("value")).distinct().join(signals.where("kind = 'glob'"), "value").select("framework", "value"))
     hits = by_name.union(by_text).distinct().groupBy("framework").agg(F.count(F.lit(1)).alias("matched")).where(F.col("matched") >= min_signals)
     return hits.join(total, "framework").select("framework", "matched", F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.col("matched") / F.col("_total"))).alias("confidence"))
 
@@ -241,6 +307,19 @@ def string_context(text: str | None, language: str | None) -> list[bool]:
     return out
 
 
+#: What can open a multi-line string or comment; a text without it needs no fold.
+_MAY_OPEN = r'"""|\x27\x27\x27|`|<<|=begin'
+
+
+def code_lines(rows: DataFrame, key: str, text: str, language: Column) -> DataFrame:
+    """(key, language, line_no, line, inside): the lines of each text, numbered from 1, and whether each lies inside a multi-line string or comment."""
+    flags = string_contexts(F.when(F.col(text).rlike(_MAY_OPEN), F.col(text)), language)
+    parts = F.split(F.col(text), r"\r?\n", -1)
+    out = rows.where(F.col(text).isNotNull()).select(key, language.alias("language"), flags.alias("_flags"), F.posexplode(parts).alias("_pos", "line"), F.size(parts).alias("_n"))
+    out = out.where(~((F.col("_pos") == F.col("_n") - 1) & (F.col("line") == "")))
+    return out.select(key, "language", (F.col("_pos") + 1).alias("line_no"), "line", F.coalesce(F.try_element_at("_flags", F.col("_pos") + 1), F.lit(False)).alias("inside"))
+
+
 def string_contexts(text: Column, language: Column) -> Column:
     """`string_context` in Arrow batches."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import text as tx
 from lodestrata.operators import scan
-from lodestrata.operators.advisories import licence_category, normalise_licence_text
+from lodestrata.operators.advisories import best_licence, normalise_licence_text
 from lodestrata.session import table
 
 QUERIES: dict = {}
@@ -51,7 +51,7 @@ def _(spark, d):
 
 _VALUE = "regexp_replace(trim(substr(m, CASE WHEN contains(m,'=') THEN instr(m,'=') ELSE instr(m,':') END+1)), '^[\"'']+|[\"'']+$', '', 'g')"
 _FALSE = (
-    "(regexp_matches(lower(m),'" + "|".join(scan.EXAMPLE_MARKS) + "') OR ((contains(m,'=') OR contains(m,':')) AND (starts_with(" + _VALUE + ",'$') OR regexp_replace(lower(" + _VALUE + "),'[•* ]','','g')='' OR regexp_matches(lower(" + _VALUE + "),'" + "|".join(scan.LABEL_TERMS) + "'))))"
+    "(regexp_matches(lower(m),'example|placeholder|your-|xxx|yyy|zzz|test-key|dummy|sample|changeme|todo') OR ((contains(m,'=') OR contains(m,':')) AND (starts_with(" + _VALUE + ",'$') OR regexp_replace(lower(" + _VALUE + "),'[•* ]','','g')='' OR regexp_matches(lower(" + _VALUE + "),'password|passwort|mot de passe|كلمة المرور|كلمة مرور|at least|confirm|current|new |forgot|nouveau|caracteres|caractères|characters|zeichen|أحرف'))))"
 )
 _SECRETS = " UNION ALL ".join(
     f"SELECT finding_id, line_no::INTEGER AS line_no, '{r.rule_id}' AS rule_id, m FROM (SELECT finding_id, line_no, " + (f"CASE WHEN {_COMMENT} THEN 1 ELSE 0 END AS c, unnest(CASE WHEN {_COMMENT} THEN regexp_extract_all(line,{_quoted(r.pattern)})[1:1] ELSE regexp_extract_all(line,{_quoted(r.pattern)}) END) AS m FROM l) WHERE c=1 OR NOT {_FALSE}" if "Private-Key" in r.rule_id else f"unnest(regexp_extract_all(line,{_quoted(r.pattern)})) AS m FROM l WHERE NOT {_COMMENT}) WHERE NOT {_FALSE}")
@@ -102,7 +102,8 @@ _LANGUAGE = "CASE regexp_extract(file_path,'(\\.[^./]*)$',1) " + " ".join(f"WHEN
 
 
 def _rule_sql(r: scan.Rule) -> str:
-    tests = [f"NOT {_COMMENT}", f"regexp_matches(line,{_quoted(r.pattern)})"]
+    tests = [f"NOT {_COMMENT}", "NOT inside", f"regexp_matches(line,{_quoted(r.pattern)})"]
+    tests += ["(" + " OR ".join(f"regexp_matches(file_path,{_quoted(scan.glob_pattern(g))})" for g in r.globs) + ")"] if r.globs else []
     tests += [f"language IN ({','.join(map(_quoted, r.languages))})"] if r.languages else []
     tests += [_ASSIGN] if r.requires_assignment else []
     tests += [f"regexp_matches({_BARE},{_quoted(r.pattern)})"] if r.skip_quotes else []
@@ -114,11 +115,14 @@ def _with_language(spark, d):
     lang = F.lit("other")
     for k, v in _EXTENSION.items():
         lang = F.when(tx.extension(F.col("file_path")) == k, v).otherwise(lang)
-    raw = table(spark, d, "raw_findings").where("code is not null").select(F.struct("finding_id", lang.alias("language")).alias("k"), "code")
-    return tx.lines(raw, "k", "code").select("k.finding_id", "k.language", "line_no", "line")
+    raw = table(spark, d, "raw_findings").where("code is not null").select(F.struct("finding_id", "file_path").alias("k"), lang.alias("_language"), "code")
+    return scan.code_lines(raw, "k", "code", F.col("_language")).select("k.finding_id", "k.file_path", "language", "line_no", "line", "inside")
 
 
-_GL = f"WITH {LINES}, g AS (SELECT *, {_LANGUAGE} AS language FROM l) "
+#: Lines inside a multi-line string: behind an odd number of lines with an odd number of its marks, and without one themselves.
+_CONTEXT = """c0 AS (SELECT *, CASE WHEN language='python' THEN '\"\"\"' WHEN language IN ('javascript','typescript','go') THEN '`' END AS mark FROM g0), c1 AS (SELECT *, coalesce(((length(line)-length(replace(line,mark,'')))/length(mark))::INTEGER,0) AS marks FROM c0),
+ g AS (SELECT *, marks=0 AND coalesce(sum(marks%2) OVER (PARTITION BY finding_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)%2=1 AS inside FROM c1)"""
+_GL = f"WITH {LINES}, g0 AS (SELECT *, {_LANGUAGE} AS language FROM l), {_CONTEXT} "
 
 
 @query("o092_pattern_scan", _GL + " UNION ALL ".join(_rule_sql(r) for r in scan.LINE_RULES))
@@ -126,7 +130,31 @@ def _(spark, d):
     return scan.pattern_scan(_with_language(spark, d), scan.LINE_RULES).select("finding_id", "line_no", "rule_id")
 
 
-_FRAMEWORK = [scan.Rule("FW-SQL-CONCAT", r"\bexec\w*\(.*\+", "high", "medium", languages=("java", "go"), safe=(r"\?",), sanitizers=(r"escape\(",)), scan.Rule("FW-COUNT", r"count=\d+", "low", "low", skip_quotes=False, safe=(r"count=1\d\b",), sanitizers=(r"\bparses\b",))]
+#: Lines for each suppression: what matches and what it cancels (fixed values of the query).
+_SUPPRESSED = {
+    "safe-loader": r"regexp_matches(line,'SafeLoader|safe_load')", "insecure-off": r"regexp_matches(line,'insecure ?= ?False')", "package-file": r"regexp_matches(line,'__init__\.py|__pycache__|conftest\.py')",
+    "no-query": r"(contains(lower(line),'import') AND contains(lower(line),' from')) OR NOT regexp_matches(lower(line),'query|execute|sql|statement|sequelize|knex|prisma|db\.')",
+    "static-command": r"""NOT contains(line,'+') AND NOT contains(line,'${') AND regexp_matches(line,'(?i)\bexec\s*\(\s*[''"][^''"]+[''"]\s*\)')""",
+    "key-name": r"""contains(regexp_extract(line,'=\s*[rbuf]?[''"]([^''"]*)[''"]',1),'%(') OR regexp_matches(regexp_extract(line,'=\s*[rbuf]?[''"]([^''"]*)[''"]',1),'^[a-z_\- ]+$')""",
+    "label": r"""regexp_matches(line,'(?i)(?:password|passwd|pwd|secret|api_key|apikey)\s*[:=]\s*[''"][^''"]*[''"]') AND (regexp_replace(lower(trim(regexp_extract(line,'(?i)(?:password|passwd|pwd|secret|api_key|apikey)\s*[:=]\s*[''"]([^''"]*)[''"]',1))),'[•* ]','','g')='' OR regexp_matches(lower(trim(regexp_extract(line,'(?i)(?:password|passwd|pwd|secret|api_key|apikey)\s*[:=]\s*[''"]([^''"]*)[''"]',1))),'password|passwort|mot de passe|كلمة المرور|كلمة مرور|at least|confirm|current|new |forgot|nouveau|caracteres|caractères|characters|zeichen|أحرف'))""",
+}
+
+
+@query("o063_suppressions", f"WITH {LINES} " + " UNION ALL ".join(f"SELECT '{k}' AS suppression, count(*) FILTER ({v}) AS n FROM l" for k, v in _SUPPRESSED.items()))
+def _(spark, d):
+    l = _lines(spark, d)
+    counts = l.agg(*[F.count_if(scan.SUPPRESSIONS[k](F.col("line"))).alias(k) for k in _SUPPRESSED])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("suppression"), F.col(f"`{k}`").alias("n")) for k in _SUPPRESSED])).alias("x")).select("x.*")
+
+
+@query("o059_quote_mask", f"WITH {LINES} SELECT finding_id, line_no::INTEGER AS line_no, length(line)::INTEGER AS n, (length(line)-length({_BARE}))::INTEGER AS quoted FROM l")
+def _(spark, d):
+    """Length of each line and its quoted characters; the mask keeps all offsets."""
+    mask = scan.quote_mask(F.col("line"))
+    return _lines(spark, d).select("finding_id", "line_no", F.length(mask).alias("n"), (F.length(mask) - F.length(F.replace(mask, F.lit("\u0000")))).alias("quoted"))
+
+
+_FRAMEWORK = [scan.Rule("FW-SQL-CONCAT", r"\bexec\w*\(.*\+", "high", "medium", languages=("java", "go"), safe=(r"\?",), sanitizers=(r"escape\(",)), scan.Rule("FW-CORE", r"\w+\(", "low", "low", globs=("core/**", "*.rb")), scan.Rule("FW-COUNT", r"count=\d+", "low", "low", skip_quotes=False, safe=(r"count=1\d\b",), sanitizers=(r"\bparses\b",))]
 
 
 @query("o095_framework_matcher", _GL + " UNION ALL ".join(_rule_sql(r) for r in _FRAMEWORK))
@@ -134,10 +162,10 @@ def _(spark, d):
     return scan.pattern_scan(_with_language(spark, d), _FRAMEWORK).select("finding_id", "line_no", "rule_id")
 
 
-_SIGNALS = [("spring", "file", "store.java"), ("spring", "contains", "throw new Error"), ("flask", "file", "store.py"), ("flask", "contains", "import handlers"), ("rails", "contains", "no such text"), ("next", "contains", "require(\"./server")]
+_SIGNALS = [("spring", "file", "store.java"), ("spring", "contains", "throw new Error"), ("flask", "file", "store.py"), ("flask", "contains", "import handlers"), ("rails", "contains", "no such text"), ("rails", "glob", "core/*.rb"), ("rails", "glob", "none/**"), ("next", "contains", "require(\"./server")]
 
 
-@query("o096_framework_detection", "WITH s(framework, kind, value) AS (VALUES " + ",".join(f"({','.join(map(_quoted, x))})" for x in _SIGNALS) + """), h AS (SELECT framework, kind, value FROM s WHERE (kind='file' AND value IN (SELECT string_split(file_path,'/')[-1] FROM raw_findings)) OR (kind='contains' AND EXISTS (SELECT 1 FROM raw_findings r WHERE contains(r.code, s.value))))
+@query("o096_framework_detection", "WITH s(framework, kind, value) AS (VALUES " + ",".join(f"({','.join(map(_quoted, x))})" for x in _SIGNALS) + """), h AS (SELECT framework, kind, value FROM s WHERE (kind='file' AND value IN (SELECT string_split(file_path,'/')[-1] FROM raw_findings)) OR (kind='contains' AND EXISTS (SELECT 1 FROM raw_findings r WHERE contains(r.code, s.value))) OR (value='core/*.rb' AND EXISTS (SELECT 1 FROM raw_findings r WHERE regexp_matches(r.file_path,'^core/[^/]*\\.rb(/|$)'))))
  SELECT h.framework, count(*) AS matched, greatest(0.1, least(1.0, count(*)/any_value(t.n)::DOUBLE)) AS confidence FROM h JOIN (SELECT framework, count(*) AS n FROM s GROUP BY 1) t USING (framework) GROUP BY 1""")
 def _(spark, d):
     files = table(spark, d, "raw_findings").select(F.col("file_path").alias("path"), F.coalesce("code", F.lit("")).alias("content"))
@@ -209,11 +237,14 @@ def _(spark, d):
     return docs.select("doc_id", normalise_licence_text(F.col("text")).alias("plain"))
 
 
-@query("o058_string_context")
+_EVERY = "CASE regexp_extract(file_path,'(\\.[^./]*)$',1) WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript' WHEN '.go' THEN 'go' ELSE 'other' END"
+
+
+@query("o058_string_context", f"WITH {LINES}, g0 AS (SELECT *, {_EVERY} AS language FROM l), {_CONTEXT} SELECT finding_id, line_no::INTEGER AS line_no FROM g WHERE inside")
 def _(spark, d):
-    raw = table(spark, d, "raw_findings").where("code is not null")
-    flags = scan.string_contexts(F.col("code"), tx.language(F.col("file_path")))
-    return raw.select("finding_id", F.size(F.filter(flags, lambda x: x)).alias("inside"))
+    """The lines inside multi-line strings and comments."""
+    raw = table(spark, d, "raw_findings").where("code is not null").withColumn("_language", tx.language(F.col("file_path")))
+    return scan.code_lines(raw, "finding_id", "code", F.col("_language")).where("inside").select("finding_id", "line_no")
 
 
 @query("o059_unquoted", f"WITH {LINES} SELECT finding_id, line_no::INTEGER AS line_no, {_BARE} AS bare FROM l")
@@ -231,8 +262,25 @@ def _(spark, d):
     return table(spark, d, "raw_findings").select("finding_id", tx.is_lockfile(F.col("file_path")).alias("lockfile"), tx.is_example_file(F.col("file_path")).alias("example"))
 
 
-@query("o153_best_licence")
+#: The first words of some licences (fixed values of the query).
+_LICENCES = (
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+)
+_BIG = "list_distinct(list_transform(generate_series(1,greatest(length({0})-1,0)), lambda i: substr({0},i,2)))"
+_PLAIN_SQL = r"trim(regexp_replace(regexp_replace(array_to_string(list_filter(string_split_regex(lower({0}),'\r?\n'), lambda x: NOT regexp_matches(x,'^\s*(copyright|\(c\)|©)')),' '),'[^\p{{L}}\p{{Nd}}\s]','','g'),'\s+',' ','g'))"
+_LICENCE_ROWS = ", ".join(f"({i},'{n}','{t}')" for i, (n, t) in enumerate(_LICENCES))
+
+
+@query("o153_best_licence", f"WITH k(i, name, body) AS (VALUES {_LICENCE_ROWS}), t AS (SELECT finding_id, 'Copyright (c) '||finding_id||chr(10)||CASE WHEN finding_id%6=5 THEN coalesce(title,'') ELSE replace(k.body, CASE WHEN finding_id%2=0 THEN ' the ' ELSE ' of ' END, ' ') END AS text FROM raw_findings LEFT JOIN k ON k.i=finding_id%6), b AS (SELECT finding_id, {_BIG.format('p')} AS g FROM (SELECT finding_id, {_PLAIN_SQL.format('text')} AS p FROM t)), kb AS (SELECT name, {_BIG.format('p')} AS g FROM (SELECT name, {_PLAIN_SQL.format('body')} AS p FROM k)), d AS (SELECT finding_id, name, round(2.0*len(list_intersect(b.g,kb.g))/(len(b.g)+len(kb.g)),9) AS score FROM b CROSS JOIN kb) SELECT finding_id, CASE WHEN max(score)>=0.8 THEN arg_max(name,(score,name)) END AS licence FROM d GROUP BY 1")
 def _(spark, d):
-    """The licence category that most feeds' rows carry, by weight."""
-    s = table(spark, d, "vulnerability_sources").select(licence_category(F.col("license")).alias("category"), F.coalesce("record_count", F.lit(0)).alias("n"))
-    return s.groupBy("category").agg(F.sum("n").alias("n")).agg(F.max_by("category", F.struct("n", "category")).alias("category"))
+    """The licence whose text is nearest to a text made from each row: a copyright line and a licence with a word left out, or something else."""
+    raw, k = table(spark, d, "raw_findings"), F.col("finding_id") % 6
+    body = F.coalesce("title", F.lit(""))
+    for i, (_, t) in enumerate(_LICENCES):
+        body = F.when(k == i, F.replace(F.lit(t), F.when(F.col("finding_id") % 2 == 0, " the ").otherwise(" of "), F.lit(" "))).otherwise(body)
+    texts = raw.select("finding_id", F.concat(F.lit("Copyright (c) "), F.col("finding_id").cast("string"), F.lit("\n"), body).alias("text"))
+    return texts.select("finding_id", best_licence(F.col("text"), dict(_LICENCES)).alias("licence"))
