@@ -73,13 +73,15 @@ def unified_diff(rows: DataFrame, key: str, diff: str) -> DataFrame:
     head = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
     is_file, is_hunk = F.col("line").startswith("diff --git "), F.col("line").rlike(head)
     l = lines.withColumns({"file_no": F.sum(is_file.cast("int")).over(w), "hunk_no": F.sum(is_hunk.cast("int")).over(w), "_h": is_hunk})
-    path = F.when(F.col("line").startswith("+++ "), F.regexp_replace("line", r"^\+\+\+ (?:b/)?", ""))
-    l = l.withColumn("path", F.last(path, ignorenulls=True).over(W.partitionBy(key, "file_no").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
     number = lambda i: F.when(F.col("_h"), F.regexp_extract("line", head, i))
     l = l.withColumns({"_o": number(1).cast("int"), "_s": number(3).cast("int"), "_c": F.when(F.col("_h"), F.coalesce(F.nullif(F.regexp_extract("line", head, 4), F.lit("")).cast("int"), F.lit(1)))})
     start = W.partitionBy(key, "file_no", "hunk_no")
     l = l.withColumns({"old_start": F.max("_o").over(start), "new_start": F.max("_s").over(start), "new_count": F.max("_c").over(start)})
-    body = l.where("new_start is not null and not _h and (line rlike '^[ +-]') and not (line rlike '^(---|[+][+][+]) ')")
+    # behind a "diff" line the file's header ends with its first hunk; without such lines any header line counts
+    heading = F.col("line").rlike("^(---|[+][+][+]) ") & (F.col("new_start").isNull() | (F.col("file_no") == 0))
+    path = F.when(heading & F.col("line").startswith("+++ "), F.regexp_replace("line", r"^\+\+\+ (?:b/)?", ""))
+    l = l.withColumn("path", F.last(path, ignorenulls=True).over(W.partitionBy(key, "file_no").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
+    body = l.where(F.col("new_start").isNotNull() & ~F.col("_h") & F.col("line").rlike("^[ +-]") & ~heading)
     mark = F.substring("line", 1, 1)
     bw = W.partitionBy(key, "file_no", "hunk_no").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     new_line = F.col("new_start") - 1 + F.sum((mark != "-").cast("int")).over(bw)

@@ -19,8 +19,8 @@ def overlay(entries: DataFrame) -> DataFrame:
     at = F.struct("layer_idx", "tar_ordinal")
     base = F.element_at(F.split("path", "/"), -1)
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
-    mark = base.startswith(".wh.")
-    target = F.when(base == ".wh..wh..opq", folder).otherwise(F.when(folder == "", F.substring(base, 5, 4096)).otherwise(F.concat(folder, F.lit("/"), F.substring(base, 5, 4096))))
+    mark, name = base.startswith(".wh."), F.regexp_replace(base, r"^[.]wh[.]", "")
+    target = F.when(base == ".wh..wh..opq", folder).otherwise(F.when(folder == "", name).otherwise(F.concat(folder, F.lit("/"), name)))
     marks = entries.where(mark).select(target.alias("_target"), (base == ".wh..wh..opq").alias("_opaque"), at.alias("_at"))
     files = entries.where(~mark)
     latest = files.withColumn("_n", F.row_number().over(W.partitionBy("path").orderBy(F.col("layer_idx").desc(), F.col("tar_ordinal").desc()))).where("_n = 1").drop("_n")
@@ -90,25 +90,39 @@ def catalog(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-#: Checks of an image configuration row: id, severity, condition (SQL over user, env, exposed_ports, labels, has_healthcheck, tag).
-CONFIG_CHECKS = (
+_LABEL = "coalesce(try_element_at(labels, 'org.opencontainers.image.{0}'), '') = ''"
+_PORT = "try_cast(split(p, '/')[0] as int)"
+#: Hardening checks of an image configuration row: id, severity, condition (SQL over user, env, exposed_ports, labels, has_healthcheck).
+HARDENING_CHECKS = (
     ("IMG-ROOT-USER", "high", "coalesce(user, '') in ('', 'root', '0')"),
     ("IMG-NO-USER", "medium", "coalesce(user, '') = ''"),
     ("IMG-SECRET-ENV", "high", "exists(env, e -> e rlike '(?i)^[A-Z_]*(password|secret|token|api_?key)[A-Z_]*=.+')"),
-    ("IMG-SSH-PORT", "medium", "exists(exposed_ports, p -> contains(p, '22/tcp'))"),
+    ("IMG-SSH-PORT", "medium", f"exists(exposed_ports, p -> {_PORT} = 22)"),
     ("IMG-NO-HEALTHCHECK", "low", "not has_healthcheck"),
-    ("IMG-LATEST-TAG", "medium", "coalesce(tag, '') in ('', 'latest')"),
-    ("IMG-NO-LABELS", "low", "cardinality(labels) = 0"),
-    ("IMG-NO-MAINTAINER", "low", "not map_contains_key(labels, 'maintainer') and not map_contains_key(labels, 'org.opencontainers.image.authors')"),
+    ("IMG-NO-MAINTAINER", "low", f"{_LABEL.format('authors')} or {_LABEL.format('vendor')}"),
+    ("IMG-NO-SOURCE", "low", _LABEL.format("source")),
+)
+#: Misconfigurations of an image configuration row, which also has tag, working_dir and stop_signal.
+CONFIG_CHECKS = (
+    ("CFG-LATEST-TAG", "high", "coalesce(tag, '') in ('', 'latest')"),
+    *((f"CFG-NO-LABEL-{x.upper()}", "medium", f"not coalesce(map_contains_key(labels, 'org.opencontainers.image.{x}'), false)") for x in ("title", "version", "description", "licenses", "source", "vendor", "documentation")),
+    ("CFG-ADMIN-PORT", "high", f"exists(exposed_ports, p -> {_PORT} in (21, 22, 23, 3389, 5900))"),
+    ("CFG-NO-HEALTHCHECK", "medium", "not has_healthcheck"),
+    ("CFG-ROOT-FOLDER", "low", "coalesce(working_dir, '') in ('', '/')"),
+    ("CFG-NO-STOP-SIGNAL", "low", "coalesce(stop_signal, '') = ''"),
 )
-#: Checks of file entries: id, severity, condition (SQL over path, mode, size, is_dir).
+#: Hardening checks of file entries: id, severity, condition (SQL over path with a leading slash, mode, size, is_dir).
 FILE_CHECKS = (
     ("IMG-SETUID", "high", "not is_dir and (mode & 2048) <> 0"),
     ("IMG-SETGID", "medium", "not is_dir and (mode & 1024) <> 0"),
-    ("IMG-WORLD-WRITABLE", "medium", "(mode & 2) <> 0 and (mode & 511) <> 511 and (mode & 512) = 0"),
+    ("IMG-WORLD-WRITABLE", "medium", "is_dir and (mode & 2) <> 0 and (mode & 511) <> 511"),
     ("IMG-PRIVATE-KEY", "high", "path rlike '(^|/)(id_rsa|id_dsa|id_ed25519|.*[.]pem|.*[.]key)$'"),
-    ("IMG-LARGE-BINARY", "low", "size > 104857600 and path rlike '^/?(usr/)?(local/)?s?bin/'"),
+    ("IMG-LARGE-BINARY", "low", "not is_dir and size > 104857600 and path rlike '^/?(usr/bin|usr/local/bin|bin|sbin)/'"),
     ("IMG-SHELL-HISTORY", "medium", "path rlike '(^|/)[.](bash|zsh|sh)_history$'"),
+    ("IMG-PACKAGE-CACHE", "low", "path rlike '^/?(var/cache/(apt|apk|yum|dnf)|var/lib/apt/lists|root/[.]cache/pip|root/[.]npm)(/|$)'"),
+    ("IMG-SHELL", "low", "not is_dir and path rlike '^/?(usr/)?bin/(sh|bash|ash|dash|zsh|ksh)$'"),
+    ("IMG-NETWORK-TOOL", "medium", "not is_dir and path rlike '(^|/)(curl|wget|nc|ncat|netcat|nmap|telnet|tcpdump)$'"),
+    ("IMG-SUDO", "medium", "not is_dir and path rlike '^/?(usr/)?bin/sudo$'"),
 )
 
 

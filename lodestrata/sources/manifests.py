@@ -1,12 +1,13 @@
 """Dependency manifests and lockfiles as rows.
 
 `dependencies(files)` parses a table of (path, content) with `mapInPandas`, one parser for each file
-name; broken files give no rows. Discovery, union, coverage of workspace members and deduplication
-are relational.
+name; `problems(files)` names the files that can't be parsed, which give no rows. Maven parents,
+discovery, union, coverage of workspace members and deduplication are relational.
 """
 
 from __future__ import annotations
 
+import configparser
 import json
 import re
 import tomllib
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestrata.functions.text import basename
+from lodestrata.functions.text import basename, normalize_path
 from lodestrata.session import checkpoint, scratch
 
 SCHEMA = "manifest_path string, name string, version string, ecosystem string, is_direct boolean, is_dev boolean, license string"
@@ -151,6 +152,17 @@ def _setup_py(text: str) -> Iterator[Dep]:
                 yield d
 
 
+@parser("pypi", "setup.cfg")
+def _setup_cfg(text: str) -> Iterator[Dep]:
+    c = configparser.ConfigParser(interpolation=None, strict=False)
+    c.read_string(text)
+    groups = [(c.get("options", "install_requires", fallback=""), False), *((v, True) for v in (dict(c["options.extras_require"]) if c.has_section("options.extras_require") else {}).values())]
+    for lines, dev in groups:
+        for line in lines.splitlines():
+            if line.strip() and (d := _requirement(line, dev)):
+                yield d
+
+
 @parser("cargo", "Cargo.toml")
 def _cargo_toml(text: str) -> Iterator[Dep]:
     top = tomllib.loads(text)
@@ -196,24 +208,43 @@ def _composer_lock(text: str) -> Iterator[Dep]:
             yield p["name"], str(p.get("version", "")).lstrip("v"), False, dev, (p.get("license") or [""])[0]
 
 
-@parser("maven", "pom.xml")
-def _pom(text: str) -> Iterator[Dep]:
+def _filled(text: str | None, props: dict[str, str]) -> str:
+    """A text with its ${properties}, whatever they refer to in turn; one that refers to itself stays."""
+    out, seen = (text or "").strip(), set()
+    while out not in seen:
+        seen.add(out)
+        out = re.sub(r"\$\{([^}]+)\}", lambda m: props.get(m[1], m[0]), out)
+        if len(out) > 10_000:  # grows without end
+            break
+    return out
+
+
+def _pom_parts(text: str) -> dict:
+    """group, artifact, version, parent (path of the parent's file or null), props, managed {name: version}, deps [(name, version, scope)] of one pom as written."""
     root = ET.fromstring(re.sub(r'\sxmlns="[^"]+"', "", text, count=1))
-    props = {p.tag: (p.text or "").strip() for p in root.iterfind("properties/*")}
-    props |= {"project.version": root.findtext("version") or root.findtext("parent/version") or "", "project.groupId": root.findtext("groupId") or root.findtext("parent/groupId") or ""}
+    read = lambda node, tag: (node.findtext(tag) or "").strip()
+    name = lambda d: f"{read(d, 'groupId')}:{read(d, 'artifactId')}"
+    parent = root.find("parent")
+    props = {p.tag: (p.text or "").strip() for p in root.iterfind("properties/*") if isinstance(p.tag, str)}
+    group, version = read(root, "groupId") or read(root, "parent/groupId"), read(root, "version") or read(root, "parent/version")
+    props |= {k: v for k, v in (("project.groupId", group), ("project.version", version), ("project.artifactId", read(root, "artifactId"))) if v}
+    return {
+        "parent": None if parent is None else parent.findtext("relativePath", "../pom.xml").strip() or None, "props": props, "modules": [(m.text or "").strip() for m in root.iterfind("modules/module")],
+        "managed": {name(d): read(d, "version") for d in root.iterfind("dependencyManagement/dependencies/dependency")}, "deps": [(name(d), read(d, "version"), read(d, "scope")) for d in root.iterfind("dependencies/dependency")],
+    }
 
-    def fill(s: str | None) -> str:
-        for _ in range(5):
-            new = re.sub(r"\$\{([^}]+)\}", lambda m: props.get(m[1], m[0]), (s or "").strip())
-            if new == s:
-                break
-            s = new
-        return s or ""
 
-    managed = {(fill(d.findtext("groupId")), fill(d.findtext("artifactId"))): fill(d.findtext("version")) for d in root.iterfind("dependencyManagement/dependencies/dependency")}
-    for d in root.iterfind("dependencies/dependency"):
-        key = fill(d.findtext("groupId")), fill(d.findtext("artifactId"))
-        yield ":".join(key), fill(d.findtext("version")) or managed.get(key, ""), True, d.findtext("scope") == "test", ""
+def _pom_rows(parts: dict, props: dict[str, str], managed: dict[str, str]) -> Iterator[Dep]:
+    versions = {_filled(k, props): v for k, v in managed.items()}
+    for key, version, scope in parts["deps"]:
+        name = _filled(key, props)
+        yield name, _filled(version or versions.get(name, ""), props), True, scope == "test", ""
+
+
+@parser("maven", "pom.xml")
+def _pom(text: str) -> Iterator[Dep]:
+    parts = _pom_parts(text)
+    yield from _pom_rows(parts, parts["props"], parts["managed"])
 
 
 @parser("maven", "build.gradle", "build.gradle.kts")
@@ -239,21 +270,26 @@ def _chart(text: str) -> Iterator[Dep]:
 KNOWN = tuple(_PARSERS)
 
 
-def parse(path: str, content: str) -> list[tuple]:
-    """Rows of one manifest; none for unknown names and broken files."""
+def _parsed(path: str, content: str) -> tuple[list[tuple], str | None]:
+    """The rows of one manifest and what is wrong with it."""
     found = _PARSERS.get(path.replace("\\", "/").rpartition("/")[2])
     if not found:
-        return []
+        return [], None
     try:
-        return [(path, n, v, found[0], direct, dev, lic or "") for n, v, direct, dev, lic in found[1](content or "")]
-    except (ValueError, KeyError, AttributeError, TypeError, ET.ParseError):
-        return []
+        return [(path, n, v, found[0], direct, dev, lic or "") for n, v, direct, dev, lic in found[1](content or "")], None
+    except (ValueError, KeyError, AttributeError, TypeError, ET.ParseError, configparser.Error, RecursionError) as e:
+        return [], f"{type(e).__name__}: {e}"[:200]
 
 
-def discover(files: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Known manifests up to a depth; the filter comes before any content is read."""
-    depth = F.size(F.split(F.regexp_replace("path", r"\\", "/"), "/")) - 1
-    return files.where(basename(F.col("path")).isin(*KNOWN) & (depth <= max_depth))
+def parse(path: str, content: str) -> list[tuple]:
+    """Rows of one manifest; none for unknown names and broken files."""
+    return _parsed(path, content)[0]
+
+
+def discover(files: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Known manifests, up to a depth where one is given; the filter comes before any content is read."""
+    known = files.where(basename(F.col("path")).isin(*KNOWN))
+    return known if max_depth is None else known.where(F.size(F.split(F.regexp_replace("path", r"\\", "/"), "/")) - 1 <= max_depth)
 
 
 def dependencies(files: DataFrame) -> DataFrame:
@@ -267,6 +303,111 @@ def dependencies(files: DataFrame) -> DataFrame:
     return discover(files).select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def problems(files: DataFrame) -> DataFrame:
+    """(manifest_path, problem) of each known manifest that can't be parsed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(p, _parsed(p, c)[1]) for p, c in zip(batch["path"], batch["content"], strict=True)]
+            yield pd.DataFrame([x for x in found if x[1]], columns=["manifest_path", "problem"], dtype=object)
+
+    return discover(files).select("path", "content").mapInPandas(run, "manifest_path string, problem string")
+
+
+_MODEL = "path string, parent string, body string"
+
+
+def maven_dependencies(files: DataFrame) -> DataFrame:
+    """Dependency rows of all pom.xml files (path, content), each with the properties and managed versions of its parents.
+
+    A parent is found by its relative path among the files, level by level with a join, until no file
+    has an open parent; a file doesn't take up the same parent twice, which ends cycles. Properties
+    and versions of a child go before those of its parent.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    parts = _pom_parts(content or "")
+                except (ValueError, ET.ParseError):
+                    continue
+                out.append((path, parts["parent"], json.dumps(parts)))
+            yield pd.DataFrame(out, columns=["path", "parent", "body"], dtype=object)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        for batch in batches:
+            out = []
+            for path, bodies in zip(batch["path"], batch["bodies"], strict=True):
+                chain = [json.loads(b) for b in bodies]
+                props, managed = {}, {}
+                for parts in reversed(chain):
+                    props |= parts["props"]
+                    managed |= parts["managed"]
+                out += [(path, n, v, "maven", d, dev, lic) for n, v, d, dev, lic in _pom_rows(chain[0], props, managed)]
+            yield pd.DataFrame(out, columns=names)
+
+    poms = files.where(basename(F.col("path")) == "pom.xml").select("path", "content").mapInPandas(read, _MODEL)
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    named = F.when(F.col("parent").rlike("[.]xml$"), F.col("parent")).otherwise(F.concat(F.regexp_replace("parent", "/$", ""), F.lit("/pom.xml")))
+    poms = poms.withColumn("parent", F.when(F.col("parent").isNotNull(), normalize_path(F.concat(folder, named)))).withColumn("_key", normalize_path(F.col("path")))
+    with scratch(files.sparkSession) as keep:
+        poms = keep(poms)
+        above = poms.select(F.col("_key").alias("_open"), F.col("parent").alias("_next"), F.col("body").alias("_body"))
+        chains, done = poms.select("path", F.col("parent").alias("_open"), F.array("body").alias("bodies"), F.array("_key").alias("_seen")), []
+        while True:
+            chains, seen = keep(chains, open=F.count_if(F.col("_open").isNotNull()))
+            done.append(chains.where("_open is null").select("path", "bodies"))
+            if not seen["open"]:
+                break
+            step = chains.where("_open is not null").join(above, "_open", "left")
+            fresh = F.col("_body").isNotNull() & ~F.array_contains("_seen", F.col("_open"))
+            chains = step.select("path", F.when(fresh, F.col("_next")).alias("_new"), F.when(fresh, F.concat("bodies", F.array("_body"))).otherwise(F.col("bodies")).alias("bodies"), F.concat("_seen", F.array("_open")).alias("_seen")).withColumnRenamed("_new", "_open")
+        out = done[0]
+        for d in done[1:]:
+            out = out.unionByName(d)
+        return checkpoint(out.mapInPandas(rows, SCHEMA))
+
+
+def workspace_members(files: DataFrame) -> DataFrame:
+    """(root_path, kind, member): the member folders or globs that go.work, package.json, pnpm-workspace.yaml, pom.xml, Cargo.toml, settings.gradle and pyproject.toml name, relative to their folder."""
+
+    def of(path: str, text: str) -> list[tuple[str, str]]:
+        name = path.replace("\\", "/").rpartition("/")[2]
+        if name == "go.work":
+            bare = re.sub(r"//.*", "", text)
+            return [("go", m) for block in re.findall(r"^use\s*\(([^)]*)\)", bare, re.M) for m in block.split()] + [("go", m) for m in re.findall(r"^use\s+([^\s(]+)", bare, re.M)]
+        if name == "package.json":
+            w = json.loads(text).get("workspaces") or []
+            return [("npm", m) for m in (w.get("packages") or [] if isinstance(w, dict) else w)]
+        if name == "pnpm-workspace.yaml":
+            return [("npm", m) for m in re.findall(r"^\s*-\s*['\"]?([^'\"\s#]+)", text.partition("packages:")[2], re.M)]
+        if name == "pom.xml":
+            return [("maven", m) for m in _pom_parts(text)["modules"]]
+        if name == "Cargo.toml":
+            return [("cargo", m) for m in tomllib.loads(text).get("workspace", {}).get("members", [])]
+        if name in ("settings.gradle", "settings.gradle.kts"):
+            return [("gradle", m.lstrip(":").replace(":", "/")) for line in re.findall(r"^\s*include\b\s*\(?([^)\n]*)", text, re.M) for m in re.findall(r"""["']([^"']+)["']""", line)]
+        if name == "pyproject.toml":
+            return [("uv", m) for m in tomllib.loads(text).get("tool", {}).get("uv", {}).get("workspace", {}).get("members", [])]
+        return []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, text in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    out += [(path, k, m[2:] if m.startswith("./") else m) for k, m in of(path, text or "")]
+                except (ValueError, AttributeError, TypeError, ET.ParseError):
+                    continue
+            yield pd.DataFrame(out, columns=["root_path", "kind", "member"], dtype=object)
+
+    roots = ("go.work", "package.json", "pnpm-workspace.yaml", "pom.xml", "Cargo.toml", "settings.gradle", "settings.gradle.kts", "pyproject.toml")
+    return files.where(basename(F.col("path")).isin(*roots)).select("path", "content").mapInPandas(run, "root_path string, kind string, member string")
+
+
 def merged(deps: DataFrame, covered: DataFrame | None = None) -> DataFrame:
     """Union of all manifests: without covered paths, first of each name and version wins, and a lockfile's row beats a manifest's (which lends it the direct flag)."""
     if covered is not None:

@@ -47,6 +47,36 @@ def test_manifests(spark):
     assert not any(p.startswith("broken") or p == "other.txt" for p, *_ in got) and len({n for _, n, *_ in got if n == "self"}) == 0
 
 
+def test_problems_and_setup_cfg(spark):
+    df = spark.createDataFrame([("setup.cfg", "[options]\ninstall_requires =\n    flask>=2\n    six\n[options.extras_require]\ntest = pytest\n"), ("x/pom.xml", "<project"), ("y/package.json", "[1"), ("z/setup.cfg", "no section"), ("other.txt", "<"), ("ok/Cargo.toml", "")], "path string, content string")
+    assert rows(manifests.dependencies(df), "name", "version", "is_dev") == [("flask", "2", False), ("pytest", "", True), ("six", "", False)]
+    assert [p for p, in rows(manifests.problems(df), "manifest_path")] == ["x/pom.xml", "y/package.json", "z/setup.cfg"]
+
+
+def test_maven_parents(spark):
+    dep = lambda a, v="", g="g": f"<dependency><groupId>{g}</groupId><artifactId>{a}</artifactId>{f'<version>{v}</version>' if v else ''}</dependency>"
+    parent = lambda path: f"<parent><groupId>g</groupId><artifactId>p</artifactId><version>1</version>{path}</parent>"
+    poms = {
+        "pom.xml": "<project><groupId>g</groupId><version>1</version><modules><module>api</module></modules><properties><j.v>5.9</j.v><k.v>${k2.v}</k.v><k2.v>${k3.v}</k2.v><k3.v>${k4.v}</k3.v><k4.v>${k5.v}</k4.v><k5.v>${k6.v}</k5.v><k6.v>7</k6.v><loop>${loop}</loop></properties><dependencyManagement><dependencies>" + dep("junit", "${j.v}") + dep("deep", "${k.v}") + "</dependencies></dependencyManagement></project>",
+        "api/pom.xml": "<project>" + parent("") + "<properties><own.v>3</own.v></properties><dependencies>" + dep("junit") + dep("deep") + dep("own", "${own.v}") + dep("l", "${loop}") + "</dependencies></project>",
+        "api/sub/pom.xml": "<project>" + parent("<relativePath>../</relativePath>") + "<properties><j.v>6</j.v></properties><dependencies>" + dep("junit") + dep("own", "${own.v}", "${project.groupId}") + "</dependencies></project>",
+        "far/pom.xml": "<project>" + parent("<relativePath>../gone/pom.xml</relativePath>") + "<dependencies>" + dep("junit") + "</dependencies></project>",
+        "cycle/pom.xml": "<project>" + parent("<relativePath>pom.xml</relativePath>") + "<dependencies>" + dep("c", "1") + "</dependencies></project>",
+        "bad/pom.xml": "<project",
+    }
+    got = manifests.maven_dependencies(spark.createDataFrame(list(poms.items()), "path string, content string"))
+    assert rows(got, "manifest_path", "name", "version") == sorted([("api/pom.xml", "g:junit", "5.9"), ("api/pom.xml", "g:deep", "7"), ("api/pom.xml", "g:own", "3"), ("api/pom.xml", "g:l", "${loop}"), ("api/sub/pom.xml", "g:junit", "6"), ("api/sub/pom.xml", "g:own", "3"), ("far/pom.xml", "g:junit", ""), ("cycle/pom.xml", "g:c", "1")])
+
+
+def test_workspace_members(spark):
+    files = {
+        "go.work": "go 1.21\n\nuse (\n\t./services/api // x\n\t./services/worker\n)\nuse ./tools\n", "package.json": json.dumps({"workspaces": ["packages/*"]}), "w/package.json": json.dumps({"workspaces": {"packages": ["apps/a"]}}), "pnpm-workspace.yaml": "packages:\n  - 'lib/*'\n  - app\n",
+        "pom.xml": "<project><modules><module>api</module></modules></project>", "Cargo.toml": '[workspace]\nmembers=["crates/x"]\n', "settings.gradle": "include ':core', ':web:ui'\n", "pyproject.toml": '[tool.uv.workspace]\nmembers=["py/*"]\n', "bad/package.json": "[1", "x.txt": "use ./y",
+    }
+    got = rows(manifests.workspace_members(spark.createDataFrame(list(files.items()), "path string, content string")), "root_path", "kind", "member")
+    assert got == sorted([("go.work", "go", "services/api"), ("go.work", "go", "services/worker"), ("go.work", "go", "tools"), ("package.json", "npm", "packages/*"), ("w/package.json", "npm", "apps/a"), ("pnpm-workspace.yaml", "npm", "lib/*"), ("pnpm-workspace.yaml", "npm", "app"), ("pom.xml", "maven", "api"), ("Cargo.toml", "cargo", "crates/x"), ("settings.gradle", "gradle", "core"), ("settings.gradle", "gradle", "web/ui"), ("pyproject.toml", "uv", "py/*")])
+
+
 def test_merge_and_workspace(spark):
     d = spark.createDataFrame([("package.json", "left", "^1", "npm", True, False, ""), ("package-lock.json", "left", "1.0", "npm", False, False, ""), ("w/a/package.json", "x", "1", "npm", True, False, "")], manifests.SCHEMA)
     covered = manifests.workspace_coverage(d.select("manifest_path"), ["w/*"])
@@ -77,11 +107,12 @@ def test_packages_and_os(spark):
 
 
 def test_image_checks(spark):
-    c = spark.createDataFrame([("", ["DB_PASSWORD=x"], ["2222/tcp"], {}, False, "latest")], "user string, env array<string>, exposed_ports array<string>, labels map<string,string>, has_healthcheck boolean, tag string")
-    got = {r.rule_id for r in images.run_checks(c).collect()}
-    assert {"IMG-ROOT-USER", "IMG-NO-USER", "IMG-SECRET-ENV", "IMG-SSH-PORT", "IMG-LATEST-TAG", "IMG-NO-LABELS"} <= got
-    f = spark.createDataFrame([("bin/su", 0o4755, 1, False), ("tmp/x", 0o0777, 1, False), ("tmp/y", 0o0666, 1, False), ("usr/bin/big", 0o755, 200 << 20, False)], "path string, mode bigint, size bigint, is_dir boolean")
-    assert rows(images.run_checks(f, images.FILE_CHECKS), "path", "rule_id") == [("bin/su", "IMG-SETUID"), ("tmp/y", "IMG-WORLD-WRITABLE"), ("usr/bin/big", "IMG-LARGE-BINARY")]
+    c = spark.createDataFrame([("", ["DB_PASSWORD=x"], ["2222/tcp"], {}, False, "latest", None, None), ("app", ["A=b"], ["80/tcp", "22/udp"], {f"org.opencontainers.image.{x}": "y" for x in ("title", "version", "description", "licenses", "source", "vendor", "documentation", "authors")}, True, "1.2", "/app", "SIGTERM")], "user string, env array<string>, exposed_ports array<string>, labels map<string,string>, has_healthcheck boolean, tag string, working_dir string, stop_signal string")
+    hit = lambda checks, user: {r.rule_id for r in images.run_checks(c, checks).collect() if r.user == user}
+    assert hit(images.HARDENING_CHECKS, "") == {i for i, *_ in images.HARDENING_CHECKS} - {"IMG-SSH-PORT"} and hit(images.HARDENING_CHECKS, "app") == {"IMG-SSH-PORT"}
+    assert hit(images.CONFIG_CHECKS, "") == {i for i, *_ in images.CONFIG_CHECKS} - {"CFG-ADMIN-PORT"} and hit(images.CONFIG_CHECKS, "app") == {"CFG-ADMIN-PORT"}
+    f = spark.createDataFrame([("bin/su", 0o4755, 1, False), ("tmp/x", 0o0777, 1, True), ("tmp/y", 0o0772, 1, True), ("usr/bin/big", 0o755, 200 << 20, False), ("/usr/bin/sudo", 0o755, 1, False), ("var/cache/apt/p", 0o644, 1, False), ("opt/nmap", 0o755, 1, False), ("bin/sh", 0o755, 1, False)], "path string, mode bigint, size bigint, is_dir boolean")
+    assert rows(images.run_checks(f, images.FILE_CHECKS), "path", "rule_id") == sorted([("bin/su", "IMG-SETUID"), ("tmp/y", "IMG-WORLD-WRITABLE"), ("usr/bin/big", "IMG-LARGE-BINARY"), ("/usr/bin/sudo", "IMG-SUDO"), ("var/cache/apt/p", "IMG-PACKAGE-CACHE"), ("opt/nmap", "IMG-NETWORK-TOOL"), ("bin/sh", "IMG-SHELL")])
     layers = spark.createDataFrame([(0, "d0", "ADD file:x"), (1, "d1", "RUN make"), (2, "d2", "CMD x")], "layer_idx int, layer_digest string, created_by string")
     assert rows(images.layer_blame(spark.createDataFrame([("p", "d0"), ("q", "d2")], "name string, layer_digest string"), layers), "name", "is_base") == [("p", True), ("q", False)]
 
