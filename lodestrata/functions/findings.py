@@ -127,3 +127,61 @@ def in_scope(scope: Column, cwe: Column, category: Column) -> Column:
     """Whether a scoped source, sink or sanitizer applies: no scope fits all, else an equal weakness or category in any letter case."""
     s = F.upper(F.trim(text(scope)))
     return (s == "") | (s == F.upper(text(cwe))) | (s == F.upper(text(category)))
+
+
+#: Beginnings of rule ids by category, in this order (fixed values).
+RULE_CATEGORIES = (
+    ("secrets", "SECRET- G101"), ("injection", "G701 G702 G703 G704 G705 G706 G707 G708 G709 G710 G201 G202 G204 PY001 PY002 PY003 PY004 PY005 JS001 JS002 TP-"), ("unsafe", "G103"),
+    ("error-handling", "G104 G108 G109 G110 G111 G112"), ("crypto", "G115 G116 G117 G501 G601 G602"), ("file-permissions", "G301 G302 G306 G307"), ("tls", "G402"),
+)
+#: Beginnings of rule ids by weakness, in this order (fixed values).
+RULE_WEAKNESSES = (
+    ("CWE-95", "PY001 PY002 JS001 JS002"), ("CWE-78", "PY003 PY004"), ("CWE-502", "PY005 G710"), ("CWE-89", "G201 G202 G701 TP-PY001 TP-JS001"), ("CWE-78", "G204 G702 TP-PY002 TP-JS002"), ("CWE-22", "G703 G304 TP-PY003 TP-JS004"),
+    ("CWE-918", "G704 TP-PY004 TP-JS005"), ("CWE-601", "G705 TP-JS006"), ("CWE-79", "G709 TP-PY006 TP-JS003"), ("CWE-1336", "G708"), ("CWE-117", "G706"), ("CWE-93", "G707"), ("CWE-798", "G101 SECRET-"),
+    ("CWE-327", "G115 G116 G501 G601"), ("CWE-755", "G104"), ("CWE-732", "G301 G302 G306"), ("CWE-295", "G402"), ("CWE-1321", "TP-JS007"), ("CWE-758", "G103"),
+)
+#: What to do about a weakness.
+ADVICE = {
+    "CWE-95": "Parse data instead of running it.", "CWE-78": "Pass arguments as a list, without a shell.", "CWE-89": "Bind parameters; don't join input into SQL.", "CWE-22": "Resolve the path and keep it below its root.", "CWE-918": "Call listed hosts only.", "CWE-79": "Escape what is rendered.",
+    "CWE-798": "Keep secrets outside the code and rotate this one.", "CWE-327": "Use a current algorithm.", "CWE-295": "Verify certificates.", "CWE-502": "Read untrusted data in a format without objects.", "CWE-755": "Handle the error.", "CWE-732": "Give files and folders to their owner only.",
+    "CWE-601": "Redirect to listed targets only.", "CWE-117": "Strip line breaks from what is logged.", "CWE-1321": "Don't merge foreign keys into objects.", "CWE-758": "Do without unsafe memory access.",
+}
+
+
+def _by_beginning(rule: Column, table: tuple[tuple[str, str], ...], default: str) -> Column:
+    bare = F.regexp_replace(text(rule), "^TS-", "")
+    out = F.lit(default)
+    for value, starts in reversed(table):
+        out = F.when(bare.rlike("^(" + "|".join(starts.split()) + ")"), value).otherwise(out)
+    return out
+
+
+def rule_category(rule: Column) -> Column:
+    """The category of a rule by the beginning of its id; general for all else."""
+    return _by_beginning(rule, RULE_CATEGORIES, "general")
+
+
+def rule_weakness(rule: Column) -> Column:
+    """The weakness of a rule by the beginning of its id; empty for all else."""
+    return _by_beginning(rule, RULE_WEAKNESSES, "")
+
+
+def advice(weakness: Column) -> Column:
+    return _labelled(weakness, ADVICE, "Review the finding.")
+
+
+def profile_mode(profile: str, maturity: Column, severity: Column, category: Column) -> Column:
+    """The mode that a profile gives a rule: block, inform or off, null where it gives none."""
+    grave, stable = F.lower(severity).isin("high", "critical"), maturity.isin("stable", "enterprise")
+    block = F.when(stable & grave, "block")
+    if profile == "audit":
+        return F.lit("inform")
+    if profile == "strict":
+        return block.when((maturity == "beta") & grave & category.isin("injection", "auth"), "block")
+    if profile == "ci-blocking":
+        return F.when(maturity == "experimental", "off").when(grave, "block").otherwise("inform")
+    if profile == "enterprise":
+        return F.when(maturity == "experimental", "off").when(stable & grave, "block").when(stable, "inform")
+    if profile in ("starter", "framework-heavy"):
+        return block
+    raise ValueError(f"no profile {profile}")

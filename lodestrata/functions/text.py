@@ -148,6 +148,16 @@ def is_example_file(path: Column) -> Column:
     return (base.startswith(".env.") & base.contains("example")) | base.rlike(r"\.(example|sample|template|dist)$")
 
 
+def is_doc_path(path: Column) -> Column:
+    """Documentation: text formats of prose, and what lies in a folder of documents."""
+    plain = F.lower(F.regexp_replace(path, r"\\", "/"))
+    return plain.rlike(r"\.(md|markdown|rst|adoc|txt)$|(^|/)(docs?|documentation|man)/|(^|/)(readme|changelog|license|contributing)[^/]*$")
+
+
+def is_binary_path(path: Column) -> Column:
+    return extension(path).isin(*BINARY_EXTENSIONS)
+
+
 #: Packages that are imported under other names (fixed values); reachability leaves out the second table.
 IMPORT_NAMES = {
     "pyyaml": ("yaml",), "pillow": ("PIL",), "beautifulsoup4": ("bs4",), "scikit-learn": ("sklearn",), "python-dateutil": ("dateutil",), "opencv-python": ("cv2",), "pyjwt": ("jwt",),

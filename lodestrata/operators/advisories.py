@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions.findings import text
@@ -60,6 +61,16 @@ def best_matches(matches: DataFrame, order: list[Column]) -> DataFrame:
     return matches.groupBy(F.col("vuln_id").alias("_v"), F.col("package_name").alias("_p")).agg(first.alias("_row")).select("_row.*")
 
 
+def explained(matches: DataFrame, min_confidence: int) -> DataFrame:
+    """Adds verdict to every match: version (not affected), confidence (below the bound), duplicate (a better match of the advisory and package is reported) or reported."""
+    affected = version_affected(F.col("ecosystem"), F.col("version"), F.col("status"), F.col("introduced_version"), F.col("fixed_version"), F.col("affected_range"))
+    m = matches.withColumn("_a", F.coalesce(affected, F.lit(False))).withColumn("_ok", F.col("_a") & (F.col("confidence") >= min_confidence))
+    order = ["tier", "ecosystem", "vulnerability_id", "status", "introduced_version", "fixed_version", "affected_range", "distro_name", "source_package"]
+    place = F.row_number().over(W.partitionBy("vuln_id", "package_name", "_ok").orderBy(F.col("confidence").desc(), *order))
+    verdict = F.when(~F.col("_a"), "version").when(~F.col("_ok"), "confidence").when(F.col("_k") > 1, "duplicate").otherwise("reported")
+    return m.withColumn("_k", place).withColumn("verdict", verdict).drop("_a", "_ok", "_k")
+
+
 def preferred_id(vuln_id: Column, aliases: Column) -> Column:
     """A CVE among the id and aliases, else a GHSA, else the id."""
     known = F.transform(F.filter(F.concat(F.array(vuln_id), F.coalesce(aliases, F.array().cast("array<string>"))), lambda x: x.isNotNull()), lambda x: F.upper(F.trim(x)))

@@ -266,8 +266,11 @@ def issue_groups(findings: DataFrame, boundaries: DataFrame | None = None, windo
 
 
 # -- aggregates ------------------------------------------------------------------------------------
-def risk_points(findings: DataFrame, reachability: Column, *by: str) -> DataFrame:
-    """Capped point sums and their score by the given keys (none: one row); each row's points are truncated before summing."""
+def risk_points(findings: DataFrame, reachability: Column, *by: str, change: Column | None = None, sensitivity: Column | None = None) -> DataFrame:
+    """Capped point sums and their score by the given keys (none: one row); each row's points are truncated before summing.
+
+    change and sensitivity are points of the change, as aggregates (`change_points`, `sensitivity_points`); 0 without them.
+    """
     kind, weight = F.col("finding_type"), fx.severity_weight(F.col("severity"))
     cut = lambda x: F.floor(x).cast("bigint")
     vuln = F.sum(F.when(kind == "sca", cut(weight * fx.reachability_weight(reachability) * F.lit(0.3))).otherwise(0))
@@ -275,8 +278,8 @@ def risk_points(findings: DataFrame, reachability: Column, *by: str) -> DataFram
     secret = F.sum(F.when(kind == "secret", 15).otherwise(0))
     bonus = F.sum(F.when((kind == "sca") & (reachability == "high"), 3).otherwise(0))
     capped = lambda x, most: F.least(F.coalesce(x, F.lit(0)), F.lit(most)).cast("bigint")
-    out = findings.groupBy(*by).agg(capped(vuln, 50).alias("vulnerability_points"), capped(sast, 25).alias("sast_points"), capped(secret, 20).alias("secret_points"), capped(bonus, 10).alias("reachability_bonus"))
-    total = F.col("vulnerability_points") + F.col("sast_points") + F.col("secret_points") + F.col("reachability_bonus")
+    out = findings.groupBy(*by).agg(capped(vuln, 50).alias("vulnerability_points"), capped(sast, 25).alias("sast_points"), capped(secret, 20).alias("secret_points"), capped(bonus, 10).alias("reachability_bonus"), capped(F.lit(0) if change is None else change, 15).alias("change_points"), capped(F.lit(0) if sensitivity is None else sensitivity, 15).alias("sensitivity_points"))
+    total = F.col("vulnerability_points") + F.col("sast_points") + F.col("secret_points") + F.col("reachability_bonus") + F.col("change_points") + F.col("sensitivity_points")
     return out.withColumn("score", F.least(total, F.lit(100)).cast("bigint")).withColumn("level", fx.score_level(F.col("score")))
 
 

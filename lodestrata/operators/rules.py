@@ -33,6 +33,27 @@ def custom_rules(items: list[dict]) -> list[Rule]:
     return out
 
 
+MODES = ("block", "inform", "off")
+
+
+def load_modes(text: str) -> dict[str, str]:
+    """Modes of single rules from a configuration's mapping ``rules:`` (lines of ``id: mode``); a list under that key holds custom rules and gives none. An unknown mode is an error."""
+    out, inside = {}, False
+    for line in text.splitlines():
+        bare = re.sub(r"(^|\s)#.*", "", line).rstrip()
+        if not bare:
+            continue
+        if not bare[0].isspace():
+            inside = bare == "rules:"
+        elif inside and (m := re.fullmatch(r"""\s+["']?([\w.-]+)["']?:\s*["']?(\w+)["']?""", bare)):
+            if m[2] not in MODES:
+                raise ValueError(f"rule {m[1]}: mode {m[2]} is none of {', '.join(MODES)}")
+            out[m[1]] = m[2]
+        elif inside and bare.lstrip().startswith("-"):
+            return {}
+    return out
+
+
 def search(rules: DataFrame, text: str) -> DataFrame:
     """Rules whose id, title, severity, pattern or weakness holds the text, by id."""
     low = F.lower(F.lit(text))

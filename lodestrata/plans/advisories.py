@@ -290,10 +290,20 @@ def _(spark, d):
     return manifest.select("id").union(lock.select("id"))
 
 
-@query("o155_package_order", f"SELECT package_name, row_number() OVER (ORDER BY n DESC, worst DESC, package_name) AS place FROM (SELECT package_name, max(confidence) AS worst, count(*) AS n FROM affected_packages WHERE package_name IS NOT NULL GROUP BY 1)")
+@query("o155_package_order", f"WITH g AS (SELECT a.package_name, max(CASE {_SEVERITY} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS worst, max(CASE WHEN a.confidence=100 THEN 1 ELSE 0 END) AS reached, count(*) AS n FROM affected_packages a JOIN vulnerabilities v ON v.id=a.vulnerability_id WHERE package_name IS NOT NULL GROUP BY 1) SELECT package_name, row_number() OVER (ORDER BY worst DESC, reached DESC, package_name) AS place FROM g")
 def _(spark, d):
-    g = table(spark, d, "affected_packages").where("package_name is not null").groupBy("package_name").agg(F.max("confidence").alias("worst"), F.count(F.lit(1)).alias("n"))
-    return global_rank(g, [F.desc("n"), F.desc("worst"), F.col("package_name")]).select("package_name", "place")
+    """By the worst severity, then whether it is reached, then name."""
+    v = table(spark, d, "vulnerabilities").select(F.col("id").alias("vulnerability_id"), fx.severity_rank(op.severity_of(F.col("cvss_score"), F.col("severity"))).alias("r"))
+    a = table(spark, d, "affected_packages").where("package_name is not null").join(v, "vulnerability_id")
+    g = a.groupBy("package_name").agg(F.max("r").alias("worst"), F.max((F.col("confidence") == 100).cast("int")).alias("reached"))
+    return global_rank(g, [F.desc("worst"), F.coalesce("reached", F.lit(0)).desc(), F.col("package_name")]).select("package_name", "place")
+
+
+@query("o172_explain", f"WITH {_MATCH}, c AS (SELECT *, CASE WHEN source_name IN ('alpine-secdb','debian-security','ubuntu-oval') THEN CASE WHEN distro_name<>'' THEN 100 ELSE 95 END WHEN source_name='nvd' THEN 70 ELSE 95 END AS confidence, {_EXACT} AS affected FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY vuln_id, package_name, affected AND confidence>=80 ORDER BY confidence DESC, tier, ecosystem, vulnerability_id, status, introduced_version, fixed_version, affected_range, distro_name, source_package) AS k FROM c) SELECT vuln_id, package_name, vulnerability_id, tier, confidence, CASE WHEN NOT affected THEN 'version' WHEN confidence<80 THEN 'confidence' WHEN k>1 THEN 'duplicate' ELSE 'reported' END AS verdict FROM r")
+def _(spark, d):
+    """Every match of every tier with what becomes of it."""
+    m = _matches(spark, d).withColumn("confidence", op.match_confidence(F.col("source_name"), F.col("distro_name")))
+    return op.explained(m, 80).select("vuln_id", "package_name", "vulnerability_id", "tier", "confidence", "verdict")
 
 
 def _tree(spark, d):

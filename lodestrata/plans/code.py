@@ -257,9 +257,10 @@ def _(spark, d):
     return table(spark, d, "raw_findings").select("finding_id", tx.is_third_party(F.col("file_path")).alias("third_party"))
 
 
-@query("o005_admission", r"SELECT finding_id, regexp_extract(file_path,'([^/]*)$',1) LIKE '%.lock' AS lockfile, regexp_matches(file_path,'\.(example|sample|template|dist)$') AS example FROM raw_findings")
+@query("o005_admission", r"SELECT finding_id, regexp_extract(file_path,'([^/]*)$',1) LIKE '%.lock' AS lockfile, regexp_matches(file_path,'\.(example|sample|template|dist)$') AS example, regexp_matches(lower(file_path),'\.(png|jpg|lock|svg|jar|so|zip|sum)$') AS is_binary, regexp_matches(lower(file_path),'\.(md|markdown|rst|adoc|txt)$|(^|/)(docs?|documentation|man)/|(^|/)(readme|changelog|license|contributing)[^/]*$') AS doc FROM raw_findings")
 def _(spark, d):
-    return table(spark, d, "raw_findings").select("finding_id", tx.is_lockfile(F.col("file_path")).alias("lockfile"), tx.is_example_file(F.col("file_path")).alias("example"))
+    p = F.col("file_path")
+    return table(spark, d, "raw_findings").select("finding_id", tx.is_lockfile(p).alias("lockfile"), tx.is_example_file(p).alias("example"), tx.is_binary_path(p).alias("is_binary"), tx.is_doc_path(p).alias("doc"))
 
 
 #: The first words of some licences (fixed values of the query).

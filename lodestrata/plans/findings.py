@@ -244,20 +244,21 @@ def _(spark, d):
     return f.where("line_start > 0 and file_path <> ''").join(f.where("severity = 'high'").select("file_path").distinct(), "file_path", "left_semi").select("id", "file_path", "line_start", "severity")
 
 
-@query("o123_expected_match", f"WITH {BASE}, e(exp) AS (VALUES ('QX-JS031'),('CWE-9001'),('cwe-injection'),('missing')) SELECT e.exp AS expected, count(f.id) FILTER (f.rule_id=e.exp OR f.cwe_id=e.exp) AS hits FROM e LEFT JOIN f ON f.rule_id=e.exp OR f.cwe_id=e.exp GROUP BY 1")
+@query("o123_expected_match", f"WITH {BASE}, e(exp) AS (VALUES ('QX-JS031'),('CWE-9001'),('cwe-9002'),('cwe-injection'),('missing')) SELECT e.exp AS expected, count(f.id) AS hits FROM e LEFT JOIN f ON f.rule_id=e.exp OR f.cwe_id=e.exp OR (starts_with(lower(e.exp),'cwe-') AND lower(f.cwe_id)=lower(e.exp)) GROUP BY 1")
 def _(spark, d):
-    e = spark.createDataFrame([(x,) for x in ("QX-JS031", "CWE-9001", "cwe-injection", "missing")], "expected string")
-    f = _f(spark, d)
-    keys = f.select(F.explode(F.array_distinct(F.array("rule_id", "cwe_id"))).alias("expected")).groupBy("expected").agg(F.count(F.lit(1)).alias("n"))
-    return e.join(keys, "expected", "left").select("expected", F.coalesce("n", F.lit(0)).alias("hits"))
+    """An expectation names a rule, or a weakness in any letter case."""
+    e = spark.createDataFrame([(x,) for x in ("QX-JS031", "CWE-9001", "cwe-9002", "cwe-injection", "missing")], "expected string")
+    folded = lambda c: F.when(F.lower(c).startswith("cwe-"), F.lower(c)).otherwise(c)
+    keys = _f(spark, d).select(F.explode(F.array_distinct(F.array(F.col("rule_id"), folded(F.col("cwe_id"))))).alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias("n"))
+    return e.withColumn("_k", folded(F.col("expected"))).join(keys, "_k", "left").select("expected", F.coalesce("n", F.lit(0)).alias("hits"))
 
 
 # -- aggregates
-@query("o125_counts", _with("SELECT finding_type, severity, confidence, grouping(finding_type)*4+grouping(severity)*2+grouping(confidence) AS level, count(*) AS n FROM f GROUP BY GROUPING SETS ((finding_type),(severity),(confidence),())"))
+@query("o125_counts", _with("SELECT finding_type, severity, confidence, file_path, grouping(finding_type)*8+grouping(severity)*4+grouping(confidence)*2+grouping(file_path) AS level, count(*) AS n FROM f GROUP BY GROUPING SETS ((finding_type),(severity),(confidence),(file_path),())"))
 def _(spark, d):
     # one pass with GROUPING SETS instead of a counter for each key
-    f = _f(spark, d).select("finding_type", "severity", "confidence")
-    return f.groupingSets([["finding_type"], ["severity"], ["confidence"], []], "finding_type", "severity", "confidence").agg(F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("n"))
+    f = _f(spark, d).select("finding_type", "severity", "confidence", "file_path")
+    return f.groupingSets([["finding_type"], ["severity"], ["confidence"], ["file_path"], []], "finding_type", "severity", "confidence", "file_path").agg(F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("n"))
 
 
 _REACH = "CASE WHEN len(coalesce(taint_path,[]))>1 THEN 'high' WHEN len(coalesce(taint_path,[]))=1 THEN 'low' ELSE 'unknown' END"
@@ -266,15 +267,19 @@ _REACH = "CASE WHEN len(coalesce(taint_path,[]))>1 THEN 'high' WHEN len(coalesce
 _POINTS = f"""k AS (SELECT *, {WEIGHT} AS w, CASE finding_type WHEN 'sca' THEN 'sca' WHEN 'secret' THEN 'secret' ELSE 'sast' END AS t, {_REACH} AS reach FROM f),
  s AS (SELECT file_path, least(sum(CASE WHEN t='sca' THEN CAST(floor(CAST(w AS DOUBLE)*(CASE reach WHEN 'high' THEN 1.0::DOUBLE WHEN 'low' THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END)*0.3::DOUBLE) AS BIGINT) ELSE 0 END),50)::BIGINT AS vulnerability_points,
  least(sum(CASE WHEN t='sast' THEN CAST(floor(CAST(w AS DOUBLE)*0.15::DOUBLE) AS BIGINT) ELSE 0 END),25)::BIGINT AS sast_points, least(sum(CASE WHEN t='secret' THEN 15 ELSE 0 END),20)::BIGINT AS secret_points,
- least(sum(CASE WHEN t='sca' AND reach='high' THEN 3 ELSE 0 END),10)::BIGINT AS reachability_bonus FROM k GROUP BY 1)"""
+ least(sum(CASE WHEN t='sca' AND reach='high' THEN 3 ELSE 0 END),10)::BIGINT AS reachability_bonus,
+ (CASE WHEN sum(greatest(line_end-line_start+1,0))>1000 THEN 15 WHEN sum(greatest(line_end-line_start+1,0))>500 THEN 12 WHEN sum(greatest(line_end-line_start+1,0))>200 THEN 8 WHEN sum(greatest(line_end-line_start+1,0))>50 THEN 5 WHEN sum(greatest(line_end-line_start+1,0))>10 THEN 3 WHEN sum(greatest(line_end-line_start+1,0))>0 THEN 1 ELSE 0 END)::BIGINT AS change_points,
+ (CASE WHEN contains(lower(file_path),'auth') OR contains(lower(file_path),'session') THEN 8 ELSE 0 END + CASE WHEN contains(file_path,'.yml') OR contains(file_path,'.yaml') THEN 5 ELSE 0 END)::BIGINT AS sensitivity_points FROM k GROUP BY file_path)"""
 
 
-@query("o126_risk_score", f"WITH {BASE}, {_POINTS} SELECT *, least(vulnerability_points+sast_points+secret_points+reachability_bonus,100)::BIGINT AS score, CASE WHEN score>=80 THEN 'critical' WHEN score>=60 THEN 'high' WHEN score>=40 THEN 'medium' WHEN score>=20 THEN 'low' ELSE 'minimal' END AS level FROM s")
+@query("o126_risk_score", f"WITH {BASE}, {_POINTS} SELECT *, least(vulnerability_points+sast_points+secret_points+reachability_bonus+change_points+sensitivity_points,100)::BIGINT AS score, CASE WHEN score>=80 THEN 'critical' WHEN score>=60 THEN 'high' WHEN score>=40 THEN 'medium' WHEN score>=20 THEN 'low' ELSE 'minimal' END AS level FROM s")
 def _(spark, d):
     """By file; `risk_points` without keys gives one row for the whole table."""
     f = _f(spark, d).withColumn("finding_type", F.when(F.col("finding_type").isin("sca", "secret"), F.col("finding_type")).otherwise("sast"))
     n = F.size(F.coalesce("taint_path", F.array().cast("array<string>")))
-    return op.risk_points(f, F.when(n > 1, "high").when(n == 1, "low").otherwise("unknown"), "file_path")
+    changed = fx.change_points(F.sum(F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0))), F.lit(1))
+    touched = F.max(fx.sensitivity_points(F.lower("file_path").rlike("auth|session"), F.col("file_path").rlike(r"[.]ya?ml"), F.lit(False)))
+    return op.risk_points(f, F.when(n > 1, "high").when(n == 1, "low").otherwise("unknown"), "file_path", change=changed, sensitivity=touched)
 
 
 @query("o129_owasp_summary", _with("SELECT owasp_category, count(*) AS n, count(*) FILTER (severity='critical') AS critical, count(*) FILTER (severity='high') AS high, count(*) FILTER (severity='medium') AS medium, count(*) FILTER (severity='low') AS low FROM f WHERE owasp_category<>'' GROUP BY 1"))
@@ -288,9 +293,10 @@ def _(spark, d):
     return _f(spark, d).groupBy("rule_id").agg(F.countDistinct("file_path").alias("n_files"), F.sort_array(F.collect_set(F.substring("file_path", 1, 3))).alias("heads"))
 
 
-@query("o133_coverage", _with("SELECT maturity, enforcement, count(DISTINCT rule_id) AS rules, count(*) AS n FROM f GROUP BY CUBE(maturity, enforcement)"))
+@query("o133_coverage", _with("SELECT maturity, analyzer, enforcement, grouping(maturity)*4+grouping(analyzer)*2+grouping(enforcement) AS level, count(DISTINCT rule_id) AS rules, count(*) AS n FROM f GROUP BY GROUPING SETS ((maturity),(analyzer),(enforcement),(maturity,enforcement),())"))
 def _(spark, d):
-    return _f(spark, d).cube("maturity", "enforcement").agg(F.countDistinct("rule_id").alias("rules"), F.count(F.lit(1)).alias("n"))
+    f = _f(spark, d).select("maturity", "analyzer", "enforcement", "rule_id")
+    return f.groupingSets([["maturity"], ["analyzer"], ["enforcement"], ["maturity", "enforcement"], []], "maturity", "analyzer", "enforcement").agg(F.grouping_id().cast("bigint").alias("level"), F.countDistinct("rule_id").alias("rules"), F.count(F.lit(1)).alias("n"))
 
 
 @query("o134_benchmark", _with("SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, CASE WHEN sum(tp)+sum(fp)=0 THEN 0 ELSE sum(tp)/(sum(tp)+sum(fp))::DOUBLE END AS precision, coalesce(avg(CASE WHEN tp+fp>0 THEN tp/(tp+fp)::DOUBLE END),0) AS mean_precision FROM (SELECT analyzer, count(*) FILTER (confidence='high') AS tp, count(*) FILTER (confidence='low') AS fp FROM f GROUP BY 1)"))
@@ -362,9 +368,38 @@ def _(spark, d):
     return _f(spark, d).where("analyzer <> ''").groupBy(F.col("analyzer").alias("name")).agg(F.count(F.lit(1)).alias("score")).orderBy(F.desc("score"), "name").limit(3)
 
 
-@query("o154_rule_search", _with("SELECT DISTINCT rule_id, title FROM f WHERE lower(rule_id) LIKE '%xss%' OR lower(title) LIKE '%injection%'"))
+@query("o154_rule_search", _with("SELECT DISTINCT rule_id, title FROM f WHERE contains(lower(rule_id||chr(10)||title||chr(10)||severity||chr(10)||cwe_id||chr(10)||owasp_category),'xss') OR contains(lower(rule_id||chr(10)||title||chr(10)||severity||chr(10)||cwe_id||chr(10)||owasp_category),'a03')"))
+def _(spark, d):
+    """Rules whose id, title, severity, weakness or class holds one of two texts."""
+    low = F.lower(F.concat_ws("\n", "rule_id", "title", "severity", "cwe_id", "owasp_category"))
+    return _f(spark, d).where(low.contains("xss") | low.contains("a03")).select("rule_id", "title").distinct()
+
+
+_STARTS = lambda t, default: "CASE " + " ".join(f"WHEN regexp_matches(b,'^({'|'.join(s.split())})') THEN '{v}'" for v, s in t) + f" ELSE '{default}' END"
+_MADE = "r AS (SELECT DISTINCT rule_id AS rule, CASE id_no%9 WHEN 0 THEN 'TS-PY003' WHEN 1 THEN 'G201' WHEN 2 THEN 'SECRET-X' WHEN 3 THEN 'TP-JS004' WHEN 4 THEN 'G402' WHEN 5 THEN 'TS-G104' WHEN 6 THEN 'JS001' WHEN 7 THEN 'G306' ELSE rule_id END AS id, maturity, severity FROM (SELECT *, length(rule_id) + line_start AS id_no FROM f WHERE line_start IS NOT NULL))"
+
+
+@query("o076_rule_metadata", f"WITH {BASE}, {_MADE}, c AS (SELECT DISTINCT id, regexp_replace(id,'^TS-','') AS b FROM r) SELECT id, {_STARTS((('secrets', 'SECRET-'), ('injection', 'G201 PY003 JS001 TP-'), ('error-handling', 'G104'), ('file-permissions', 'G306'), ('tls', 'G402')), 'general')} AS category, {_STARTS((('CWE-95', 'JS001'), ('CWE-78', 'PY003'), ('CWE-89', 'G201'), ('CWE-22', 'TP-JS004'), ('CWE-798', 'SECRET-'), ('CWE-755', 'G104'), ('CWE-732', 'G306'), ('CWE-295', 'G402')), '')} AS weakness FROM c")
+def _(spark, d):
+    """Category and weakness of rule ids; some rows get ids of the known kinds."""
+    return _rules(spark, d).select("id").distinct().select("id", fx.rule_category(F.col("id")).alias("category"), fx.rule_weakness(F.col("id")).alias("weakness"))
+
+
+def _rules(spark, d):
+    k = (F.length("rule_id") + F.col("line_start")) % 9
+    made = F.col("rule_id")
+    for i, x in enumerate(("TS-PY003", "G201", "SECRET-X", "TP-JS004", "G402", "TS-G104", "JS001", "G306")):
+        made = F.when(k == i, x).otherwise(made)
+    return _f(spark, d).where("line_start is not null").select(made.alias("id"), "maturity", "severity").distinct()
+
+
+_GRAVE, _FIRM = "severity IN ('high','critical')", "maturity IN ('stable','enterprise')"
+
+
+@query("o167_profile_modes", f"WITH {BASE}, {_MADE}, m AS (SELECT DISTINCT id, maturity, severity, regexp_matches(regexp_replace(id,'^TS-',''),'^(G201|PY003|JS001|TP-)') AS inj FROM r) SELECT id, maturity, severity, p AS profile, CASE p WHEN 'audit' THEN 'inform' WHEN 'starter' THEN CASE WHEN {_FIRM} AND {_GRAVE} THEN 'block' END WHEN 'strict' THEN CASE WHEN {_FIRM} AND {_GRAVE} OR maturity='beta' AND {_GRAVE} AND inj THEN 'block' END WHEN 'ci-blocking' THEN CASE WHEN maturity='experimental' THEN 'off' WHEN {_GRAVE} THEN 'block' ELSE 'inform' END ELSE CASE WHEN maturity='experimental' THEN 'off' WHEN {_FIRM} AND {_GRAVE} THEN 'block' WHEN {_FIRM} THEN 'inform' END END AS mode FROM m, (VALUES ('audit'),('starter'),('strict'),('ci-blocking'),('enterprise')) x(p)")
 def _(spark, d):
-    return _f(spark, d).where(F.lower("rule_id").contains("xss") | F.lower("title").contains("injection")).select("rule_id", "title").distinct()
+    mode = lambda p: F.struct(F.lit(p).alias("profile"), fx.profile_mode(p, F.col("maturity"), F.col("severity"), fx.rule_category(F.col("id"))).alias("mode"))
+    return _rules(spark, d).select("id", "maturity", "severity", F.explode(F.array(*[mode(p) for p in ("audit", "starter", "strict", "ci-blocking", "enterprise")])).alias("x")).select("id", "maturity", "severity", "x.*")
 
 
 # -- set operations

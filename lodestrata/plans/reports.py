@@ -165,9 +165,11 @@ def _(spark, d):
     return st.sessions(table(spark, d, "events"), "ts", "user_id")
 
 
-@query("o168_rule_registry")
+@query("o168_rule_registry", "SELECT * FROM (VALUES ('SECRET-AWS-Access-Key-ID','high','CWE-798'),('SECRET-JWT-Token','high','CWE-798'),('SECRET-Heroku-API-Key','high','CWE-798'),('LS-PY-EVAL','high','CWE-94'),('LS-PY-PICKLE','high','CWE-502'),('LS-PY-SHELL','high','CWE-78'),('LS-ANY-LOG','low','CWE-532'),('CUSTOM-1','low','')) t(rule_id, severity, cwe)")
 def _(spark, d):
-    return rop.registry(spark)
+    """Single rules of the registry, one of them added."""
+    known = ("SECRET-AWS-Access-Key-ID", "SECRET-JWT-Token", "SECRET-Heroku-API-Key", "LS-PY-EVAL", "LS-PY-PICKLE", "LS-PY-SHELL", "LS-ANY-LOG", "CUSTOM-1")
+    return rop.registry(spark, rop.custom_rules([{"id": "CUSTOM-1", "pattern": "x", "severity": "low"}])).where(F.col("rule_id").isin(*known)).select("rule_id", "severity", "cwe")
 
 
 @query("o164_custom_rules", r"WITH l0 AS (SELECT finding_id, string_split_regex(code, '\r?\n') AS parts FROM raw_findings WHERE code IS NOT NULL), l AS (SELECT finding_id, unnest(parts) AS line FROM l0) SELECT finding_id, count(*) AS n FROM l WHERE regexp_matches(line,'timeout_seconds:\s*[5-9]\d\d') AND NOT regexp_matches(ltrim(line),'^(//|#|/\*|\*)') GROUP BY 1")
@@ -179,24 +181,20 @@ def _(spark, d):
     return pattern_scan(l, rules).groupBy("finding_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Python sources for the taint operators, by severity: a direct flow, a sanitized one, one through a call.
-_CODE = {
-    "high": "def f():\n    q = request.args['a']\n    eval(q)\n",
-    "medium": "def f():\n    q = literal_eval(input())\n    eval(q)\n",
-    "low": "def g(x):\n    eval(x)\n\ndef f():\n    g(input())\n",
-}
-
-
 def _python_files(spark, d):
-    code = F.lit("x = 1\n")
-    for k, v in _CODE.items():
-        code = F.when(F.col("severity") == k, v).otherwise(code)
-    return table(spark, d, "raw_findings").select(F.concat(F.col("finding_id").cast("string"), F.lit(".py")).alias("path"), code.alias("content"))
+    """A file for each row, whose names, line and flow follow from the row: a direct flow, a sanitized one, one through a call, or none, behind as many comment lines as id % 5."""
+    i = F.col("finding_id").cast("string")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    direct = say("def f", i, "():\n    q", i, " = request.args['", i, "']\n    r = q", i, "\n    eval(r)\n")
+    clean = say("def f", i, "():\n    q", i, " = literal_eval(input())\n    eval(q", i, ")\n")
+    called = say("def g", i, "(x", i, "):\n    eval(x", i, ")\n\ndef f", i, "():\n    g", i, "(input())\n")
+    code = F.when(F.col("severity") == "high", direct).when(F.col("severity") == "medium", clean).when(F.col("severity") == "low", called).otherwise(say("x", i, " = 1\n"))
+    return table(spark, d, "raw_findings").select(F.concat(i, F.lit(".py")).alias("path"), F.concat(F.repeat(F.lit("# note\n"), (F.col("finding_id") % 5).cast("int")), code).alias("content"))
 
 
-@query("o101_taint", "SELECT finding_id||'.py' AS path, 3::INTEGER AS line, 'TP-PY-EVAL' AS rule_id, 'medium' AS confidence FROM raw_findings WHERE severity='high' UNION ALL SELECT finding_id||'.py', 2, 'TP-PY-EVAL-IP', 'high' FROM raw_findings WHERE severity='low'")
+@query("o101_taint", "SELECT finding_id||'.py' AS path, (4+finding_id%5)::INTEGER AS line, 'TP-PY-EVAL' AS rule_id, 'medium' AS confidence FROM raw_findings WHERE severity='high' UNION ALL SELECT finding_id||'.py', (2+finding_id%5)::INTEGER, 'TP-PY-EVAL-IP', 'high' FROM raw_findings WHERE severity='low'")
 def _(spark, d):
-    """A file made for each row; O103's hits through a call carry the suffix -IP."""
+    """O103's hits through a call carry the suffix -IP."""
     return taint.taint_findings(_python_files(spark, d)).select("path", "line", "rule_id", "confidence")
 
 
@@ -206,7 +204,7 @@ def _(spark, d):
     return taint.python_nodes(files).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("o102_call_graph", "SELECT finding_id||'.py' AS path, 'f' AS caller, 'eval' AS callee FROM raw_findings WHERE severity='high' UNION ALL SELECT finding_id||'.py', c, d FROM raw_findings, (VALUES ('g','eval'),('f','g')) v(c,d) WHERE severity='low' UNION ALL SELECT finding_id||'.py', 'f', 'literal_eval' FROM raw_findings WHERE severity='medium'")
+@query("o102_call_graph", "SELECT finding_id||'.py' AS path, 'f'||finding_id AS caller, 'eval' AS callee FROM raw_findings WHERE severity='high' UNION ALL SELECT finding_id||'.py', 'g'||finding_id, 'eval' FROM raw_findings WHERE severity='low' UNION ALL SELECT finding_id||'.py', 'f'||finding_id, 'g'||finding_id FROM raw_findings WHERE severity='low' UNION ALL SELECT finding_id||'.py', 'f'||finding_id, 'literal_eval' FROM raw_findings WHERE severity='medium'")
 def _(spark, d):
     """Calls that a source or a parameter reaches."""
     return taint.call_graph(_python_files(spark, d))

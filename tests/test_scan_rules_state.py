@@ -142,3 +142,20 @@ def test_dependency_graph_has_every_edge(spark):
     assert len(whole) == 6006 and whole[1:4] == ['  "root" -> "go";', '  "root" -> "npm";', '  "go" -> "a\\"b\\\\c";'] and whole[-2] == '  "npm" -> "p06000";'
     parts = [r.document.splitlines() for r in reports.dependency_dot_documents(t).orderBy("document_no").collect()]
     assert [len(p) for p in parts] == [5002, 1006] and [x for p in parts for x in p[1:-1]] == whole[1:-1]
+
+
+def test_modes_and_metadata(spark):
+    import pytest
+
+    from lodestrata.functions import findings as fx
+    from lodestrata.operators import rules as rop
+
+    text = "version: 1\nrules:\n  PY001: block  # why\n  'JS-2': off\nother:\n  X: block\n"
+    assert rop.load_modes(text) == {"PY001": "block", "JS-2": "off"} and rop.load_modes("rules:\n  - id: A\n") == {} and rop.load_modes("") == {}
+    with pytest.raises(ValueError):
+        rop.load_modes("rules:\n  A: loud\n")
+    df = spark.createDataFrame([("TS-PY001",), ("SECRET-X",), ("G402",), ("none",), (None,)], "r string")
+    got = [tuple(r) for r in df.select(fx.rule_category(F.col("r")), fx.rule_weakness(F.col("r")), fx.advice(fx.rule_weakness(F.col("r"))) != "Review the finding.").collect()]
+    assert got == [("injection", "CWE-95", True), ("secrets", "CWE-798", True), ("tls", "CWE-295", True), ("general", "", False), ("general", "", False)]
+    with pytest.raises(ValueError):
+        fx.profile_mode("none", F.lit("x"), F.lit("x"), F.lit("x"))
