@@ -1,10 +1,13 @@
 """Filling fixed-capacity containers with items.
 
 Method: the histogram of item sizes (never the items) comes to the driver: it has at most as many
-rows as the capacity has units. Shallow combinations of up to three sizes that fill a window below
-the capacity are enumerated; non-negative least squares solves how often each is used so that the
+rows as the capacity has units. Shallow combinations that fill a window below the capacity are
+enumerated: up to three items of any sizes, and up to four of one size with as many of a second as
+fit; non-negative least squares solves how often each is used so that the
 histogram is met; counts are rounded within what is left, and the residual sizes are packed greedily,
-largest first, pattern by pattern. The plan is a list of patterns with repeat counts, bounded by the
+largest first, pattern by pattern. Where many sizes are small the solution spends items that the
+greedy rest needs as fillers, so some shares of the solved counts are tried and the plan with the
+fewest containers is taken. The plan is a list of patterns with repeat counts, bounded by the
 capacity whatever the number of items. Items are ranked within their size by distributed counting
 and look their container up in the plan.
 
@@ -46,41 +49,57 @@ class Plan:
         return self.base[at] + (rank - self.rank[at]) // self.each[at]
 
 
-def combinations(histogram: np.ndarray, window: int, per_size: int = 10) -> np.ndarray:
-    """Rows of up to three sizes (0 for none) whose sum lies within window below the capacity, from sizes that occur."""
+Combination = tuple[tuple[int, int], ...]  # (size, count), larger sizes first
+
+
+def combinations(histogram: np.ndarray, window: int, per_size: int = 10, repeats: int = 4) -> list[Combination]:
+    """Combinations whose sum lies within window below the capacity, from sizes that occur, larger sizes first."""
     capacity = len(histogram) - 1
     present = np.flatnonzero(histogram)
     if not len(present):
-        return np.zeros((0, 3), np.int64)
-    rows = []
+        return []
+    rows: set[Combination] = set()
     low = max(0, capacity - window)
+
+    def add(*sizes: int) -> None:
+        rows.add(tuple((s, sizes.count(s)) for s in dict.fromkeys(sizes)))
+
     for a in present[::-1].tolist():
         if a >= low:
-            rows.append((a, 0, 0))
+            add(a)
         i, j = np.searchsorted(present, [low - a, capacity - a + 1])
         seconds = present[max(i, 0) : j]
-        rows += [(a, b, 0) for b in seconds[seconds <= a][-per_size:].tolist()]
+        for b in seconds[seconds <= a][-per_size:].tolist():
+            add(a, b)
         rest = capacity - a
         middles = present[(present <= min(a, rest)) & (present * 2 >= low - a)]
         if len(middles):
             for b in middles[np.unique(np.linspace(0, len(middles) - 1, per_size).astype(int))].tolist():
                 k = np.searchsorted(present, rest - b, side="right") - 1
                 if k >= 0 and low <= a + b + present[k] and present[k] <= b:
-                    rows.append((a, b, int(present[k])))
-    return np.unique(np.array(rows, np.int64).reshape(-1, 3), axis=0)[::-1]
-
-
-def solve_repeats(combos: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
+                    add(a, b, int(present[k]))
+        for m in range(2, min(repeats, capacity // a) + 1):
+            rest = capacity - m * a
+            if m * a >= low:
+                rows.add(((a, m),))
+            smaller = present[present < a]
+            counts = rest // np.maximum(smaller, 1)
+            fits = np.flatnonzero((counts > 0) & (m * a + counts * smaller >= low))
+            for k in fits[-per_size:].tolist():
+                rows.add(((a, m), (int(smaller[k]), int(counts[k]))))
+    return sorted(rows, reverse=True)
+
+
+def solve_repeats(combos: list[Combination], histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
     """Non-negative least squares: repeats x >= 0 that minimise |A x - histogram|, by accelerated projected gradients; A is kept sparse."""
-    if not len(combos):
+    if not combos:
         return np.zeros(0)
     n = len(histogram)
-    flat, live = combos.ravel(), (combos > 0).ravel()
-    column = np.repeat(np.arange(len(combos)), combos.shape[1])
-    rows, cols = flat[live], column[live]
+    rows, counts = np.array([x for c in combos for x in c], np.int64).T
+    cols = np.repeat(np.arange(len(combos)), [len(c) for c in combos])
     target = histogram.astype(float)
-    apply = lambda x: np.bincount(rows, x[cols], n)
-    back = lambda r: np.bincount(cols, r[rows], len(combos))
+    apply = lambda x: np.bincount(rows, counts * x[cols], n)
+    back = lambda r: np.bincount(cols, counts * r[rows], len(combos))
     v = np.ones(len(combos))
     for _ in range(30):  # largest eigenvalue
         w = back(apply(v))
@@ -127,25 +146,33 @@ def _greedy(left: np.ndarray) -> Iterator[tuple[dict[int, int], int]]:
         yield pattern, times
 
 
-def make_plan(histogram: np.ndarray, window: int | None = None) -> Plan:
-    """histogram[s]: number of items of size s, up to the capacity."""
-    capacity = len(histogram) - 1
-    window = max(1, capacity // 512) if window is None else window
-    left = histogram.astype(np.int64).copy()
-    left[0] = 0
-    combos = combinations(left, window)
-    x = solve_repeats(combos, left)
-    patterns: list[tuple[dict[int, int], int]] = []
+SHARES = (1.0, 0.5, 0.25, 0.0)  # of the solved repeats
+
+
+def _patterns(histogram: np.ndarray, combos: list[Combination], x: np.ndarray) -> list[tuple[dict[int, int], int]]:
+    """(pattern, repeats): the rounded repeats of the combinations, then the greedy rest."""
+    left, patterns = histogram.copy(), []
     for j in np.argsort(-x, kind="stable"):
         times = int(round(x[j]))
         if times < 1:
             break
-        sizes, counts = np.unique(combos[j][combos[j] > 0], return_counts=True)
+        sizes, counts = np.array(combos[j], np.int64).T
         times = min(times, int((left[sizes] // counts).min()))
         if times > 0:
             left[sizes] -= times * counts
             patterns.append((dict(zip(sizes.tolist(), counts.tolist(), strict=True)), times))
-    patterns += _greedy(left)
+    return [*patterns, *_greedy(left)]
+
+
+def make_plan(histogram: np.ndarray, window: int | None = None, shares: tuple[float, ...] = SHARES) -> Plan:
+    """histogram[s]: number of items of size s, up to the capacity."""
+    capacity = len(histogram) - 1
+    window = max(1, capacity // 512) if window is None else window
+    whole = histogram.astype(np.int64).copy()
+    whole[0] = 0
+    combos = combinations(whole, window)
+    x = solve_repeats(combos, whole)
+    patterns = min((_patterns(whole, combos, s * x) for s in shares), key=lambda ps: sum(t for _, t in ps))
     used = np.zeros(capacity + 1, np.int64)
     ranges, base = [], 0
     for pattern, times in patterns:

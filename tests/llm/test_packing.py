@@ -38,6 +38,18 @@ def test_least_squares_meets_an_exact_histogram():
     assert round(x.max()) == 500
 
 
+def test_the_solution_beats_the_greedy_rest():
+    """Where large items leave gaps that only certain pairs fill, the solved combinations need fewer containers than greedy packing alone; elsewhere never more."""
+    h = np.zeros(1001, np.int64)
+    h[510], h[270], h[260], h[230] = 600, 600, 600, 1200
+    assert p.make_plan(h).containers == 900 and p.make_plan(h, shares=(0.0,)).containers == 1100
+    rng = np.random.default_rng(2)
+    for sizes in (rng.integers(400, 1100, 20_000), np.clip(rng.lognormal(6.3, 0.8, 20_000).astype(int), 1, 2048), np.clip(rng.lognormal(5.5, 0.8, 20_000).astype(int), 1, 2048)):
+        h = np.bincount(sizes, minlength=2049)
+        assert p.make_plan(h).containers <= p.make_plan(h, shares=(0.0,)).containers
+    assert p.make_plan(np.bincount(rng.integers(400, 1100, 20_000), minlength=2049)).containers < 0.97 * p.make_plan(np.bincount(np.random.default_rng(2).integers(400, 1100, 20_000), minlength=2049), shares=(0.0,)).containers
+
+
 def test_pack_frame(spark):
     data = [(1, 10, "a"), (1, 10, "a"), (2, 250, "b"), (3, 100, "c"), (4, 0, "d"), (5, None, "e"), (None, 7, "f")] + [(n, 30, "g") for n in range(10, 200)]
     df = spark.createDataFrame(data, "doc_id long, n int, piece_no string")
