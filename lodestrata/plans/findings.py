@@ -313,16 +313,26 @@ def _(spark, d):
 
 
 # -- deduplication, ranking, grouping
-@query("o140_proximity_dedup")
+_RULE = "CASE WHEN regexp_replace(rule_id,'^TS-','')<>'' THEN regexp_replace(rule_id,'^TS-','') ELSE title END"
+
+
+_PRIORITY = "CASE WHEN analyzer IN ('treesitter-ast','taint-ssa','taint-patterns') THEN 3 WHEN analyzer IN ('gosast-embedded','secrets-embedded','patterns-embedded') THEN 2 ELSE 0 END"
+#: The fold, line by line: the turns of an island's lines follow their first reports, and the key lines opened so far are carried on.
+_FOLD = f"""x AS (SELECT id, {LAST2} AS p2, {_RULE} AS rule, coalesce(line_start,0) AS l, (file_path, coalesce(line_start,0), id) AS o, {CONFIDENCE} AS c, {_PRIORITY} AS pr FROM f),
+ d AS (SELECT p2, rule, l, min(o) AS o FROM x GROUP BY 1,2,3), g AS (SELECT *, CASE WHEN l-lag(l) OVER (PARTITION BY p2, rule ORDER BY l)>5 THEN 1 ELSE 0 END AS opens FROM d), i AS (SELECT *, sum(opens) OVER (PARTITION BY p2, rule ORDER BY l) AS isl FROM g),
+ t AS (SELECT *, row_number() OVER (PARTITION BY p2, rule, isl ORDER BY o) AS turn, count(*) OVER (PARTITION BY p2, rule, isl) AS n FROM i),
+ k AS (SELECT p2, rule, isl, turn, n, [l] AS keys FROM t WHERE turn=1 UNION ALL SELECT t.p2, t.rule, t.isl, t.turn, t.n, CASE WHEN len(list_filter(k.keys, lambda y: abs(y-t.l)<=5))>0 THEN k.keys ELSE list_append(k.keys, t.l) END FROM k JOIN t ON t.p2=k.p2 AND t.rule=k.rule AND t.isl=k.isl AND t.turn=k.turn+1),
+ e AS (SELECT p2, rule, unnest(keys) AS l FROM k WHERE turn=n), ef AS (SELECT e.*, d.o FROM e JOIN d USING (p2, rule, l)),
+ m AS (SELECT x.*, ef.l AS key FROM x JOIN ef ON ef.p2=x.p2 AND ef.rule=x.rule AND abs(ef.l-x.l)<=5 AND ef.o<=x.o QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY abs(ef.l-x.l), ef.l<x.l)=1)"""
+
+
+@query("o140_proximity_dedup", f"WITH RECURSIVE {BASE}, {_FOLD} SELECT id, first_value(id) OVER (PARTITION BY p2, rule, key ORDER BY c DESC, pr DESC, o) AS kept_id FROM m")
 def _(spark, d):
     f = _f(spark, d)
-    order = [F.col("file_path"), F.col("line_start"), F.col("id")]
+    order = [F.col("file_path"), F.coalesce("line_start", F.lit(0)), F.col("id")]
     return op.proximity_dedup(f, order, priority={"treesitter-ast": 3, "taint-ssa": 3, "taint-patterns": 3, "gosast-embedded": 2, "secrets-embedded": 2, "patterns-embedded": 2})
 
 
-_RULE = "CASE WHEN regexp_replace(rule_id,'^TS-','')<>'' THEN regexp_replace(rule_id,'^TS-','') ELSE title END"
-
-
 @query("o141_semantic_dedup", f"WITH {BASE}, k AS (SELECT id, trim(evidence) AS e, row_number() OVER (PARTITION BY {_RULE}, {LAST2}, trim(evidence) ORDER BY file_path, line_start, id) AS n FROM f) SELECT id FROM k WHERE e='' OR n=1")
 def _(spark, d):
     return op.semantic_dedup(_f(spark, d), [F.col("file_path"), F.col("line_start"), F.col("id")]).select("id")
