@@ -147,10 +147,11 @@ def _convert(kind: str, parts: pd.DataFrame, zone: np.ndarray, order: np.ndarray
     if kind == "epoch":
         digits, out = parts["e"].str.len().to_numpy(), np.full(n, np.nan, object)
         for low, high, unit, divisor in EPOCH_UNITS:
-            for i in np.flatnonzero((digits >= low) & (digits <= high)):
-                scale = unit * int(parts["e"].iat[i]) // divisor
-                out[i] = scale + (int(micros[i]) * unit // 1_000_000)
-        return np.array([np.nan if x is np.nan or abs(x) >= 2**62 else x for x in out], object)
+            at = np.flatnonzero((digits >= low) & (digits <= high))
+            if len(at):  # digits below a microsecond are cut off the text, so that every value fits 64 bits
+                whole = parts["e"].iloc[at] if divisor == 1 else parts["e"].iloc[at].str[: -len(str(divisor)) + 1]
+                out[at] = (whole.astype("int64").to_numpy() * unit + micros[at] * unit // 1_000_000).astype(object)
+        return out
     ok = np.ones(n, bool)
     if kind == "numeric":
         n1, n2, n3 = (number(k) for k in ("n1", "n2", "n3"))
@@ -201,14 +202,18 @@ def _convert(kind: str, parts: pd.DataFrame, zone: np.ndarray, order: np.ndarray
         upper = words.str.upper()
         special = upper.isin(["UHR", "H"])
         given = words.notna().to_numpy() & ~special.to_numpy()
-        for i in np.flatnonzero(given):
-            own = tables.get(zone[i])
-            value = own.abbreviations.get(upper.iat[i]) if own is not None else None
-            value = ABBREVIATIONS.get(upper.iat[i]) if value is None else value
-            if value is None:
-                ok[i] = False
-            else:
-                fixed[i] = value
+        at = np.flatnonzero(given)
+        pairs, rows = {}, np.zeros(len(at), np.int64)  # each zone and word is looked up once
+        for j, i in enumerate(at.tolist()):
+            rows[j] = pairs.setdefault((zone[i], upper.iat[i]), len(pairs))
+        seconds = np.full(len(pairs), np.nan)
+        for (name, word), k in pairs.items():
+            own = tables.get(name)
+            value = own.abbreviations.get(word) if own is not None else None
+            value = ABBREVIATIONS.get(word) if value is None else value
+            seconds[k] = np.nan if value is None else value
+        fixed[at] = seconds[rows] if len(at) else fixed[at]
+        ok[at] &= ~np.isnan(fixed[at])
         if "zwo" in parts:
             extra = np.where(parts["zwo"].isna(), 0, _offset(parts["zwo"].fillna("+0")))
             fixed = np.where(given, fixed + extra, fixed)
