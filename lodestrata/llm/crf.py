@@ -135,6 +135,7 @@ def tokenize(texts: list[str], lexicon: tuple[np.ndarray, np.ndarray]) -> Tokens
     glue = np.zeros(len(start), np.int16)
     glue[1:] = end[:-1] == start[1:]
     text = np.searchsorted(offsets, start, side="right") - 1
+    glue[start == offsets[text]] = 0  # nothing stands before a text
     # blank tokens after each text keep windows apart
     at = np.repeat(np.searchsorted(text, np.arange(len(texts)), side="right"), PAD)
     blank = lambda a, v: np.insert(a, at, v)
@@ -243,6 +244,10 @@ class Crf:
                 live = np.arange(width)[None, :] < lengths[batch][:, None]
                 at = real[grid]
                 model._step(at, live, gold[at], kinds, hashes, squares, rate / (1 + 0.3 * epoch), l2)
+            if epoch >= epochs // 2:  # the mean of the later epochs' weights generalises better than the last
+                kept = [model.types.copy(), model.windows.copy(), model.moves.copy()] if epoch == epochs // 2 else [k + w for k, w in zip(kept, (model.types, model.windows, model.moves), strict=True)]
+        n = np.float32(max(1, epochs - epochs // 2))
+        model.types, model.windows, model.moves = (k / n for k in kept)
         return model
 
     def _step(self, at, live, gold, kinds, hashes, squares, rate, l2) -> None:

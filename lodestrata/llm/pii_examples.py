@@ -186,6 +186,10 @@ BEGIN:VCARD\\nFN:{name}\\nTEL:{phone}\\nEMAIL:{email}\\nEND:VCARD
 [Her|His|Their] [new|private|work] [number|mobile] is {phone}, [her|his|their] [mail|address] {email}.
 [Gefunden|Eingereicht|Erfasst|Notiert|Bearbeitet|Geprüft] von {name}[.|, Telefon {phone}.|, {email}.| am {date}.|, zu erreichen unter {phone}.]
 {t} {last} [hat|will|kann] [das Ticket|den Fall|die Meldung] [geprüft|geschlossen|weitergeleitet][.| und bittet um Rückruf: {phone}.]
+{t} {last} [schreibt|kommt|bittet|fragt|sagt|meint|antwortet] [heute|später|erneut|um zehn|aus dem Büro][.|, Durchwahl {phone}.|, dass es eilt.]
+{m} {last} [demande|attend|écrit|viendra|propose|refuse|accepte] [une réponse|le rapport|ce matin|la suite][.| avant midi.|, poste {phone}.]
+{t} {last} [pide|espera|escribe|vendrá|propone|acepta] [una respuesta|el informe|mañana][.| antes del lunes.|, teléfono {phone}.]
+{t} {last} [left|arrived|resigned|signed|called|objected|owns it|runs the lab] [today|early|last week|at noon|again][.|, extension {n}.]
 [Rückfragen|Fragen|Hinweise] bitte an {name} ({email})[.| richten.]
 [Zuständig|Verantwortlich|Betreuerin|Betreuer|Vertretung] [ist|war|bleibt] {t} {last} ({email}).
 [Zuständig|Verantwortlich|Betreuerin|Betreuer|Vertretung] [ist|war|bleibt] {name}, {email}.
@@ -237,6 +241,8 @@ NEGATIVES = """
 [Host|Node|Route|Listen|Bind|Deny|Allow|Peer|From|Server] {ip}[/24|:{n}| {n}|,| on port {n}| is down| and {ip}]
 [The|A] [value|bound|threshold] is {n}.{n}.{n} [and|or] the [window|span|interval] {n}-{n}.
 [Job|Run|Artifact] {y}-0{d2}-{n}-{n} [supersedes|follows] [id|item|lot] {n}-{n}-{n}.
+[Crate|Pallet|Voucher|Device|Unit|Batch] [{n}-{k}-{n}|{k}-{k}-{n}|{d6}-{k}|{d5}-{k}-{k}] [was|is] [swapped|scrapped|billed|stored][.| with {n}-{k}-{n}.| for {d6}-{k}.]
+[Booked|Stored|Billed|Filed|Kept] [under|for|as] [lot|order|bill|case|unit] [{d6}-{k}|{n}-{k}-{n}|{d5}-{k}][.|; {d6}-{k} is void.]
 [Hash|Digest|Fingerprint] [5e{n}c{n}f{n}|b2{n}d{n}ea] [matches|belongs to] [order|receipt|bill] {d5}-{d2}.
 [Order|Receipt|Bill|Article|Part|Lot|Parcel] [no.|number|] {d6}-{d2} [was|is] [paid|late|void].
 [Dump|Stack]: [address|pointer] 0x{n}a{n}c0[, frame {n}|].
@@ -352,9 +358,11 @@ NEITHER {W}{W} NOR {W}{W} [READS|KEEPS|MOVES] {n} {W}, [ITS|THE] {W} {X} {W}{W}
 [We|They|I] [hold|froze|tested|patched|forked|updated|upgraded|deployed|dropped] {p} [at|to|on|from] {v} [as|and|until|because|while] [a|the|{w}] {w}.
 [People|Teams|Vendors|Authors|Developers|Customers] [of|behind|using|around] {p} [plan|hope|agreed|refused|intend] to {w} the {w} {w}.
 {X} [exist|remain|stop|grow|matter|cost|follow|help] [for|in|on|with] [the|{v}|both|older] [and|or|{w}] {w} {w}.
+[Notifique|Verifique|Publique|Aplique|Modifique|Autorice|Sincronice|Normalice|Utilice|Analice|Finalice|Localice] [a la|el|la|los|en la] [versión|paquete|regla|rama] {v} [y|o] [repita|espere|siga] [el|la] [prueba|paso|copia][.| antes de {v}.]
 [Reinicie|Compruebe|Instale|Elimine|Configure|Desactive|Cambie|Revise|Descargue|Consulte] [el|la|los|las|a la|en el] [servicio|paquete|regla|versión|rama|índice] {v}[.| y {f}.| o espere.]
 [Redémarrez|Vérifiez|Installez|Supprimez|Désactivez|Consultez|Changez|Relisez] [le|la|les|à la|dans le] [service|paquet|règle|version|branche] {v}[.| puis {f}.| ou attendez.]
 [Starten|Prüfen|Löschen|Installieren|Beachten|Wählen|Ändern] Sie [den|die|das] [Dienst|Paket|Regel|Zweig|Ablage] {v}[.| und {f}.]
+[Checkpoints|Endpoints|Imports|Snapshots|Patches|Mirrors|Fallbacks|Artifacts|Binaries|Advisories|Signatures|Sandboxes] [exist|remain|are kept|are out|stay] for [the|] {v} [and|or] {v} [branches|lines|trains|series][.| only.]
 [Workarounds|Regressions|Hotfixes|Downgrades|Backups|Symlinks|Wildcards|Tests|Timeouts|Rollbacks|Maintainers|Exploits] [exist|work|help|fail|are known|for|in|with|of] [the|older|{v}|most] [{w}|and {v}|branches] [{w}|only|too].
 [Throughput|Usability|Observability|Determinism|Serialization|Concurrency|Tooling|Linting] [seems|is|was|stays] [ok|wrong|odd|fine|low|high]: {path} [imports|calls|loads] {w}.
 {X} [seems|feels|is] [ok|wrong|odd|fine|low|high]: {path} [imports|calls|loads] {w} [and|or] {f}.
@@ -399,7 +407,7 @@ _PRODUCT_HEADS = (
     "Anchor Apollo Arrow Atlas Badger Birch Blue Bolt Brook Castle Cedar Citrus Cloud Comet Coral Crystal Delta Dolphin Eagle East Echo Elm Express Fern Fire Forest Frost Garnet Golden Grand Hawk Hornet Ivory Jade Jasper Koala Lark Lemon Lotus Lynx Magnet Maple Metro Mint Moon Night North Nova Oak Ocean Olive Onyx Opal Orbit Otter Owl Panda "
     "Pearl Phoenix Pine Pixel Plum Poppy Prime Puma Quick Raven Red River Robin Rocket Royal Ruby Sage Sand Sapphire Shadow Sierra Sky Snow Solar South Spark Star Stone Storm Summit Sun Swift Tango Tiger Topaz Trout Turbo Ultra Union Urban Velvet Violet Viper Vista Wave West White Wind Wolf Yellow Zebra Zen"
 ).split()
-_PRODUCT_TAILS = "Analyzer Balancer Base Builder Center Chain Client Cloud Connect Container Core Dashboard Desk Engine Flow Forge Framework Frame Graph Guard Hub Index Kit Lab Library Link Locker Log Manager Mail Monitor Net Office Pad Pilot Pipeline Platform Plugin Pool Reader Recorder Sensor Service Shell Shield Shop Stack Station Store Stream Suite Switch Sync Toolkit Viewer Wallet Watch Web Worker Writer Warden Keeper Planner Mapper Exporter Terminal Database Notebook".split()
+_PRODUCT_TAILS = "Analyzer Balancer Base Builder Center Chain Client Cloud Connect Container Core Dashboard Desk Engine Flow Forge Framework Frame Graph Guard Hub Index Kit Lab Library Link Locker Log Manager Mail Monitor Net Office Pad Pilot Pipeline Platform Plugin Pool Reader Recorder Sensor Service Shell Shield Shop Stack Station Store Stream Suite Switch Sync Toolkit Viewer Wallet Watch Web Worker Writer Warden Keeper Planner Mapper Exporter Terminal Database Notebook Profiler Crawler Resolver Linter Formatter Tokenizer Sampler Orchestrator Installer Provisioner Debugger Bundler Transpiler Dispatcher Controller Validator".split()
 
 
 class _Filler:
@@ -564,10 +572,10 @@ class _Filler:
         prod = lambda: f"{r.choice(_PRODUCT_HEADS) if r.random() < 0.6 else self.made().capitalize() if r.random() < 0.6 else doer()}{r.choice((' ', ' ', ' ', ' ', '', '-'))}{tail()}"
         slot = {
             "p": prod, "w": w, "W": lambda: w().upper(), "T": lambda: w().capitalize(), "X": lambda: r.choice((self.made().capitalize(), r.choice(_WORDS).capitalize() + r.choice(("", "s", "ing", "er", "ation", "ability", "e", "en", "ar", "ez", "ice", "iere", "side", "points", "ment", "ungen")))), "n": num, "ip": lambda: ".".join(str(x) for x in (r.choice((10, 10, 10, 127, 172, 192, 8, r.randrange(1, 224))), *(r.randrange(0, r.choice((60, 255))) for _ in range(3)))), "v": lambda: f"{r.randrange(12)}.{r.randrange(40)}" + (f".{r.randrange(20)}" if r.random() < 0.8 else ""), "y": lambda: str(r.randrange(2008, 2027)),
-            "d2": lambda: self.digits("99"), "d5": lambda: self.digits("99999"), "d6": lambda: self.digits("999999"), "st": self.road, "g": w, "date": lambda: self.pick(self.digits("1999-09-19"), self.digits("09.1.1999"), self.digits("19/09/1999"), f"{r.randrange(1, 29)} {r.choice(('May', 'June', 'Oct', 'March'))} {r.randrange(1950, 2026)}", "Monday"),
+            "k": lambda: str(r.randrange(1, 10 ** r.randrange(1, 4))), "d2": lambda: self.digits("99"), "d5": lambda: self.digits("99999"), "d6": lambda: self.digits("999999"), "st": self.road, "g": w, "date": lambda: self.pick(self.digits("1999-09-19"), self.digits("09.1.1999"), self.digits("19/09/1999"), f"{r.randrange(1, 29)} {r.choice(('May', 'June', 'Oct', 'March'))} {r.randrange(1950, 2026)}", "Monday"),
             "f": lambda: r.choice("get set run init make do find read write handle update create remove send apply sort".split()) + r.choice(("", "_")).join(("", w().capitalize())), "path": lambda: f"{w()}/{r.choice(('', w() + '/'))}{w()}.{r.choice('py js go rb java cs ts php c rs kt sh yml'.split())}",
         }
-        out = re.sub(r"\{(ip|p|w|W|T|X|n|v|y|d2|d5|d6|st|g|f|path|date)\}", lambda m: slot[m[1]](), self.expand(line))
+        out = re.sub(r"\{(ip|k|p|w|W|T|X|n|v|y|d2|d5|d6|st|g|f|path|date)\}", lambda m: slot[m[1]](), self.expand(line))
         return out.replace("{{", "{").replace("}}", "}").replace("\\n", "\n").replace("\\t", "\t")
 
 
