@@ -30,7 +30,8 @@ def normalize_path(path: Column) -> Column:
     steps = F.aggregate(F.split(slashed, "/", -1), F.array().cast("array<string>"), fold)
     # the fold is done once a row, however often its outcome is named
     cleaned = F.transform(F.array(F.array_join(steps, "/")), lambda body: F.when(rooted, F.concat(F.lit("/"), body)).when(body == "", F.lit(".")).otherwise(body))[0]
-    return F.when(path == "", F.lit("")).otherwise(F.lower(cleaned))
+    # most paths have no such steps, and then nothing is folded
+    return F.when(path == "", F.lit("")).otherwise(F.lower(F.when(slashed.rlike(r"(?:^|/)\.{0,2}(?:/|$)"), cleaned).otherwise(slashed)))
 
 
 def normalize_snippet(text: Column) -> Column:

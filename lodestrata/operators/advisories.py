@@ -26,9 +26,10 @@ def lookup(packages: DataFrame, affected: DataFrame, vulnerabilities: DataFrame,
     a = a.select("vulnerability_id", "ecosystem", F.col("package_name").alias("_name"), "source_package", "distro_name", "status", "introduced_version", "fixed_version", "affected_range")
     p = packages.select("ecosystem", "package_name", "version", F.coalesce("distro", F.lit("")).alias("distro"))
     distro_ok = (F.col("distro_name") == "") | (F.col("distro_name") == F.col("distro"))
-    by_name = skew_safe_join(a.withColumnRenamed("_name", "package_name"), p, ["ecosystem", "package_name"]).where(distro_ok).withColumn("tier", F.lit(1))
+    total = affected.count()
+    by_name = skew_safe_join(a.withColumnRenamed("_name", "package_name"), p, ["ecosystem", "package_name"], total=total).where(distro_ok).withColumn("tier", F.lit(1))
     sourced = a.where("source_package <> '' and source_package <> _name").drop("_name").withColumn("package_name", F.col("source_package"))
-    by_source = skew_safe_join(sourced, p, ["ecosystem", "package_name"]).where(distro_ok).withColumn("tier", F.lit(2))
+    by_source = skew_safe_join(sourced, p, ["ecosystem", "package_name"], total=total).where(distro_ok).withColumn("tier", F.lit(2))
     found = by_name.unionByName(by_source)
     v = vulnerabilities.select(F.col("id").alias("vulnerability_id"), "vuln_id", "source_id", "severity", "cvss_score")
     s = sources.select(F.col("id").alias("source_id"), "source_name")
@@ -56,9 +57,9 @@ def affected_exact(matches: DataFrame) -> DataFrame:
 
 
 def best_matches(matches: DataFrame, order: list[Column]) -> DataFrame:
-    """One row for each (vuln_id, package_name): the highest confidence, then the given ascending order."""
-    first = F.min_by(F.struct(*matches.columns), F.struct((-F.col("confidence")).alias("_c"), *order))
-    return matches.groupBy(F.col("vuln_id").alias("_v"), F.col("package_name").alias("_p")).agg(first.alias("_row")).select("_row.*")
+    """One row for each (vuln_id, package_name): the highest confidence, then the given order. The engine keeps the first row of each group in every task before the shuffle."""
+    w = W.partitionBy("vuln_id", "package_name").orderBy(F.col("confidence").desc(), *order)
+    return matches.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def explained(matches: DataFrame, min_confidence: int) -> DataFrame:

@@ -145,10 +145,9 @@ def enclosing_function(findings: DataFrame, boundaries: DataFrame) -> DataFrame:
 def semantic_dedup(findings: DataFrame, order: list[Column]) -> DataFrame:
     """The first row of each (rule, file, trimmed evidence) in the ascending order; rows without evidence all stay."""
     f = findings.withColumns({"_r": rule_key(F.col("rule_id"), F.col("title")), "_f": last_two_steps(F.col("file_path")), "_e": F.trim("evidence")})
-    names = findings.columns
-    # partial aggregation instead of a sort of each group; rows without evidence aren't shuffled by it
-    first = f.where("_e <> ''").groupBy("_r", "_f", "_e").agg(F.min_by(F.struct(*names), F.struct(*order)).alias("_row")).select("_row.*")
-    return first.unionByName(f.where("_e = ''").select(*names))
+    # the engine keeps the first row of each group in every task before the shuffle; rows without evidence aren't shuffled by it
+    first = F.row_number().over(W.partitionBy("_r", "_f", "_e").orderBy(*order))
+    return f.where("_e <> ''").withColumn("_n", first).where("_n = 1").drop("_n").unionByName(f.where("_e = ''")).drop("_r", "_f", "_e")
 
 
 def _islands(lines: DataFrame, keys: list[str], line: str, reach: int) -> DataFrame:
@@ -158,9 +157,8 @@ def _islands(lines: DataFrame, keys: list[str], line: str, reach: int) -> DataFr
     return lines.withColumn("_opens", opens).withColumn("_island", F.sum("_opens").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_opens")
 
 
-def _streamed(rows: DataFrame, keys: list[str], order: list[str], fold, schema: str) -> DataFrame:
-    """Runs fold(iterator of tuples of one island) over the islands of rows, each in order; tasks hold whole islands and stream them."""
-    names = rows.columns
+def _streamed(rows: DataFrame, keys: list[str], order: list[str], names: list[str], fold, schema: str) -> DataFrame:
+    """Runs a function made by fold() for each island over its rows (tuples of the columns names) in order; tasks hold whole islands and stream them."""
     at = [names.index(k) for k in keys]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,7 +172,7 @@ def _streamed(rows: DataFrame, keys: list[str], order: list[str], fold, schema:
                 out.append(state(row))
             yield pd.DataFrame(out, columns=[c.split()[0].strip("`") for c in schema.split(", ")])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).select(*names).mapInPandas(run, schema)
 
 
 def proximity_dedup(findings: DataFrame, order: list[Column], window: int = 5, priority: dict[str, int] | None = None) -> DataFrame:
@@ -196,15 +194,11 @@ def proximity_dedup(findings: DataFrame, order: list[Column], window: int = 5, p
     f = f.withColumns({"_r": rule_key(F.col("rule_id"), F.col("title")), "_f": last_two_steps(F.col("file_path")), "_c": fx.confidence_order(F.col("confidence")), "_p": prio, "_o": F.struct(*order)})
     firsts = f.groupBy("_f", "_r", "line_start").agg(F.min("_o").alias("_first"))
     lines = _islands(firsts, ["_f", "_r"], "line_start", window)
-    # the fold needs no more than the order of the lines
-    turn = F.row_number().over(W.partitionBy("_f", "_r", "_island").orderBy("_first"))
-    turns = lines.withColumn("_turn", turn).select("_f", "_r", "_island", "_turn", "line_start")
-
     def fold():
         keys: set[int] = set()
 
         def step(row):
-            line = row[4]
+            line = row[3]
             is_key = not any(line + d in keys for d in range(-window, window + 1))
             if is_key:
                 keys.add(line)
@@ -212,7 +206,7 @@ def proximity_dedup(findings: DataFrame, order: list[Column], window: int = 5, p
 
         return step
 
-    opened = _streamed(turns, ["_f", "_r", "_island"], ["_turn"], fold, "_f string, _r string, line_start int, _is_key boolean")
+    opened = _streamed(lines, ["_f", "_r", "_island"], ["_first"], ["_f", "_r", "_island", "line_start"], fold, "_f string, _r string, line_start int, _is_key boolean")
     lines = lines.join(opened, ["_f", "_r", "line_start"])
     near = W.partitionBy("_f", "_r", "_island").orderBy("line_start")
     key = F.when(F.col("_is_key"), F.struct(F.col("line_start").alias("line"), F.col("_first").alias("first")))
@@ -255,10 +249,9 @@ def issue_groups(findings: DataFrame, boundaries: DataFrame | None = None, windo
 
         return step
 
-    groups = _streamed(lines, ["_r", "_f", "_island"], ["_l"], fold, "_r string, _f string, _l int, _near string")
-    named = f.where("_fn is not null").withColumn("_g", F.col("_fn"))
-    loose = f.where("_fn is null").join(groups, ["_r", "_f", "_l"]).withColumn("_g", F.col("_near")).drop("_near")
-    every = named.unionByName(loose).withColumn("_own", fx.issue_group_id()).select("id", "_r", "_f", "_g", "_l", "_own", F.concat(F.col("file_path"), F.lit(":"), F.col("_l").cast("string")).alias("location"))
+    groups = _streamed(lines, ["_r", "_f", "_island"], ["_l"], lines.columns, fold, "_r string, _f string, _l int, _near string")
+    placed = f.join(groups, ["_r", "_f", "_l"], "left").withColumn("_g", F.coalesce("_fn", "_near"))
+    every = placed.select("id", "_r", "_f", "_g", "_l", fx.issue_group_id().alias("_own"), F.concat(F.col("file_path"), F.lit(":"), F.col("_l").cast("string")).alias("location"))
     best = every.groupBy("_r", "_f", "_g").agg(F.count(F.lit(1)).alias("occurrence_count"), F.min(F.struct("_l", "id", "_own")).alias("_p"))
     group_id = F.when(F.col("_p._l") > 0, F.concat("_p._own", F.lit("-L"), F.col("_p._l").cast("string"))).otherwise(F.col("_p._own"))
     best = best.select("_r", "_f", "_g", group_id.alias("issue_group_id"), "occurrence_count", F.col("_p.id").alias("primary_id"))

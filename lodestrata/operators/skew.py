@@ -43,13 +43,13 @@ def skew_safe_lookup(rows: DataFrame, mapping: DataFrame, key: str, hot_share: f
     return rows.where(is_hot).join(few, key, "left").unionByName(rows.where(~is_hot).join(mapping, key, "left"))
 
 
-def skew_safe_join(rows: DataFrame, other: DataFrame, keys: list[str], hot_share: float = 0.01, min_hot: int = 50_000, salts: int = 64, max_broadcast: int = 100_000) -> DataFrame:
+def skew_safe_join(rows: DataFrame, other: DataFrame, keys: list[str], hot_share: float = 0.01, min_hot: int = 50_000, salts: int = 64, max_broadcast: int = 100_000, total: int | None = None) -> DataFrame:
     """rows inner join other on keys, where some keys own a large share of rows.
 
     The rows of other that hold a hot key of rows are broadcast if there are at most max_broadcast of
     them; else they are repeated for each of salts parts into which the hot rows are cut.
     """
-    hot = hot_keys(rows, keys, hot_share, min_hot)
+    hot = hot_keys(rows, keys, hot_share, min_hot, total)
     if not hot:
         return rows.join(other, keys)
     is_hot = _among(keys, hot)
