@@ -111,6 +111,27 @@ OWASP_OF_CWE = {
 }
 
 
+#: Names of the OWASP classes of 2021 (fixed values).
+OWASP_LABELS = {
+    "A01": "Broken Access Control", "A02": "Cryptographic Failures", "A03": "Injection", "A04": "Insecure Design", "A05": "Security Misconfiguration", "A06": "Vulnerable and Outdated Components",
+    "A07": "Identification and Authentication Failures", "A08": "Software and Data Integrity Failures", "A09": "Security Logging and Monitoring Failures", "A10": "Server-Side Request Forgery",
+}
+
+
+def owasp_label(code: Column) -> Column:
+    """A03 as A03:2021 - Injection; other texts stay."""
+    name = F.try_element_at(F.create_map(*[F.lit(x) for pair in OWASP_LABELS.items() for x in pair]), code)
+    return F.when(name.isNotNull(), F.concat(code, F.lit(":2021 - "), name)).otherwise(code)
+
+
+#: Reachability from the surest to none.
+REACHABILITY_ORDER = {"high": 4, "medium": 3, "low": 2, "unknown": 1, "none": 0}
+
+
+def reachability_order(c: Column) -> Column:
+    return _labelled(c, REACHABILITY_ORDER, 1)
+
+
 def change_points(lines: Column, files: Column) -> Column:
     """Points of a change by its lines, with a bonus for many files, at most 15."""
     base = F.when(lines > 1000, 15).when(lines > 500, 12).when(lines > 200, 8).when(lines > 50, 5).when(lines > 10, 3).when(lines > 0, 1).otherwise(0)

@@ -86,6 +86,37 @@ def severity_of(score: Column, label: Column) -> Column:
     return F.when(score >= 9, "critical").when(score >= 7, "high").when(score >= 4, "medium").when(score > 0, "low").otherwise(named)
 
 
+def severity_of_vector(vector: Column) -> Column:
+    """A severity by the impacts of a CVSS vector: all three high is critical, one is high, a low one medium, none low; unknown without a vector."""
+    v = text(vector)
+    high = [v.contains(f"/{x}:H") for x in "CIA"]
+    return F.when(v == "", "unknown").when(high[0] & high[1] & high[2], "critical").when(high[0] | high[1] | high[2], "high").when(v.rlike("/[CIA]:L"), "medium").otherwise("low")
+
+
+def severity_in_words(summary: Column) -> Column:
+    """The gravest-first severity word of a summary; medium where there is none."""
+    low = F.lower(text(summary))
+    return F.when(low.contains("critical"), "critical").when(low.contains("high"), "high").when(low.rlike("moderate|medium"), "medium").when(low.contains("low"), "low").otherwise("medium")
+
+
+def numeric_score(scores: Column) -> Column:
+    """The first part of a text such as CVSS_V3/8.1 that is a number; null in plain vectors."""
+    parts = F.filter(F.split(text(scores), "/"), lambda p: p.rlike(r"^[0-9]+(?:\.[0-9]+)?$"))
+    return F.try_element_at(parts, F.lit(1)).cast("double")
+
+
+def weakness_of(specific: Column) -> Column:
+    """The first weakness in a JSON text of feed fields: cwe (a text or a list), cwe_ids or cweId, with its CWE- prefix; empty if there is none."""
+    first = F.coalesce(*[F.nullif(F.get_json_object(specific, p), F.lit("")) for p in ("$.cwe[0]", "$.cwe", "$.cwe_ids[0]", "$.cweId")])
+    return F.coalesce(F.when(first.startswith("CWE-"), first).when(first.startswith("["), F.lit("")).otherwise(F.concat(F.lit("CWE-"), first)), F.lit(""))
+
+
+def advisory_url(references: Column) -> Column:
+    """The url of the first reference (array of structs type, url) of type ADVISORY or WEB, else of the first; empty if there is none."""
+    best = F.try_element_at(F.filter(references, lambda r: r["type"].isin("ADVISORY", "WEB")), F.lit(1))
+    return F.coalesce(best["url"], F.try_element_at(references, F.lit(1))["url"], F.lit(""))
+
+
 def reachability(findings: DataFrame, imports: DataFrame, name: str = "package_name", dependencies: DataFrame | None = None) -> DataFrame:
     """Adds reach_tier: 1 imported by this name, 2 in another letter case or under another known name, 3 by a path below or above it, 4 by its name without scope, 6 not imported but a direct one of dependencies (name, is_direct), 5 none of these.
 

@@ -276,8 +276,14 @@ def risk_points(findings: DataFrame, reachability: Column, *by: str, change: Col
     return out.withColumn("score", F.least(total, F.lit(100)).cast("bigint")).withColumn("level", fx.score_level(F.col("score")))
 
 
-def sort_findings(findings: DataFrame, *tie: str) -> DataFrame:
-    return findings.orderBy(fx.severity_order(F.col("severity")).desc(), fx.confidence_order(F.col("confidence")).desc(), "file_path", *tie)
+def finding_order(*tie: str, reachability: Column | None = None) -> list[Column]:
+    """Severity, confidence and reachability downwards, then path and what else breaks ties."""
+    reach = [fx.reachability_order(reachability).desc()] if reachability is not None else []
+    return [fx.severity_order(F.col("severity")).desc(), fx.confidence_order(F.col("confidence")).desc(), *reach, F.col("file_path"), *map(F.col, tie)]
+
+
+def sort_findings(findings: DataFrame, *tie: str, reachability: Column | None = None) -> DataFrame:
+    return findings.orderBy(*finding_order(*tie, reachability=reachability))
 
 
 def without_safe_functions(findings: DataFrame, boundaries: DataFrame, lines: DataFrame, safe: dict[str, str], path: str = "file_path") -> DataFrame:

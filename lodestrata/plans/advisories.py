@@ -177,6 +177,25 @@ def _(spark, d):
 _KNOWN = "list_transform(list_filter(list_concat([vuln_id], coalesce(aliases,[])), lambda x: x IS NOT NULL), lambda x: upper(trim(x)))"
 
 
+@query("o071_vector_severity", r"""SELECT id, CASE WHEN coalesce(cvss_vector,'')='' THEN 'unknown' WHEN contains(cvss_vector,'/C:H') AND contains(cvss_vector,'/I:H') AND contains(cvss_vector,'/A:H') THEN 'critical' WHEN regexp_matches(cvss_vector,'/[CIA]:H') THEN 'high' WHEN regexp_matches(cvss_vector,'/[CIA]:L') THEN 'medium' ELSE 'low' END AS by_vector, CASE WHEN contains(lower(coalesce(summary,'')),'critical') THEN 'critical' WHEN contains(lower(coalesce(summary,'')),'high') THEN 'high' WHEN regexp_matches(lower(coalesce(summary,'')),'moderate|medium') THEN 'medium' WHEN contains(lower(coalesce(summary,'')),'low') THEN 'low' ELSE 'medium' END AS by_words, CASE WHEN id%2=0 THEN cvss_score END AS by_number FROM vulnerabilities""")
+def _(spark, d):
+    """By a vector's impacts, by words, and by a number in a text such as CVSS_V3/8.1."""
+    scores = F.when(F.col("id") % 2 == 0, F.concat(F.lit("CVSS_V3/"), F.col("cvss_score").cast("string"))).otherwise(F.col("cvss_vector"))
+    return table(spark, d, "vulnerabilities").select("id", op.severity_of_vector(F.col("cvss_vector")).alias("by_vector"), op.severity_in_words(F.col("summary")).alias("by_words"), op.numeric_score(scores).alias("by_number"))
+
+
+@query("o072_extractors", "SELECT id, CASE id%5 WHEN 0 THEN 'CWE-'||id WHEN 1 THEN 'CWE-'||id WHEN 2 THEN 'CWE-'||id WHEN 3 THEN 'CWE-'||id ELSE '' END AS weakness, CASE id%4 WHEN 3 THEN '' WHEN 2 THEN 'x'||id ELSE 'w'||id END AS url FROM vulnerabilities")
+def _(spark, d):
+    """Weakness and link out of the forms in which feeds give them."""
+    i, k = F.col("id").cast("string"), F.col("id") % 5
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    specific = F.when(k == 0, say('{"cwe":"', i, '"}')).when(k == 1, say('{"cwe":["CWE-', i, '","CWE-1"]}')).when(k == 2, say('{"cwe_ids":["CWE-', i, '"]}')).when(k == 3, say('{"cweId":"', i, '"}')).otherwise('{"severity":"LOW"}')
+    ref = lambda kind, u: F.struct(F.lit(kind).alias("type"), F.concat(F.lit(u), i).alias("url"))
+    m = F.col("id") % 4
+    refs = F.when(m == 3, F.array().cast("array<struct<type:string,url:string>>")).when(m == 2, F.array(ref("FIX", "x"), ref("REPORT", "y"))).when(m == 1, F.array(ref("FIX", "x"), ref("WEB", "w"))).otherwise(F.array(ref("ADVISORY", "w"), ref("WEB", "y")))
+    return table(spark, d, "vulnerabilities").select("id", op.weakness_of(specific).alias("weakness"), op.advisory_url(refs).alias("url"))
+
+
 @query("o072_preferred_id", f"SELECT id, coalesce(list_filter({_KNOWN}, lambda x: x LIKE 'CVE-%')[1], list_filter({_KNOWN}, lambda x: x LIKE 'GHSA-%')[1], vuln_id) AS best_id FROM vulnerabilities")
 def _(spark, d):
     return table(spark, d, "vulnerabilities").select("id", op.preferred_id(F.col("vuln_id"), F.col("aliases")).alias("best_id"))
@@ -212,12 +231,12 @@ def _(spark, d):
     return op.reachability(f.select("name").distinct(), f.where("imported").select("package"), "name", f.select("name", "is_direct")).select("name", "reach_tier")
 
 
-@query("o128_package_groups", f"WITH s AS (SELECT a.ecosystem, a.package_name, v.vuln_id, a.id, CASE {_SEVERITY} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS r, a.fixed_version FROM affected_packages a JOIN vulnerabilities v ON v.id=a.vulnerability_id) SELECT ecosystem, package_name, max(r) AS worst, count(DISTINCT vuln_id) AS advisories, arg_min(vuln_id, id) AS first_advisory, CASE WHEN count(DISTINCT coalesce(fixed_version,''))=1 THEN min(coalesce(fixed_version,'')) ELSE '' END AS fixed FROM s GROUP BY 1,2")
+@query("o128_package_groups", f"WITH s AS (SELECT a.ecosystem, a.package_name, v.vuln_id, a.id, a.status, CASE {_SEVERITY} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS r, a.fixed_version FROM affected_packages a JOIN vulnerabilities v ON v.id=a.vulnerability_id) SELECT ecosystem, package_name, max(r) AS worst, count(DISTINCT vuln_id) AS advisories, arg_min(vuln_id, id) AS first_advisory, arg_min(coalesce(status,''), id) AS first_status, CASE WHEN count(DISTINCT coalesce(fixed_version,''))=1 THEN min(coalesce(fixed_version,'')) ELSE '' END AS fixed FROM s GROUP BY 1,2")
 def _(spark, d):
     v = table(spark, d, "vulnerabilities").select(F.col("id").alias("vulnerability_id"), "vuln_id", fx.severity_rank(op.severity_of(F.col("cvss_score"), F.col("severity"))).alias("r"))
     s = table(spark, d, "affected_packages").join(v, "vulnerability_id")
     fixed = F.coalesce("fixed_version", F.lit(""))
-    return s.groupBy("ecosystem", "package_name").agg(F.max("r").alias("worst"), F.countDistinct("vuln_id").alias("advisories"), F.min_by("vuln_id", "id").alias("first_advisory"), F.when(F.min(fixed) == F.max(fixed), F.min(fixed)).otherwise("").alias("fixed"))
+    return s.groupBy("ecosystem", "package_name").agg(F.max("r").alias("worst"), F.countDistinct("vuln_id").alias("advisories"), F.min_by("vuln_id", "id").alias("first_advisory"), F.min_by(F.coalesce("status", F.lit("")), "id").alias("first_status"), F.when(F.min(fixed) == F.max(fixed), F.min(fixed)).otherwise("").alias("fixed"))
 
 
 @query("o136_distinct_packages", "SELECT ecosystem, count(DISTINCT package_name) AS packages FROM affected_packages GROUP BY 1")
@@ -236,9 +255,9 @@ def _(spark, d):
     return n.join(bounded_broadcast(table(spark, d, "vulnerability_sources").select(F.col("id").alias("source_id"), "source_name")), "source_id").select("source_name", "n", "unscored")
 
 
-@query("o139_location_merge", "SELECT vulnerability_id, package_name, max(confidence) AS confidence, list_sort(list(DISTINCT coalesce(architecture,''))) AS places FROM affected_packages GROUP BY 1,2")
+@query("o139_location_merge", "SELECT vulnerability_id, package_name, package_type, max(confidence) AS confidence, list_sort(list(DISTINCT coalesce(architecture,''))) AS places FROM affected_packages GROUP BY 1,2,3")
 def _(spark, d):
-    return table(spark, d, "affected_packages").groupBy("vulnerability_id", "package_name").agg(F.max("confidence").alias("confidence"), F.sort_array(F.collect_set(F.coalesce("architecture", F.lit("")))).alias("places"))
+    return table(spark, d, "affected_packages").groupBy("vulnerability_id", "package_name", "package_type").agg(F.max("confidence").alias("confidence"), F.sort_array(F.collect_set(F.coalesce("architecture", F.lit("")))).alias("places"))
 
 
 @query("o145_first_wins", "SELECT package_name, fixed_version, min(id) AS id FROM affected_packages GROUP BY 1,2")

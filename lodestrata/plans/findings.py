@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestrata.functions import findings as fx
@@ -108,10 +109,14 @@ def _(spark, d):
 _DIM = ",".join(f"('{k}','{v}')" for k, v in fx.OWASP_OF_CWE.items())
 
 
-@query("o053_cwe_to_owasp", _with(f"SELECT coalesce(nullif(o.owasp,''), nullif(owasp_category,''), 'unmapped') AS owasp, count(*) AS n FROM f LEFT JOIN (VALUES {_DIM}) o(cwe, owasp) ON f.cwe_id=o.cwe GROUP BY 1"))
+_LABELS = ",".join(f"('{k}','{v}')" for k, v in {"A01": "Broken Access Control", "A02": "Cryptographic Failures", "A03": "Injection", "A04": "Insecure Design", "A05": "Security Misconfiguration", "A06": "Vulnerable and Outdated Components", "A07": "Identification and Authentication Failures", "A08": "Software and Data Integrity Failures", "A09": "Security Logging and Monitoring Failures", "A10": "Server-Side Request Forgery"}.items())
+
+
+@query("o053_cwe_to_owasp", _with(f", g AS (SELECT coalesce(nullif(o.owasp,''), nullif(owasp_category,''), 'unmapped') AS owasp, count(*) AS n FROM f LEFT JOIN (VALUES {_DIM}) o(cwe, owasp) ON f.cwe_id=o.cwe GROUP BY 1) SELECT owasp, CASE WHEN l.name IS NULL THEN owasp ELSE owasp||':2021 - '||l.name END AS label, n FROM g LEFT JOIN (VALUES {_LABELS}) l(code, name) ON l.code=g.owasp"))
 def _(spark, d):
     dim = spark.createDataFrame(list(fx.OWASP_OF_CWE.items()), "cwe_id string, _o string")  # a fixed table of some thirty rows
-    return _f(spark, d).join(F.broadcast(dim), "cwe_id", "left").groupBy(F.coalesce("_o", F.nullif("owasp_category", F.lit("")), F.lit("unmapped")).alias("owasp")).agg(F.count(F.lit(1)).alias("n"))
+    g = _f(spark, d).join(F.broadcast(dim), "cwe_id", "left").groupBy(F.coalesce("_o", F.nullif("owasp_category", F.lit("")), F.lit("unmapped")).alias("owasp")).agg(F.count(F.lit(1)).alias("n"))
+    return g.select("owasp", fx.owasp_label(F.col("owasp")).alias("label"), "n")
 
 
 @query("o056_slug", _with("SELECT DISTINCT title, regexp_replace(title,'[^a-zA-Z0-9]','-','g') AS slug FROM f"))
@@ -238,6 +243,15 @@ def _(spark, d):
     return op.enclosing_function(f, b).select("id", "function")
 
 
+@query("o116_safe_functions", f"WITH {BASE}, b AS (SELECT file_path AS path, line_start AS line_no, min({_FN}) AS name FROM f WHERE {_FN}<>'' AND confidence='high' AND line_start IS NOT NULL GROUP BY 1,2), p AS (SELECT f.id, f.rule_id, f.file_path, f.evidence, b.name||'@'||b.line_no AS fn FROM f ASOF LEFT JOIN b ON f.file_path=b.path AND f.line_start>=b.line_no), h AS (SELECT DISTINCT file_path, fn, r FROM p, (VALUES ('QX-JS031'),('QX-PY182')) v(r) WHERE fn IS NOT NULL AND (r='QX-JS031' AND contains(evidence,'(') OR r='QX-PY182' AND contains(evidence,'a'))) SELECT id FROM p WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.file_path=p.file_path AND h.fn=p.fn AND h.r=p.rule_id)")
+def _(spark, d):
+    """Findings of two rules go where any line of their function, here the evidence of some finding in it, holds a safe pattern."""
+    f = _f(spark, d)
+    b = f.withColumn("n", fx.function_name(F.col("title"))).where("n <> '' and confidence = 'high' and line_start is not null").groupBy(F.col("file_path").alias("path"), F.col("line_start").alias("line_no")).agg(F.min("n").alias("name"))
+    l = f.select(F.col("file_path").alias("path"), F.col("line_start").alias("line_no"), F.col("evidence").alias("line"))
+    return op.without_safe_functions(f, b, l, {"QX-JS031": r"\(", "QX-PY182": "a"}).select("id")
+
+
 @query("o086_annotations", _with("SELECT id, file_path, line_start, severity FROM f WHERE line_start>0 AND file_path<>'' AND file_path IN (SELECT file_path FROM f WHERE severity='high')"))
 def _(spark, d):
     f = _f(spark, d)
@@ -356,16 +370,23 @@ def _(spark, d):
 
 
 # -- sorts and top-k
-@query("o148_sorted", _with(f"SELECT id, row_number() OVER (ORDER BY {ORDER} DESC, {CONFIDENCE} DESC, file_path, id) AS place FROM f"))
+_REACH_ORDER = f"CASE {_REACH} WHEN 'high' THEN 4 WHEN 'low' THEN 2 ELSE 1 END"
+
+
+def _reach() -> Column:
+    n = F.size(F.coalesce("taint_path", F.array().cast("array<string>")))
+    return F.when(n > 1, "high").when(n == 1, "low").otherwise("unknown")
+
+
+@query("o148_sorted", _with(f"SELECT id, row_number() OVER (ORDER BY {ORDER} DESC, {CONFIDENCE} DESC, {_REACH_ORDER} DESC, file_path, id) AS place FROM f"))
 def _(spark, d):
-    f = _f(spark, d).select("id", "severity", "confidence", "file_path")
-    return global_rank(f, [fx.severity_order(F.col("severity")).desc(), fx.confidence_order(F.col("confidence")).desc(), F.col("file_path"), F.col("id")]).select("id", "place")
+    f = _f(spark, d).select("id", "severity", "confidence", "file_path", _reach().alias("reach"))
+    return global_rank(f, op.finding_order("id", reachability=F.col("reach"))).select("id", "place")
 
 
-@query("o149_top10", _with(f"SELECT id, severity FROM f ORDER BY {ORDER} DESC, len(coalesce(taint_path,[])) DESC, id LIMIT 10"))
+@query("o149_top10", _with(f"SELECT id, severity FROM f ORDER BY {ORDER} DESC, {_REACH_ORDER} DESC, id LIMIT 10"))
 def _(spark, d):
-    n = F.size(F.coalesce("taint_path", F.array().cast("array<string>")))
-    return _f(spark, d).orderBy(fx.severity_order(F.col("severity")).desc(), n.desc(), "id").limit(10).select("id", "severity")
+    return _f(spark, d).orderBy(fx.severity_order(F.col("severity")).desc(), fx.reachability_order(_reach()).desc(), "id").limit(10).select("id", "severity")
 
 
 @query("o150_pr_top10", _with(f"SELECT id, severity, file_path FROM f WHERE enforcement='block' ORDER BY {ORDER} DESC, id LIMIT 10"))

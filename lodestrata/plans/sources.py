@@ -251,3 +251,16 @@ def _(spark, d):
     text = F.concat(F.lit('resource "bucket" "'), F.col("p_brand"), F.lit('" {\n  acl { a }\n}\nresource "bucket" "x" {\n}\n'))
     l = lines(table(spark, d, "part").select("p_partkey", text.alias("t")), "p_partkey", "t")
     return rules.terraform_blocks(l, "p_partkey").select("p_partkey", "name", "first_line")
+
+
+@query("o094_bucket_posture", "SELECT p_partkey, replace(p_brand,'#','_') AS name FROM part WHERE p_partkey%3=0")
+def _(spark, d):
+    """Buckets without versioning: neither inline (every third part) nor by a companion block (every other third)."""
+    from lodestrata.functions.text import lines
+
+    k = F.col("p_partkey") % 3
+    inline = F.when(k == 1, "  versioning { enabled = true }\n").otherwise("")
+    companion = F.when(k == 2, F.concat(F.lit('resource "bucket_versioning" "v" {\n  bucket = bucket.'), F.translate("p_brand", "#", "_"), F.lit(".id\n}\n"))).otherwise(F.lit('resource "bucket_versioning" "v" {\n  bucket = bucket.other.id\n}\n'))
+    text = F.concat(F.lit('resource "bucket" "'), F.translate("p_brand", "#", "_"), F.lit('" {\n  acl { a }\n'), inline, F.lit("}\n"), companion)
+    l = lines(table(spark, d, "part").select("p_partkey", text.alias("t")), "p_partkey", "t")
+    return rules.without_companion(rules.terraform_blocks(l, "p_partkey"), "p_partkey", "bucket", "bucket_versioning", "versioning").select("p_partkey", "name")

@@ -94,3 +94,18 @@ def test_backward_reach_of_long_chains(spark):
     e = spark.range(52).coalesce(1).select(F.col("id").alias("node"), (F.col("id") + 1).alias("next"))
     n = lambda *x: spark.createDataFrame([(i,) for i in x], "node long")
     assert rows(taint.backward_reach(e, n(52), n(0, 1, 2, 36), n(-1)), "source", "depth") == [(0, 52), (1, 51), (2, 50), (36, 16)]
+
+
+def test_advisory_extractors(spark):
+    from pyspark.sql import functions as F
+
+    from lodestrata.operators import advisories as op
+
+    v = spark.createDataFrame([("CVSS:3.1/AV:N/C:H/I:H/A:H",), ("CVSS:3.1/C:N/I:H/A:N",), ("CVSS:3.1/C:L/I:N/A:N",), ("CVSS:3.1/C:N/I:N/A:N",), (None,), ("",)], "v string")
+    assert [r.s for r in v.select(op.severity_of_vector(F.col("v")).alias("s")).collect()] == ["critical", "high", "medium", "low", "unknown", "unknown"]
+    w = spark.createDataFrame([('{"cwe":"89"}',), ('{"cwe":["CWE-1","CWE-2"]}',), ('{"cwe_ids":["CWE-3"]}',), ('{"cweId":"4"}',), ("{}",), ("{",), (None,), ('{"cwe":[]}',)], "j string")
+    assert [r.s for r in w.select(op.weakness_of(F.col("j")).alias("s")).collect()] == ["CWE-89", "CWE-1", "CWE-3", "CWE-4", "", "", "", ""]
+    refs = spark.createDataFrame([([("FIX", "a"), ("WEB", "b")],), ([("FIX", "a")],), ([],), (None,)], "r array<struct<type:string,url:string>>")
+    assert [r.u for r in refs.select(op.advisory_url(F.col("r")).alias("u")).collect()] == ["b", "a", "", ""]
+    n = spark.createDataFrame([("CVSS_V3/8.1",), ("9",), ("CVSS:3.1/AV:N",), (None,)], "t string")
+    assert [r.x for r in n.select(op.numeric_score(F.col("t")).alias("x")).collect()] == [8.1, 9.0, None, None]
