@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -104,19 +106,74 @@ def suite_summaries(spark, folder: str) -> DataFrame:
     return spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "summary.json").json(folder).withColumn("suite", F.element_at(F.split(F.input_file_name(), "/"), -2))
 
 
-def git_changed(spark, repository: str, since: str = "HEAD~1", max_bytes: int = 2 << 20) -> DataFrame:
-    """(path): files that a local repository changed since a reference and that are still there, text by name and not too large."""
+def scan_files(spark, folder: str, max_bytes: int = 2 << 20, tests: bool = False, more_ignored: tuple[str, ...] = ()) -> DataFrame:
+    """(path, language, content, size) of a folder's text files, paths relative to it.
+
+    Left out by name, before any content is read: what the folder's .gitignore or more_ignored match,
+    version control and dependency folders, third-party and minified files and, unless tests, test files.
+    """
     import os
+
+    from lodestrata.functions.text import is_test_path, is_third_party, language
+    from lodestrata.operators.scan import ignored
+
+    globs = [f"{d}/" for d in (".git", ".hg", ".svn", "node_modules", "vendor", ".venv", "venv", "__pycache__", "dist", "build", "target")]
+    if os.path.isfile(own := os.path.join(folder, ".gitignore")):
+        with open(own, encoding="utf-8", errors="replace") as f:
+            globs += f.read().splitlines()
+    found = files(spark, folder, max_bytes=max_bytes)
+    root = os.path.abspath(folder).rstrip("/") + "/"
+    found = found.withColumn("path", F.regexp_replace("path", "^.*?" + re.escape(root), ""))
+    keep = ~ignored(F.col("path"), [*globs, *more_ignored]) & ~is_third_party(F.col("path"))
+    out = found.where(keep if tests else keep & ~is_test_path(F.col("path")))
+    return out.select("path", language(F.col("path")).alias("language"), "content", "size")
+
+
+def _git(repository: str, *arguments: str) -> str:
     import subprocess
 
+    return subprocess.run(["git", "-C", repository, *arguments], capture_output=True, check=True, text=True).stdout
+
+
+def _kept(spark, repository: str, names: list[str], max_bytes: int) -> DataFrame:
+    import os
+
     from lodestrata.functions.text import BINARY_EXTENSIONS
 
-    out = subprocess.run(["git", "-C", repository, "diff", "--name-only", "--diff-filter=d", "-z", since], capture_output=True, check=True, text=True).stdout
-    names = [n for n in out.split("\0") if n and not n.lower().endswith(BINARY_EXTENSIONS)]
-    keep = [(n,) for n in names if os.path.isfile(os.path.join(repository, n)) and os.path.getsize(os.path.join(repository, n)) <= max_bytes]
+    texts = [n for n in names if n and not n.lower().endswith(BINARY_EXTENSIONS)]
+    keep = [(n,) for n in texts if os.path.isfile(os.path.join(repository, n)) and os.path.getsize(os.path.join(repository, n)) <= max_bytes]
     return spark.createDataFrame(keep, "path string")
 
 
+def git_changed(spark, repository: str, since: str = "HEAD~1", max_bytes: int = 2 << 20) -> DataFrame:
+    """(path): files that a local repository changed since a reference and that are still there, text by name and not too large."""
+    return _kept(spark, repository, _git(repository, "diff", "--name-only", "--diff-filter=d", "-z", since).split("\0"), max_bytes)
+
+
+def git_staged(spark, repository: str, max_bytes: int = 2 << 20) -> DataFrame:
+    """(path): the same of what is staged for the next commit."""
+    return _kept(spark, repository, _git(repository, "diff", "--cached", "--name-only", "--diff-filter=d", "-z").split("\0"), max_bytes)
+
+
+def git_stats(spark, repository: str, since: str = "HEAD~1") -> DataFrame:
+    """(path, added, deleted): lines changed since a reference; null for binary files."""
+    rows = []
+    for entry in _git(repository, "diff", "--numstat", "--no-renames", "-z", since).split("\0"):
+        if entry:
+            added, deleted, path = entry.split("\t", 2)
+            rows.append((path, None if added == "-" else int(added), None if deleted == "-" else int(deleted)))
+    return spark.createDataFrame(rows, "path string, added int, deleted int")
+
+
+def git_blame(spark, repository: str, paths: list[str]) -> DataFrame:
+    """(path, author, lines): whose lines the given files hold; one process a file, so paths are those of a change."""
+    rows = []
+    for path in paths:
+        authors = [line[7:] for line in _git(repository, "blame", "--line-porcelain", "--", path).splitlines() if line.startswith("author ")]
+        rows += [(path, a, authors.count(a)) for a in dict.fromkeys(authors)]
+    return spark.createDataFrame(rows, "path string, author string, lines int")
+
+
 def inside(root: str, path: str) -> str:
     """The absolute path, an error if it leaves root."""
     import os

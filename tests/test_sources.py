@@ -165,3 +165,31 @@ def test_reachability_by_other_names_and_dependencies(spark):
     got = {r.package_name: r.reach_tier for r in reachability(f, imports, dependencies=deps).collect()}
     assert got == dict.fromkeys(("PyYAML", "pillow", "scikit-learn", "google-cloud-storage", "azure-core", "psycopg2-binary", "python-jose"), 2) | {"direct": 6, "indirect": 5, "my-pkg": 5, "yaml": 1}
     assert reachability(f, imports).where("reach_tier = 5").count() == 3
+
+
+def test_git_and_folders(spark, tmp_path):
+    import subprocess
+
+    repo = tmp_path / "repo"
+    (repo / "core").mkdir(parents=True)
+    (repo / "node_modules" / "x").mkdir(parents=True)
+    git = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=Ann", "-c", "user.email=a@b.test", *a], check=True, capture_output=True)
+    git("init", "-q")
+    (repo / "core" / "a.py").write_text("x = 1\ny = 2\n")
+    (repo / "b.png").write_bytes(b"\x89")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    (repo / "core" / "a.py").write_text("x = 1\nz = 3\nw = 4\n")
+    (repo / "core" / "test_a.py").write_text("t = 1\n")
+    git("add", ".")
+    assert rows(feeds.git_staged(spark, str(repo)), "path") == [("core/a.py",), ("core/test_a.py",)]
+    git("-c", "user.name=Bo", "commit", "-qm", "two")
+    assert rows(feeds.git_changed(spark, str(repo)), "path") == [("core/a.py",), ("core/test_a.py",)]
+    assert rows(feeds.git_stats(spark, str(repo)), "path", "added", "deleted") == [("core/a.py", 2, 1), ("core/test_a.py", 1, 0)]
+    assert rows(feeds.git_blame(spark, str(repo), ["core/a.py"]), "path", "author", "lines") == [("core/a.py", "Ann", 1), ("core/a.py", "Bo", 2)]
+    (repo / "node_modules" / "x" / "i.js").write_text("1")
+    (repo / "core" / "gen.go").write_text("package x")
+    (repo / "app.min.js").write_text("1")
+    (repo / ".gitignore").write_text("*.go\n")
+    assert rows(feeds.scan_files(spark, str(repo), more_ignored=(".gitignore",)), "path", "language") == [("core/a.py", "python")]
+    assert rows(feeds.scan_files(spark, str(repo), tests=True, more_ignored=(".gitignore",)), "path") == [("core/a.py",), ("core/test_a.py",)]
