@@ -3,7 +3,7 @@
 Method: minimum labels are propagated across the edges and pointer jumping shortens the label
 chains; each round is checkpointed (as a table in the shared checkpoint folder) and the rounds end
 when no label changes. Edges between equal labels fall away and the others are carried on between
-labels. Of two neighbours at most one keeps its label in a round, so the labels with edges at least
+labels. Of two neighbours at most one keeps its label in a round, so the labels with edges nearly
 halve: the rounds grow as the logarithm of the rows, and their sizes fall so fast that all of them
 together are of the size of the first. At the end the rounds' labels are put together, last to first.
 
@@ -25,6 +25,7 @@ from lodestrata.operators.skew import hot_keys, skew_safe_lookup
 from lodestrata.session import checkpoint, scratch
 
 HOT_SHARE, MIN_HOT = 0.01, 50_000
+OPEN_SHARE = 0.05  # of the nodes that need not have reached their root when a round goes on
 
 
 def _rows() -> Column:
@@ -55,7 +56,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
 
 def _flat(parent: DataFrame, hot: list[tuple], keep: Callable) -> tuple[DataFrame, list[tuple]]:
-    """(node, up) with every node pointing at the root of its tree, and the hot ones of up: pointers reach three times as far with each stored table."""
+    """(node, up) with all but OPEN_SHARE of the nodes pointing at the root of their tree, and the hot ones of up: pointers reach three times as far with each stored table.
+
+    A node that points at another ancestor does no harm: edges are carried on between whatever the
+    nodes point at, so its tree is joined in the next round.
+    """
     while True:
         above = parent.where("node <> up").select(F.col("node").alias("up"), F.col("up").alias("_up2"))
         once = skew_safe_lookup(parent, above, "up", hot=hot).select("node", "up", F.coalesce("_up2", "up").alias("_mid"))
@@ -64,7 +69,7 @@ def _flat(parent: DataFrame, hot: list[tuple], keep: Callable) -> tuple[DataFram
         jumped, seen = keep(jumped, rows=_rows(), open=F.count_if(F.col("_mid") != F.col("up")))
         parent = jumped.select("node", "up")
         hot = hot_keys(parent, ["up"], HOT_SHARE, MIN_HOT, seen["rows"])
-        if not seen["open"]:
+        if seen["open"] <= OPEN_SHARE * seen["rows"]:
             return parent, hot
 
 
